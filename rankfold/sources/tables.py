@@ -69,15 +69,15 @@ def movies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    n_cust = table(spark, sf_dir, "customer").agg(F.count(F.lit(1)).alias("n_cust"))
-    n_part = table(spark, sf_dir, "part").agg(F.count(F.lit(1)).alias("n_part"))
+    # scalar table sizes (one number each)
+    n_cust = table(spark, sf_dir, "customer").count()
+    n_part = table(spark, sf_dir, "part").count()
     words = docs.select(
         "doc_id", F.explode(F.split(F.lower(F.col("text")), TAG_TOKEN_SPLIT)).alias("tag")
     ).filter(F.col("tag") != "")
-    # one-row scalars: broadcast is size-bounded by construction
-    return words.crossJoin(F.broadcast(n_cust)).crossJoin(F.broadcast(n_part)).select(
-        (F.col("doc_id") % F.col("n_cust")).cast("bigint").alias("userId"),
-        (F.col("doc_id") % F.col("n_part")).cast("bigint").alias("movieId"),
+    return words.select(
+        (F.col("doc_id") % F.lit(n_cust)).cast("bigint").alias("userId"),
+        (F.col("doc_id") % F.lit(n_part)).cast("bigint").alias("movieId"),
         F.col("tag"),
         F.col("doc_id").cast("bigint").alias("timestamp"),
     )
