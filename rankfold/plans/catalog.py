@@ -231,3 +231,7 @@ def entry_query(spark: SparkSession, sf: str) -> DataFrame:
 
     recs = popular_recs(spark, sf)
     return enrich(recs, P.encoded(spark, sf).movie_map, P.movies(spark, sf))
+
+
+# registration side effects of the other catalog modules
+from rankfold.plans import catalog_eda  # noqa: E402,F401
