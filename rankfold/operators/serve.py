@@ -89,10 +89,11 @@ def answer_requests(
                 sigmoid_score("score").alias("score"), F.lit(False).alias("cold_start"))
     )
     warm = enrich(warm, movie_map, movies)
-    # the fallback list has a fixed bound (FALLBACK_SIZE rows)
+    # the fallback list has a fixed bound (FALLBACK_SIZE rows): broadcast, equi-join on rank
     cold = (
         routed.where(F.col("cold_start"))
-        .join(F.broadcast(fallback.withColumnRenamed("fb_rank", "rank")), how="inner", on=F.col("rank") <= F.col("top_k"))
+        .select("request_id", "user_id", F.explode(F.sequence(F.lit(1), F.least("top_k", F.lit(FALLBACK_SIZE)))).alias("rank"))
+        .join(F.broadcast(fallback.withColumnRenamed("fb_rank", "rank")), "rank")
         .select("request_id", "user_id", F.col("rank").cast("int").alias("rank"), "movie_id", "title",
                 "score", "genres", F.lit(True).alias("cold_start"))
     )

@@ -236,3 +236,4 @@ def entry_query(spark: SparkSession, sf: str) -> DataFrame:
 # registration side effects of the other catalog modules
 from rankfold.plans import catalog_eda  # noqa: E402,F401
 from rankfold.plans import catalog_logs  # noqa: E402,F401
+from rankfold.plans import catalog_models  # noqa: E402,F401
