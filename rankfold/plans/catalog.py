@@ -238,3 +238,4 @@ from rankfold.plans import catalog_eda  # noqa: E402,F401
 from rankfold.plans import catalog_logs  # noqa: E402,F401
 from rankfold.plans import catalog_models  # noqa: E402,F401
 from rankfold.plans import catalog_drift  # noqa: E402,F401
+from rankfold.plans import catalog_stream  # noqa: E402,F401
