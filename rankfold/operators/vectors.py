@@ -1,12 +1,13 @@
-"""Blocked all-pairs cosine top-k over an embedding table.
+"""Blocked all-pairs scoring with a partial top-k per row.
 
-Exact top-n neighbours need every (target, candidate) score, but never all of them
-at once: targets are hashed into T batches and candidates into C blocks; the pair
+Exact top-k over every (left, right) pair needs every score, but never all at once:
+left rows are hashed into T batches and right rows into C blocks; the pair
 (batch, block) is one cogroup holding at most ~2 * block_rows vectors.  Inside it a
-single matrix product scores the batch against the block and only a partial top-n
-per target leaves the task.  A final ``row_number() <= n`` (WindowGroupLimit) merges
-the C partial lists of each target.  Nothing is collected to the driver; the n²
-score matrix is never materialised or shuffled.
+single matrix product scores the batch against the block and only a partial top-k
+per left row leaves the task (k may differ per row, e.g. n + #seen items).  A final
+``row_number() <= k`` (WindowGroupLimit) merges the C partial lists of each left
+row.  Nothing is collected to the driver; the score matrix is never materialised
+or shuffled.
 """
 
 from __future__ import annotations
@@ -15,80 +16,128 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # rounding applied before ranking so that float summation order cannot swap ties
 RANK_DIGITS = 9
 
 
-def _normalised(vectors: DataFrame, item_col: str, vec_col: str) -> DataFrame:
-    norm = F.sqrt(F.aggregate(F.col(vec_col), F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
-    return vectors.select(F.col(item_col).alias("_item"), F.col(vec_col).alias("_vec"), norm.alias("_norm"))
+def l2_norm(vec: str | Column) -> Column:
+    v = F.col(vec) if isinstance(vec, str) else vec
+    return F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
 
 
-def blocked_topk(
-    vectors: DataFrame,
-    n: int,
-    item_col: str = "item_idx",
-    vec_col: str = "vec",
+def blocked_top_scores(
+    left: DataFrame,
+    right: DataFrame,
+    k: int | str,
+    left_key: str,
+    right_key: str,
+    left_vec: str = "vec",
+    right_vec: str = "vec",
+    cosine: bool = True,
+    exclude_same_key: bool = False,
     block_rows: int = 4096,
-    exclude_self: bool = True,
+    out_key: str = "neighbor",
+    out_score: str = "score",
 ) -> DataFrame:
-    """(item, neighbor, cosine, rank) with rank 1..n by (cosine desc, neighbor asc).
+    """(left_key, out_key, out_score, rank): each left row's best ``k`` right rows by
+    (score desc, right key asc).  ``k`` is an int or a column of ``left``.
 
-    Reference rules: zero-norm candidates are scored with norm 1 (cosine 0), a zero-norm
-    target gets no list, the target itself is excluded.
+    ``cosine``: divide by both norms; a zero-norm right vector uses norm 1 and a
+    zero-norm left vector gets no list.  Otherwise the plain dot product.
     """
-    base = _normalised(vectors, item_col, vec_col)
-    n_items = base.count()
-    parts = max(1, math.ceil(n_items / block_rows))
-    bucket = F.pmod(F.xxhash64("_item"), F.lit(parts))
-    targets = base.where(F.col("_norm") > 0).select(
-        "_item", "_vec", "_norm", bucket.alias("_tb"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("_cb")
+    n_right = right.count()
+    n_left = left.count()
+    t_parts = max(1, math.ceil(n_left / block_rows))
+    c_parts = max(1, math.ceil(n_right / block_rows))
+    keep = F.col(k) if isinstance(k, str) else F.lit(k)
+    lt = left.select(
+        F.col(left_key).cast("long").alias("_l"),
+        F.col(left_vec).alias("_lv"),
+        l2_norm(left_vec).alias("_ln"),
+        keep.cast("int").alias("_k"),
+    )
+    if cosine:
+        lt = lt.where(F.col("_ln") > 0)
+    lt = lt.select(
+        "*",
+        F.pmod(F.xxhash64("_l"), F.lit(t_parts)).alias("_tb"),
+        F.explode(F.sequence(F.lit(0), F.lit(c_parts - 1))).alias("_cb"),
     )
-    # candidate columns get their own names: a cogroup of two projections of one plan
-    # must not share attribute names
-    cands = base.select(
-        F.col("_item").alias("_citem"), F.col("_vec").alias("_cvec"), F.col("_norm").alias("_cnorm"),
-        bucket.alias("_cb"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("_tb"),
+    # right-side columns carry their own names: a cogroup of two projections of one
+    # plan must not share attribute names
+    rt = right.select(
+        F.col(right_key).cast("long").alias("_r"), F.col(right_vec).alias("_rv"), l2_norm(right_vec).alias("_rn")
+    ).select(
+        "*",
+        F.pmod(F.xxhash64("_r"), F.lit(c_parts)).alias("_cb"),
+        F.explode(F.sequence(F.lit(0), F.lit(t_parts - 1))).alias("_tb"),
     )
 
-    def score(tdf: pd.DataFrame, cdf: pd.DataFrame) -> pd.DataFrame:
-        if tdf.empty or cdf.empty:
-            return pd.DataFrame({"_item": [], "neighbor": [], "cosine": []})
-        t = np.vstack(tdf["_vec"].to_numpy()).astype(np.float64)
-        c = np.vstack(cdf["_cvec"].to_numpy()).astype(np.float64)
-        cn = cdf["_cnorm"].to_numpy(dtype=np.float64)
-        cn = np.where(cn == 0.0, 1.0, cn)
-        sims = (t @ c.T) / (tdf["_norm"].to_numpy(dtype=np.float64)[:, None] * cn[None, :])
-        t_ids = tdf["_item"].to_numpy()
-        c_ids = cdf["_citem"].to_numpy()
-        if exclude_self:
-            sims = np.where(t_ids[:, None] == c_ids[None, :], -np.inf, sims)
-        keep = min(n, len(c_ids))
+    def score(ldf: pd.DataFrame, rdf: pd.DataFrame) -> pd.DataFrame:
+        if ldf.empty or rdf.empty:
+            return pd.DataFrame({"_l": [], "_r": [], "_s": []})
+        a = np.vstack(ldf["_lv"].to_numpy()).astype(np.float64)
+        b = np.vstack(rdf["_rv"].to_numpy()).astype(np.float64)
+        sims = a @ b.T
+        if cosine:
+            rn = rdf["_rn"].to_numpy(dtype=np.float64)
+            rn = np.where(rn == 0.0, 1.0, rn)
+            sims = sims / (ldf["_ln"].to_numpy(dtype=np.float64)[:, None] * rn[None, :])
+        l_ids = ldf["_l"].to_numpy()
+        r_ids = rdf["_r"].to_numpy()
+        if exclude_same_key:
+            sims = np.where(l_ids[:, None] == r_ids[None, :], -np.inf, sims)
+        ks = np.minimum(ldf["_k"].to_numpy(), len(r_ids))
         key = np.round(sims, RANK_DIGITS)
-        # vectorised cut: everything at or above each row's keep-th largest key survives
-        kth = np.partition(key, len(c_ids) - keep, axis=1)[:, len(c_ids) - keep]
+        order_all = None
+        rows_l, rows_r, rows_s = [], [], []
+        kmax = int(ks.max()) if len(ks) else 0
+        if kmax <= 0:
+            return pd.DataFrame({"_l": [], "_r": [], "_s": []})
+        # vectorised cut at the kmax-th largest key, exact tie handling afterwards
+        kth = np.partition(key, len(r_ids) - kmax, axis=1)[:, len(r_ids) - kmax]
         mask = (key >= kth[:, None]) & np.isfinite(sims)
-        rows_t, rows_c, rows_s = [], [], []
-        for i in range(len(t_ids)):
+        for i in range(len(l_ids)):
+            if ks[i] <= 0:
+                continue
             cand = np.flatnonzero(mask[i])
-            order = cand[np.lexsort((c_ids[cand], -key[i, cand]))]
-            sel = order[:keep]
-            rows_t.extend([t_ids[i]] * len(sel))
-            rows_c.extend(c_ids[sel].tolist())
-            rows_s.extend(sims[i, sel].tolist())
-        return pd.DataFrame({"_item": rows_t, "neighbor": rows_c, "cosine": rows_s})
+            order_all = cand[np.lexsort((r_ids[cand], -key[i, cand]))][: ks[i]]
+            rows_l.extend([l_ids[i]] * len(order_all))
+            rows_r.extend(r_ids[order_all].tolist())
+            rows_s.extend(sims[i, order_all].tolist())
+        return pd.DataFrame({"_l": rows_l, "_r": rows_r, "_s": rows_s})
 
     partial = (
-        targets.groupBy("_tb", "_cb")
-        .cogroup(cands.groupBy("_tb", "_cb"))
-        .applyInPandas(score, schema="_item long, neighbor long, cosine double")
+        lt.groupBy("_tb", "_cb")
+        .cogroup(rt.groupBy("_tb", "_cb"))
+        .applyInPandas(score, schema="_l long, _r long, _s double")
     )
-    w = Window.partitionBy("_item").orderBy(F.round("cosine", RANK_DIGITS).desc(), F.col("neighbor").asc())
-    return (
-        partial.withColumn("rank", F.row_number().over(w))
-        .where(F.col("rank") <= n)
-        .select(F.col("_item").alias(item_col), "neighbor", "cosine", "rank")
+    limits = left.select(F.col(left_key).cast("long").alias("_l"), keep.cast("int").alias("_k"))
+    w = Window.partitionBy("_l").orderBy(F.round("_s", RANK_DIGITS).desc(), F.col("_r").asc())
+    ranked = partial.withColumn("rank", F.row_number().over(w))
+    if isinstance(k, str):
+        ranked = ranked.join(limits, "_l").where(F.col("rank") <= F.col("_k"))
+    else:
+        ranked = ranked.where(F.col("rank") <= k)
+    return ranked.select(
+        F.col("_l").alias(left_key), F.col("_r").alias(out_key), F.col("_s").alias(out_score), "rank"
+    )
+
+
+def blocked_topk(
+    vectors: DataFrame,
+    n: int,
+    item_col: str = "item_idx",
+    vec_col: str = "vec",
+    block_rows: int = 4096,
+    exclude_self: bool = True,
+) -> DataFrame:
+    """(item, neighbor, cosine, rank): top-n cosine neighbours of every item."""
+    res = blocked_top_scores(
+        vectors, vectors, n, item_col, item_col, vec_col, vec_col,
+        cosine=True, exclude_same_key=exclude_self, block_rows=block_rows, out_key="neighbor", out_score="cosine",
     )
+    return res

@@ -89,3 +89,32 @@ def item_universe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def n_items(spark: SparkSession, sf_dir: str) -> int:
     return _memo(spark, sf_dir, ("n_items",), lambda: encoded(spark, sf_dir).movie_map.count())
+
+
+class Bundle:
+    """The factorisation dataset: users of ``ratings``, items of ``movies`` (items
+    without ratings kept), seeded 80/20 row split, distinct train/test pairs."""
+
+    def __init__(self, user_map: DataFrame, item_map: DataFrame, split_rows: DataFrame):
+        self.user_map = user_map
+        self.item_map = item_map
+        self.split_rows = split_rows
+
+    def pairs(self, name: str) -> DataFrame:
+        return self.split_rows.where(F.col("split") == name).select("user_idx", "item_idx").distinct()
+
+
+def bundle(spark: SparkSession, sf_dir: str) -> Bundle:
+    from rankfold.operators.ordering import dense_index  # noqa: PLC0415
+
+    def build() -> Bundle:
+        r = ratings(spark, sf_dir)
+        user_map = checkpoint(dense_index(r, "userId"))
+        item_map = checkpoint(dense_index(movies(spark, sf_dir), "movieId"))
+        rows = prep.random_split(r, ("userId", "movieId", "timestamp", "rating"), 0.2, S.SEED)
+        um = user_map.select(F.col("original_id").alias("userId"), F.col("encoded_id").alias("user_idx"))
+        im = item_map.select(F.col("original_id").alias("movieId"), F.col("encoded_id").alias("item_idx"))
+        mapped = rows.join(um, "userId").join(im, "movieId").select("user_idx", "item_idx", "rating", "split")
+        return Bundle(user_map, item_map, checkpoint(mapped))
+
+    return _memo(spark, sf_dir, ("bundle",), build)
