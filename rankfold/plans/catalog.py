@@ -240,3 +240,4 @@ from rankfold.plans import catalog_models  # noqa: E402,F401
 from rankfold.plans import catalog_drift  # noqa: E402,F401
 from rankfold.plans import catalog_stream  # noqa: E402,F401
 from rankfold.plans import catalog_fm  # noqa: E402,F401
+from rankfold.plans import catalog_misc  # noqa: E402,F401
