@@ -10,11 +10,13 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 DEFAULT_CONF = {
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -75,6 +77,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
+def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write ``df`` as Parquet under the checkpoint folder and read it back.
+
+    For iterative jobs: the result is a plain file scan with no retained origin plan,
+    so a loop whose step reads the previous step twice does not grow its plan.
+    """
+    root = ensure_checkpoint_dir(df.sparkSession).rstrip("/")
+    path = f"{root}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Materialise ``df`` into the reliable checkpoint folder and cut its lineage."""
     ensure_checkpoint_dir(df.sparkSession)
