@@ -242,3 +242,4 @@ from rankfold.plans import catalog_stream  # noqa: E402,F401
 from rankfold.plans import catalog_fm  # noqa: E402,F401
 from rankfold.plans import catalog_misc  # noqa: E402,F401
 from rankfold.plans import catalog_hybrid  # noqa: E402,F401
+from rankfold.plans import catalog_train  # noqa: E402,F401
