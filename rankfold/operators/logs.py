@@ -138,9 +138,12 @@ def _window_by(part: str, order: str):
 
 
 def condition_ticks(windows: DataFrame, condition: Column, alert: str) -> DataFrame:
-    """(alert, tick) for every evaluation tick (window end, in 30 s units) where the rule holds."""
+    """(alert, tick) for every evaluation tick (window end, in 30 s units) where the rule holds.
+
+    Window ends are unique per window, so no de-duplication is needed (and none is
+    done, which keeps the function usable on streams)."""
     tick = (F.unix_timestamp(F.col("window_end").cast("timestamp")) / EVAL_INTERVAL_SECONDS).cast("bigint")
-    return windows.where(condition).select(F.lit(alert).alias("alert"), tick.alias("tick")).distinct()
+    return windows.where(condition).select(F.lit(alert).alias("alert"), tick.alias("tick"))
 
 
 def sustained_alerts(ticks: DataFrame, hold_seconds: dict[str, int]) -> DataFrame:
@@ -173,7 +176,11 @@ def sustained_alerts(ticks: DataFrame, hold_seconds: dict[str, int]) -> DataFram
 
 def alert_ticks(log: DataFrame) -> DataFrame:
     """The two request rules of the reference as tick series."""
-    w = windowed_counts(log)
+    return alert_ticks_from_windows(windowed_counts(log))
+
+
+def alert_ticks_from_windows(w: DataFrame) -> DataFrame:
+    """Rule ticks from window counts (batch or streaming)."""
     ratio = F.when(F.col("requests") > 0, F.col("errors") / F.col("requests"))
     return condition_ticks(w, ratio > ERROR_RATIO_LEVELS[1], "RecsysHighErrorRate").unionByName(
         condition_ticks(w, F.col("cold_starts") > COLD_START_SPIKE, "RecsysModelColdStart")

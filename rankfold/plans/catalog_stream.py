@@ -15,3 +15,11 @@ def q_request_rate_stream(spark, sf):
 @register("requests_by_endpoint_stream", ORACLES["requests_by_endpoint"])
 def q_requests_by_endpoint_stream(spark, sf):
     return SL.requests_by_endpoint_stream(spark, sf)
+
+
+@register("sustained_alerts_stream")
+def q_sustained_alerts_stream(spark, sf):
+    """Sustained-threshold alerts from two chained streaming queries (append mode with
+    watermarks, stateful islands per alert): rows-only, since islands still open at the
+    end of the input are not emitted."""
+    return SL.sustained_alerts_stream(spark, sf)

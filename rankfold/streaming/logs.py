@@ -97,3 +97,87 @@ def finalized_windows_stream(spark: SparkSession, sf_dir: str, watermark: str =
     """Append mode: each window is written once, after the watermark passes its end.
     Windows still open when the available input ends stay in state (not emitted)."""
     return run_to_table(windowed_counts_stream(event_stream(spark, sf_dir), watermark), "windows-append", "append")
+
+
+# ---------------------------------------------------------------- sustained alerts
+
+
+def _alert_state_fn(hold_steps: dict[str, int]):
+    import pandas as pd  # noqa: PLC0415
+
+    def emit(alert: str, first: int, last: int) -> pd.DataFrame:
+        steps = hold_steps[alert]
+        if last - first < steps:
+            return pd.DataFrame({"alert": [], "first_tick": [], "last_tick": []})
+        return pd.DataFrame({"alert": [alert], "first_tick": [first], "last_tick": [last]})
+
+    def fn(key, pdfs, state):
+        alert = key[0]
+        if state.hasTimedOut:
+            first, last = state.get
+            state.remove()
+            yield emit(alert, first, last)
+            return
+        first, last = state.get if state.exists else (None, None)
+        ticks = sorted({int(t) for pdf in pdfs for t in pdf["tick"]})
+        for t in ticks:
+            if last is not None and t <= last:
+                continue
+            if last is not None and t == last + 1:
+                last = t
+                continue
+            if last is not None:
+                yield emit(alert, first, last)
+            first = last = t
+        if last is not None:
+            state.update((first, last))
+            # the island closes once event time passes the next evaluation tick
+            state.setTimeoutTimestamp((last + 2) * L.EVAL_INTERVAL_SECONDS * 1000)
+
+    return fn
+
+
+def sustained_alerts_stream(spark: SparkSession, sf_dir: str, watermark: str = "10 minutes") -> DataFrame:
+    """Two chained streaming queries.  1) sliding-window counts in append mode (each
+    window final once the watermark passes it) into a Parquet table; 2) that table read
+    as a stream, rule ticks per alert, and ``applyInPandasWithState`` keyed by alert
+    keeping the open island (first, last tick) with an event-time timeout.  Islands
+    held at least the rule's ``for`` duration are emitted once closed; islands still
+    open when the input ends stay in state."""
+    from pyspark.sql.streaming.state import GroupStateTimeout  # noqa: PLC0415
+
+    base = _scratch(spark, "alerts")
+    windows = windowed_counts_stream(event_stream(spark, sf_dir), watermark)
+    q1 = (
+        windows.writeStream.outputMode("append").format("parquet")
+        .option("path", f"{base}/windows").option("checkpointLocation", f"{base}/windows-ckpt")
+        .trigger(availableNow=True).start()
+    )
+    q1.awaitTermination()
+    schema = "window_start timestamp_ntz, window_end timestamp_ntz, requests long, errors long, cold_starts long"
+    try:
+        spark.read.parquet(f"{base}/windows").schema  # noqa: B018 - fails when nothing was finalised
+    except Exception:  # noqa: BLE001
+        return spark.createDataFrame([], "alert string, pending_since timestamp_ntz, firing_since timestamp_ntz, "
+                                         "last_true timestamp_ntz")
+    fin = spark.readStream.schema(schema).parquet(f"{base}/windows")
+    ticks = L.alert_ticks_from_windows(fin).withColumn(
+        "tick_ts", F.timestamp_seconds(F.col("tick") * L.EVAL_INTERVAL_SECONDS)
+    ).withWatermark("tick_ts", "1 minute")
+    steps = {k: v // L.EVAL_INTERVAL_SECONDS for k, v in L.ALERT_HOLD_SECONDS.items()}
+    islands = ticks.groupBy("alert").applyInPandasWithState(
+        _alert_state_fn(steps),
+        outputStructType="alert string, first_tick long, last_tick long",
+        stateStructType="first long, last long",
+        outputMode="append",
+        timeoutConf=GroupStateTimeout.EventTimeTimeout,
+    )
+    table = run_to_table(islands, "alert-islands", "append")
+    hold = F.create_map(*[x for k, v in steps.items() for x in (F.lit(k), F.lit(v))])
+    to_ts = lambda c: F.timestamp_seconds(c * L.EVAL_INTERVAL_SECONDS).cast("timestamp_ntz")
+    return table.select(
+        "alert",
+        to_ts(F.col("first_tick")).alias("pending_since"),
+        to_ts(F.col("first_tick") + F.element_at(hold, F.col("alert"))).alias("firing_since"),
+        to_ts(F.col("last_tick")).alias("last_true"),
+    )

@@ -35,3 +35,11 @@ def test_decode_marks_corrupt(spark):
     rows = {r.request_id: r for r in L.decode_props(log).collect()}
     assert rows[1].k == 5 and not rows[1].corrupt
     assert rows[2].k is None and rows[2].corrupt
+
+
+def test_stream_alerts_are_batch_alerts(spark, small_dir):
+    batch = {tuple(r) for r in L.sustained_alerts(L.alert_ticks(tables.request_log(spark, small_dir)),
+                                                  L.ALERT_HOLD_SECONDS).collect()}
+    stream = {tuple(r) for r in SL.sustained_alerts_stream(spark, small_dir).collect()}
+    assert stream <= batch
+    assert len(stream) >= len(batch) - 2
