@@ -65,9 +65,17 @@ def q_recommend_random(spark, sf):
     )
 
 
-@register("evaluate_random")
+def _evaluate_random_sql() -> str:
+    from rankfold.plans.catalog import EVAL_CTES, ORACLES  # noqa: PLC0415
+
+    body = ORACLES["evaluate_model"].split("\nSELECT round(coalesce(avg(precision)", 1)[1]
+    body = "SELECT round(coalesce(avg(precision)" + body.replace("pop_recs", "rand_recs")
+    return S.with_ctes(body, *RANDOM_SQL, *[c.replace("pop_recs", "rand_recs") for c in EVAL_CTES], pipeline=True)
+
+
+@register("evaluate_random", _evaluate_random_sql())
 def q_evaluate_random(spark, sf):
-    """Random baseline through the full evaluation (rows-only: same job as evaluate_model)."""
+    """Random baseline through the full evaluation (same job as evaluate_model)."""
     return M.evaluate(random_recs(spark, sf), P.part(spark, sf, "test"), S.TOP_K, S.EVAL_THRESHOLD,
                       P.n_items(spark, sf))
 
