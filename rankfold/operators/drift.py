@@ -35,35 +35,54 @@ STD_FLOOR = 0.001
 DRIFT_SHARE = 0.5
 
 
-def merged_histogram(reference: DataFrame, current: DataFrame, columns: list[str]) -> DataFrame:
-    """(column, value, c_ref, c_cur) over the union of both tables' values (nulls dropped)."""
+def merged_histogram(reference: DataFrame, current: DataFrame, columns: list[str],
+                     group: str | None = None, groups: list | None = None) -> DataFrame:
+    """(feature, value, c_ref, c_cur) over the union of both tables' values (nulls dropped).
 
-    def long(df: DataFrame, side: str) -> DataFrame:
+    With ``group``: ``current`` carries a report key; the (bounded) reference histogram is
+    replicated once per report key in ``groups``.
+    """
+
+    def long(df: DataFrame, side: str, keep: list[str]) -> DataFrame:
         stacked = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in columns)
-        return df.selectExpr(f"stack({len(columns)}, {stacked}) AS (feature, value)").where(
+        return df.selectExpr(*keep, f"stack({len(columns)}, {stacked}) AS (feature, value)").where(
             F.col("value").isNotNull()
         ).withColumn("side", F.lit(side))
 
-    both = long(reference, "ref").unionByName(long(current, "cur"))
-    return both.groupBy("feature", "value").agg(
+    keys = ["feature", "value"]
+    if group is None:
+        both = long(reference, "ref", []).unionByName(long(current, "cur", []))
+    else:
+        ref_hist = long(reference, "ref", []).groupBy("feature", "value", "side").agg(F.count(F.lit(1)).alias("_n"))
+        ref_rep = ref_hist.select("*", F.explode(F.array(*[F.lit(g) for g in groups])).alias(group))
+        cur = long(current, "cur", [group]).withColumn("_n", F.lit(1))
+        both = ref_rep.unionByName(cur)
+        keys = [group, *keys]
+        return both.groupBy(*keys).agg(
+            F.sum(F.when(F.col("side") == "ref", F.col("_n")).otherwise(0)).alias("c_ref"),
+            F.sum(F.when(F.col("side") == "cur", F.col("_n")).otherwise(0)).alias("c_cur"),
+        )
+    return both.groupBy(*keys).agg(
         F.sum(F.when(F.col("side") == "ref", 1).otherwise(0)).alias("c_ref"),
         F.sum(F.when(F.col("side") == "cur", 1).otherwise(0)).alias("c_cur"),
     )
 
 
-def column_statistics(reference: DataFrame, current: DataFrame, columns: list[str]) -> DataFrame:
-    """Per column: n_ref, n_cur, n_unique_ref, std_ref, wasserstein, ks, js, chi2, dof."""
-    h = merged_histogram(reference, current, columns).withColumn("one", F.lit(1))
-    totals = h.groupBy("feature").agg(
+def column_statistics(reference: DataFrame, current: DataFrame, columns: list[str],
+                      group: str | None = None, groups: list | None = None) -> DataFrame:
+    """Per column (and report key): n_ref, n_cur, n_unique_ref, std_ref, wasserstein, ks, js, chi2, dof."""
+    g = [group] if group else []
+    h = merged_histogram(reference, current, columns, group, groups).withColumn("one", F.lit(1))
+    totals = h.groupBy(*g, "feature").agg(
         F.sum("c_ref").alias("n_ref"),
         F.sum("c_cur").alias("n_cur"),
         F.sum(F.when(F.col("c_ref") > 0, 1).otherwise(0)).alias("n_unique_ref"),
         F.sum(F.col("c_ref") * F.col("value")).alias("_s1"),
         F.sum(F.col("c_ref") * F.col("value") * F.col("value")).alias("_s2"),
     )
-    rt = running_totals(h, ["value"], ["c_ref", "c_cur", "one"], group_cols=["feature"])
-    nxt = rt.select("feature", (F.col("one_cum") - 1).alias("one_cum"), F.col("value").alias("next_value"))
-    pts = rt.join(nxt, ["feature", "one_cum"], "left").join(totals, "feature")
+    rt = running_totals(h, ["value"], ["c_ref", "c_cur", "one"], group_cols=[*g, "feature"])
+    nxt = rt.select(*g, "feature", (F.col("one_cum") - 1).alias("one_cum"), F.col("value").alias("next_value"))
+    pts = rt.join(nxt, [*g, "feature", "one_cum"], "left").join(totals, [*g, "feature"])
     f_ref = F.col("c_ref_cum") / F.col("n_ref")
     f_cur = F.col("c_cur_cum") / F.col("n_cur")
     p = F.col("c_ref") / F.col("n_ref")
@@ -72,7 +91,7 @@ def column_statistics(reference: DataFrame, current: DataFrame, columns: list[st
     kl = lambda a: F.when(a > 0, a * F.log(a / m)).otherwise(0.0)
     # chi-square of current counts against reference shares (categories seen in the reference)
     expected = p * F.col("n_cur")
-    stats = pts.groupBy("feature").agg(
+    stats = pts.groupBy(*g, "feature").agg(
         F.sum(F.abs(f_ref - f_cur) * F.coalesce(F.col("next_value") - F.col("value"), F.lit(0.0))).alias("wasserstein_raw"),
         F.max(F.abs(f_ref - f_cur)).alias("ks"),
         F.sum(0.5 * kl(p) + 0.5 * kl(q)).alias("_jsd"),
@@ -80,7 +99,8 @@ def column_statistics(reference: DataFrame, current: DataFrame, columns: list[st
         F.sum(F.when(F.col("c_ref") > 0, 1).otherwise(0)).alias("_k"),
     )
     var = F.col("_s2") / F.col("n_ref") - (F.col("_s1") / F.col("n_ref")) ** 2
-    return stats.join(totals, "feature").select(
+    return stats.join(totals, [*g, "feature"]).select(
+        *g,
         "feature",
         F.col("n_ref").cast("bigint").alias("n_ref"),
         F.col("n_cur").cast("bigint").alias("n_cur"),
@@ -138,11 +158,12 @@ def _chi2_sf(x: float, dof: int) -> float:
     return min(1.0, math.exp(-z + a * math.log(z) - math.lgamma(a)) * h)
 
 
-def drift_columns(reference: DataFrame, current: DataFrame, columns: list[str], threshold: float = DISTANCE_THRESHOLD) -> DataFrame:
+def drift_columns(reference: DataFrame, current: DataFrame, columns: list[str], threshold: float = DISTANCE_THRESHOLD,
+                  group: str | None = None, groups: list | None = None) -> DataFrame:
     """Per column: chosen test, statistic, threshold and drift flag (distance tests are
     pure column expressions; p-values for small references are applied per row with
     built-in math on the one-row-per-column table)."""
-    st = column_statistics(reference, current, columns)
+    st = column_statistics(reference, current, columns, group, groups)
     big = F.col("n_ref") > BIG_REFERENCE_ROWS
     numeric = F.col("n_unique_ref") > FEW_UNIQUE
     wass = F.col("wasserstein_raw") / F.greatest(F.col("std_ref"), F.lit(STD_FLOOR))
@@ -156,6 +177,7 @@ def drift_columns(reference: DataFrame, current: DataFrame, columns: list[str],
         F.when(big & numeric, wass).when(big, F.col("js")).when(numeric, F.col("ks")).otherwise(F.col("chi2"))
     )
     return st.select(
+        *([group] if group else []),
         "feature", "n_ref", "n_cur", "n_unique_ref",
         test.alias("stattest"),
         F.round(statistic, 6).alias("statistic"),
@@ -196,15 +218,16 @@ def finalize_small_tests(cols: DataFrame) -> DataFrame:
     return cols.withColumn("drifted", drifted).drop("_big", "_chi2", "_ks", "_w", "_js")
 
 
-def drift_summary(columns_df: DataFrame, drift_share: float = DRIFT_SHARE) -> DataFrame:
+def drift_summary(columns_df: DataFrame, drift_share: float = DRIFT_SHARE, group: str | None = None) -> DataFrame:
     """Dataset drift: share of drifted columns and the flag (share >= drift_share)."""
-    return columns_df.agg(
+    g = [group] if group else []
+    return columns_df.groupBy(*g).agg(
         F.count(F.lit(1)).cast("bigint").alias("n_columns"),
         F.sum(F.col("drifted").cast("int")).cast("bigint").alias("n_drifted"),
         F.max("n_ref").alias("reference_rows"),
         F.max("n_cur").alias("current_rows"),
     ).select(
-        "n_columns", "n_drifted",
+        *g, "n_columns", "n_drifted",
         F.round(F.col("n_drifted") / F.col("n_columns"), 6).alias("drift_score"),
         (F.col("n_drifted") / F.col("n_columns") >= drift_share).alias("drift_detected"),
         "reference_rows", "current_rows",

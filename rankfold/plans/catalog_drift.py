@@ -90,3 +90,91 @@ def q_drift_columns(spark, sf):
 )
 def q_drift_summary(spark, sf):
     return D.drift_summary(drift_table(spark, sf))
+
+
+# ------------------------------------------------------------------ drift reports over time (L7)
+
+
+def drift_reports(spark, sf):
+    """One drift report per calendar month of the held-out (val + test) period against
+    the fixed reference sample: per-report column tests, then the dataset summary."""
+    from pyspark.sql import functions as F  # noqa: PLC0415
+
+    ref, _, cols = reference_and_current(spark, sf)
+    held = P.split(spark, sf).where(F.col("split").isin("val", "test"))
+    month = F.date_format(F.to_date(F.timestamp_seconds("timestamp")), "yyyy-MM-01")
+    cur = held.withColumn("report_month", month)
+    # the report keys: one per month of the held-out period (bounded by its time span)
+    groups = [r[0] for r in cur.select("report_month").distinct().orderBy("report_month").collect()]
+    per_col = D.finalize_small_tests(D.drift_columns(ref, cur, cols, group="report_month", groups=groups))
+    return D.drift_summary(per_col, group="report_month")
+
+
+_LONG_CUR = " UNION ALL ".join(
+    f"SELECT grp, '{c}' AS feature, CAST(\"{c}\" AS DOUBLE) AS value FROM cur" for c in DRIFT_COLUMNS
+)
+_LONG_REF = " UNION ALL ".join(f"SELECT '{c}' AS feature, CAST(\"{c}\" AS DOUBLE) AS value FROM ref" for c in DRIFT_COLUMNS)
+REPORT_SQL = [
+    DRIFT_SQL[0],
+    "cur AS (SELECT *, strftime(CAST(epoch_ms(\"timestamp\" * 1000) AS DATE), '%Y-%m-01') AS grp FROM split "
+    "WHERE split IN ('val', 'test'))",
+    "months AS (SELECT DISTINCT grp FROM cur)",
+    f"href AS (SELECT feature, value, count(*) AS c FROM ({_LONG_REF}) WHERE value IS NOT NULL GROUP BY feature, value)",
+    f"h AS (SELECT grp, feature, value, sum(c_ref) AS c_ref, sum(c_cur) AS c_cur FROM ("
+    f"SELECT m.grp, r.feature, r.value, r.c AS c_ref, 0 AS c_cur FROM href r CROSS JOIN months m "
+    f"UNION ALL SELECT grp, feature, value, 0 AS c_ref, 1 AS c_cur FROM ({_LONG_CUR}) WHERE value IS NOT NULL) "
+    f"GROUP BY grp, feature, value)",
+    "t AS (SELECT grp, feature, sum(c_ref) AS n_ref, sum(c_cur) AS n_cur, sum(CASE WHEN c_ref > 0 THEN 1 ELSE 0 END) "
+    "AS n_unique_ref, sum(c_ref * value) AS s1, sum(c_ref * value * value) AS s2 FROM h GROUP BY grp, feature)",
+    "r AS (SELECT h.*, t.n_ref, t.n_cur, sum(c_ref) OVER w AS cr, sum(c_cur) OVER w AS cc, lead(value) OVER w AS nv "
+    "FROM h JOIN t USING (grp, feature) WINDOW w AS (PARTITION BY grp, feature ORDER BY value))",
+    "st AS (SELECT grp, feature, sum(abs(cr / n_ref - cc / n_cur) * coalesce(nv - value, 0.0)) AS wraw, "
+    "sqrt(greatest(sum(0.5 * CASE WHEN c_ref > 0 THEN (c_ref / n_ref) * ln((c_ref / n_ref) / ((c_ref / n_ref + c_cur / n_cur) / 2)) ELSE 0 END "
+    "+ 0.5 * CASE WHEN c_cur > 0 THEN (c_cur / n_cur) * ln((c_cur / n_cur) / ((c_ref / n_ref + c_cur / n_cur) / 2)) ELSE 0 END), 0.0)) AS js "
+    "FROM r GROUP BY grp, feature)",
+    "dc AS (SELECT st.grp, st.feature, t.n_ref, t.n_cur, t.n_ref > 1000 AS big, t.n_unique_ref > 5 AS numeric, "
+    "st.wraw / greatest(sqrt(greatest(t.s2 / t.n_ref - (t.s1 / t.n_ref) ^ 2, 0.0)), 0.001) AS w, st.js "
+    "FROM st JOIN t USING (grp, feature))",
+    "rep AS (SELECT grp, CAST(count(*) AS BIGINT) AS n_columns, "
+    "CAST(sum(CAST(CASE WHEN big AND numeric THEN w >= 0.1 WHEN big THEN js >= 0.1 END AS INTEGER)) AS BIGINT) AS n_drifted, "
+    "max(n_ref) AS reference_rows, max(n_cur) AS current_rows FROM dc GROUP BY grp)",
+]
+
+
+@register(
+    "drift_reports",
+    S.with_ctes(
+        "SELECT grp AS report_month, n_columns, n_drifted, round(n_drifted / n_columns::DOUBLE, 6) AS drift_score, "
+        "n_drifted / n_columns::DOUBLE >= 0.5 AS drift_detected, reference_rows, current_rows FROM rep",
+        *REPORT_SQL,
+        pipeline=True,
+    ),
+)
+def q_drift_reports(spark, sf):
+    """Time series of drift reports (one per month of the held-out period)."""
+    return drift_reports(spark, sf)
+
+
+@register(
+    "drift_latest",
+    S.with_ctes(
+        "SELECT max(grp) AS report_month, CAST(count(*) AS BIGINT) AS n_reports, "
+        "round(arg_max(n_drifted / n_columns::DOUBLE, grp), 6) AS drift_score, "
+        "arg_max(n_drifted / n_columns::DOUBLE >= 0.5, grp) AS drift_detected, "
+        "CAST(sum(CASE WHEN n_drifted / n_columns::DOUBLE >= 0.5 THEN 1 ELSE 0 END) AS BIGINT) AS n_drift_reports FROM rep",
+        *REPORT_SQL,
+        pipeline=True,
+    ),
+)
+def q_drift_latest(spark, sf):
+    """Latest drift status (score and flag of the newest report) and report counts."""
+    from pyspark.sql import functions as F  # noqa: PLC0415
+
+    r = drift_reports(spark, sf)
+    return r.agg(
+        F.max("report_month").alias("report_month"),
+        F.count(F.lit(1)).cast("bigint").alias("n_reports"),
+        F.max_by("drift_score", "report_month").alias("drift_score"),
+        F.max_by("drift_detected", "report_month").alias("drift_detected"),
+        F.sum(F.col("drift_detected").cast("int")).cast("bigint").alias("n_drift_reports"),
+    )
