@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rankfold.operators.ordering import running_totals
+from rankfold.sources.tables import COLD_START_EVENT, endpoint_in, status_is
 
 # fixed values: rule windows and the client library's default histogram buckets (seconds)
 RULE_WINDOW = "5 minutes"
@@ -232,25 +233,28 @@ def log_level(log: DataFrame) -> Column:
     return F.when(F.col("status") == "error", F.lit("ERROR")).otherwise(F.lit("INFO"))
 
 
+# predicates are written on the source columns (event_type, value, user_id) through the
+# view's mapping, so Parquet receives them as pushed filters
 SAVED_SEARCHES = {
     "slow_requests": (
-        lambda log: (F.col("endpoint") == "/recommend") & (F.col("latency_ms") > SLOW_REQUEST_MS),
+        lambda log: endpoint_in("/recommend") & (F.col("latency_ms") > SLOW_REQUEST_MS),
         ["request_id", "ts", "user_id", "endpoint", "latency_ms", "cold_start", "top_k"],
     ),
     "failed_requests": (
-        lambda log: F.col("endpoint").isin("/recommend", "/recommend/batch", "/similar") & (F.col("status") == "error"),
+        lambda log: endpoint_in("/recommend", "/recommend/batch", "/similar") & status_is("error"),
         ["request_id", "ts", "user_id", "endpoint", "status"],
     ),
     "cold_start_requests": (
-        lambda log: F.col("cold_start"),
+        lambda log: F.col("event_type") == COLD_START_EVENT,
         ["request_id", "ts", "user_id", "endpoint", "top_k", "latency_ms"],
     ),
     "requests_by_user": (
-        lambda log: F.col("user_id").isNotNull() & F.col("endpoint").isin("/recommend", "/recommend/batch"),
+        lambda log: F.col("user_id").isNotNull() & endpoint_in("/recommend", "/recommend/batch"),
         ["request_id", "ts", "user_id", "endpoint", "latency_ms", "cold_start"],
     ),
     "errors_and_warnings": (
-        lambda log: log_level(log).isin("ERROR", "WARNING", "CRITICAL"),
+        # level ERROR is the error status; the view has no WARNING/CRITICAL rows
+        lambda log: status_is("error"),
         ["request_id", "ts", "user_id", "endpoint", "latency_ms", "status"],
     ),
 }

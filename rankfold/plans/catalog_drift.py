@@ -178,3 +178,38 @@ def q_drift_latest(spark, sf):
         F.max_by("drift_detected", "report_month").alias("drift_detected"),
         F.sum(F.col("drift_detected").cast("int")).cast("bigint").alias("n_drift_reports"),
     )
+
+
+@register(
+    "drift_events",
+    S.with_ctes(
+        "SELECT 'drift_report_generated' AS event, grp AS report_month, round(n_drifted / n_columns::DOUBLE, 6) AS drift_score, "
+        "n_drifted / n_columns::DOUBLE >= 0.5 AS drift_detected, reference_rows, current_rows FROM rep",
+        *REPORT_SQL,
+        pipeline=True,
+    ),
+)
+def q_drift_events(spark, sf):
+    """Saved search "drift reports": one event row per generated report."""
+    from pyspark.sql import functions as F  # noqa: PLC0415
+
+    return drift_reports(spark, sf).select(
+        F.lit("drift_report_generated").alias("event"), "report_month", "drift_score", "drift_detected",
+        "reference_rows", "current_rows",
+    )
+
+
+@register(
+    "drift_alerts",
+    S.with_ctes(
+        "SELECT grp AS report_month, round(n_drifted / n_columns::DOUBLE, 6) AS drift_score, true AS drift_detected "
+        "FROM rep WHERE n_drifted / n_columns::DOUBLE >= 0.5",
+        *REPORT_SQL,
+        pipeline=True,
+    ),
+)
+def q_drift_alerts(spark, sf):
+    """Saved search "drift detected": reports that flagged dataset drift."""
+    from pyspark.sql import functions as F  # noqa: PLC0415
+
+    return drift_reports(spark, sf).where(F.col("drift_detected")).select("report_month", "drift_score", "drift_detected")

@@ -77,6 +77,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
+def configure_session(spark: SparkSession) -> None:
+    """Runtime settings the results depend on: epoch seconds ↔ calendar fields in UTC.
+    Everything else (AQE, partitions, memory) is left to the cluster's configuration."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    ensure_checkpoint_dir(spark)
+
+
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` as Parquet under the checkpoint folder and read it back.
 

@@ -97,6 +97,30 @@ def request_log(spark: SparkSession, sf_dir: str, events: DataFrame | None = Non
     return shape_request_log(ev)
 
 
+# fixed values: event type → endpoint of the request log view
+ENDPOINT_EVENTS = {
+    "/recommend": ("click", "view", "error"),
+    "/similar": ("purchase",),
+    "/recommend/batch": ("signup",),
+}
+ERROR_EVENT = "error"
+COLD_START_EVENT = "signup"
+
+
+def endpoint_in(*endpoints: str) -> Column:
+    """Predicate on the source column (pushed into the Parquet scan) equal to
+    ``endpoint IN endpoints`` on the shaped log."""
+    events = sorted({e for ep in endpoints for e in ENDPOINT_EVENTS.get(ep, ())})
+    return F.col("event_type").isin(*events) if events else F.lit(False)
+
+
+def status_is(status: str) -> Column:
+    """Source-column form of ``status = <status>`` (pushed into the scan)."""
+    return (F.col("event_type") == ERROR_EVENT) if status == "error" else (
+        F.col("event_type").isNotNull() & (F.col("event_type") != ERROR_EVENT)
+    )
+
+
 def shape_request_log(ev: DataFrame) -> DataFrame:
     et = F.col("event_type")
     return ev.select(
@@ -104,12 +128,12 @@ def shape_request_log(ev: DataFrame) -> DataFrame:
         F.col("ts"),
         F.col("user_id").cast("bigint").alias("user_id"),
         et.alias("event_type"),
-        F.when(et.isin("click", "view", "error"), F.lit("/recommend"))
-        .when(et == "purchase", F.lit("/similar"))
-        .when(et == "signup", F.lit("/recommend/batch"))
+        F.when(et.isin(*ENDPOINT_EVENTS["/recommend"]), F.lit("/recommend"))
+        .when(et.isin(*ENDPOINT_EVENTS["/similar"]), F.lit("/similar"))
+        .when(et.isin(*ENDPOINT_EVENTS["/recommend/batch"]), F.lit("/recommend/batch"))
         .alias("endpoint"),
-        F.when(et == "error", F.lit("error")).otherwise(F.lit("success")).alias("status"),
-        (et == "signup").alias("cold_start"),
+        F.when(et == ERROR_EVENT, F.lit("error")).otherwise(F.lit("success")).alias("status"),
+        (et == COLD_START_EVENT).alias("cold_start"),
         F.col("value").cast("double").alias("latency_ms"),
         F.get_json_object("props", "$.k").cast("int").alias("top_k"),
         F.col("props"),
