@@ -6,8 +6,11 @@ left rows are hashed into T batches and right rows into C blocks; the pair
 single matrix product scores the batch against the block and only a partial top-k
 per left row leaves the task (k may differ per row, e.g. n + #seen items).  A final
 ``row_number() <= k`` (WindowGroupLimit) merges the C partial lists of each left
-row.  Nothing is collected to the driver; the score matrix is never materialised
-or shuffled.
+row.  The score matrix is never materialised or shuffled.
+
+When the candidate side is small (rows × dim × 8 bytes under
+``BROADCAST_CANDIDATE_BYTES``, checked before use) it is broadcast once instead and
+each left partition is scored with ``mapInPandas``: no replication and no shuffle.
 """
 
 from __future__ import annotations
@@ -21,6 +24,8 @@ from pyspark.sql import functions as F
 
 # rounding applied before ranking so that float summation order cannot swap ties
 RANK_DIGITS = 9
+# candidate matrices up to this size are broadcast instead of block-replicated
+BROADCAST_CANDIDATE_BYTES = 128 * 1024 * 1024
 
 
 def l2_norm(vec: str | Column) -> Column:
@@ -49,6 +54,11 @@ def blocked_top_scores(
     zero-norm left vector gets no list.  Otherwise the plain dot product.
     """
     n_right = right.count()
+    first = right.select(F.size(F.col(right_vec)).alias("d")).first()
+    dim = int(first.d) if first is not None else 0
+    if n_right * max(dim, 1) * 8 <= BROADCAST_CANDIDATE_BYTES:
+        return _broadcast_top_scores(left, right, k, left_key, right_key, left_vec, right_vec, cosine,
+                                     exclude_same_key, block_rows, out_key, out_score)
     n_left = left.count()
     t_parts = max(1, math.ceil(n_left / block_rows))
     c_parts = max(1, math.ceil(n_right / block_rows))
@@ -127,6 +137,67 @@ def blocked_top_scores(
     )
 
 
+def _top_rows(sims: np.ndarray, l_ids, r_ids, ks):
+    """Per row: the ks[i] best candidates by (rounded score desc, id asc)."""
+    key = np.round(sims, RANK_DIGITS)
+    kmax = int(ks.max()) if len(ks) else 0
+    out_l, out_r, out_s, out_k = [], [], [], []
+    if kmax <= 0 or sims.shape[1] == 0:
+        return out_l, out_r, out_s, out_k
+    kmax = min(kmax, sims.shape[1])
+    kth = np.partition(key, sims.shape[1] - kmax, axis=1)[:, sims.shape[1] - kmax]
+    mask = (key >= kth[:, None]) & np.isfinite(sims)
+    for i in range(len(l_ids)):
+        if ks[i] <= 0:
+            continue
+        cand = np.flatnonzero(mask[i])
+        best = cand[np.lexsort((r_ids[cand], -key[i, cand]))][: ks[i]]
+        out_l.extend([l_ids[i]] * len(best))
+        out_r.extend(r_ids[best].tolist())
+        out_s.extend(sims[i, best].tolist())
+        out_k.extend(range(1, len(best) + 1))
+    return out_l, out_r, out_s, out_k
+
+
+def _broadcast_top_scores(left, right, k, left_key, right_key, left_vec, right_vec, cosine,
+                          exclude_same_key, block_rows, out_key, out_score):
+    """Small candidate side (size checked by the caller): one broadcast matrix, each
+    left partition scored batch by batch with ``mapInPandas`` — no shuffle at all."""
+    spark = left.sparkSession
+    rows = right.select(F.col(right_key).cast("long").alias("_r"), F.col(right_vec).alias("_rv")).collect()
+    r_ids = np.array([r._r for r in rows], dtype=np.int64)
+    mat = np.array([r._rv for r in rows], dtype=np.float64) if rows else np.zeros((0, 0))
+    norms = np.linalg.norm(mat, axis=1) if rows else np.zeros(0)
+    bc = spark.sparkContext.broadcast((r_ids, mat, np.where(norms == 0.0, 1.0, norms)))
+    keep = F.col(k) if isinstance(k, str) else F.lit(k)
+    lt = left.select(F.col(left_key).cast("long").alias("_l"), F.col(left_vec).alias("_lv"), keep.cast("int").alias("_k"))
+
+    def score(batches):
+        ids, m, rn = bc.value
+        for pdf in batches:
+            for s0 in range(0, len(pdf), block_rows):
+                part = pdf.iloc[s0:s0 + block_rows]
+                a = np.vstack(part["_lv"].to_numpy()).astype(np.float64) if len(part) else np.zeros((0, m.shape[1]))
+                l_ids = part["_l"].to_numpy()
+                sims = a @ m.T
+                if cosine:
+                    ln = np.linalg.norm(a, axis=1)
+                    valid = ln > 0
+                    sims = sims / (np.where(valid, ln, 1.0)[:, None] * rn[None, :])
+                    sims[~valid, :] = -np.inf
+                if exclude_same_key:
+                    sims = np.where(l_ids[:, None] == ids[None, :], -np.inf, sims)
+                ks = np.minimum(part["_k"].to_numpy(), len(ids))
+                out_l, out_r, out_s, out_k = _top_rows(sims, l_ids, ids, ks)
+                yield pd.DataFrame({"_l": out_l, "_r": out_r, "_s": out_s, "rank": out_k})
+
+    # each left row sees every candidate, so its list and ranks are final: no shuffle
+    scored = lt.mapInPandas(score, "_l long, _r long, _s double, rank int")
+    return scored.select(
+        F.col("_l").alias(left_key), F.col("_r").alias(out_key), F.col("_s").alias(out_score), "rank"
+    )
+
+
 def blocked_topk(
     vectors: DataFrame,
     n: int,

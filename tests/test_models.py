@@ -70,14 +70,18 @@ def test_similar_items_zero_target_has_no_list(spark):
     assert set(out[out.item_idx == 1].neighbor) == {0, 2}
 
 
-def test_blocked_equals_single_block(spark):
+def test_blocked_equals_single_block_and_broadcast(spark, monkeypatch):
     import numpy as np
 
+    from rankfold.operators import vectors
+
     rng = np.random.default_rng(3)
     vecs = spark.createDataFrame([(i, rng.normal(size=8).tolist()) for i in range(60)], "item_idx long, vec array<double>")
-    a = blocked_topk(vecs, 5, block_rows=7).orderBy("item_idx", "rank").select("item_idx", "neighbor").collect()
-    b = blocked_topk(vecs, 5, block_rows=1000).orderBy("item_idx", "rank").select("item_idx", "neighbor").collect()
-    assert a == b
+    broadcast = blocked_topk(vecs, 5).orderBy("item_idx", "rank").select("item_idx", "neighbor", "rank").collect()
+    monkeypatch.setattr(vectors, "BROADCAST_CANDIDATE_BYTES", 0)
+    a = blocked_topk(vecs, 5, block_rows=7).orderBy("item_idx", "rank").select("item_idx", "neighbor", "rank").collect()
+    b = blocked_topk(vecs, 5, block_rows=1000).orderBy("item_idx", "rank").select("item_idx", "neighbor", "rank").collect()
+    assert a == b == broadcast
 
 
 def test_item_feature_rows_sum_to_one(spark):
