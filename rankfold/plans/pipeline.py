@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from rankfold.operators import prep
 from rankfold.plans import sql as S
-from rankfold.session import checkpoint
+from rankfold.session import checkpoint, materialize
 from rankfold.sources import tables
 
 _MEMO: dict[tuple, Any] = {}
@@ -43,8 +43,11 @@ def core(
     min_item: int = S.DEFAULT_MIN_ITEM,
 ) -> prep.KCoreResult:
     def build() -> prep.KCoreResult:
-        res = prep.kcore(ratings(spark, sf_dir), min_user, min_item)
-        return prep.KCoreResult(checkpoint(res.ratings), res.passes)
+        # the ratings view is a fact-table join read twice (edge counts, final filter):
+        # write it once instead of joining twice
+        base = materialize(ratings(spark, sf_dir), "ratings")
+        res = prep.kcore(base, min_user, min_item)
+        return prep.KCoreResult(materialize(res.ratings, "core"), res.passes)
 
     return _memo(spark, sf_dir, ("core", min_user, min_item), build)
 
