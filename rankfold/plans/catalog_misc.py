@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rankfold.functions import TOP_K_MAX, TOP_K_MIN, valid_top_k
+from rankfold.functions import BATCH_MAX, BATCH_MIN, TOP_K_MAX, TOP_K_MIN, valid_batch_size, valid_top_k
 from rankfold.operators import metrics as M
 from rankfold.operators import recommend as R
 from rankfold.plans import pipeline as P
@@ -81,3 +81,24 @@ def q_metric_pivot(spark, sf):
             cells = cell if cells is None else cells.unionByName(cell)
     pivot = cells.groupBy("k").pivot("thr", [str(t) for t in GRID_THRESHOLDS]).agg(F.first("precision"))
     return pivot.select(F.col("k").cast("int").alias("k"), *[r6(F.col(f"`{t}`")).alias(str(t)) for t in GRID_THRESHOLDS])
+
+
+@register(
+    "batch_validation",
+    S.with_ctes(
+        "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS batch_start, CAST(count(*) AS BIGINT) AS n_users, "
+        f"count(*) BETWEEN {BATCH_MIN} AND {BATCH_MAX} AS valid FROM request_log "
+        f"WHERE endpoint = '/recommend/batch' AND status = 'success' AND coalesce(top_k, {S.TOP_K}) BETWEEN 1 AND 500 "
+        "GROUP BY 1"
+    ),
+)
+def q_batch_validation(spark, sf):
+    """Batch requests (one batch per hour of batch-endpoint requests): size and whether it
+    passes the 1..100 user-list bound."""
+    from rankfold.plans.catalog_models import _requests  # noqa: PLC0415
+
+    reqs = _requests(spark, sf, "/recommend/batch")
+    per = reqs.groupBy(F.date_trunc("hour", "ts").alias("batch_start")).agg(
+        F.count(F.lit(1)).cast("bigint").alias("n_users")
+    )
+    return per.withColumn("valid", valid_batch_size("n_users"))

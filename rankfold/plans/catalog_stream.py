@@ -23,3 +23,9 @@ def q_sustained_alerts_stream(spark, sf):
     watermarks, stateful islands per alert): rows-only, since islands still open at the
     end of the input are not emitted."""
     return SL.sustained_alerts_stream(spark, sf)
+
+
+@register("request_records_stream", ORACLES["request_records"])
+def q_request_records_stream(spark, sf):
+    """Per-request access records by a watermarked stream-stream join (equals the batch join)."""
+    return SL.request_records_stream(spark, sf)

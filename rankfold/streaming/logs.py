@@ -181,3 +181,30 @@ def sustained_alerts_stream(spark: SparkSession, sf_dir: str, watermark: str = "
         to_ts(F.col("first_tick") + F.element_at(hold, F.col("alert"))).alias("firing_since"),
         to_ts(F.col("last_tick")).alias("last_true"),
     )
+
+
+# ---------------------------------------------------------------- access ⋈ served records
+
+
+def request_records_stream(spark: SparkSession, sf_dir: str, watermark: str = "10 minutes") -> DataFrame:
+    """Stream–stream inner join of ``request_completed`` and ``recommendation_served``
+    records on request_id, both sides watermarked and the join bounded in event time,
+    so join state is dropped once the watermark passes."""
+    log = event_stream(spark, sf_dir)
+    a = L.access_log(log).select(
+        F.col("request_id").alias("a_request_id"), F.col("ts").alias("a_ts"), "method", "path", "status_code",
+        F.col("latency_ms").alias("total_latency_ms"),
+    ).withWatermark("a_ts", watermark)
+    served = log.where(F.col("status") == "success").select(
+        F.col("request_id").alias("s_request_id"), F.col("ts").alias("s_ts"), "user_id", "top_k", "cold_start",
+        F.coalesce(F.col("top_k"), F.lit(0)).alias("result_count"),
+    ).withWatermark("s_ts", watermark)
+    joined = a.join(
+        served,
+        F.expr("a_request_id = s_request_id AND a_ts BETWEEN s_ts - INTERVAL 1 MINUTE AND s_ts + INTERVAL 1 MINUTE"),
+    )
+    out = joined.select(
+        F.col("a_request_id").alias("request_id"), F.col("a_ts").cast("timestamp_ntz").alias("ts"), "method", "path",
+        "status_code", "total_latency_ms", "user_id", "top_k", "cold_start", "result_count",
+    )
+    return run_to_table(out, "request-records", "append")

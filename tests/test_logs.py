@@ -43,3 +43,14 @@ def test_stream_alerts_are_batch_alerts(spark, small_dir):
     stream = {tuple(r) for r in SL.sustained_alerts_stream(spark, small_dir).collect()}
     assert stream <= batch
     assert len(stream) >= len(batch) - 2
+
+
+def test_daily_sink_partitions_by_date(spark, small_dir):
+    import tempfile
+
+    path = tempfile.mkdtemp(prefix="rankfold-logs-") + "/index"
+    log = tables.request_log(spark, small_dir)
+    L.write_daily(log, path)
+    back = spark.read.parquet(path)
+    assert back.count() == log.count()
+    assert "dt" in back.columns and back.select("dt").distinct().count() == log.select(F.to_date("ts")).distinct().count()
