@@ -95,3 +95,31 @@ def test_item_feature_rows_sum_to_one(spark):
     sums = {r.item_idx: r.s for r in m.groupBy("item_idx").agg(F.sum("weight").alias("s")).collect()}
     assert all(v == pytest.approx(1.0) for v in sums.values())
     assert m.where("item_idx = 0").count() == 3
+
+
+def test_auc_user_scores_matches_brute_force(spark):
+    import numpy as np
+
+    from rankfold.operators.models import auc_user_scores
+
+    rng = np.random.default_rng(11)
+    n_users, n_items, d = 6, 15, 3
+    U = rng.integers(-2, 3, (n_users, d)).astype(float)  # small integers: ties happen
+    V = rng.integers(-2, 3, (n_items, d)).astype(float)
+    train = [(u, int(i)) for u in range(n_users) for i in rng.choice(n_items, 4, replace=False)]
+    test = [(u, int(i)) for u in range(n_users) for i in rng.choice(n_items, 4, replace=False)]
+    uv = spark.createDataFrame([(u, U[u].tolist()) for u in range(n_users)], "user_idx int, vec array<double>")
+    iv = spark.createDataFrame([(i, V[i].tolist()) for i in range(n_items)], "item_idx int, vec array<double>")
+    tr = spark.createDataFrame(train, "user_idx int, item_idx int")
+    te = spark.createDataFrame(test, "user_idx int, item_idx int")
+    got = {r.user_idx: r.auc for r in auc_user_scores(uv, iv, tr, te).collect()}
+    for u in range(n_users):
+        trs = {i for uu, i in train if uu == u}
+        pos = {i for uu, i in test if uu == u} - trs
+        neg = set(range(n_items)) - trs - pos
+        s = V @ U[u]
+        if not pos or not neg:
+            assert u not in got
+            continue
+        wins = sum((s[p] > s[n]) + 0.5 * (s[p] == s[n]) for p in pos for n in neg)
+        assert got[u] == pytest.approx(wins / (len(pos) * len(neg)))
