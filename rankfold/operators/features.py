@@ -94,12 +94,12 @@ def tag_tfidf(tags: DataFrame, item_col: str = "movieId", term_col: str = "tag")
     # term counts feed three consumers (N, document frequency, weights): written once as a
     # table so the tokenisation upstream runs once
     tf = materialize(tags.groupBy(item_col, term_col).agg(F.count(F.lit(1)).alias("tf")), "tfidf-tf")
-    n_docs = tf.agg(F.count_distinct(item_col).alias("_n"), F.lit(1).alias("_one"))
-    df = tf.groupBy(term_col).agg(F.count(F.lit(1)).alias("df"), F.lit(1).alias("_one"))
-    w = tf.join(df.join(n_docs, "_one"), term_col).select(
+    n_docs = tf.select(item_col).distinct().count()  # scalar read from the written table
+    df = tf.groupBy(term_col).agg(F.count(F.lit(1)).alias("df"))
+    w = tf.join(df, term_col).select(
         item_col,
         term_col,
-        (F.col("tf") * (F.log((1.0 + F.col("_n")) / (1.0 + F.col("df"))) + 1.0)).alias("_w"),
+        (F.col("tf") * (F.log((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0)).alias("_w"),
     )
     norms = w.groupBy(item_col).agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_norm"))
     return w.join(norms, item_col).select(item_col, term_col, (F.col("_w") / F.col("_norm")).alias("tfidf"))

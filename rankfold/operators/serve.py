@@ -50,10 +50,10 @@ def popular_fallback(
     """
     counts = seen.select(user_col, item_col).distinct().groupBy(item_col).agg(F.count(F.lit(1)).alias("_cnt"))
     top = counts.orderBy(F.col("_cnt").desc(), F.col(item_col).asc()).limit(size)  # TakeOrderedAndProject
-    max_cnt = counts.agg(F.max("_cnt").alias("_max"), F.lit(1).alias("_one"))
-    ranked = top.withColumn("_one", F.lit(1)).join(F.broadcast(max_cnt), "_one").select(
+    # the overall maximum is the first entry of the top list: windows over <= size rows
+    ranked = top.select(
         item_col,
-        F.round(F.col("_cnt") / F.col("_max"), 6).alias("score"),
+        F.round(F.col("_cnt") / F.max("_cnt").over(Window.partitionBy()), 6).alias("score"),
         # at most `size` rows: a global window over them is bounded
         F.row_number().over(Window.orderBy(F.col("_cnt").desc(), F.col(item_col).asc())).alias("fb_rank"),
     )

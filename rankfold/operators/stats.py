@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankfold.functions import parse_genres
@@ -89,9 +89,10 @@ def genre_ratings(movies: DataFrame, ratings: DataFrame) -> DataFrame:
     per = g.join(r, "movieId", "left").groupBy("genre").agg(
         F.avg("rating").alias("_mean"), F.count("rating").cast("bigint").alias("n")
     )
-    mom = per.agg(F.avg("_mean").alias("_mom"), F.lit(1).alias("_one"))
-    return per.withColumn("_one", F.lit(1)).join(mom, "_one").select(
-        "genre", F.round("_mean", 6).alias("mean_rating"), "n", F.round("_mom", 6).alias("mean_of_means")
+    # one row per genre: a window over the whole (vocabulary-sized) table is bounded
+    mom = F.avg("_mean").over(Window.partitionBy())
+    return per.select(
+        "genre", F.round("_mean", 6).alias("mean_rating"), "n", F.round(mom, 6).alias("mean_of_means")
     )
 
 
