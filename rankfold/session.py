@@ -25,6 +25,8 @@ DEFAULT_CONF = {
     # bounded broadcast: AQE converts a join to broadcast only below this size
     "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
     "spark.sql.adaptive.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
+    # reliable checkpoint files are removed once no DataFrame references them
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.driver.bindAddress": "127.0.0.1",
     "spark.driver.host": "127.0.0.1",
 }
@@ -96,6 +98,17 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def drop_written_tables(spark: SparkSession) -> None:
+    """Delete the Parquet step tables this application wrote with :func:`materialize`.
+    Call only when no DataFrame of the session will read them again."""
+    root = ensure_checkpoint_dir(spark).rstrip("/")
+    jvm = spark.sparkContext._jvm  # noqa: SLF001 - Hadoop filesystem call
+    path = jvm.org.apache.hadoop.fs.Path(f"{root}/tables")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())  # noqa: SLF001
+    if fs.exists(path):
+        fs.delete(path, True)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Materialise ``df`` into the reliable checkpoint folder and cut its lineage."""
     ensure_checkpoint_dir(df.sparkSession)
