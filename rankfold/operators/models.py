@@ -224,22 +224,25 @@ def auc_user_scores(
 
     def score(batches):
         item_ids, m = bc.value
-        index = {int(v): k for k, v in enumerate(item_ids)}
-        cur_user, srow, ssorted = None, None, None
+        order = np.argsort(item_ids)
         for pdf in batches:
-            s_out, below, equal = [], [], []
-            for u, i, uv in zip(pdf[user_col], pdf[item_col], pdf["_uv"], strict=True):
-                if u != cur_user:
-                    cur_user = u
-                    srow = m @ np.asarray(uv, dtype=np.float64)
-                    ssorted = np.sort(srow)
-                s = srow[index[int(i)]]
+            users = pdf[user_col].to_numpy()
+            cols = order[np.searchsorted(item_ids[order], pdf[item_col].to_numpy())]
+            s_out = np.empty(len(pdf))
+            below = np.empty(len(pdf), dtype=np.int64)
+            equal = np.empty(len(pdf), dtype=np.int64)
+            # rows arrive sorted by user: one score row per run of equal users
+            starts = np.flatnonzero(np.r_[True, users[1:] != users[:-1]]) if len(users) else np.array([], int)
+            ends = np.r_[starts[1:], len(users)]
+            for a, b in zip(starts, ends, strict=True):
+                srow = m @ np.asarray(pdf["_uv"].iloc[a], dtype=np.float64)
+                ssorted = np.sort(srow)
+                s = srow[cols[a:b]]
                 lo = np.searchsorted(ssorted, s, side="left")
-                hi = np.searchsorted(ssorted, s, side="right")
-                s_out.append(float(s))
-                below.append(int(lo))
-                equal.append(int(hi - lo))
-            yield pd.DataFrame({user_col: pdf[user_col], "_t": pdf["_t"], "_p": pdf["_p"], "score": s_out,
+                s_out[a:b] = s
+                below[a:b] = lo
+                equal[a:b] = np.searchsorted(ssorted, s, side="right") - lo
+            yield pd.DataFrame({user_col: users, "_t": pdf["_t"], "_p": pdf["_p"], "score": s_out,
                                 "_below": below, "_eq": equal})
 
     scored = ranged.mapInPandas(

@@ -100,25 +100,8 @@ def blocked_top_scores(
         r_ids = rdf["_r"].to_numpy()
         if exclude_same_key:
             sims = np.where(l_ids[:, None] == r_ids[None, :], -np.inf, sims)
-        ks = np.minimum(ldf["_k"].to_numpy(), len(r_ids))
-        key = np.round(sims, RANK_DIGITS)
-        order_all = None
-        rows_l, rows_r, rows_s = [], [], []
-        kmax = int(ks.max()) if len(ks) else 0
-        if kmax <= 0:
-            return pd.DataFrame({"_l": [], "_r": [], "_s": []})
-        # vectorised cut at the kmax-th largest key, exact tie handling afterwards
-        kth = np.partition(key, len(r_ids) - kmax, axis=1)[:, len(r_ids) - kmax]
-        mask = (key >= kth[:, None]) & np.isfinite(sims)
-        for i in range(len(l_ids)):
-            if ks[i] <= 0:
-                continue
-            cand = np.flatnonzero(mask[i])
-            order_all = cand[np.lexsort((r_ids[cand], -key[i, cand]))][: ks[i]]
-            rows_l.extend([l_ids[i]] * len(order_all))
-            rows_r.extend(r_ids[order_all].tolist())
-            rows_s.extend(sims[i, order_all].tolist())
-        return pd.DataFrame({"_l": rows_l, "_r": rows_r, "_s": rows_s})
+        out_l, out_r, out_s, _ = _top_rows(sims, l_ids, r_ids, ldf["_k"].to_numpy())
+        return pd.DataFrame({"_l": out_l, "_r": out_r, "_s": out_s})
 
     partial = (
         lt.groupBy("_tb", "_cb")
@@ -138,19 +121,39 @@ def blocked_top_scores(
 
 
 def _top_rows(sims: np.ndarray, l_ids, r_ids, ks):
-    """Per row: the ks[i] best candidates by (rounded score desc, id asc)."""
+    """Per row: the ks[i] best candidates by (rounded score desc, id asc), with ranks.
+
+    Vectorised: every row takes its kmax best by argpartition and sorts them with one
+    2-D lexsort; only rows whose cut falls inside a tie (more candidates equal to the
+    kmax-th key than fit) are redone exactly, one row at a time.
+    """
+    n_rows, n_cand = sims.shape
+    ks = np.minimum(np.asarray(ks, dtype=np.int64), n_cand)
+    kmax = int(ks.max()) if n_rows else 0
+    if kmax <= 0 or n_cand == 0:
+        return [], [], [], []
     key = np.round(sims, RANK_DIGITS)
-    kmax = int(ks.max()) if len(ks) else 0
+    key = np.where(np.isfinite(sims), key, -np.inf)
+    top = np.argpartition(-key, kmax - 1, axis=1)[:, :kmax]
+    tkey = np.take_along_axis(key, top, axis=1)
+    tid = r_ids[top]
+    order = np.lexsort((tid, -tkey), axis=1)
+    top = np.take_along_axis(top, order, axis=1)
+    tkey = np.take_along_axis(tkey, order, axis=1)
+    kth = tkey[:, kmax - 1]
+    # rows whose kmax-th key is tied with a candidate left outside need the exact path
+    ties_outside = (key == kth[:, None]).sum(axis=1) > (tkey == kth[:, None]).sum(axis=1)
+    take = (np.arange(kmax)[None, :] < ks[:, None]) & np.isfinite(tkey)
     out_l, out_r, out_s, out_k = [], [], [], []
-    if kmax <= 0 or sims.shape[1] == 0:
-        return out_l, out_r, out_s, out_k
-    kmax = min(kmax, sims.shape[1])
-    kth = np.partition(key, sims.shape[1] - kmax, axis=1)[:, sims.shape[1] - kmax]
-    mask = (key >= kth[:, None]) & np.isfinite(sims)
-    for i in range(len(l_ids)):
+    rows, cols = np.nonzero(take & ~ties_outside[:, None])
+    out_l.extend(np.asarray(l_ids)[rows].tolist())
+    out_r.extend(r_ids[top[rows, cols]].tolist())
+    out_s.extend(sims[rows, top[rows, cols]].tolist())
+    out_k.extend((cols + 1).tolist())
+    for i in np.flatnonzero(ties_outside):
         if ks[i] <= 0:
             continue
-        cand = np.flatnonzero(mask[i])
+        cand = np.flatnonzero((key[i] >= kth[i]) & np.isfinite(sims[i]))
         best = cand[np.lexsort((r_ids[cand], -key[i, cand]))][: ks[i]]
         out_l.extend([l_ids[i]] * len(best))
         out_r.extend(r_ids[best].tolist())

@@ -123,3 +123,23 @@ def test_auc_user_scores_matches_brute_force(spark):
             continue
         wins = sum((s[p] > s[n]) + 0.5 * (s[p] == s[n]) for p in pos for n in neg)
         assert got[u] == pytest.approx(wins / (len(pos) * len(neg)))
+
+
+def test_top_rows_matches_sorting_with_ties():
+    import numpy as np
+
+    from rankfold.operators.vectors import _top_rows
+
+    rng = np.random.default_rng(5)
+    sims = rng.integers(0, 4, (50, 30)).astype(float)  # many ties
+    sims[3, :] = -np.inf
+    l_ids = np.arange(50)
+    r_ids = rng.permutation(30) + 100
+    ks = rng.integers(0, 12, 50)
+    got = {}
+    for l, r, _s, k in zip(*_top_rows(sims, l_ids, r_ids, ks), strict=True):
+        got.setdefault(l, []).append((k, r))
+    for i in range(50):
+        cand = [j for j in range(30) if np.isfinite(sims[i, j])]
+        exp = sorted(cand, key=lambda j: (-sims[i, j], r_ids[j]))[: ks[i]]
+        assert [r for _k, r in sorted(got.get(i, []))] == [int(r_ids[j]) for j in exp]
