@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankfold.functions import movie_year, parse_genres
+from rankfold.functions import movie_year, parse_genres, popularity_score
 from rankfold.operators.ordering import dense_index
 
 
@@ -77,7 +77,7 @@ def item_features(train: DataFrame, items: DataFrame, movies: DataFrame, movie_m
             "movie_idx",
             "avg_rating",
             F.coalesce(F.col("_n"), F.lit(0)).cast("bigint").alias("num_ratings"),
-            F.log1p(F.coalesce(F.col("_n"), F.lit(0)).cast("double")).alias("popularity_score"),
+            popularity_score(F.coalesce(F.col("_n"), F.lit(0))).alias("popularity_score"),
             "year",
         )
     )

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from rankfold.operators.ordering import running_totals
 from rankfold.sources.tables import COLD_START_EVENT, endpoint_in, status_is
@@ -292,6 +291,3 @@ def write_daily(log: DataFrame, path: str) -> None:
     """Daily-partitioned Parquet sink of the shaped log."""
     shape_for_sink(log).write.mode("overwrite").partitionBy("dt").parquet(path)
 
-
-def json_lines_schema() -> T.StructType:
-    return T.StructType([T.StructField("k", T.IntegerType()), T.StructField("_corrupt_record", T.StringType())])

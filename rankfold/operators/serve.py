@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankfold.functions import parse_genres, sigmoid_score
-from rankfold.operators.ordering import positions
 
 FALLBACK_SIZE = 100  # fixed value: length of the popular fallback list
 
@@ -126,7 +125,3 @@ def similar_items(
         "rank",
     )
 
-
-def positions_in_request(requests: DataFrame) -> DataFrame:
-    """Stable request order for batch answers (distributed positions, no single partition)."""
-    return positions(requests, ["request_id"], out="pos")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankfold.functions import parse_genres
+from rankfold.functions import parse_genres, title_truncate
 from rankfold.operators.ordering import positions, running_totals
 from rankfold.operators.prep import kcore, sparsity_expr
 
@@ -68,7 +68,7 @@ def top_items(ratings: DataFrame, movies: DataFrame, n: int = 20, width: int = 3
     counts = ratings.groupBy("movieId").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
     top = counts.orderBy(F.col("n").desc(), F.col("movieId").asc()).limit(n)
     return top.join(movies.select("movieId", "title"), "movieId", "left").select(
-        "movieId", "n", "title", F.substring("title", 1, width).alias("short_title")
+        "movieId", "n", "title", title_truncate("title", width).alias("short_title")
     )
 
 
