@@ -81,8 +81,9 @@ def windowed_counts_stream(log: DataFrame, watermark: str | None = None) -> Data
     )
 
 
-def request_rate_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = run_to_table(windowed_counts_stream(event_stream(spark, sf_dir)), "request-rate", "complete")
+def request_rate_stream(spark: SparkSession, sf_dir: str, max_files_per_trigger: int | None = None) -> DataFrame:
+    counts = run_to_table(windowed_counts_stream(event_stream(spark, sf_dir, max_files_per_trigger)),
+                          "request-rate", "complete")
     return counts.select(
         "window_start", "window_end", "requests",
         F.round(F.col("requests") / F.lit(float(L.RULE_WINDOW_SECONDS)), 6).alias("rate_per_s"),
