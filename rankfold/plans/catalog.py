@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from rankfold.operators import metrics as M
 from rankfold.operators import prep
 from rankfold.operators import recommend as R
-from rankfold.plans import pipeline as P
+from rankfold.plans import stages as P
 from rankfold.plans import sql as S
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,7 +41,7 @@ def r6(c) -> F.Column:
 
 @register(
     "cold_start_filter",
-    S.with_ctes('SELECT userId, movieId, rating, "timestamp" FROM kc_core', pipeline=True),
+    S.with_ctes('SELECT userId, movieId, rating, "timestamp" FROM kc_core', prepared=True),
 )
 def q_cold_start_filter(spark, sf):
     return P.core(spark, sf).ratings.select("userId", "movieId", "rating", "timestamp")
@@ -65,7 +65,7 @@ def q_cold_start_filter_deep(spark, sf):
     S.with_ctes(
         "SELECT 'user' AS kind, original_id, encoded_id FROM user_map "
         "UNION ALL SELECT 'movie' AS kind, original_id, encoded_id FROM movie_map",
-        pipeline=True,
+        prepared=True,
     ),
 )
 def q_id_map(spark, sf):
@@ -77,7 +77,7 @@ def q_id_map(spark, sf):
 
 @register(
     "encode_ids",
-    S.with_ctes('SELECT rating, "timestamp", user_idx, movie_idx FROM encoded', pipeline=True),
+    S.with_ctes('SELECT rating, "timestamp", user_idx, movie_idx FROM encoded', prepared=True),
 )
 def q_encode_ids(spark, sf):
     return P.encoded(spark, sf).ratings.select("rating", "timestamp", "user_idx", "movie_idx")
@@ -85,7 +85,7 @@ def q_encode_ids(spark, sf):
 
 @register(
     "temporal_split",
-    S.with_ctes('SELECT rating, "timestamp", user_idx, movie_idx, split FROM split', pipeline=True),
+    S.with_ctes('SELECT rating, "timestamp", user_idx, movie_idx, split FROM split', prepared=True),
 )
 def q_temporal_split(spark, sf):
     return P.split(spark, sf).select("rating", "timestamp", "user_idx", "movie_idx", "split")
@@ -103,7 +103,7 @@ def q_temporal_split(spark, sf):
                         ELSE 1.0 - count(*) / (count(DISTINCT user_idx) * count(DISTINCT movie_idx))::DOUBLE END, 6)
                     AS sparsity
            FROM split""",
-        pipeline=True,
+        prepared=True,
     ),
 )
 def q_split_stats(spark, sf):
@@ -150,7 +150,7 @@ def popular_recs(spark: SparkSession, sf: str, n: int = S.TOP_K) -> DataFrame:
     S.with_ctes(
         "SELECT user_idx, movie_idx, round(score, 6) AS score, CAST(rank AS BIGINT) AS rank FROM pop_recs",
         *POP_CTES,
-        pipeline=True,
+        prepared=True,
     ),
 )
 def q_recommend_popular(spark, sf):
@@ -190,7 +190,7 @@ EVAL_CTES = [
         "round(ndcg, 6) AS ndcg, round(hit, 6) AS hit, round(rr, 6) AS rr FROM per_user",
         *POP_CTES,
         *EVAL_CTES,
-        pipeline=True,
+        prepared=True,
     ),
 )
 def q_ranking_metrics_per_user(spark, sf):
@@ -216,7 +216,7 @@ def q_ranking_metrics_per_user(spark, sf):
            FROM per_user""",
         *POP_CTES,
         *EVAL_CTES,
-        pipeline=True,
+        prepared=True,
     ),
 )
 def q_evaluate_model(spark, sf):

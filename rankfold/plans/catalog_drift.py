@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from rankfold.operators import drift as D
 from rankfold.operators import prep
-from rankfold.plans import pipeline as P
+from rankfold.plans import stages as P
 from rankfold.plans import sql as S
 from rankfold.plans.catalog import register
 
@@ -70,7 +70,7 @@ DRIFT_SQL = [
     S.with_ctes(
         "SELECT feature, n_ref, n_cur, n_unique_ref, stattest, statistic, ks_statistic, dof, threshold, drifted FROM drift",
         *DRIFT_SQL,
-        pipeline=True,
+        prepared=True,
     ),
 )
 def q_drift_columns(spark, sf):
@@ -85,7 +85,7 @@ def q_drift_columns(spark, sf):
         "sum(CAST(drifted AS INTEGER)) / count(*)::DOUBLE >= 0.5 AS drift_detected, "
         "max(n_ref) AS reference_rows, max(n_cur) AS current_rows FROM drift",
         *DRIFT_SQL,
-        pipeline=True,
+        prepared=True,
     ),
 )
 def q_drift_summary(spark, sf):
@@ -147,7 +147,7 @@ REPORT_SQL = [
         "SELECT grp AS report_month, n_columns, n_drifted, round(n_drifted / n_columns::DOUBLE, 6) AS drift_score, "
         "n_drifted / n_columns::DOUBLE >= 0.5 AS drift_detected, reference_rows, current_rows FROM rep",
         *REPORT_SQL,
-        pipeline=True,
+        prepared=True,
     ),
 )
 def q_drift_reports(spark, sf):
@@ -163,7 +163,7 @@ def q_drift_reports(spark, sf):
         "arg_max(n_drifted / n_columns::DOUBLE >= 0.5, grp) AS drift_detected, "
         "CAST(sum(CASE WHEN n_drifted / n_columns::DOUBLE >= 0.5 THEN 1 ELSE 0 END) AS BIGINT) AS n_drift_reports FROM rep",
         *REPORT_SQL,
-        pipeline=True,
+        prepared=True,
     ),
 )
 def q_drift_latest(spark, sf):
@@ -186,7 +186,7 @@ def q_drift_latest(spark, sf):
         "SELECT 'drift_report_generated' AS event, grp AS report_month, round(n_drifted / n_columns::DOUBLE, 6) AS drift_score, "
         "n_drifted / n_columns::DOUBLE >= 0.5 AS drift_detected, reference_rows, current_rows FROM rep",
         *REPORT_SQL,
-        pipeline=True,
+        prepared=True,
     ),
 )
 def q_drift_events(spark, sf):
@@ -205,7 +205,7 @@ def q_drift_events(spark, sf):
         "SELECT grp AS report_month, round(n_drifted / n_columns::DOUBLE, 6) AS drift_score, true AS drift_detected "
         "FROM rep WHERE n_drifted / n_columns::DOUBLE >= 0.5",
         *REPORT_SQL,
-        pipeline=True,
+        prepared=True,
     ),
 )
 def q_drift_alerts(spark, sf):

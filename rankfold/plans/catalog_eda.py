@@ -8,7 +8,7 @@ from rankfold import functions as fn
 from rankfold.operators import features as FE
 from rankfold.operators import prep
 from rankfold.operators import stats as ST
-from rankfold.plans import pipeline as P
+from rankfold.plans import stages as P
 from rankfold.plans import sql as S
 from rankfold.plans.catalog import r6, register
 from rankfold.sources import tables
@@ -97,7 +97,7 @@ def q_epoch_parts(spark, sf):
 @register(
     "relevant_items",
     S.with_ctes(
-        f"SELECT DISTINCT user_idx, movie_idx FROM test WHERE rating >= {S.EVAL_THRESHOLD!r}e0", pipeline=True
+        f"SELECT DISTINCT user_idx, movie_idx FROM test WHERE rating >= {S.EVAL_THRESHOLD!r}e0", prepared=True
     ),
 )
 def q_relevant_items(spark, sf):
@@ -111,7 +111,7 @@ def q_relevant_items(spark, sf):
     S.with_ctes(
         f"SELECT user_idx, movie_idx, max(rating) AS explicit, "
         f"CAST(max(rating) >= {S.IMPLICIT_THRESHOLD!r}e0 AS INTEGER) AS implicit FROM train GROUP BY user_idx, movie_idx",
-        pipeline=True,
+        prepared=True,
     ),
 )
 def q_implicit_interactions(spark, sf):
@@ -126,7 +126,7 @@ def q_implicit_interactions(spark, sf):
     S.with_ctes(
         "SELECT m.movieId, m.title, m.genres, mm.encoded_id AS movie_idx "
         "FROM movies m JOIN movie_map mm ON m.movieId = mm.original_id",
-        pipeline=True,
+        prepared=True,
     ),
 )
 def q_surviving_movies(spark, sf):
@@ -142,7 +142,7 @@ def q_surviving_movies(spark, sf):
     S.with_ctes(
         'SELECT userId, movieId, tag, "timestamp" FROM tags '
         "WHERE movieId IN (SELECT original_id FROM movie_map) AND userId IN (SELECT original_id FROM user_map)",
-        pipeline=True,
+        prepared=True,
     ),
 )
 def q_surviving_tags(spark, sf):
@@ -321,7 +321,7 @@ def q_threshold_sweep(spark, sf):
         "SELECT 'user' AS kind, user_idx AS idx, CAST(count(*) AS BIGINT) AS nnz FROM implicit_train GROUP BY user_idx "
         "UNION ALL SELECT 'item' AS kind, movie_idx AS idx, CAST(count(*) AS BIGINT) AS nnz FROM implicit_train "
         "GROUP BY movie_idx",
-        pipeline=True,
+        prepared=True,
     ),
 )
 def q_interaction_nnz(spark, sf):
@@ -335,7 +335,7 @@ def q_interaction_nnz(spark, sf):
         "pop AS (SELECT m.encoded_id AS movie_idx, CAST(coalesce(c.pop, 0) AS BIGINT) AS pop FROM movie_map m "
         "LEFT JOIN (SELECT movie_idx, count(*) AS pop FROM implicit_train GROUP BY movie_idx) c "
         "ON c.movie_idx = m.encoded_id)",
-        pipeline=True,
+        prepared=True,
     ),
 )
 def q_item_popularity(spark, sf):
@@ -357,7 +357,7 @@ UF_SQL = "uf AS (SELECT user_idx, avg(rating) AS avg_rating, CAST(count(*) AS BI
     S.with_ctes(
         "SELECT user_idx, round(avg_rating, 6) AS avg_rating, num_ratings, round(rating_std, 6) AS rating_std FROM uf",
         UF_SQL,
-        pipeline=True,
+        prepared=True,
     ),
 )
 def q_user_features(spark, sf):
@@ -381,7 +381,7 @@ def _prefs(spark, sf):
 
 @register(
     "user_genre_pref",
-    S.with_ctes("SELECT user_idx, genre, round(pref, 6) AS pref FROM pref", ITEM_GENRES, PREF_SQL, pipeline=True),
+    S.with_ctes("SELECT user_idx, genre, round(pref, 6) AS pref FROM pref", ITEM_GENRES, PREF_SQL, prepared=True),
 )
 def q_user_genre_pref(spark, sf):
     return _prefs(spark, sf).select("user_idx", "genre", r6("pref").alias("pref"))
@@ -394,7 +394,7 @@ def q_user_genre_pref(spark, sf):
         "FROM pref GROUP BY genre",
         ITEM_GENRES,
         PREF_SQL,
-        pipeline=True,
+        prepared=True,
     ),
 )
 def q_mean_genre_pref(spark, sf):
@@ -421,7 +421,7 @@ def _item_features(spark, sf):
     S.with_ctes(
         "SELECT movie_idx, round(avg_rating, 6) AS avg_rating, num_ratings, round(popularity_score, 6) AS popularity_score, year FROM itf",
         IF_SQL,
-        pipeline=True,
+        prepared=True,
     ),
 )
 def q_item_features(spark, sf):
@@ -433,7 +433,7 @@ def q_item_features(spark, sf):
 
 @register(
     "item_genre_multihot",
-    S.with_ctes("SELECT DISTINCT movie_idx, genre, 1 AS flag FROM item_genres", ITEM_GENRES, pipeline=True),
+    S.with_ctes("SELECT DISTINCT movie_idx, genre, 1 AS flag FROM item_genres", ITEM_GENRES, prepared=True),
 )
 def q_item_genre_multihot(spark, sf):
     enc = P.encoded(spark, sf)
@@ -462,7 +462,7 @@ _STATS = {
             for s, e in _STATS.items()
         ),
         UF_SQL,
-        pipeline=True,
+        prepared=True,
     ),
 )
 def q_describe_features(spark, sf):
@@ -484,7 +484,7 @@ CORR_COLS = ["avg_rating", "num_ratings", "popularity_score", "year"]
         "clean AS (SELECT CAST(avg_rating AS DOUBLE) AS avg_rating, CAST(num_ratings AS DOUBLE) AS num_ratings, "
         "CAST(popularity_score AS DOUBLE) AS popularity_score, CAST(year AS DOUBLE) AS year FROM itf "
         "WHERE avg_rating IS NOT NULL AND year IS NOT NULL)",
-        pipeline=True,
+        prepared=True,
     ),
 )
 def q_feature_correlation(spark, sf):
@@ -507,7 +507,7 @@ TFIDF_SQL = [
         "SELECT w.movieId, w.tag, round(w.w / n.norm, 6) AS tfidf FROM w JOIN "
         "(SELECT movieId, sqrt(sum(w * w)) AS norm FROM w GROUP BY movieId) n ON n.movieId = w.movieId",
         *TFIDF_SQL,
-        pipeline=True,
+        prepared=True,
     ),
 )
 def q_tag_tfidf(spark, sf):
@@ -524,7 +524,7 @@ def q_tag_tfidf(spark, sf):
         "FROM implicit_train x JOIN (SELECT user_idx, count(*) AS rs FROM implicit_train GROUP BY user_idx) r "
         "ON r.user_idx = x.user_idx JOIN (SELECT movie_idx, count(*) AS df FROM implicit_train GROUP BY movie_idx) c "
         "ON c.movie_idx = x.movie_idx",
-        pipeline=True,
+        prepared=True,
     ),
 )
 def q_bm25_weight(spark, sf):
@@ -556,7 +556,7 @@ def q_random_split(spark, sf):
         'SELECT rating, "timestamp", user_idx, movie_idx FROM train ORDER BY '
         "CAST(('0x' || substr(md5(concat_ws('|', '42', CAST(user_idx AS VARCHAR), CAST(movie_idx AS VARCHAR), "
         "CAST(\"timestamp\" AS VARCHAR))), 1, 8)) AS BIGINT), user_idx, movie_idx, \"timestamp\", rating LIMIT 10000",
-        pipeline=True,
+        prepared=True,
     ),
 )
 def q_reference_sample(spark, sf):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from rankfold.functions import BATCH_MAX, BATCH_MIN, TOP_K_MAX, TOP_K_MIN, valid_batch_size, valid_top_k
 from rankfold.operators import metrics as M
 from rankfold.operators import recommend as R
-from rankfold.plans import pipeline as P
+from rankfold.plans import stages as P
 from rankfold.plans import sql as S
 from rankfold.plans.catalog import POP_CTES, r6, register
 from rankfold.sources import tables
@@ -56,7 +56,7 @@ def _grid_sql() -> str:
         f"SELECT CAST(k AS INTEGER) AS k, {cols} FROM ({' UNION ALL '.join(cells)}) GROUP BY k",
         *POP_CTES[:3],
         pop_n,
-        pipeline=True,
+        prepared=True,
     )
 
 

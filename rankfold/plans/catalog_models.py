@@ -8,7 +8,7 @@ from rankfold.functions import sigmoid_score, valid_top_k
 from rankfold.operators import metrics as M
 from rankfold.operators import recommend as R
 from rankfold.operators import serve as SV
-from rankfold.plans import pipeline as P
+from rankfold.plans import stages as P
 from rankfold.plans import sql as S
 from rankfold.plans.catalog import POP_CTES, popular_recs, r6, register
 from rankfold.plans.catalog_eda import GL
@@ -56,7 +56,7 @@ def random_recs(spark, sf):
     S.with_ctes(
         f"SELECT user_idx, movie_idx, round(1.0 / {S.TOP_K}, 6) AS score, CAST(rank AS BIGINT) AS rank FROM rand_recs",
         *RANDOM_SQL,
-        pipeline=True,
+        prepared=True,
     ),
 )
 def q_recommend_random(spark, sf):
@@ -70,7 +70,7 @@ def _evaluate_random_sql() -> str:
 
     body = ORACLES["evaluate_model"].split("\nSELECT round(coalesce(avg(precision)", 1)[1]
     body = "SELECT round(coalesce(avg(precision)" + body.replace("pop_recs", "rand_recs")
-    return S.with_ctes(body, *RANDOM_SQL, *[c.replace("pop_recs", "rand_recs") for c in EVAL_CTES], pipeline=True)
+    return S.with_ctes(body, *RANDOM_SQL, *[c.replace("pop_recs", "rand_recs") for c in EVAL_CTES], prepared=True)
 
 
 @register("evaluate_random", _evaluate_random_sql())
@@ -85,7 +85,7 @@ def q_evaluate_random(spark, sf):
     S.with_ctes(
         "SELECT round(count(DISTINCT movie_idx) / (SELECT n FROM n_items)::DOUBLE, 6) AS coverage FROM rand_recs",
         *RANDOM_SQL,
-        pipeline=True,
+        prepared=True,
     ),
 )
 def q_coverage(spark, sf):
@@ -177,7 +177,7 @@ def fallback(spark, sf):
     S.with_ctes(
         "SELECT CAST(fb_rank AS INTEGER) AS fb_rank, movie_id, title, score, genres FROM fallback",
         *FALLBACK_SQL,
-        pipeline=True,
+        prepared=True,
     ),
 )
 def q_popular_items(spark, sf):
@@ -192,7 +192,7 @@ def q_popular_items(spark, sf):
     S.with_ctes(
         f"SELECT CAST(fb_rank AS INTEGER) AS fb_rank, movie_id, title, score FROM fallback WHERE fb_rank <= {S.TOP_K}",
         *FALLBACK_SQL,
-        pipeline=True,
+        prepared=True,
     ),
 )
 def q_get_popular(spark, sf):
@@ -211,7 +211,7 @@ ENRICH_SQL = (
 )
 
 
-@register("enrich_recs", S.with_ctes(ENRICH_SQL, *POP_CTES, pipeline=True))
+@register("enrich_recs", S.with_ctes(ENRICH_SQL, *POP_CTES, prepared=True))
 def q_enrich_recs(spark, sf):
     """Top-10 popular unseen items per user with original id, title, genres and the
     service's sigmoid score format."""
@@ -290,7 +290,7 @@ def _answer_sql(endpoint: str, select_extra: str = "", extra_ctes: tuple = ()) -
     S.with_ctes(
         "SELECT * FROM warm UNION ALL SELECT * FROM cold",
         *_answer_sql("/recommend"),
-        pipeline=True,
+        prepared=True,
     ),
 )
 def q_recommend_all(spark, sf):
@@ -306,7 +306,7 @@ def q_recommend_all(spark, sf):
     S.with_ctes(
         "SELECT request_id, user_id, user_idx IS NULL AS cold_start FROM routed",
         *_answer_sql("/recommend"),
-        pipeline=True,
+        prepared=True,
     ),
 )
 def q_cold_start_route(spark, sf):
@@ -325,7 +325,7 @@ def q_cold_start_route(spark, sf):
         " CAST(row_number() OVER (PARTITION BY time_bucket(INTERVAL 1 HOUR, ts) ORDER BY ts, request_id) AS BIGINT) AS pos "
         " FROM reqs) b ON b.request_id = a.request_id WHERE a.rank <= 10",
         *_answer_sql("/recommend/batch"),
-        pipeline=True,
+        prepared=True,
     ),
 )
 def q_batch_recommend(spark, sf):
@@ -349,7 +349,7 @@ def q_batch_recommend(spark, sf):
     S.with_ctes(
         "SELECT user_idx, movie_idx, round(1.0 / (1.0 + exp(-score)), 4) AS score_fmt FROM pop_recs",
         *POP_CTES,
-        pipeline=True,
+        prepared=True,
     ),
 )
 def q_score_format(spark, sf):

@@ -2,7 +2,7 @@
 
 Each oracle query is ``WITH <views and stages> <query>``; DuckDB inlines or
 materialises only the CTEs a query references.  The definitions mirror
-``rankfold.sources.tables`` and ``rankfold.plans.pipeline`` one to one.
+``rankfold.sources.tables`` and ``rankfold.plans.stages`` one to one.
 """
 
 from __future__ import annotations
@@ -79,7 +79,7 @@ def kcore_ctes(prefix: str, source: str, min_user: int, min_item: int, passes: i
     return ctes
 
 
-PIPELINE_CTES = [
+PREP_CTES = [
     *kcore_ctes("kc", "ratings", DEFAULT_MIN_USER, DEFAULT_MIN_ITEM),
     """user_map AS MATERIALIZED (
   SELECT userId AS original_id, CAST(row_number() OVER (ORDER BY userId) - 1 AS INTEGER) AS encoded_id
@@ -108,9 +108,9 @@ PIPELINE_CTES = [
 ]
 
 
-def with_ctes(body: str, *extra: str, pipeline: bool = False) -> str:
+def with_ctes(body: str, *extra: str, prepared: bool = False) -> str:
     ctes = list(BASE_VIEWS.values())
-    if pipeline:
-        ctes += PIPELINE_CTES
+    if prepared:
+        ctes += PREP_CTES
     ctes += list(extra)
     return "WITH " + ",\n".join(ctes) + "\n" + body
