@@ -43,10 +43,9 @@ def core(
     min_item: int = S.DEFAULT_MIN_ITEM,
 ) -> prep.KCoreResult:
     def build() -> prep.KCoreResult:
-        # the ratings view is a fact-table join read twice (edge counts, final filter):
-        # write it once instead of joining twice
-        base = materialize(ratings(spark, sf_dir), "ratings")
-        res = prep.kcore(base, min_user, min_item)
+        # the ratings view (a fact-table join) is read twice: for the edge counts and for
+        # the final filter; recomputing the join measured cheaper than writing it here
+        res = prep.kcore(ratings(spark, sf_dir), min_user, min_item)
         return prep.KCoreResult(materialize(res.ratings, "core"), res.passes)
 
     return _memo(spark, sf_dir, ("core", min_user, min_item), build)
