@@ -186,32 +186,37 @@ def auc_user_scores(
     user_col: str = "user_idx",
     item_col: str = "item_idx",
     max_broadcast_bytes: int = 128 * 1024 * 1024,
+    block_rows: int = 4096,
 ) -> DataFrame:
     """Per-user AUC for user-specific dot-product scores (hybrid / ALS models).
 
     Candidates of a user = all items minus its train items; positives = its test items
-    not in train; ties count one half.  Rows (user, item) of train ∪ positives are
-    range-partitioned by (user, item); each task scores each of its users once against
-    the broadcast item matrix (size checked) and reads, for every row, how many catalogue
-    items score below / equal to it (binary search on the sorted score row).  The user's
-    own train and positive items below each score come from distributed running sums.
-    No (user, item) pair outside train ∪ positives is ever formed.
+    not in train; scores are compared after rounding to 9 places and ties count one half.
+    For every row (user, item) of train ∪ positives we need how many catalogue items score
+    below / equal to it for that user:
+
+    * item matrix under ``max_broadcast_bytes`` (checked): rows range-partitioned by
+      (user, item), each task scores each of its users once against the broadcast matrix
+      and binary-searches the sorted score row;
+    * otherwise: distinct (user, score) queries and the items are hashed into batches and
+      blocks, one cogroup per (batch, block) counts the block's items below / equal to each
+      query, and the partial counts are summed per query.
+
+    The user's own train and positive items below each score come from distributed
+    running sums.  No (user, item) pair outside train ∪ positives is ever formed.
     """
+    import math  # noqa: PLC0415
+
     import numpy as np  # noqa: PLC0415
     import pandas as pd  # noqa: PLC0415
 
     from rankfold.operators.ordering import running_totals  # noqa: PLC0415
+    from rankfold.operators.vectors import RANK_DIGITS  # noqa: PLC0415
 
     spark = user_vecs.sparkSession
     first = item_vecs.select(F.size("vec").alias("d")).first()
     dim = int(first.d) if first is not None else 0
     n_items_rows = item_vecs.count()
-    if n_items_rows * max(dim, 1) * 8 > max_broadcast_bytes:
-        raise ValueError("item matrix too large to broadcast for per-user AUC")
-    rows = item_vecs.select(F.col(item_col).cast("long").alias("i"), "vec").orderBy("i").collect()
-    ids = np.array([r.i for r in rows], dtype=np.int64)
-    mat = np.array([r.vec for r in rows], dtype=np.float64)
-    bc = spark.sparkContext.broadcast((ids, mat))
 
     pos = test_pairs.select(user_col, item_col).distinct().join(
         train_pairs.select(user_col, item_col), [user_col, item_col], "left_anti"
@@ -220,38 +225,86 @@ def auc_user_scores(
     marked = tr.select(user_col, item_col, F.lit(1).alias("_t"), F.lit(0).alias("_p")).unionByName(
         pos.select(user_col, item_col, F.lit(0).alias("_t"), F.lit(1).alias("_p"))
     ).join(user_vecs.select(user_col, F.col("vec").alias("_uv")), user_col)
-    ranged = marked.repartitionByRange(user_col, item_col).sortWithinPartitions(user_col, item_col)
-
-    def score(batches):
-        item_ids, m = bc.value
-        order = np.argsort(item_ids)
-        for pdf in batches:
-            users = pdf[user_col].to_numpy()
-            cols = order[np.searchsorted(item_ids[order], pdf[item_col].to_numpy())]
-            s_out = np.empty(len(pdf))
-            below = np.empty(len(pdf), dtype=np.int64)
-            equal = np.empty(len(pdf), dtype=np.int64)
-            # rows arrive sorted by user: one score row per run of equal users
-            starts = np.flatnonzero(np.r_[True, users[1:] != users[:-1]]) if len(users) else np.array([], int)
-            ends = np.r_[starts[1:], len(users)]
-            for a, b in zip(starts, ends, strict=True):
-                srow = m @ np.asarray(pdf["_uv"].iloc[a], dtype=np.float64)
-                ssorted = np.sort(srow)
-                s = srow[cols[a:b]]
-                lo = np.searchsorted(ssorted, s, side="left")
-                s_out[a:b] = s
-                below[a:b] = lo
-                equal[a:b] = np.searchsorted(ssorted, s, side="right") - lo
-            yield pd.DataFrame({user_col: users, "_t": pdf["_t"], "_p": pdf["_p"], "score": s_out,
-                                "_below": below, "_eq": equal})
-
-    scored = ranged.mapInPandas(
-        score, f"{user_col} long, _t int, _p int, score double, _below long, _eq long"
-    )
-    per_score = scored.groupBy(user_col, "score").agg(
-        F.sum("_t").alias("_te"), F.sum("_p").alias("_pe"), F.first("_below").alias("_below"),
-        F.first("_eq").alias("_eq"),
-    )
+
+    if n_items_rows * max(dim, 1) * 8 <= max_broadcast_bytes:
+        rows = item_vecs.select(F.col(item_col).cast("long").alias("i"), "vec").orderBy("i").collect()
+        ids = np.array([r.i for r in rows], dtype=np.int64)
+        mat = np.array([r.vec for r in rows], dtype=np.float64)
+        bc = spark.sparkContext.broadcast((ids, mat))
+        ranged = marked.repartitionByRange(user_col, item_col).sortWithinPartitions(user_col, item_col)
+
+        def score(batches):
+            item_ids, m = bc.value
+            order = np.argsort(item_ids)
+            for pdf in batches:
+                users = pdf[user_col].to_numpy()
+                cols = order[np.searchsorted(item_ids[order], pdf[item_col].to_numpy())]
+                s_out = np.empty(len(pdf))
+                below = np.empty(len(pdf), dtype=np.int64)
+                equal = np.empty(len(pdf), dtype=np.int64)
+                # rows arrive sorted by user: one score row per run of equal users
+                starts = np.flatnonzero(np.r_[True, users[1:] != users[:-1]]) if len(users) else np.array([], int)
+                ends = np.r_[starts[1:], len(users)]
+                for a, b in zip(starts, ends, strict=True):
+                    srow = np.round(m @ np.asarray(pdf["_uv"].iloc[a], dtype=np.float64), RANK_DIGITS)
+                    ssorted = np.sort(srow)
+                    sv = srow[cols[a:b]]
+                    lo = np.searchsorted(ssorted, sv, side="left")
+                    s_out[a:b] = sv
+                    below[a:b] = lo
+                    equal[a:b] = np.searchsorted(ssorted, sv, side="right") - lo
+                yield pd.DataFrame({user_col: users, "_t": pdf["_t"], "_p": pdf["_p"], "score": s_out,
+                                    "_below": below, "_eq": equal})
+
+        scored = ranged.mapInPandas(score, f"{user_col} long, _t int, _p int, score double, _below long, _eq long")
+        per_score = scored.groupBy(user_col, "score").agg(
+            F.sum("_t").alias("_te"), F.sum("_p").alias("_pe"), F.first("_below").alias("_below"),
+            F.first("_eq").alias("_eq"),
+        )
+    else:
+        # scores of the rows themselves, then catalogue counts per distinct (user, score)
+        iv = item_vecs.select(F.col(item_col).alias(item_col), F.col("vec").alias("_iv"))
+        dot = F.aggregate(F.zip_with("_uv", "_iv", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0),
+                          lambda acc, x: acc + x)
+        rows = marked.join(iv, item_col).select(user_col, "_t", "_p", "_uv", F.round(dot, RANK_DIGITS).alias("score"))
+        per_score = rows.groupBy(user_col, "score").agg(
+            F.sum("_t").alias("_te"), F.sum("_p").alias("_pe"), F.first("_uv").alias("_uv")
+        )
+        n_q = per_score.count()
+        t_parts = max(1, math.ceil(n_q / block_rows))
+        c_parts = max(1, math.ceil(n_items_rows / block_rows))
+        q = per_score.select(
+            F.col(user_col).cast("long").alias("_u"), "score", "_uv",
+            F.pmod(F.xxhash64(user_col, "score"), F.lit(t_parts)).alias("_tb"),
+            F.explode(F.sequence(F.lit(0), F.lit(c_parts - 1))).alias("_cb"),
+        )
+        it = item_vecs.select(F.col(item_col).cast("long").alias("_i"), F.col("vec").alias("_v")).select(
+            "*", F.pmod(F.xxhash64("_i"), F.lit(c_parts)).alias("_cb"),
+            F.explode(F.sequence(F.lit(0), F.lit(t_parts - 1))).alias("_tb"),
+        )
+
+        def count_block(qdf: pd.DataFrame, idf: pd.DataFrame) -> pd.DataFrame:
+            if qdf.empty:
+                return pd.DataFrame({"_u": [], "score": [], "_below": [], "_eq": []})
+            if idf.empty:
+                return pd.DataFrame({"_u": qdf["_u"], "score": qdf["score"], "_below": 0, "_eq": 0})
+            m = np.vstack(idf["_v"].to_numpy()).astype(np.float64)
+            u = np.vstack(qdf["_uv"].to_numpy()).astype(np.float64)
+            # one block of scores per query row: at most block_rows x block_rows values
+            blk = np.sort(np.round(u @ m.T, RANK_DIGITS), axis=1)
+            sv = qdf["score"].to_numpy()
+            below = np.array([np.searchsorted(blk[r], sv[r], side="left") for r in range(len(sv))])
+            upto = np.array([np.searchsorted(blk[r], sv[r], side="right") for r in range(len(sv))])
+            return pd.DataFrame({"_u": qdf["_u"], "score": sv, "_below": below, "_eq": upto - below})
+
+        counts_q = (
+            q.groupBy("_tb", "_cb").cogroup(it.groupBy("_tb", "_cb"))
+            .applyInPandas(count_block, "_u long, score double, _below long, _eq long")
+            .groupBy("_u", "score").agg(F.sum("_below").alias("_below"), F.sum("_eq").alias("_eq"))
+            .withColumnRenamed("_u", user_col)
+        )
+        per_score = per_score.drop("_uv").join(counts_q, [user_col, "score"])
+
     cum = running_totals(per_score, ["score"], ["_te", "_pe"], group_cols=[user_col]).select(
         user_col, "score", "_te", "_pe", "_below", "_eq",
         (F.col("_te_cum") - F.col("_te")).alias("_tb"), (F.col("_pe_cum") - F.col("_pe")).alias("_pb"),
@@ -263,7 +316,7 @@ def auc_user_scores(
                          + 0.5 * (F.col("_eq") - F.col("_te") - F.col("_pe")))).alias("_num"),
     )
     agg = per_pos.groupBy(user_col).agg(F.sum("_num").alias("_num")).join(counts, user_col)
-    neg = F.lit(len(ids)) - F.col("_nt") - F.col("_np")
+    neg = F.lit(n_items_rows) - F.col("_nt") - F.col("_np")
     return agg.where((F.col("_np") > 0) & (neg > 0)).select(
         F.col(user_col).cast("int").alias(user_col), (F.col("_num") / (F.col("_np") * neg)).alias("auc")
     )

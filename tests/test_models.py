@@ -113,6 +113,9 @@ def test_auc_user_scores_matches_brute_force(spark):
     tr = spark.createDataFrame(train, "user_idx int, item_idx int")
     te = spark.createDataFrame(test, "user_idx int, item_idx int")
     got = {r.user_idx: r.auc for r in auc_user_scores(uv, iv, tr, te).collect()}
+    # the blocked path (no broadcast), with tiny blocks
+    blocked = {r.user_idx: r.auc for r in auc_user_scores(uv, iv, tr, te, max_broadcast_bytes=0, block_rows=4).collect()}
+    assert blocked == pytest.approx(got)
     for u in range(n_users):
         trs = {i for uu, i in train if uu == u}
         pos = {i for uu, i in test if uu == u} - trs
