@@ -83,17 +83,19 @@ def item_features(train: DataFrame, items: DataFrame, movies: DataFrame, movie_m
     )
 
 
-def tag_tfidf(tags: DataFrame, item_col: str = "movieId", term_col: str = "tag") -> DataFrame:
+def tag_tfidf(tags: DataFrame, item_col: str = "movieId", term_col: str = "tag", count_col: str | None = None) -> DataFrame:
     """(item, term, tfidf): raw counts × smooth idf ln((1+N)/(1+df)) + 1, rows L2-normalised.
 
     N = number of items with at least one tag.  Term counts combine map-side, so a term
     present in every item (or one item holding a third of all tags) stays a partial sum.
+    ``count_col``: the input is already pre-aggregated with this multiplicity column.
     """
     from rankfold.session import materialize  # noqa: PLC0415
 
     # term counts feed three consumers (N, document frequency, weights): written once as a
     # table so the tokenisation upstream runs once
-    tf = materialize(tags.groupBy(item_col, term_col).agg(F.count(F.lit(1)).alias("tf")), "tfidf-tf")
+    n = F.sum(count_col) if count_col else F.count(F.lit(1))
+    tf = materialize(tags.groupBy(item_col, term_col).agg(n.alias("tf")), "tfidf-tf")
     n_docs = tf.select(item_col).distinct().count()  # scalar read from the written table
     df = tf.groupBy(term_col).agg(F.count(F.lit(1)).alias("df"))
     w = tf.join(df, term_col).select(

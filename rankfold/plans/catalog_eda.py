@@ -511,8 +511,14 @@ TFIDF_SQL = [
     ),
 )
 def q_tag_tfidf(spark, sf):
-    stags = QUERIES_REF["surviving_tags"](spark, sf)
-    return FE.tag_tfidf(stags).select("movieId", "tag", r6("tfidf").alias("tfidf"))
+    enc = P.encoded(spark, sf)
+    # token rows collapse map-side to (user, movie, tag) counts before the survival joins
+    counted = tables.tags(spark, sf).groupBy("userId", "movieId", "tag").agg(F.count(F.lit(1)).alias("n"))
+    stags = (
+        counted.join(enc.movie_map.select(F.col("original_id").alias("movieId")), "movieId", "left_semi")
+        .join(enc.user_map.select(F.col("original_id").alias("userId")), "userId", "left_semi")
+    )
+    return FE.tag_tfidf(stags, count_col="n").select("movieId", "tag", r6("tfidf").alias("tfidf"))
 
 
 @register(
@@ -568,5 +574,3 @@ def q_reference_sample(spark, sf):
         .select("rating", "timestamp", "user_idx", "movie_idx")
     )
 
-
-from rankfold.plans.catalog import QUERIES as QUERIES_REF  # noqa: E402
