@@ -121,28 +121,31 @@ def blocked_top_scores(
 
 
 def _top_rows(sims: np.ndarray, l_ids, r_ids, ks):
-    """Per row: the ks[i] best candidates by (rounded score desc, id asc), with ranks.
+    """Per row: the ks[i] best candidates by (score rounded to RANK_DIGITS desc, id asc),
+    with ranks.
 
-    Vectorised: every row takes its kmax best by argpartition and sorts them with one
-    2-D lexsort; only rows whose cut falls inside a tie (more candidates equal to the
-    kmax-th key than fit) are redone exactly, one row at a time.
+    Vectorised: every row takes its kmax best raw scores by argpartition and sorts them by
+    (rounded score, id) with one 2-D lexsort; one extra pass counts scores that could round
+    to the kmax-th key, and only rows where such a tie may reach past the cut are redone
+    exactly, one row at a time.
     """
     n_rows, n_cand = sims.shape
     ks = np.minimum(np.asarray(ks, dtype=np.int64), n_cand)
     kmax = int(ks.max()) if n_rows else 0
     if kmax <= 0 or n_cand == 0:
         return [], [], [], []
-    key = np.round(sims, RANK_DIGITS)
-    key = np.where(np.isfinite(sims), key, -np.inf)
-    top = np.argpartition(-key, kmax - 1, axis=1)[:, :kmax]
-    tkey = np.take_along_axis(key, top, axis=1)
-    tid = r_ids[top]
-    order = np.lexsort((tid, -tkey), axis=1)
+    raw = np.where(np.isfinite(sims), sims, -np.inf)
+    top = np.argpartition(-raw, kmax - 1, axis=1)[:, :kmax]
+    tkey = np.round(np.take_along_axis(raw, top, axis=1), RANK_DIGITS)
+    order = np.lexsort((r_ids[top], -tkey), axis=1)
     top = np.take_along_axis(top, order, axis=1)
     tkey = np.take_along_axis(tkey, order, axis=1)
     kth = tkey[:, kmax - 1]
-    # rows whose kmax-th key is tied with a candidate left outside need the exact path
-    ties_outside = (key == kth[:, None]).sum(axis=1) > (tkey == kth[:, None]).sum(axis=1)
+    # any score within one rounding step of the kth key may tie with it after rounding
+    eps = 10.0 ** -RANK_DIGITS
+    near = (raw >= (kth - eps)[:, None]).sum(axis=1)
+    near_in_top = (tkey >= (kth - eps)[:, None]).sum(axis=1)
+    ties_outside = near > near_in_top
     take = (np.arange(kmax)[None, :] < ks[:, None]) & np.isfinite(tkey)
     out_l, out_r, out_s, out_k = [], [], [], []
     rows, cols = np.nonzero(take & ~ties_outside[:, None])
@@ -153,8 +156,9 @@ def _top_rows(sims: np.ndarray, l_ids, r_ids, ks):
     for i in np.flatnonzero(ties_outside):
         if ks[i] <= 0:
             continue
-        cand = np.flatnonzero((key[i] >= kth[i]) & np.isfinite(sims[i]))
-        best = cand[np.lexsort((r_ids[cand], -key[i, cand]))][: ks[i]]
+        key = np.round(raw[i], RANK_DIGITS)
+        cand = np.flatnonzero((key >= kth[i] - eps) & np.isfinite(raw[i]))
+        best = cand[np.lexsort((r_ids[cand], -key[cand]))][: ks[i]]
         out_l.extend([l_ids[i]] * len(best))
         out_r.extend(r_ids[best].tolist())
         out_s.extend(sims[i, best].tolist())
@@ -162,6 +166,10 @@ def _top_rows(sims: np.ndarray, l_ids, r_ids, ks):
     return out_l, out_r, out_s, out_k
 
 
+# scores held per scoring step (rows x candidates), bounding task memory
+SCORE_BLOCK_ELEMENTS = 8_000_000
+
+
 def _broadcast_top_scores(left, right, k, left_key, right_key, left_vec, right_vec, cosine,
                           exclude_same_key, block_rows, out_key, out_score):
     """Small candidate side (size checked by the caller): one broadcast matrix, each
@@ -177,9 +185,10 @@ def _broadcast_top_scores(left, right, k, left_key, right_key, left_vec, right_v
 
     def score(batches):
         ids, m, rn = bc.value
+        step = max(1, min(block_rows, SCORE_BLOCK_ELEMENTS // max(len(ids), 1)))
         for pdf in batches:
-            for s0 in range(0, len(pdf), block_rows):
-                part = pdf.iloc[s0:s0 + block_rows]
+            for s0 in range(0, len(pdf), step):
+                part = pdf.iloc[s0:s0 + step]
                 a = np.vstack(part["_lv"].to_numpy()).astype(np.float64) if len(part) else np.zeros((0, m.shape[1]))
                 l_ids = part["_l"].to_numpy()
                 sims = a @ m.T
