@@ -35,3 +35,21 @@ def test_small_reference_uses_p_values(spark):
     cur = spark.createDataFrame(pd.DataFrame({"x": rng.normal(size=300) + 2.0}))
     r = D.finalize_small_tests(D.drift_columns(ref, cur, ["x"])).first()
     assert r.stattest == "ks" and r.drifted
+
+
+def test_grouped_reports_equal_single_reports(spark):
+    """Per-report statistics equal a standalone drift computation for that report."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(2)
+    ref = spark.createDataFrame(pd.DataFrame({"x": rng.normal(size=1500)}))
+    cur_pdf = pd.DataFrame({"x": np.r_[rng.normal(size=1200), rng.normal(size=1300) + 0.5],
+                            "g": ["a"] * 1200 + ["b"] * 1300})
+    cur = spark.createDataFrame(cur_pdf)
+    grouped = {r.g: r for r in D.finalize_small_tests(
+        D.drift_columns(ref, cur, ["x"], group="g", groups=["a", "b"])).collect()}
+    for g in ("a", "b"):
+        single = D.finalize_small_tests(D.drift_columns(ref, cur.where(F.col("g") == g), ["x"])).first()
+        assert grouped[g].statistic == single.statistic
+        assert grouped[g].drifted == single.drifted
+    assert grouped["b"].drifted and not grouped["a"].drifted
