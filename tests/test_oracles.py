@@ -40,3 +40,22 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.count() > 0
     assert {"user_idx", "rank", "movie_id", "title", "score", "genres"} <= set(df.columns)
+
+
+PLAN_GUARD = ["recommend_popular", "evaluate_model", "tag_tfidf", "recommend_all", "genre_ratings",
+              "popular_items", "drift_columns", "sustained_alerts"]
+
+
+@pytest.mark.parametrize("name", PLAN_GUARD)
+def test_no_nested_loop_joins(spark, small_dir, name):
+    from rankfold.plans.explain import summarise
+
+    assert summarise(E.queries()[name](spark, small_dir))["nested_loop_joins"] == 0
+
+
+def test_search_predicates_reach_the_scan(spark, small_dir):
+    from rankfold.plans.explain import summarise
+
+    scans = summarise(E.queries()["failed_requests"](spark, small_dir))["scans"]
+    assert any("event_type" in s["pushed"] for s in scans)
+    assert all(s["columns"] <= 4 for s in scans)
