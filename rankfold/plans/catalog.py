@@ -173,7 +173,7 @@ EVAL_CTES = [
   SELECT i AS n_ideal, sum(1.0 / log2(i + 1.0)) OVER (ORDER BY i) AS idcg FROM range(1, {S.TOP_K} + 1) t(i))""",
     f"""per_user AS (
   SELECT n.user_idx,
-         coalesce(h, 0) / {S.TOP_K}.0 AS precision,
+         h, coalesce(h, 0) / {S.TOP_K}.0 AS precision,
          coalesce(h, 0) / n.n_rel::DOUBLE AS recall,
          CASE WHEN idcg > 0 THEN coalesce(dcg, 0.0) / idcg ELSE 0.0 END AS ndcg,
          CASE WHEN coalesce(h, 0) > 0 THEN 1.0 ELSE 0.0 END AS hit,
@@ -202,12 +202,14 @@ def q_ranking_metrics_per_user(spark, sf):
 @register(
     "evaluate_model",
     S.with_ctes(
-        """SELECT round(coalesce(avg(precision), 0.0), 6) AS precision_at_k,
+        """SELECT floor(CASE WHEN count(*) > 0 THEN CAST(sum(coalesce(h, 0)) AS DOUBLE) / (10.0 * count(*)) ELSE 0.0 END
+                        * 1000000.0 + 0.5) / 1000000.0 AS precision_at_k,
                   round(coalesce(avg(recall), 0.0), 6) AS recall_at_k,
                   round(coalesce(avg(ndcg), 0.0), 6) AS ndcg_at_k,
                   round(CASE WHEN coalesce(avg(precision), 0) + coalesce(avg(recall), 0) = 0 THEN 0.0
                         ELSE 2 * avg(precision) * avg(recall) / (avg(precision) + avg(recall)) END, 6) AS f1_score,
-                  round(coalesce(avg(hit), 0.0), 6) AS hit_rate_at_k,
+                  floor(CASE WHEN count(*) > 0 THEN sum(hit) / CAST(count(*) AS DOUBLE) ELSE 0.0 END
+                        * 1000000.0 + 0.5) / 1000000.0 AS hit_rate_at_k,
                   round(coalesce(avg(rr), 0.0), 6) AS mrr,
                   round(CASE WHEN count(*) > 0 THEN
                      (SELECT count(DISTINCT movie_idx) FROM pop_recs WHERE user_idx IN (SELECT user_idx FROM n_rel))

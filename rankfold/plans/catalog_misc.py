@@ -51,7 +51,10 @@ def _grid_sql() -> str:
                 f"WHERE rating >= {t!r}e0) v ON v.user_idx = r.user_idx AND v.movie_idx = r.movie_idx "
                 f"WHERE r.rank <= {k} GROUP BY r.user_idx) h ON h.user_idx = u.user_idx"
             )
-    cols = ", ".join(f"round(max(CASE WHEN thr = '{t}' THEN precision END), 6) AS \"{t}\"" for t in GRID_THRESHOLDS)
+    cols = ", ".join(
+        f"floor(max(CASE WHEN thr = '{t}' THEN precision END) * 1000000.0 + 0.5) / 1000000.0 AS \"{t}\""
+        for t in GRID_THRESHOLDS
+    )
     return S.with_ctes(
         f"SELECT CAST(k AS INTEGER) AS k, {cols} FROM ({' UNION ALL '.join(cells)}) GROUP BY k",
         *POP_CTES[:3],
@@ -80,7 +83,11 @@ def q_metric_pivot(spark, sf):
             cell = pu.select(F.lit(k).alias("k"), F.lit(str(t)).alias("thr"), "precision")
             cells = cell if cells is None else cells.unionByName(cell)
     pivot = cells.groupBy("k").pivot("thr", [str(t) for t in GRID_THRESHOLDS]).agg(F.first("precision"))
-    return pivot.select(F.col("k").cast("int").alias("k"), *[r6(F.col(f"`{t}`")).alias(str(t)) for t in GRID_THRESHOLDS])
+    # floor(x * 1e6 + 0.5) / 1e6: identical in any IEEE engine, also on rounding halves
+    return pivot.select(
+        F.col("k").cast("int").alias("k"),
+        *[(F.floor(F.col(f"`{t}`") * 1e6 + 0.5) / 1e6).alias(str(t)) for t in GRID_THRESHOLDS],
+    )
 
 
 @register(

@@ -68,8 +68,9 @@ def q_recommend_random(spark, sf):
 def _evaluate_random_sql() -> str:
     from rankfold.plans.catalog import EVAL_CTES, ORACLES  # noqa: PLC0415
 
-    body = ORACLES["evaluate_model"].split("\nSELECT round(coalesce(avg(precision)", 1)[1]
-    body = "SELECT round(coalesce(avg(precision)" + body.replace("pop_recs", "rand_recs")
+    marker = "\nSELECT floor(CASE WHEN count(*) > 0"
+    body = ORACLES["evaluate_model"].split(marker, 1)[1]
+    body = marker.lstrip("\n") + body.replace("pop_recs", "rand_recs")
     return S.with_ctes(body, *RANDOM_SQL, *[c.replace("pop_recs", "rand_recs") for c in EVAL_CTES], prepared=True)
 
 
