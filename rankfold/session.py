@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,9 +28,11 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
     # reliable checkpoint files are removed once no DataFrame references them
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
-    "spark.driver.bindAddress": "127.0.0.1",
-    "spark.driver.host": "127.0.0.1",
 }
+# a local master needs no address that other machines can reach
+LOCAL_CONF = {"spark.driver.bindAddress": "127.0.0.1", "spark.driver.host": "127.0.0.1"}
+
+_SHIPPED = "_rankfold_shipped"
 
 
 def build_session(
@@ -40,19 +43,43 @@ def build_session(
 ) -> SparkSession:
     """Create (or reuse) a session with the engine's defaults."""
     cpus = os.environ.get("BENCH_CPUS", "8")
-    builder = SparkSession.builder.appName(app_name).master(master or f"local[{cpus}]")
+    master = master or f"local[{cpus}]"
+    builder = SparkSession.builder.appName(app_name).master(master)
     conf = dict(DEFAULT_CONF)
-    conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions or int(cpus))
-    conf.setdefault("spark.driver.memory", os.environ.get("RANKFOLD_DRIVER_MEMORY", "16g"))
+    if master.startswith("local["):
+        conf |= LOCAL_CONF
+        conf["spark.sql.shuffle.partitions"] = str(int(cpus))
+        conf["spark.driver.memory"] = os.environ.get("RANKFOLD_DRIVER_MEMORY", "16g")
+    if shuffle_partitions:
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra_conf or {})
     for key, value in conf.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package's sources to the Python workers, once for each Spark context, so that
+    functions run there wherever the driver was started from."""
+    sc = spark.sparkContext
+    if getattr(sc, _SHIPPED, False):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="rankfold-py-"), "rankfold_package.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(package):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.relpath(path, os.path.dirname(package)))
+    sc.addPyFile(archive)
+    setattr(sc, _SHIPPED, True)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's checkpoint folder, setting one only where it is unset.
 
@@ -84,6 +111,7 @@ def configure_session(spark: SparkSession) -> None:
     Everything else (AQE, partitions, memory) is left to the cluster's configuration."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
 
 
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
