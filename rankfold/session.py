@@ -114,7 +114,7 @@ def configure_session(spark: SparkSession) -> None:
     ship_package(spark)
 
 
-def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+def materialize(df: DataFrame, name: str = "table", compression: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet under the checkpoint folder and read it back.
 
     For iterative jobs: the result is a plain file scan with no retained origin plan,
@@ -122,8 +122,8 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """
     root = ensure_checkpoint_dir(df.sparkSession).rstrip("/")
     path = f"{root}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    df.write.mode("overwrite").parquet(path, compression=compression)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def drop_written_tables(spark: SparkSession) -> None:
