@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankfold.llm import decontam, html_text, mixing, ngram_join, quality, repeats, sharding
+from rankfold.llm import chat, decontam, html_text, katz, mixing, ngram_join, quality, repeats, sharding
 
 SHARDS = 8
 
@@ -53,6 +53,21 @@ def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score_texts(_table(spark, sf_dir, "documents"))
+
+
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations formatted as a prefix tree and read back from it."""
+    said = r"\### Assistant: </turn> ok"
+    extra = spark.range(2).select(
+        F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"),
+    )
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat.read_back(*chat.prefix_tree(rows))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold four fifths or more of a test item's five-word shingles."""
     return decontam.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -65,6 +80,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_html_extraction": op4_html_extraction,
     "op5_source_mixing": op5_source_mixing,
     "op7_repeated_passages": op7_repeated_passages,
+    "op8_katz_backoff": op8_katz_backoff,
+    "op9_chat_formatting": op9_chat_formatting,
     "op10_decontamination": op10_decontamination,
     "pipeline": corpus_pipeline.run,
 }

@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankfold.llm import textops as X
+from rankfold.llm.batches import groups_of, range_slices, record, rows_of
 from rankfold.session import ensure_checkpoint_dir, materialize
 
 LENGTH = 50
@@ -149,32 +150,11 @@ def _from_six(raw: bytes) -> np.ndarray:
     return out.view("<u8").reshape(-1)
 
 
-def _bucket_slices(values: np.ndarray, buckets: int) -> Iterator[tuple[int, int, int]]:
-    """(bucket, first, last) of sorted 48-bit values cut into equal ranges."""
-    edges = np.searchsorted(values, ((np.arange(buckets + 1, dtype=np.float64) / buckets) * 2.0**48).astype(X.U64))
-    edges[-1] = len(values)
-    for bucket in range(buckets):
-        if edges[bucket] < edges[bucket + 1]:
-            yield bucket, int(edges[bucket]), int(edges[bucket + 1])
-
-
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    for batch in batches:
-        for i in range(batch.num_rows):
-            yield {name: batch.column(j)[i].as_py() for j, name in enumerate(batch.schema.names)}
-
-
-def _record(schema: dict[str, pa.DataType], rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(schema.values())], names=list(schema)
-    )
-
-
 def _anchors(buckets: int):
     schema = {"bucket": pa.int32(), "batch": pa.int64(), "once": pa.binary(), "often": pa.binary()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _rows(batches):
+        for row in rows_of(batches):
             _, offsets, data = _unpack(row)
             anchor, _, _, _, doc = anchor_runs(data, offsets)
             pairs = np.unique((anchor >> _U48 << _U48) | doc.astype(X.U64))
@@ -184,30 +164,18 @@ def _anchors(buckets: int):
             at = np.flatnonzero(np.append(True, values[1:] != values[:-1]))
             often = np.diff(np.append(at, len(values))) > 1
             values = values[at]
-            yield _record(schema, [
+            yield record(schema, [
                 (bucket, row["batch"], _six_bytes(values[i:j][~often[i:j]]), _six_bytes(values[i:j][often[i:j]]))
-                for bucket, i, j in _bucket_slices(values, buckets)
+                for bucket, i, j in range_slices(values, buckets, 48)
             ])
 
     return run
 
 
-def _grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[list[dict]]:
-    """Consecutive rows with one value of ``key``."""
-    group: list[dict] = []
-    for row in _rows(batches):
-        if group and row[key] != group[0][key]:
-            yield group
-            group = []
-        group.append(row)
-    if group:
-        yield group
-
-
 def _shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per bucket: the anchors of each batch that stand in a second document anywhere."""
     schema = {"batch": pa.int64(), "anchors": pa.binary()}
-    for group in _grouped(batches, "bucket"):
+    for group in groups_of(batches, "bucket"):
         once = [_from_six(r["once"]) for r in group]
         often = [_from_six(r["often"]) for r in group]
         every = np.sort(np.concatenate(once))
@@ -222,7 +190,7 @@ def _shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             if len(hits):
                 out.append((row["batch"], _six_bytes(hits)))
         if out:
-            yield _record(schema, out)
+            yield record(schema, out)
 
 
 def _surviving(row: dict, data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray] | None:
@@ -249,7 +217,7 @@ def _runs_out(buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compress = zstandard.ZstdCompressor(level=1).compress
-        for row in _rows(batches):
+        for row in rows_of(batches):
             ids, offsets, data = _unpack(row)
             s = _surviving(row, data, offsets)
             if s is None:
@@ -257,11 +225,11 @@ def _runs_out(buckets: int):
             least = np.minimum.reduceat(ids[s["doc"]][s["order"]], s["first"])
             chosen = s["order"][s["first"]]
             start, count = s["start"][chosen], s["count"][chosen]
-            for bucket, i, j in _bucket_slices(s["anchor"][chosen], buckets):
+            for bucket, i, j in range_slices(s["anchor"][chosen], buckets, 48):
                 size = count[i:j] + LENGTH - 1
                 at = np.repeat(start[i:j] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
                 content = data[at].tobytes()
-                yield _record(schema, [(
+                yield record(schema, [(
                     bucket, row["batch"], i, count[i:j].astype(np.int32).tobytes(), least[i:j].tobytes(), compress(content), len(content),
                 )])
 
@@ -299,7 +267,7 @@ def group_windows(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.
 def _least_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per bucket: stretches of windows whose smallest document is below that of their batch."""
     schema = {"batch": pa.int64(), "number": pa.binary(), "at": pa.binary(), "n": pa.binary()}
-    for group in _grouped(batches, "bucket"):
+    for group in groups_of(batches, "bucket"):
         raw = np.frombuffer(b"".join(zstandard.ZstdDecompressor().decompress(r["bytes"], max_output_size=r["n_bytes"]) for r in group), dtype=np.uint8)
         counts = np.concatenate([np.frombuffer(r["counts"], dtype=np.int32) for r in group]).astype(np.int64)
         least = np.concatenate([np.frombuffer(r["least"], dtype=np.int64) for r in group])
@@ -330,7 +298,7 @@ def _least_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
                 rows.append((r["batch"], number.astype(np.int32).tobytes(), at[i:j].astype(np.int32).tobytes(), n[i:j].astype(np.int32).tobytes()))
             base += m
         if rows:
-            yield _record(schema, rows)
+            yield record(schema, rows)
 
 
 def removed_spans(row: dict, ids: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -371,7 +339,7 @@ def _results(keep_text: bool):
     }
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _rows(batches):
+        for row in rows_of(batches):
             ids, offsets, data = _unpack(row)
             nulls = np.frombuffer(row["nulls"], dtype=bool)
             doc, start, end = removed_spans(row, ids, data, offsets)
@@ -391,7 +359,7 @@ def _results(keep_text: bool):
                     None if nulls[d] else int(ids[d]), stop - base, sum(b - a for a, b in spans),
                     [{"start": a - base, "end": b - base} for a, b in spans], digest.hexdigest(), b"".join(parts) if keep_text else None,
                 ))
-            yield _record(schema, out)
+            yield record(schema, out)
 
     return run
 
