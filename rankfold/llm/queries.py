@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankfold.llm import chat, decontam, html_text, katz, mixing, ngram_join, quality, repeats, sharding
+from rankfold.llm import chat, decontam, html_text, katz, mixing, ngram_join, pii, quality, repeats, sharding
 
 SHARDS = 8
 
@@ -47,6 +47,10 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(_table(spark, sf_dir, "documents"))
+
+
 def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(_table(spark, sf_dir, "documents"), keep_text=False).select(
         "doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), "kept_sha256"
@@ -79,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_feistel_sharding": op3_feistel_sharding,
     "op4_html_extraction": op4_html_extraction,
     "op5_source_mixing": op5_source_mixing,
+    "op6_personal_data": op6_personal_data,
     "op7_repeated_passages": op7_repeated_passages,
     "op8_katz_backoff": op8_katz_backoff,
     "op9_chat_formatting": op9_chat_formatting,
