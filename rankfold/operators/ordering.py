@@ -26,17 +26,15 @@ from rankfold.session import checkpoint
 ColumnLike = str | Column
 
 
-def _num_partitions(df: DataFrame, num_partitions: int | None) -> int:
-    if num_partitions:
-        return num_partitions
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def _ranged(df: DataFrame, order: Sequence[ColumnLike], num_partitions: int | None) -> DataFrame:
-    """Range-partition and sort by ``order``, tag rows with partition id and in-partition index."""
-    n = _num_partitions(df, num_partitions)
+    """Range-partition and sort by ``order``, tag rows with partition id and in-partition index.
+
+    Without ``num_partitions`` the ranges follow the size of the data: adaptive execution merges
+    small neighbours.
+    """
+    ranges = df.repartitionByRange(num_partitions, *order) if num_partitions else df.repartitionByRange(*order)
     laid_out = (
-        df.repartitionByRange(n, *order)
+        ranges
         .sortWithinPartitions(*order)
         .withColumn("_pid", F.spark_partition_id())
         .withColumn("_mid", F.monotonically_increasing_id())
