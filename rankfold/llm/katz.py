@@ -227,6 +227,8 @@ class _Exchange:
         bucket = (key % X.U64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         self.contexts = part_of[order]  # of each sent part
+        # parts of one context can share a bucket and are told apart by the bits above the number
+        self.parts = w.number[self.contexts] | (salt[order] << 40)
         place = np.empty(len(order), dtype=np.int64)
         place[order] = np.arange(len(order))
         self.sent = np.flatnonzero((w.total[self.context] > 0) & (w.total[self.word] > 0))
@@ -261,7 +263,7 @@ def _send_pairs(buckets: int, share: int):
                     continue
                 p, q = e.follower_edges[k], e.follower_edges[k + 1]
                 yield record(schema, [(
-                    k, row["batch"], pack(w.number[e.contexts[i:j]]), pack(e.asked[i:j]), pack(e.n_followers[i:j]),
+                    k, row["batch"], pack(e.parts[i:j]), pack(e.asked[i:j]), pack(e.n_followers[i:j]),
                     pack(w.number[followers[p:q]]), pack(e.learned[e.sent[p:q]]), pack(w.total[followers[p:q]]),
                 )])
 
