@@ -45,7 +45,9 @@ LENGTH = 50
 DIGIT = 25
 BATCH_BYTES = 4 << 20
 BATCH_DOCS = 60_000
+#: text bytes for each bucket of the two exchanges; windows need several numbers each
 BUCKET_BYTES = 8 << 20
+RUN_BUCKET_BYTES = 2 << 20
 PIECE = 1 << 18
 NULL_ID = np.iinfo(np.int64).max
 
@@ -276,13 +278,14 @@ def _least_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         firsts = np.concatenate([[0], np.cumsum(counts)[:-1]])
         starts = np.repeat(begins - firsts, counts) + np.arange(counts.sum())
         order, groups = group_windows(raw, starts)
-        del raw
+        del raw, starts
         own = np.repeat(least, counts)
         smallest = np.empty(len(own), dtype=np.int64)
         smallest[order] = np.repeat(np.minimum.reduceat(own[order], groups), np.diff(np.append(groups, len(own))))
-        del order
+        del order, groups
         below = smallest < own
-        run_of = np.repeat(np.arange(len(counts)), counts)
+        del smallest
+        run_of = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
         edge = np.append(True, (below[1:] != below[:-1]) | (run_of[1:] != run_of[:-1]))
         edges = np.flatnonzero(edge)
         n = np.diff(np.append(edges, len(own)))
@@ -390,7 +393,7 @@ def remove_repeats(docs: DataFrame, keep_text: bool = True) -> DataFrame:
             "anchors",
         )
         runs = batches.join(shared.hint("merge"), "batch").mapInArrow(
-            _runs_out(buckets),
+            _runs_out(max(partitions, -(-total // RUN_BUCKET_BYTES))),
             "bucket int, batch bigint, first_number bigint, counts binary, least binary, bytes binary, n_bytes bigint",
         )
         smaller = materialize(

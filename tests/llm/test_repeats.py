@@ -47,6 +47,7 @@ def test_removed_bytes_match_brute_force(spark, monkeypatch, small):
     if small:  # many batches, buckets and pieces
         monkeypatch.setattr(repeats, "BATCH_BYTES", 3000)
         monkeypatch.setattr(repeats, "BUCKET_BYTES", 2000)
+        monkeypatch.setattr(repeats, "RUN_BUCKET_BYTES", 900)
         monkeypatch.setattr(repeats, "PIECE", 128)
     rows = awkward()[:8] + awkward()[9:] + shared_passages()
     got = repeats.remove_repeats(documents(spark, rows).repartition(3)).collect()
