@@ -36,11 +36,11 @@ DRIFT_SHARE = 0.5
 
 
 def merged_histogram(reference: DataFrame, current: DataFrame, columns: list[str],
-                     group: str | None = None, groups: list | None = None) -> DataFrame:
+                     group: str | None = None) -> DataFrame:
     """(feature, value, c_ref, c_cur) over the union of both tables' values (nulls dropped).
 
-    With ``group``: ``current`` carries a report key; the (bounded) reference histogram is
-    replicated once per report key in ``groups``.
+    With ``group``: ``current`` carries a report key, and the reference histogram (not its rows)
+    is joined to the (report key, feature) pairs that have values.
     """
 
     def long(df: DataFrame, side: str, keep: list[str]) -> DataFrame:
@@ -54,8 +54,8 @@ def merged_histogram(reference: DataFrame, current: DataFrame, columns: list[str
         both = long(reference, "ref", []).unionByName(long(current, "cur", []))
     else:
         ref_hist = long(reference, "ref", []).groupBy("feature", "value", "side").agg(F.count(F.lit(1)).alias("_n"))
-        ref_rep = ref_hist.select("*", F.explode(F.array(*[F.lit(g) for g in groups])).alias(group))
-        cur = long(current, "cur", [group]).withColumn("_n", F.lit(1))
+        cur = long(current, "cur", [group]).groupBy(group, "feature", "value", "side").agg(F.count(F.lit(1)).alias("_n"))
+        ref_rep = ref_hist.join(cur.select(group, "feature").distinct(), "feature")
         both = ref_rep.unionByName(cur)
         keys = [group, *keys]
         return both.groupBy(*keys).agg(
@@ -69,10 +69,10 @@ def merged_histogram(reference: DataFrame, current: DataFrame, columns: list[str
 
 
 def column_statistics(reference: DataFrame, current: DataFrame, columns: list[str],
-                      group: str | None = None, groups: list | None = None) -> DataFrame:
+                      group: str | None = None) -> DataFrame:
     """Per column (and report key): n_ref, n_cur, n_unique_ref, std_ref, wasserstein, ks, js, chi2, dof."""
     g = [group] if group else []
-    h = merged_histogram(reference, current, columns, group, groups).withColumn("one", F.lit(1))
+    h = merged_histogram(reference, current, columns, group).withColumn("one", F.lit(1))
     totals = h.groupBy(*g, "feature").agg(
         F.sum("c_ref").alias("n_ref"),
         F.sum("c_cur").alias("n_cur"),
@@ -159,11 +159,11 @@ def _chi2_sf(x: float, dof: int) -> float:
 
 
 def drift_columns(reference: DataFrame, current: DataFrame, columns: list[str], threshold: float = DISTANCE_THRESHOLD,
-                  group: str | None = None, groups: list | None = None) -> DataFrame:
+                  group: str | None = None) -> DataFrame:
     """Per column: chosen test, statistic, threshold and drift flag (distance tests are
     pure column expressions; p-values for small references are applied per row with
     built-in math on the one-row-per-column table)."""
-    st = column_statistics(reference, current, columns, group, groups)
+    st = column_statistics(reference, current, columns, group)
     big = F.col("n_ref") > BIG_REFERENCE_ROWS
     numeric = F.col("n_unique_ref") > FEW_UNIQUE
     wass = F.col("wasserstein_raw") / F.greatest(F.col("std_ref"), F.lit(STD_FLOOR))

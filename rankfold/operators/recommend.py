@@ -18,9 +18,6 @@ from pyspark.sql import functions as F
 
 from rankfold.operators.ordering import positions
 
-# broadcast the ranking head only below this many rows (~24 bytes/row)
-RANKING_BROADCAST_ROWS = 2_000_000
-
 
 def top_k_per_user(
     scored: DataFrame,
@@ -94,8 +91,6 @@ def recommend_from_ranking(
     head_rows = min(n_items, n + max_seen)
     cand = _expand_positions(users, seen, n, 0, user_col).where(F.col("_t") < n_items)
     head = ranking.where(F.col("prank") < head_rows).withColumnRenamed("prank", "_t")
-    if head_rows <= RANKING_BROADCAST_ROWS:
-        head = F.broadcast(head)
     joined = cand.join(head, "_t")
     if exclude_seen:
         joined = joined.join(seen.select(user_col, item_col), [user_col, item_col], "left_anti")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from rankfold.functions import parse_genres, sigmoid_score
 
-FALLBACK_SIZE = 100  # fixed value: length of the popular fallback list
+FALLBACK_SIZE = 100  # fixed value: length of the list of popular items
 
 
 def enrich(
@@ -77,7 +77,7 @@ def answer_requests(
     score, cold requests the fallback list; both cut to the request's ``top_k``.
 
     ``requests``: (request_id, user_id, top_k).  ``model_recs``: (user_idx, movie_idx, score, rank)
-    holding at least max(top_k) ranks per user.
+    holding at least max(top_k) ranks per user; ``fallback`` as many.
     """
     routed = route_requests(requests, user_map)
     warm = (
@@ -88,10 +88,10 @@ def answer_requests(
                 sigmoid_score("score").alias("score"), F.lit(False).alias("cold_start"))
     )
     warm = enrich(warm, movie_map, movies)
-    # the fallback list has a fixed bound (FALLBACK_SIZE rows): broadcast, equi-join on rank
+    # the fallback is as long as the largest top_k (<= 500 by validation): a small equi-join on rank
     cold = (
         routed.where(F.col("cold_start"))
-        .select("request_id", "user_id", F.explode(F.sequence(F.lit(1), F.least("top_k", F.lit(FALLBACK_SIZE)))).alias("rank"))
+        .select("request_id", "user_id", F.explode(F.sequence(F.lit(1), F.col("top_k"))).alias("rank"))
         .join(F.broadcast(fallback.withColumnRenamed("fb_rank", "rank")), "rank")
         .select("request_id", "user_id", F.col("rank").cast("int").alias("rank"), "movie_id", "title",
                 "score", "genres", F.lit(True).alias("cold_start"))

@@ -155,22 +155,26 @@ def q_item_vector_norms(spark, sf):
 
 # ------------------------------------------------------------------ serving paths
 
-FALLBACK_SQL = [
-    "fb_cnt AS (SELECT movie_idx, count(DISTINCT user_idx) AS c FROM implicit_train GROUP BY movie_idx)",
-    f"""fallback AS (
+def _fallback_sql(size: str) -> list[str]:
+    return [
+        "fb_cnt AS (SELECT movie_idx, count(DISTINCT user_idx) AS c FROM implicit_train GROUP BY movie_idx)",
+        f"""fallback AS (
   SELECT row_number() OVER (ORDER BY f.c DESC, f.movie_idx) AS fb_rank, f.movie_idx,
          coalesce(mm.original_id, f.movie_idx) AS movie_id,
          coalesce(m.title, 'Movie ' || CAST(coalesce(mm.original_id, f.movie_idx) AS VARCHAR)) AS title,
          round(f.c / (SELECT max(c) FROM fb_cnt)::DOUBLE, 6) AS score,
          array_to_string({GL.format(g='m.genres')}, '|') AS genres
-  FROM (SELECT * FROM fb_cnt ORDER BY c DESC, movie_idx LIMIT {SV.FALLBACK_SIZE}) f
+  FROM (SELECT * FROM fb_cnt ORDER BY c DESC, movie_idx LIMIT {size}) f
   LEFT JOIN movie_map mm ON mm.encoded_id = f.movie_idx LEFT JOIN movies m ON m.movieId = mm.original_id)""",
-]
+    ]
 
 
-def fallback(spark, sf):
+FALLBACK_SQL = _fallback_sql(str(SV.FALLBACK_SIZE))
+
+
+def fallback(spark, sf, size: int = SV.FALLBACK_SIZE):
     enc = P.encoded(spark, sf)
-    return SV.popular_fallback(P.implicit_train(spark, sf), enc.movie_map, P.movies(spark, sf))
+    return SV.popular_fallback(P.implicit_train(spark, sf), enc.movie_map, P.movies(spark, sf), size)
 
 
 @register(
@@ -232,15 +236,18 @@ def _requests(spark, sf, endpoint: str):
     )
 
 
-def answer(spark, sf, requests):
+def answer(spark, sf, requests, model=None):
+    """Answer a request table with a model's lists (user_idx, movie_idx, score, rank), by default
+    those of the popularity model, and the popular fallback; both as long as the requests ask."""
     enc = P.encoded(spark, sf)
     routed = SV.route_requests(requests, enc.user_map)
     warm_users = routed.where(~F.col("cold_start")).select("user_idx").distinct()
     # list length = the largest validated top_k among the requests (a scalar, <= 500)
     n = requests.agg(F.max("top_k")).first()[0] or S.TOP_K
-    model = R.recommend_popular(warm_users, P.item_universe(spark, sf), P.implicit_train(spark, sf),
-                                n, P.n_items(spark, sf))
-    return SV.answer_requests(requests, enc.user_map, model, fallback(spark, sf), enc.movie_map, P.movies(spark, sf))
+    if model is None:
+        model = R.recommend_popular(warm_users, P.item_universe(spark, sf), P.implicit_train(spark, sf),
+                                    n, P.n_items(spark, sf))
+    return SV.answer_requests(requests, enc.user_map, model, fallback(spark, sf, n), enc.movie_map, P.movies(spark, sf))
 
 
 def _pop_recs_for(users_sql: str, n: int) -> str:
@@ -276,8 +283,8 @@ def _answer_sql(endpoint: str, select_extra: str = "", extra_ctes: tuple = ()) -
     )
     return [
         *POP_CTES[:3],
-        *FALLBACK_SQL,
         reqs,
+        *_fallback_sql("(SELECT coalesce(max(top_k), 0) FROM reqs)"),
         routed,
         _pop_recs_for("SELECT DISTINCT user_idx FROM routed WHERE user_idx IS NOT NULL", "SELECT max(top_k) FROM reqs"),
         warm,
@@ -324,14 +331,14 @@ def q_cold_start_route(spark, sf):
         "(SELECT * FROM warm UNION ALL SELECT * FROM cold) a JOIN "
         "(SELECT request_id, time_bucket(INTERVAL 1 HOUR, ts) AS batch_start, "
         " CAST(row_number() OVER (PARTITION BY time_bucket(INTERVAL 1 HOUR, ts) ORDER BY ts, request_id) AS BIGINT) AS pos "
-        " FROM reqs) b ON b.request_id = a.request_id WHERE a.rank <= 10",
+        " FROM reqs) b ON b.request_id = a.request_id",
         *_answer_sql("/recommend/batch"),
         prepared=True,
     ),
 )
 def q_batch_recommend(spark, sf):
     """Batch endpoint: the batch requests of each hour form one ordered batch; every
-    position is answered (duplicates kept, seen items always excluded), top 10 each."""
+    position is answered with its request's ``top_k`` (duplicates kept, seen items excluded)."""
     from rankfold.operators.ordering import running_totals  # noqa: PLC0415
 
     reqs = _requests(spark, sf, "/recommend/batch")
@@ -341,8 +348,7 @@ def q_batch_recommend(spark, sf):
     pos = running_totals(tagged, ["ts", "request_id"], ["one"], group_cols=["batch_start"]).select(
         "request_id", "batch_start", F.col("one_cum").cast("bigint").alias("pos")
     )
-    a = answer(spark, sf, reqs).where(F.col("rank") <= S.TOP_K)
-    return a.join(pos, "request_id").select("batch_start", "pos", "user_id", "rank", "movie_id", "score")
+    return answer(spark, sf, reqs).join(pos, "request_id").select("batch_start", "pos", "user_id", "rank", "movie_id", "score")
 
 
 @register(

@@ -74,7 +74,10 @@ def kcore_ctes(prefix: str, source: str, min_user: int, min_item: int, passes: i
     ctes.append(
         f"{prefix}_core AS (SELECT r.* FROM {source} r "
         f"WHERE r.userId IN (SELECT userId FROM {prefix}_e{passes}) "
-        f"AND r.movieId IN (SELECT movieId FROM {prefix}_e{passes}))"
+        f"AND r.movieId IN (SELECT movieId FROM {prefix}_e{passes}) "
+        # the unrolled passes must have reached the fixed point
+        f"AND CASE WHEN (SELECT count(*) FROM {prefix}_e{passes}) <> (SELECT count(*) FROM {prefix}_e{passes - 1}) "
+        f"THEN error('{prefix}: the core still shrinks after {passes} passes') ELSE true END)"
     )
     return ctes
 

@@ -47,7 +47,7 @@ def test_grouped_reports_equal_single_reports(spark):
                             "g": ["a"] * 1200 + ["b"] * 1300})
     cur = spark.createDataFrame(cur_pdf)
     grouped = {r.g: r for r in D.finalize_small_tests(
-        D.drift_columns(ref, cur, ["x"], group="g", groups=["a", "b"])).collect()}
+        D.drift_columns(ref, cur, ["x"], group="g")).collect()}
     for g in ("a", "b"):
         single = D.finalize_small_tests(D.drift_columns(ref, cur.where(F.col("g") == g), ["x"])).first()
         assert grouped[g].statistic == single.statistic
