@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankfold.operators.ordering import running_totals
+from rankfold.operators.ordering import quantiles, running_totals
 from rankfold.sources.tables import COLD_START_EVENT, endpoint_in, status_is
 
 # fixed values: rule windows and the client library's default histogram buckets (seconds)
@@ -79,9 +79,10 @@ def cold_start_spike(log: DataFrame, threshold: int = COLD_START_SPIKE) -> DataF
 
 def latency_quantiles(log: DataFrame, qs: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
     """Exact latency quantiles per endpoint (linear interpolation)."""
-    return log.groupBy("endpoint").agg(
-        F.count(F.lit(1)).cast("bigint").alias("requests"),
-        *[F.round(F.percentile("latency_ms", q), 6).alias(f"p{int(round(q * 100))}_ms") for q in qs],
+    found = quantiles(log, "latency_ms", qs, ["endpoint"])
+    requests = log.groupBy("endpoint").agg(F.count(F.lit(1)).cast("bigint").alias("requests"))
+    return requests.join(found, "endpoint", "left").select(
+        "endpoint", "requests", *[F.round(f"q{i}", 6).alias(f"p{int(round(q * 100))}_ms") for i, q in enumerate(qs)]
     )
 
 

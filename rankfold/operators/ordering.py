@@ -9,6 +9,7 @@ row per partition.
 * :func:`positions`       0-based position of each row in a total order
 * :func:`running_totals`  running sums of value columns inside groups, in order
 * :func:`dense_index`     contiguous 0-based ids of the distinct values of a column
+* :func:`quantiles`       exact interpolated quantiles from value counts
 """
 
 from __future__ import annotations
@@ -154,3 +155,38 @@ def running_totals(
     for v, o in zip(value_cols, out_cols, strict=True):
         joined = joined.withColumn(o, F.col(o) + F.coalesce(F.col(f"_o_{v}"), F.lit(0.0)))
     return joined.drop("_pid", *[f"_o_{v}" for v in value_cols])
+
+
+def quantiles(df: DataFrame, value: str, qs: Sequence[float], group_cols: Sequence[str] = ()) -> DataFrame:
+    """Per group: ``n`` (non-null values) and ``q0``, ``q1``, ... with linear interpolation between
+    the two values around position q * (n - 1).
+
+    Value counts are summed before the shuffle and their running sums are distributed, so a
+    group with very many values is never held in one task.
+    """
+    group_cols = list(group_cols)
+    v = F.col(value).cast("double").alias("_v")
+    counts = df.select(*group_cols, v).where(F.col("_v").isNotNull()).groupBy(*group_cols, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    summed = checkpoint(running_totals(counts, ["_v"], ["_c"], group_cols=group_cols))
+    totals = summed.groupBy(*group_cols).agg(F.max("_c_cum").alias("n"))
+    if group_cols:
+        placed = summed.join(totals, group_cols)
+    else:
+        placed = summed.withColumn("n", F.lit(totals.first()[0]))
+    picks = []
+    for i, q in enumerate(qs):
+        at = F.lit(float(q)) * (F.col("n") - 1)
+        picks += [
+            F.min(F.when(F.col("_c_cum") > F.floor(at), F.col("_v"))).alias(f"_lo{i}"),
+            F.min(F.when(F.col("_c_cum") > F.ceil(at), F.col("_v"))).alias(f"_hi{i}"),
+        ]
+    found = placed.groupBy(*group_cols).agg(F.max("n").alias("n"), *picks)
+    return found.select(
+        *group_cols,
+        F.col("n").cast("bigint").alias("n"),
+        *[
+            (F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * (F.lit(float(q)) * (F.col("n") - 1) - F.floor(F.lit(float(q)) * (F.col("n") - 1))))
+            .alias(f"q{i}")
+            for i, q in enumerate(qs)
+        ],
+    )

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankfold.functions import parse_genres, title_truncate
-from rankfold.operators.ordering import positions, running_totals
-from rankfold.operators.prep import kcore, sparsity_expr
+from rankfold.operators.ordering import quantiles, positions, running_totals
+from rankfold.operators.prep import interaction_edges, kcore_edges, sparsity_expr
 
 
 def rating_histogram(ratings: DataFrame) -> DataFrame:
@@ -131,12 +131,25 @@ def sparsity(ratings: DataFrame, user_col: str = "userId", item_col: str = "movi
 
 
 def threshold_sweep(ratings: DataFrame, thresholds: list[tuple[int, int]]) -> DataFrame:
-    """k-core size and sparsity for several (min_user, min_item) settings."""
+    """k-core size and sparsity for several (min_user, min_item) settings.
+
+    A core with larger thresholds lies inside one with smaller ones, so each setting starts from
+    the edges of the largest finished setting below it; sizes come from the edges.
+    """
+    done: dict[tuple[int, int], DataFrame] = {}
     out = None
-    for mu, mi in thresholds:
-        core = kcore(ratings, mu, mi).ratings
-        row = sparsity(core).select(
-            F.lit(mu).alias("min_user_ratings"), F.lit(mi).alias("min_item_ratings"), "*"
+    for mu, mi in sorted(thresholds):
+        below = [t for t in done if t[0] <= mu and t[1] <= mi]
+        start = done[max(below)] if below else interaction_edges(ratings)
+        edges = done[mu, mi] = kcore_edges(start, mu, mi).edges
+        agg = edges.agg(
+            F.coalesce(F.sum("_rows"), F.lit(0)).cast("bigint").alias("n_ratings"),
+            F.count_distinct("userId").cast("bigint").alias("n_users"),
+            F.count_distinct("movieId").cast("bigint").alias("n_items"),
+        )
+        row = agg.select(
+            F.lit(mu).alias("min_user_ratings"), F.lit(mi).alias("min_item_ratings"), "*",
+            F.round(sparsity_expr(F.col("n_ratings"), F.col("n_users"), F.col("n_items")), 6).alias("sparsity"),
         )
         out = row if out is None else out.unionByName(row)
     return out
@@ -145,24 +158,17 @@ def threshold_sweep(ratings: DataFrame, thresholds: list[tuple[int, int]]) -> Da
 def describe(df: DataFrame, cols: list[str]) -> DataFrame:
     """Long describe table: (feature, stat, value) with count, mean, std, min, 25/50/75%, max.
 
-    Quartiles use linear interpolation (exact ``percentile``)."""
-    stats = ["count", "mean", "std", "min", "25%", "50%", "75%", "max"]
-    aggs = []
-    for c in cols:
-        x = F.col(c).cast("double")
-        aggs += [
-            F.count(x).cast("double").alias(f"{c}|count"),
-            F.avg(x).alias(f"{c}|mean"),
-            F.stddev_samp(x).alias(f"{c}|std"),
-            F.min(x).alias(f"{c}|min"),
-            F.percentile(x, 0.25).alias(f"{c}|25%"),
-            F.percentile(x, 0.5).alias(f"{c}|50%"),
-            F.percentile(x, 0.75).alias(f"{c}|75%"),
-            F.max(x).alias(f"{c}|max"),
-        ]
-    wide = df.agg(*aggs)
-    pairs = ", ".join(f"'{c}', '{s}', `{c}|{s}`" for c in cols for s in stats)
-    return wide.selectExpr(f"stack({len(cols) * len(stats)}, {pairs}) AS (feature, stat, value)").select(
+    Quartiles are exact with linear interpolation (:func:`ordering.quantiles`)."""
+    pairs = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in cols)
+    long = df.selectExpr(f"stack({len(cols)}, {pairs}) AS (feature, x)")
+    moments = long.groupBy("feature").agg(
+        F.count("x").cast("double").alias("count"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"),
+        F.min("x").alias("min"), F.max("x").alias("max"),
+    )
+    wide = moments.join(quantiles(long, "x", (0.25, 0.5, 0.75), ["feature"]), "feature", "left")
+    named = [("count", "count"), ("mean", "mean"), ("std", "std"), ("min", "min"), ("25%", "q0"), ("50%", "q1"), ("75%", "q2"), ("max", "max")]
+    stacked = ", ".join(f"'{stat}', `{column}`" for stat, column in named)
+    return wide.selectExpr("feature", f"stack({len(named)}, {stacked}) AS (stat, value)").select(
         "feature", "stat", F.round("value", 6).alias("value")
     )
 

@@ -69,20 +69,7 @@ def q_metric_pivot(spark, sf):
     n = max(GRID_K)
     recs = R.recommend_popular(P.user_universe(spark, sf), P.item_universe(spark, sf), P.implicit_train(spark, sf),
                                n, P.n_items(spark, sf))
-    test = P.part(spark, sf, "test")
-    cells = None
-    for t in GRID_THRESHOLDS:
-        rel = M.relevant_items(test, t)
-        for k in GRID_K:
-            # mean precision as total hits / (k * users): exact integer sums, no rounding drift
-            pu = M.per_user_metrics(recs, rel, k).agg(
-                F.when(F.count(F.lit(1)) == 0, F.lit(0.0))
-                .otherwise(F.sum(F.round(F.col("precision") * k)) / (F.lit(k) * F.count(F.lit(1))))
-                .alias("precision")
-            )
-            cell = pu.select(F.lit(k).alias("k"), F.lit(str(t)).alias("thr"), "precision")
-            cells = cell if cells is None else cells.unionByName(cell)
-    pivot = cells.groupBy("k").pivot("thr", [str(t) for t in GRID_THRESHOLDS]).agg(F.first("precision"))
+    pivot = M.precision_grid(recs, P.part(spark, sf, "test"), GRID_K, GRID_THRESHOLDS)
     # floor(x * 1e6 + 0.5) / 1e6: identical in any IEEE engine, also on rounding halves
     return pivot.select(
         F.col("k").cast("int").alias("k"),
