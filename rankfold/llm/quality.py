@@ -134,4 +134,10 @@ def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     prefix = "_q_"
     while any(name.startswith(prefix) for name in docs.columns):
         prefix = "_" + prefix
-    return judge(docs, rules, prefix).where(F.col(prefix + "kept")).select(*[F.col(f"`{n}`") for n in docs.columns])
+    kept, _ = compile_rules(rules, prefix)
+    # a filter is not pushed below a row id, so the metrics are computed once by name and not
+    # spelled out, each inside the others, in one huge condition
+    judged = with_metrics(docs, prefix).select(
+        *[F.col(f"`{n}`") for n in docs.columns], kept.alias(prefix + "kept"), F.monotonically_increasing_id().alias(prefix + "row")
+    )
+    return judged.where(F.col(prefix + "kept") & (F.col(prefix + "row") >= 0)).select(*[F.col(f"`{n}`") for n in docs.columns])
