@@ -1,15 +1,19 @@
 """Column drift between a reference and a current table.
 
-Statistical rules follow the default preset of the drift library the reference
-calls [lib]: for a reference with more than 1000 rows a numeric column with more
-than 5 distinct reference values is tested with the normalised Wasserstein distance
-(W1 / population std of the reference, std floored at 0.001), any other column with
-the Jensen–Shannon distance (natural log, sqrt of the divergence); both drift at
->= 0.1.  For smaller references the preset uses p-value tests; here the two-sample
-KS statistic with its asymptotic p-value (< 0.05) stands for the numeric case and
-Pearson's chi-square with the regularised incomplete gamma for the categorical one
-[ours: asymptotic instead of exact].  The dataset drifts when the share of drifted
-columns reaches ``drift_share`` (0.5).
+Each column has one test, given by name or chosen by the preset of the drift library the
+reference calls [lib]:
+
+* ``wasserstein``    W1 / population std of the reference (std floored at 0.001), drift at >= 0.1
+* ``jensenshannon``  square root of the divergence (natural log), drift at >= 0.1
+* ``ks``             two-sample Kolmogorov-Smirnov, asymptotic p-value < 0.05
+* ``chisquare``      Pearson against the reference shares, p-value < 0.05
+* ``z``              two-sample proportions test of a column with two values, p-value < 0.05
+
+The preset takes a distance for references of more than 1000 rows and a p-value otherwise
+[ours: asymptotic instead of exact]; numeric columns with more than 5 different reference
+values count as continuous.  Pass ``tests`` to fix the test of a column whatever the size of
+the table.  String and boolean columns are categories.  The dataset drifts when the share of
+drifted columns reaches ``drift_share`` (0.5).
 
 Everything is computed from one merged histogram ``(column, value, c_ref, c_cur)``:
 running sums over values (distributed, see ``ordering.running_totals``) give both
@@ -35,42 +39,47 @@ STD_FLOOR = 0.001
 DRIFT_SHARE = 0.5
 
 
+CONTINUOUS_TESTS = ("wasserstein", "ks")
+CATEGORY_TESTS = ("jensenshannon", "chisquare", "z")
+
+
+def _is_category(df: DataFrame, column: str) -> bool:
+    return dict(df.dtypes)[column] in ("string", "boolean")
+
+
 def merged_histogram(reference: DataFrame, current: DataFrame, columns: list[str],
                      group: str | None = None) -> DataFrame:
-    """(feature, value, c_ref, c_cur) over the union of both tables' values (nulls dropped).
+    """(feature, value, category, c_ref, c_cur) over the union of both tables' values (nulls
+    dropped); numbers are in ``value``, strings and booleans in ``category``.
 
     With ``group``: ``current`` carries a report key, and the reference histogram (not its rows)
     is joined to the (report key, feature) pairs that have values.
     """
+    category = {c: _is_category(reference, c) for c in columns}
 
-    def long(df: DataFrame, side: str, keep: list[str]) -> DataFrame:
-        stacked = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in columns)
-        return df.selectExpr(*keep, f"stack({len(columns)}, {stacked}) AS (feature, value)").where(
-            F.col("value").isNotNull()
-        ).withColumn("side", F.lit(side))
-
-    keys = ["feature", "value"]
-    if group is None:
-        both = long(reference, "ref", []).unionByName(long(current, "cur", []))
-    else:
-        ref_hist = long(reference, "ref", []).groupBy("feature", "value", "side").agg(F.count(F.lit(1)).alias("_n"))
-        cur = long(current, "cur", [group]).groupBy(group, "feature", "value", "side").agg(F.count(F.lit(1)).alias("_n"))
-        ref_rep = ref_hist.join(cur.select(group, "feature").distinct(), "feature")
-        both = ref_rep.unionByName(cur)
-        keys = [group, *keys]
-        return both.groupBy(*keys).agg(
-            F.sum(F.when(F.col("side") == "ref", F.col("_n")).otherwise(0)).alias("c_ref"),
-            F.sum(F.when(F.col("side") == "cur", F.col("_n")).otherwise(0)).alias("c_cur"),
+    def counts(df: DataFrame, side: str, keep: list[str]) -> DataFrame:
+        stacked = ", ".join(
+            f"'{c}', CAST(NULL AS DOUBLE), CAST(`{c}` AS STRING)" if category[c] else f"'{c}', CAST(`{c}` AS DOUBLE), CAST(NULL AS STRING)"
+            for c in columns
+        )
+        long = df.selectExpr(*keep, f"stack({len(columns)}, {stacked}) AS (feature, value, category)").where(
+            F.col("value").isNotNull() | F.col("category").isNotNull()
         )
-    return both.groupBy(*keys).agg(
-        F.sum(F.when(F.col("side") == "ref", 1).otherwise(0)).alias("c_ref"),
-        F.sum(F.when(F.col("side") == "cur", 1).otherwise(0)).alias("c_cur"),
+        return long.groupBy(*keep, "feature", "value", "category").agg(F.count(F.lit(1)).alias("_n")).withColumn("side", F.lit(side))
+
+    keep = [group] if group else []
+    ref, cur = counts(reference, "ref", []), counts(current, "cur", keep)
+    if group:
+        ref = ref.join(cur.select(group, "feature").distinct(), "feature")
+    return ref.unionByName(cur).groupBy(*keep, "feature", "value", "category").agg(
+        F.sum(F.when(F.col("side") == "ref", F.col("_n")).otherwise(0)).alias("c_ref"),
+        F.sum(F.when(F.col("side") == "cur", F.col("_n")).otherwise(0)).alias("c_cur"),
     )
 
 
 def column_statistics(reference: DataFrame, current: DataFrame, columns: list[str],
                       group: str | None = None) -> DataFrame:
-    """Per column (and report key): n_ref, n_cur, n_unique_ref, std_ref, wasserstein, ks, js, chi2, dof."""
+    """Per column (and report key): n_ref, n_cur, n_unique_ref, std_ref, wasserstein, ks, js, chi2, z, dof."""
     g = [group] if group else []
     h = merged_histogram(reference, current, columns, group).withColumn("one", F.lit(1))
     totals = h.groupBy(*g, "feature").agg(
@@ -80,7 +89,7 @@ def column_statistics(reference: DataFrame, current: DataFrame, columns: list[st
         F.sum(F.col("c_ref") * F.col("value")).alias("_s1"),
         F.sum(F.col("c_ref") * F.col("value") * F.col("value")).alias("_s2"),
     )
-    rt = running_totals(h, ["value"], ["c_ref", "c_cur", "one"], group_cols=[*g, "feature"])
+    rt = running_totals(h, ["value", "category"], ["c_ref", "c_cur", "one"], group_cols=[*g, "feature"])
     nxt = rt.select(*g, "feature", (F.col("one_cum") - 1).alias("one_cum"), F.col("value").alias("next_value"))
     pts = rt.join(nxt, [*g, "feature", "one_cum"], "left").join(totals, [*g, "feature"])
     f_ref = F.col("c_ref_cum") / F.col("n_ref")
@@ -91,11 +100,15 @@ def column_statistics(reference: DataFrame, current: DataFrame, columns: list[st
     kl = lambda a: F.when(a > 0, a * F.log(a / m)).otherwise(0.0)
     # chi-square of current counts against reference shares (categories seen in the reference)
     expected = p * F.col("n_cur")
+    # two proportions with the pooled share; both values of a two-valued column give the same
+    pooled = (F.col("c_ref") + F.col("c_cur")) / (F.col("n_ref") + F.col("n_cur"))
+    spread = F.sqrt(pooled * (1 - pooled) * (1 / F.col("n_ref") + 1 / F.col("n_cur")))
     stats = pts.groupBy(*g, "feature").agg(
         F.sum(F.abs(f_ref - f_cur) * F.coalesce(F.col("next_value") - F.col("value"), F.lit(0.0))).alias("wasserstein_raw"),
         F.max(F.abs(f_ref - f_cur)).alias("ks"),
         F.sum(0.5 * kl(p) + 0.5 * kl(q)).alias("_jsd"),
         F.sum(F.when(expected > 0, (F.col("c_cur") - expected) ** 2 / expected).otherwise(0.0)).alias("chi2"),
+        F.max(F.when(spread > 0, F.abs(p - q) / spread).otherwise(0.0)).alias("z"),
         F.sum(F.when(F.col("c_ref") > 0, 1).otherwise(0)).alias("_k"),
     )
     var = F.col("_s2") / F.col("n_ref") - (F.col("_s1") / F.col("n_ref")) ** 2
@@ -110,6 +123,7 @@ def column_statistics(reference: DataFrame, current: DataFrame, columns: list[st
         "ks",
         F.sqrt(F.greatest(F.col("_jsd"), F.lit(0.0))).alias("js"),
         "chi2",
+        "z",
         (F.col("_k") - 1).cast("bigint").alias("dof"),
     )
 
@@ -159,63 +173,65 @@ def _chi2_sf(x: float, dof: int) -> float:
 
 
 def drift_columns(reference: DataFrame, current: DataFrame, columns: list[str], threshold: float = DISTANCE_THRESHOLD,
-                  group: str | None = None) -> DataFrame:
-    """Per column: chosen test, statistic, threshold and drift flag (distance tests are
-    pure column expressions; p-values for small references are applied per row with
-    built-in math on the one-row-per-column table)."""
+                  group: str | None = None, tests: dict[str, str] | None = None) -> DataFrame:
+    """Per column: test, statistic and threshold.  ``tests`` names the test of a column; columns
+    it leaves out follow the preset."""
+    tests = tests or {}
+    for column, test in tests.items():
+        if test not in (*CONTINUOUS_TESTS, *CATEGORY_TESTS):
+            raise ValueError(f"unknown drift test {test!r} of column {column!r}")
+        if column in columns and test in CONTINUOUS_TESTS and _is_category(reference, column):
+            raise ValueError(f"column {column!r} is a category; {test!r} needs numbers")
     st = column_statistics(reference, current, columns, group)
-    big = F.col("n_ref") > BIG_REFERENCE_ROWS
-    numeric = F.col("n_unique_ref") > FEW_UNIQUE
     wass = F.col("wasserstein_raw") / F.greatest(F.col("std_ref"), F.lit(STD_FLOOR))
+    big = F.col("n_ref") > BIG_REFERENCE_ROWS
+    continuous = ~F.col("feature").isin([c for c in columns if _is_category(reference, c)]) & (F.col("n_unique_ref") > FEW_UNIQUE)
     test = (
-        F.when(big & numeric, F.lit("wasserstein"))
-        .when(big, F.lit("jensenshannon"))
-        .when(numeric, F.lit("ks"))
-        .otherwise(F.lit("chisquare"))
+        F.when(big & continuous, F.lit("wasserstein")).when(big, F.lit("jensenshannon")).when(continuous, F.lit("ks"))
+        .when(F.col("n_unique_ref") > 2, F.lit("chisquare")).otherwise(F.lit("z"))
     )
-    statistic = (
-        F.when(big & numeric, wass).when(big, F.col("js")).when(numeric, F.col("ks")).otherwise(F.col("chi2"))
-    )
-    return st.select(
+    for column, name in tests.items():
+        test = F.when(F.col("feature") == column, F.lit(name)).otherwise(test)
+    by_test = {"wasserstein": wass, "jensenshannon": F.col("js"), "ks": F.col("ks"), "chisquare": F.col("chi2"), "z": F.col("z")}
+    statistic = F.lit(None).cast("double")
+    for name, value in by_test.items():
+        statistic = F.when(F.col("stattest") == name, value).otherwise(statistic)
+    distance = F.col("stattest").isin("wasserstein", "jensenshannon")
+    return st.withColumn("stattest", test).withColumn("_statistic", statistic).select(
         *([group] if group else []),
-        "feature", "n_ref", "n_cur", "n_unique_ref",
-        test.alias("stattest"),
-        F.round(statistic, 6).alias("statistic"),
+        "feature", "n_ref", "n_cur", "n_unique_ref", "stattest",
+        F.round("_statistic", 6).alias("statistic"),
         F.round(F.col("ks"), 6).alias("ks_statistic"),
         "dof",
-        big.alias("_big"),
-        F.col("chi2").alias("_chi2"),
-        F.col("ks").alias("_ks"),
-        wass.alias("_w"),
-        F.col("js").alias("_js"),
-    ).withColumn("threshold", F.when(F.col("_big"), F.lit(threshold)).otherwise(F.lit(P_VALUE_THRESHOLD)))
+        "_statistic",
+        F.when(distance, F.lit(threshold)).otherwise(F.lit(P_VALUE_THRESHOLD)).alias("threshold"),
+    )
 
 
 def finalize_small_tests(cols: DataFrame) -> DataFrame:
-    """Add p-values for the small-reference tests and the drift flag.
+    """Add the drift flag; p-values where the test has one.
 
     The table has one row per column (bounded by the column count), so the p-value
     helpers run in a Pandas UDF over that tiny table.
     """
     @F.pandas_udf("double")
-    def p_value(test: pd.Series, ks: pd.Series, chi2: pd.Series, dof: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
+    def p_value(test: pd.Series, x: pd.Series, dof: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
         out = []
-        for t, d, x, k, a, b in zip(test, ks, chi2, dof, n, m, strict=True):
+        for t, v, k, a, b in zip(test, x, dof, n, m, strict=True):
             if t == "ks":
-                out.append(_ks_p_value(float(d), int(a), int(b)))
+                out.append(_ks_p_value(float(v), int(a), int(b)))
             elif t == "chisquare":
-                out.append(_chi2_sf(float(x), int(k)))
+                out.append(_chi2_sf(float(v), int(k)))
+            elif t == "z":
+                out.append(math.erfc(float(v) / math.sqrt(2.0)))
             else:
                 out.append(float("nan"))
         return pd.Series(out, dtype="float64")
 
-    pv = p_value("stattest", "_ks", "_chi2", "dof", "n_ref", "n_cur")
-    drifted = (
-        F.when(F.col("_big") & (F.col("stattest") == "wasserstein"), F.col("_w") >= F.col("threshold"))
-        .when(F.col("_big"), F.col("_js") >= F.col("threshold"))
-        .otherwise(pv < F.col("threshold"))
-    )
-    return cols.withColumn("drifted", drifted).drop("_big", "_chi2", "_ks", "_w", "_js")
+    pv = p_value("stattest", "_statistic", "dof", "n_ref", "n_cur")
+    distance = F.col("stattest").isin("wasserstein", "jensenshannon")
+    drifted = F.when(distance, F.col("_statistic") >= F.col("threshold")).otherwise(pv < F.col("threshold"))
+    return cols.withColumn("drifted", drifted).drop("_statistic")
 
 
 def drift_summary(columns_df: DataFrame, drift_share: float = DRIFT_SHARE, group: str | None = None) -> DataFrame:

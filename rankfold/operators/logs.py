@@ -188,7 +188,34 @@ def alert_ticks_from_windows(w: DataFrame) -> DataFrame:
     )
 
 
-ALERT_HOLD_SECONDS = {"RecsysHighErrorRate": 300, "RecsysModelColdStart": 120}
+DRIFT_ALERT = "EvidentlyDriftDetected"
+# fixed values: how long each rule's condition must hold
+ALERT_HOLD_SECONDS = {"RecsysHighErrorRate": 300, "RecsysModelColdStart": 120, DRIFT_ALERT: 600}
+
+
+def status_alerts(reports: DataFrame, ts_col: str, flag_col: str, alert: str, hold_seconds: int) -> DataFrame:
+    """Alerts on a status that keeps its value until the next report: stretches of true reports
+    that last ``hold_seconds``, the last report lasting until its own time.
+
+    ``reports`` has one row per report, so its rows are few; islands are found as in
+    :func:`sustained_alerts`, on report times instead of evaluation ticks.
+    """
+    from pyspark.sql import Window  # noqa: PLC0415
+
+    order = Window.partitionBy("alert").orderBy(ts_col)
+    marked = (
+        reports.withColumn("alert", F.lit(alert))
+        .withColumn("_before", F.lag(flag_col).over(order))
+        .withColumn("_until", F.coalesce(F.lead(ts_col).over(order), F.col(ts_col)))
+        .withColumn("_new", (F.col(flag_col) & ~F.coalesce("_before", F.lit(False))).cast("int"))
+        .withColumn("_island", F.sum("_new").over(order))
+        .where(F.col(flag_col))
+    )
+    hold = F.make_dt_interval(secs=F.lit(hold_seconds))
+    islands = marked.groupBy("alert", "_island").agg(F.min(ts_col).alias("pending_since"), F.max("_until").alias("last_true"))
+    return islands.where(F.col("last_true") >= F.col("pending_since") + hold).select(
+        "alert", "pending_since", (F.col("pending_since") + hold).alias("firing_since"), "last_true"
+    )
 
 
 # ------------------------------------------------------------------ searches, records
@@ -233,36 +260,43 @@ def log_level(log: DataFrame) -> Column:
     return F.when(F.col("status") == "error", F.lit("ERROR")).otherwise(F.lit("INFO"))
 
 
+# (filter, columns, sort column of the stored search)
 # predicates are written on the source columns (event_type, value, user_id) through the
 # view's mapping, so Parquet receives them as pushed filters
 SAVED_SEARCHES = {
     "slow_requests": (
         lambda log: endpoint_in("/recommend") & (F.col("latency_ms") > SLOW_REQUEST_MS),
         ["request_id", "ts", "user_id", "endpoint", "latency_ms", "cold_start", "top_k"],
+        "latency_ms",
     ),
     "failed_requests": (
         lambda log: endpoint_in("/recommend", "/recommend/batch", "/similar") & status_is("error"),
         ["request_id", "ts", "user_id", "endpoint", "status"],
+        "ts",
     ),
     "cold_start_requests": (
         lambda log: F.col("event_type") == COLD_START_EVENT,
         ["request_id", "ts", "user_id", "endpoint", "top_k", "latency_ms"],
+        "ts",
     ),
     "requests_by_user": (
         lambda log: F.col("user_id").isNotNull() & endpoint_in("/recommend", "/recommend/batch"),
         ["request_id", "ts", "user_id", "endpoint", "latency_ms", "cold_start"],
+        "ts",
     ),
     "errors_and_warnings": (
         # level ERROR is the error status; the view has no WARNING/CRITICAL rows
         lambda log: status_is("error"),
         ["request_id", "ts", "user_id", "endpoint", "latency_ms", "status"],
+        "ts",
     ),
 }
 
 
 def saved_search(log: DataFrame, name: str) -> DataFrame:
-    cond, cols = SAVED_SEARCHES[name]
-    return log.where(cond(log)).select(*cols)
+    """A stored search: its filter, its columns and its sort (descending, ties by request_id)."""
+    cond, cols, sort = SAVED_SEARCHES[name]
+    return log.where(cond(log)).select(*cols).orderBy(F.col(sort).desc(), F.col("request_id"))
 
 
 def decode_props(log: DataFrame) -> DataFrame:
@@ -273,18 +307,19 @@ def decode_props(log: DataFrame) -> DataFrame:
     )
 
 
-def shape_for_sink(log: DataFrame) -> DataFrame:
-    """Rename fields for the log index and add the daily partition column ``dt``."""
-    return log.select(
-        F.col("event_type").alias("log_event"),
-        F.lit("api").alias("service_name"),
-        "request_id",
-        "ts",
-        "user_id",
-        "endpoint",
-        "status",
-        "latency_ms",
-        F.to_date("ts").alias("dt"),
+# fixed values: the log shipper's services and renamed fields
+SHIPPED_SERVICES = ("api", "mlflow", "airflow", "evidently")
+RENAMED_FIELDS = {"event": "log_event", "service": "service_name", "user_agent": "http_user_agent"}
+
+
+def shape_for_sink(log: DataFrame, ts_col: str = "ts") -> DataFrame:
+    """Rows of the shipped services, without the decoded ``timestamp``, with the fields renamed
+    that the index reserves (absent fields are left out), and the daily partition column ``dt``."""
+    shipped = F.lit(False)
+    for service in SHIPPED_SERVICES:
+        shipped |= F.col("container_name").contains(service)
+    return (
+        log.where(shipped).drop("timestamp").withColumnsRenamed(RENAMED_FIELDS).withColumn("dt", F.to_date(ts_col))
     )
 
 

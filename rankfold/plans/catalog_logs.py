@@ -201,12 +201,16 @@ def q_log_decode(spark, sf):
 @register(
     "log_shaping",
     S.with_ctes(
-        "SELECT event_type AS log_event, 'api' AS service_name, request_id, ts, user_id, endpoint, status, latency_ms, "
-        "CAST(ts AS DATE) AS dt FROM request_log"
+        "SELECT container_name, event_type AS log_event, split_part(container_name, '-', 2) AS service_name, "
+        "'client/' || CAST(user_id % 7 AS VARCHAR) AS http_user_agent, request_id, ts, user_id, endpoint, status, latency_ms, "
+        "CAST(ts AS DATE) AS dt FROM (SELECT *, CASE event_type WHEN 'purchase' THEN 'recsys-mlflow-1' WHEN 'view' THEN 'recsys-redis-1' "
+        "ELSE 'recsys-api-1' END AS container_name FROM request_log) "
+        "WHERE contains(container_name, 'api') OR contains(container_name, 'mlflow') OR contains(container_name, 'airflow') "
+        "OR contains(container_name, 'evidently')"
     ),
 )
 def q_log_shaping(spark, sf):
-    return L.shape_for_sink(log(spark, sf))
+    return L.shape_for_sink(tables.container_log(spark, sf))
 
 
 @register(

@@ -8,7 +8,7 @@ from rankfold.streaming import logs as SL
 
 @register("request_rate_stream", ORACLES["request_rate"])
 def q_request_rate_stream(spark, sf):
-    """Sliding-window request rate computed by a Structured Streaming query (complete mode)."""
+    """Sliding-window request rate computed by a Structured Streaming query (append mode, flushed)."""
     return SL.request_rate_stream(spark, sf)
 
 
@@ -17,11 +17,10 @@ def q_requests_by_endpoint_stream(spark, sf):
     return SL.requests_by_endpoint_stream(spark, sf)
 
 
-@register("sustained_alerts_stream")
+@register("sustained_alerts_stream", ORACLES["sustained_alerts"])
 def q_sustained_alerts_stream(spark, sf):
     """Sustained-threshold alerts from two chained streaming queries (append mode with
-    watermarks, stateful islands per alert): rows-only, since islands still open at the
-    end of the input are not emitted."""
+    watermarks, stateful islands per alert, open ones flushed at the end of the input)."""
     return SL.sustained_alerts_stream(spark, sf)
 
 

@@ -21,8 +21,16 @@ from rankfold.sources import tables
 _MEMO: dict[tuple, Any] = {}
 
 
+def _state(spark: SparkSession, sf_dir: str) -> tuple:
+    """Names, sizes and modification times below the folder: rewritten data get new stages."""
+    jvm = spark.sparkContext._jvm  # noqa: SLF001 - Hadoop filesystem call
+    path = jvm.org.apache.hadoop.fs.Path(sf_dir)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())  # noqa: SLF001
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(path)))
+
+
 def _memo(spark: SparkSession, sf_dir: str, key: tuple, build: Callable[[], Any]) -> Any:
-    full = (spark.sparkContext.applicationId, sf_dir, *key)
+    full = (spark.sparkContext.applicationId, sf_dir, _state(spark, sf_dir), *key)
     if full not in _MEMO:
         _MEMO[full] = build()
     return _MEMO[full]

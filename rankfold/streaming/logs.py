@@ -3,13 +3,15 @@
 The same functions as the batch path (``rankfold.operators.logs``) run on a
 streaming DataFrame read from the events Parquet files.  Event time is cast to
 TIMESTAMP (watermarks require it; the session time zone is UTC).  Results go to a
-Parquet table in the shared checkpoint folder via ``foreachBatch`` — no driver-side
-memory sink — and the query's own checkpoint lives next to it, so a restarted
-query resumes exactly where it stopped.
+Parquet table via ``foreachBatch`` — no driver-side memory sink — one folder per
+micro-batch, overwritten when a batch is replayed, with the query's own checkpoint
+next to it.  With a ``folder`` of the caller a restarted query resumes where it
+stopped and its table has no duplicates; without one it runs once in a new folder.
 """
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,19 +37,26 @@ def _scratch(spark: SparkSession, name: str) -> str:
     return f"{root}/stream-{name}-{uuid.uuid4().hex[:12]}"
 
 
-def run_to_table(df: DataFrame, name: str, output_mode: str = "complete") -> DataFrame:
+def _folders(spark: SparkSession, path: str) -> list[str]:
+    """Names below a path of any Hadoop filesystem; none if it does not exist."""
+    jvm = spark.sparkContext._jvm  # noqa: SLF001 - Hadoop filesystem call
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())  # noqa: SLF001
+    return sorted(status.getPath().getName() for status in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def run_to_table(df: DataFrame, name: str, output_mode: str = "complete", folder: str | None = None) -> DataFrame:
     """Run a streaming query over everything available now and return its result table.
 
-    ``complete`` rewrites the whole result each micro-batch; ``append`` adds the rows
-    each batch finalises.  Both go through ``foreachBatch`` into Parquet.
+    Each micro-batch writes ``table/epoch=<id>`` and overwrites it when replayed.  ``complete``
+    results are those of the last epoch, ``append`` results those of all.
     """
     spark = df.sparkSession
-    base = _scratch(spark, name)
+    base = (folder or _scratch(spark, name)).rstrip("/")
     out = f"{base}/table"
 
     def sink(batch: DataFrame, epoch_id: int) -> None:
-        mode = "overwrite" if output_mode == "complete" else "append"
-        batch.write.mode(mode).parquet(out)
+        batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch_id}")
 
     q = (
         df.writeStream.outputMode(output_mode)
@@ -59,10 +68,11 @@ def run_to_table(df: DataFrame, name: str, output_mode: str = "complete") -> Dat
     q.awaitTermination()
     if q.exception() is not None:
         raise q.exception()
-    try:
-        return spark.read.parquet(out)
-    except Exception:  # noqa: BLE001 - no batch produced output
+    epochs = sorted(int(f.partition("=")[2]) for f in _folders(spark, out) if f.startswith("epoch="))
+    if not epochs:
         return spark.createDataFrame([], df.schema)
+    chosen = epochs[-1:] if output_mode == "complete" else epochs
+    return spark.read.schema(df.schema).parquet(*[f"{out}/epoch={e}" for e in chosen])
 
 
 def windowed_counts_stream(log: DataFrame, watermark: str | None = None) -> DataFrame:
@@ -81,9 +91,25 @@ def windowed_counts_stream(log: DataFrame, watermark: str | None = None) -> Data
     )
 
 
-def request_rate_stream(spark: SparkSession, sf_dir: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    counts = run_to_table(windowed_counts_stream(event_stream(spark, sf_dir, max_files_per_trigger)),
-                          "request-rate", "complete")
+def flushed_windows(finalized: DataFrame, spark: SparkSession, sf_dir: str, watermark: str) -> DataFrame:
+    """``finalized`` (append-mode windows) and the windows that the watermark has not closed when
+    the input ends, counted from the events of the last watermark and window only."""
+    log = tables.request_log(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    last = log.agg((F.max("ts") - F.expr(f"INTERVAL {watermark}") - F.expr(f"INTERVAL {L.RULE_WINDOW}")).alias("t")).first()["t"]
+    tail = windowed_counts_stream(log.where(F.col("ts") >= F.lit(last))) if last is not None else windowed_counts_stream(log)
+    # a window that begins before the first event read is whole only in the finalised table
+    whole = tail.where(F.col("window_start") >= F.lit(last).cast("timestamp_ntz")) if last is not None else tail
+    return finalized.unionByName(whole.join(finalized.select("window_start"), "window_start", "left_anti").select(*finalized.columns))
+
+
+def request_rate_stream(
+    spark: SparkSession, sf_dir: str, max_files_per_trigger: int | None = None, watermark: str = "10 minutes", folder: str | None = None
+) -> DataFrame:
+    """Append mode: the watermark bounds the state; windows still open at the end are flushed."""
+    counts = flushed_windows(
+        run_to_table(windowed_counts_stream(event_stream(spark, sf_dir, max_files_per_trigger), watermark), "request-rate", "append", folder),
+        spark, sf_dir, watermark,
+    )
     return counts.select(
         "window_start", "window_end", "requests",
         F.round(F.col("requests") / F.lit(float(L.RULE_WINDOW_SECONDS)), 6).alias("rate_per_s"),
@@ -138,29 +164,25 @@ def _alert_state_fn(hold_steps: dict[str, int]):
     return fn
 
 
+# far beyond any event: a tick that ends every open island and begins one that is never long enough
+_END_OF_INPUT = dt.datetime(2200, 1, 1)
+
+
 def sustained_alerts_stream(spark: SparkSession, sf_dir: str, watermark: str = "10 minutes") -> DataFrame:
     """Two chained streaming queries.  1) sliding-window counts in append mode (each
-    window final once the watermark passes it) into a Parquet table; 2) that table read
-    as a stream, rule ticks per alert, and ``applyInPandasWithState`` keyed by alert
-    keeping the open island (first, last tick) with an event-time timeout.  Islands
-    held at least the rule's ``for`` duration are emitted once closed; islands still
-    open when the input ends stay in state."""
+    window final once the watermark passes it), with the windows still open at the end
+    flushed; 2) that table read as a stream, rule ticks per alert, and
+    ``applyInPandasWithState`` keyed by alert keeping the open island (first, last tick)
+    with an event-time timeout.  Islands held at least the rule's ``for`` duration are
+    emitted once closed; the end of the input closes those still open."""
     from pyspark.sql.streaming.state import GroupStateTimeout  # noqa: PLC0415
 
     base = _scratch(spark, "alerts")
-    windows = windowed_counts_stream(event_stream(spark, sf_dir), watermark)
-    q1 = (
-        windows.writeStream.outputMode("append").format("parquet")
-        .option("path", f"{base}/windows").option("checkpointLocation", f"{base}/windows-ckpt")
-        .trigger(availableNow=True).start()
-    )
-    q1.awaitTermination()
+    finalized = run_to_table(windowed_counts_stream(event_stream(spark, sf_dir), watermark), "alerts", "append", f"{base}/counts")
+    windows = flushed_windows(finalized, spark, sf_dir, watermark)
     schema = "window_start timestamp_ntz, window_end timestamp_ntz, requests long, errors long, cold_starts long"
-    try:
-        spark.read.parquet(f"{base}/windows").schema  # noqa: B018 - fails when nothing was finalised
-    except Exception:  # noqa: BLE001
-        return spark.createDataFrame([], "alert string, pending_since timestamp_ntz, firing_since timestamp_ntz, "
-                                         "last_true timestamp_ntz")
+    end = spark.createDataFrame([(_END_OF_INPUT, _END_OF_INPUT, 1, 1, L.COLD_START_SPIKE + 1)], schema)
+    windows.select("window_start", "window_end", "requests", "errors", "cold_starts").unionByName(end).write.parquet(f"{base}/windows")
     fin = spark.readStream.schema(schema).parquet(f"{base}/windows")
     ticks = L.alert_ticks_from_windows(fin).withColumn(
         "tick_ts", F.timestamp_seconds(F.col("tick") * L.EVAL_INTERVAL_SECONDS)

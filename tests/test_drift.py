@@ -53,3 +53,29 @@ def test_grouped_reports_equal_single_reports(spark):
         assert grouped[g].statistic == single.statistic
         assert grouped[g].drifted == single.drifted
     assert grouped["b"].drifted and not grouped["a"].drifted
+
+
+def test_named_tests_on_strings_and_flags(spark):
+    rng = np.random.default_rng(4)
+    ref = pd.DataFrame({"s": rng.choice(["a", "b", "c"], 400), "f": rng.random(400) < 0.5, "x": rng.normal(size=400)})
+    cur = pd.DataFrame({"s": rng.choice(["a", "b", "c"], 400, p=[0.7, 0.2, 0.1]), "f": rng.random(400) < 0.52, "x": rng.normal(size=400)})
+    tests = {"s": "chisquare", "f": "z", "x": "wasserstein"}
+    rows = {r.feature: r for r in D.finalize_small_tests(
+        D.drift_columns(spark.createDataFrame(ref), spark.createDataFrame(cur), ["s", "f", "x"], tests=tests)).collect()}
+    assert {c: r.stattest for c, r in rows.items()} == tests
+    assert rows["s"].drifted and rows["f"].drifted == (rows["f"].statistic > 1.959964) and not rows["x"].drifted
+    p, q = ref.f.mean(), cur.f.mean()
+    pool = (ref.f.sum() + cur.f.sum()) / 800
+    assert abs(rows["f"].statistic - abs(p - q) / np.sqrt(pool * (1 - pool) / 200)) < 1e-6
+    expected = ref.s.value_counts(normalize=True) * 400
+    assert abs(rows["s"].statistic - ((cur.s.value_counts() - expected) ** 2 / expected).sum()) < 1e-6
+
+
+def test_a_number_test_on_strings_is_refused(spark):
+    import pytest
+
+    t = spark.createDataFrame([("a",)], "s string")
+    with pytest.raises(ValueError):
+        D.drift_columns(t, t, ["s"], tests={"s": "ks"})
+    with pytest.raises(ValueError):
+        D.drift_columns(t, t, ["s"], tests={"s": "nope"})

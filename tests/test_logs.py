@@ -1,6 +1,7 @@
 """Request-log analytics and streaming = batch."""
 
 import datetime as dt
+import os
 
 from pyspark.sql import functions as F
 
@@ -41,28 +42,65 @@ def test_stream_alerts_are_batch_alerts(spark, small_dir):
     batch = {tuple(r) for r in L.sustained_alerts(L.alert_ticks(tables.request_log(spark, small_dir)),
                                                   L.ALERT_HOLD_SECONDS).collect()}
     stream = {tuple(r) for r in SL.sustained_alerts_stream(spark, small_dir).collect()}
-    assert stream <= batch
-    assert len(stream) >= len(batch) - 2
+    assert stream == batch
 
 
 def test_daily_sink_partitions_by_date(spark, small_dir):
     import tempfile
 
     path = tempfile.mkdtemp(prefix="rankfold-logs-") + "/index"
-    log = tables.request_log(spark, small_dir)
+    log = tables.container_log(spark, small_dir)
     L.write_daily(log, path)
     back = spark.read.parquet(path)
-    assert back.count() == log.count()
-    assert "dt" in back.columns and back.select("dt").distinct().count() == log.select(F.to_date("ts")).distinct().count()
+    shipped = log.where(~F.col("container_name").contains("redis"))
+    assert 0 < back.count() == shipped.count() < log.count()
+    assert not {"timestamp", "event", "service", "user_agent"} & set(back.columns)
+    assert {"log_event", "service_name", "http_user_agent", "dt"} <= set(back.columns)
+    assert back.select("dt").distinct().count() == shipped.select(F.to_date("ts")).distinct().count()
+
+
+def test_saved_searches_keep_their_sort(spark, small_dir):
+    rows = L.saved_search(tables.request_log(spark, small_dir), "failed_requests").collect()
+    assert rows == sorted(rows, key=lambda r: (-r.ts.timestamp(), r.request_id)) and rows
+
+
+def test_status_alert_needs_ten_minutes(spark):
+    t = lambda m: dt.datetime(2024, 1, 1, 0, m)
+    reports = spark.createDataFrame(
+        [(t(0), False), (t(5), True), (t(9), True), (t(20), False), (t(30), True), (t(35), False), (t(50), True)], "ts timestamp_ntz, d boolean"
+    )
+    out = L.status_alerts(reports, "ts", "d", "A", 600).collect()
+    assert [(r.pending_since, r.firing_since, r.last_true) for r in out] == [(t(5), t(15), t(20))]
+
+
+def test_restarted_stream_resumes_without_duplicates(spark, small_dir):
+    import shutil
+    import tempfile
+
+    scratch = tempfile.mkdtemp(prefix="rankfold-restart-")
+    spark.read.parquet(f"{small_dir}/events.parquet").orderBy("event_id").repartition(4, "event_id").write.parquet(f"{scratch}/all")
+    parts = sorted(f for f in os.listdir(f"{scratch}/all") if f.endswith(".parquet"))
+    run, folder = f"{scratch}/run", f"{scratch}/events.parquet"
+    os.makedirs(folder)
+    for step in (parts[:2], parts[2:], []):  # stop, new files, restart; then a restart without any
+        for f in step:
+            shutil.copy(f"{scratch}/all/{f}", f"{folder}/{f}")
+        out = SL.run_to_table(SL.L.access_log(SL.event_stream(spark, scratch, 1)), "restart", "append", run)
+    assert out.count() == out.select("request_id").distinct().count() == spark.read.parquet(f"{scratch}/all").count()
+    # a replayed batch overwrites its own epoch
+    spark.read.parquet(f"{run}/table/epoch=0").limit(0).write.mode("overwrite").parquet(f"{run}/replayed")
+    assert SL.run_to_table(SL.L.access_log(SL.event_stream(spark, scratch, 1)), "restart", "append", run).count() == out.count()
 
 
 def test_multi_batch_stream_equals_batch(spark, small_dir):
-    """Events split over 4 files, one file per micro-batch: window state carries over."""
+    """Events split over 4 files in time order, one file per micro-batch: window state carries over."""
     import tempfile
 
     scratch = tempfile.mkdtemp(prefix="rankfold-stream-")
-    spark.read.parquet(f"{small_dir}/events.parquet").orderBy("event_id").repartition(4, "event_id") \
-        .write.parquet(f"{scratch}/events.parquet")
+    folder = f"{scratch}/events.parquet"
+    spark.read.parquet(f"{small_dir}/events.parquet").repartitionByRange(4, "ts").write.parquet(folder)
+    for i, name in enumerate(sorted(f for f in os.listdir(folder) if f.endswith(".parquet"))):
+        os.utime(f"{folder}/{name}", (1_700_000_000 + i, 1_700_000_000 + i))  # files are read by age
     batch = L.request_rate(tables.request_log(spark, small_dir)).orderBy("window_start").collect()
     stream = SL.request_rate_stream(spark, scratch, max_files_per_trigger=1).orderBy("window_start").collect()
     assert batch == stream

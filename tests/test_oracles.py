@@ -27,7 +27,7 @@ def test_query_matches_oracle(spark, con, small_dir, name):
 
 ROWS_ONLY = {
     "recommend_als", "als_evaluation", "recommend_hybrid", "item_representation", "hybrid_evaluation", "als_grid",
-    "als_best_test", "model_comparison", "sustained_alerts_stream",
+    "als_best_test", "model_comparison",
 }
 
 
