@@ -32,6 +32,8 @@ DEFAULT_CONF = {
 # a local master needs no address that other machines can reach
 LOCAL_CONF = {"spark.driver.bindAddress": "127.0.0.1", "spark.driver.host": "127.0.0.1"}
 
+ARROW_BATCH_BYTES = 8 << 20
+
 _SHIPPED = "_rankfold_shipped"
 
 
@@ -57,8 +59,7 @@ def build_session(
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
-    ship_package(spark)
+    configure_session(spark)
     return spark
 
 
@@ -107,9 +108,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def configure_session(spark: SparkSession) -> None:
-    """Runtime settings the results depend on: epoch seconds ↔ calendar fields in UTC.
-    Everything else (AQE, partitions, memory) is left to the cluster's configuration."""
+    """Runtime settings the results depend on: epoch seconds ↔ calendar fields in UTC; and small
+    Arrow batches, since some rows are arrays of several MB.  Everything else (AQE, partitions,
+    memory) is left to the cluster's configuration."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
     ensure_checkpoint_dir(spark)
     ship_package(spark)
 
