@@ -148,12 +148,12 @@ def item_feature_matrix(item_map: DataFrame, movies: DataFrame, vocab: DataFrame
     """Identity + genre features with L1-normalised rows: (item_idx, feature_id, weight).
 
     Feature ids: the item's own index for its identity feature, n_items + genre_id for
-    genres; every feature of an item weighs 1 / (1 + number of its genres).
+    genres; every feature of an item weighs 1 / (1 + number of its different genres).
     """
     n_items = item_map.count()
     items = item_map.select(F.col("original_id").alias("movieId"), F.col("encoded_id").alias("item_idx"))
     ig = movies.join(items, "movieId").select("item_idx", F.explode(parse_genres("genres")).alias("genre"))
-    genre_feats = ig.join(vocab, "genre").select("item_idx", (F.lit(n_items) + F.col("genre_id")).alias("feature_id"))
+    genre_feats = ig.join(vocab, "genre").select("item_idx", (F.lit(n_items) + F.col("genre_id")).alias("feature_id")).distinct()
     identity = items.select("item_idx", F.col("item_idx").alias("feature_id"))
     feats = identity.unionByName(genre_feats)
     size = feats.groupBy("item_idx").agg(F.count(F.lit(1)).alias("_k"))

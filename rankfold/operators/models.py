@@ -1,17 +1,20 @@
 """Model-based recommenders: content-based (genre profiles) and implicit ALS.
 
-Both score users against the catalogue with the blocked scorer
-(``rankfold.operators.vectors``): each user keeps its best ``n + s`` candidates
-(s = number of its seen items), seen pairs are removed with an anti-join, and the
-first ``n`` remain — exact, with no user × catalogue table.
+Both score users against the catalogue with the sliced scorer (``rankfold.operators.vectors``),
+which masks each user's seen items and keeps its best ``n``: exact, with no user × catalogue table.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankfold.operators.vectors import blocked_top_scores
+from rankfold.operators.vectors import RANK_DIGITS, candidate_slices, top_scores, vectors_of
+from rankfold.session import materialize
 
 
 def dense_from_long(long_df: DataFrame, key: str, idx: str, val: str, dim: int, out: str = "vec") -> DataFrame:
@@ -51,20 +54,8 @@ def recommend_scored(
     item_col: str = "movie_idx",
 ) -> DataFrame:
     """Top-n unseen items per user by vector score (exact; see module doc)."""
-    s = seen.groupBy(user_col).agg(F.count(F.lit(1)).alias("_s"))
-    left = user_vecs.join(s, user_col, "left").select(
-        user_col, "vec", (F.lit(n) + F.coalesce(F.col("_s"), F.lit(0))).alias("_keep")
-    )
-    top = blocked_top_scores(left, item_vecs, "_keep", user_col, item_col, "vec", "vec",
-                             cosine=cosine, out_key=item_col, out_score="score")
-    unseen = top.join(seen.select(user_col, F.col(item_col).cast("long").alias(item_col)), [user_col, item_col], "left_anti")
-    w = Window.partitionBy(user_col).orderBy(F.col("rank"))
-    return (
-        unseen.withColumn("_r", F.row_number().over(w))
-        .where(F.col("_r") <= n)
-        .select(F.col(user_col).cast("int").alias(user_col), F.col(item_col).cast("int").alias(item_col),
-                "score", F.col("_r").alias("rank"))
-    )
+    top = top_scores(user_vecs, item_vecs, n, user_col, item_col, cosine=cosine, seen=seen, out_key=item_col, out_score="score")
+    return top.select(F.col(user_col).cast("int").alias(user_col), F.col(item_col).cast("int").alias(item_col), "score", "rank")
 
 
 def als_factors(
@@ -178,6 +169,55 @@ def lightfm_style_precision_recall(
     )
 
 
+def score_row(matrix: np.ndarray, vec: np.ndarray) -> np.ndarray:
+    """A user's rounded scores.  One user at a time, so that a score is the same number whenever
+    it is computed again against the same slice."""
+    return np.round(matrix @ vec, RANK_DIGITS)
+
+
+def _marked_scores(candidates):
+    """(user, vec, items, t) to a row (user, score, t, p) for each of the user's items of the slice."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        right = candidates.value
+        for batch in batches:
+            out: list[tuple] = []
+            for user, vec, items, flags in zip(batch.column("u").to_pylist(), vectors_of(batch.column("vec")), batch.column("items").to_pylist(), batch.column("t").to_pylist(), strict=True):
+                items = np.asarray(items, dtype=np.int64)
+                at = np.minimum(np.searchsorted(right.ids, items), len(right.ids) - 1)
+                known = right.ids[at] == items
+                if known.any():
+                    scores = score_row(right.matrix, vec)[at[known]]
+                    out.append((np.full(len(scores), user), scores, np.asarray(flags)[known]))
+            users, scores, flags = (np.concatenate([o[i] for o in out]) if out else np.zeros(0) for i in range(3))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(users.astype(np.int64)), pa.array(scores.astype(float)), pa.array(flags.astype(np.int64)), pa.array(1 - flags.astype(np.int64))],
+                names=["u", "score", "t", "p"],
+            )
+
+    return run
+
+
+def _counts_below(candidates):
+    """(user, vec, scores) to the number of the slice's items below and at each of the scores."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        right = candidates.value
+        for batch in batches:
+            out: list[tuple] = []
+            for user, vec, scores in zip(batch.column("u").to_pylist(), vectors_of(batch.column("vec")), batch.column("scores").to_pylist(), strict=True):
+                row, scores = np.sort(score_row(right.matrix, vec)), np.asarray(scores)
+                below = np.searchsorted(row, scores, side="left")
+                out.append((np.full(len(scores), user), scores, below, np.searchsorted(row, scores, side="right") - below))
+            users, scores, below, equal = (np.concatenate([o[i] for o in out]) if out else np.zeros(0) for i in range(4))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(users.astype(np.int64)), pa.array(scores.astype(float)), pa.array(below.astype(np.int64)), pa.array(equal.astype(np.int64))],
+                names=["u", "score", "below", "equal"],
+            )
+
+    return run
+
+
 def auc_user_scores(
     user_vecs: DataFrame,
     item_vecs: DataFrame,
@@ -185,138 +225,64 @@ def auc_user_scores(
     test_pairs: DataFrame,
     user_col: str = "user_idx",
     item_col: str = "item_idx",
-    max_broadcast_bytes: int = 128 * 1024 * 1024,
-    block_rows: int = 4096,
+    slice_bytes: int | None = None,
 ) -> DataFrame:
     """Per-user AUC for user-specific dot-product scores (hybrid / ALS models).
 
     Candidates of a user = all items minus its train items; positives = its test items
     not in train; scores are compared after rounding to 9 places and ties count one half.
-    For every row (user, item) of train ∪ positives we need how many catalogue items score
-    below / equal to it for that user:
-
-    * item matrix under ``max_broadcast_bytes`` (checked): rows range-partitioned by
-      (user, item), each task scores each of its users once against the broadcast matrix
-      and binary-searches the sorted score row;
-    * otherwise: distinct (user, score) queries and the items are hashed into batches and
-      blocks, one cogroup per (batch, block) counts the block's items below / equal to each
-      query, and the partial counts are summed per query.
-
-    The user's own train and positive items below each score come from distributed
-    running sums.  No (user, item) pair outside train ∪ positives is ever formed.
+    The items are sent to the tasks in slices (see ``vectors``); the first pass scores each
+    user's train and positive items, the second counts how many items of each slice lie below
+    and at those scores.  The user's own items below each score come from distributed running
+    sums.  No (user, item) pair outside train and positives is ever formed.
     """
-    import math  # noqa: PLC0415
-
-    import numpy as np  # noqa: PLC0415
-    import pandas as pd  # noqa: PLC0415
-
     from rankfold.operators.ordering import running_totals  # noqa: PLC0415
-    from rankfold.operators.vectors import RANK_DIGITS  # noqa: PLC0415
 
     spark = user_vecs.sparkSession
-    first = item_vecs.select(F.size("vec").alias("d")).first()
-    dim = int(first.d) if first is not None else 0
-    n_items_rows = item_vecs.count()
-
     pos = test_pairs.select(user_col, item_col).distinct().join(
         train_pairs.select(user_col, item_col), [user_col, item_col], "left_anti"
     )
-    tr = train_pairs.select(user_col, item_col).distinct()
-    marked = tr.select(user_col, item_col, F.lit(1).alias("_t"), F.lit(0).alias("_p")).unionByName(
-        pos.select(user_col, item_col, F.lit(0).alias("_t"), F.lit(1).alias("_p"))
-    ).join(user_vecs.select(user_col, F.col("vec").alias("_uv")), user_col)
-
-    if n_items_rows * max(dim, 1) * 8 <= max_broadcast_bytes:
-        rows = item_vecs.select(F.col(item_col).cast("long").alias("i"), "vec").orderBy("i").collect()
-        ids = np.array([r.i for r in rows], dtype=np.int64)
-        mat = np.array([r.vec for r in rows], dtype=np.float64)
-        bc = spark.sparkContext.broadcast((ids, mat))
-        ranged = marked.repartitionByRange(user_col, item_col).sortWithinPartitions(user_col, item_col)
-
-        def score(batches):
-            item_ids, m = bc.value
-            order = np.argsort(item_ids)
-            for pdf in batches:
-                users = pdf[user_col].to_numpy()
-                cols = order[np.searchsorted(item_ids[order], pdf[item_col].to_numpy())]
-                s_out = np.empty(len(pdf))
-                below = np.empty(len(pdf), dtype=np.int64)
-                equal = np.empty(len(pdf), dtype=np.int64)
-                # rows arrive sorted by user: one score row per run of equal users
-                starts = np.flatnonzero(np.r_[True, users[1:] != users[:-1]]) if len(users) else np.array([], int)
-                ends = np.r_[starts[1:], len(users)]
-                for a, b in zip(starts, ends, strict=True):
-                    srow = np.round(m @ np.asarray(pdf["_uv"].iloc[a], dtype=np.float64), RANK_DIGITS)
-                    ssorted = np.sort(srow)
-                    sv = srow[cols[a:b]]
-                    lo = np.searchsorted(ssorted, sv, side="left")
-                    s_out[a:b] = sv
-                    below[a:b] = lo
-                    equal[a:b] = np.searchsorted(ssorted, sv, side="right") - lo
-                yield pd.DataFrame({user_col: users, "_t": pdf["_t"], "_p": pdf["_p"], "score": s_out,
-                                    "_below": below, "_eq": equal})
-
-        scored = ranged.mapInPandas(score, f"{user_col} long, _t int, _p int, score double, _below long, _eq long")
-        per_score = scored.groupBy(user_col, "score").agg(
-            F.sum("_t").alias("_te"), F.sum("_p").alias("_pe"), F.first("_below").alias("_below"),
-            F.first("_eq").alias("_eq"),
-        )
-    else:
-        # scores of the rows themselves, then catalogue counts per distinct (user, score)
-        iv = item_vecs.select(F.col(item_col).alias(item_col), F.col("vec").alias("_iv"))
-        dot = F.aggregate(F.zip_with("_uv", "_iv", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0),
-                          lambda acc, x: acc + x)
-        rows = marked.join(iv, item_col).select(user_col, "_t", "_p", "_uv", F.round(dot, RANK_DIGITS).alias("score"))
-        per_score = rows.groupBy(user_col, "score").agg(
-            F.sum("_t").alias("_te"), F.sum("_p").alias("_pe"), F.first("_uv").alias("_uv")
-        )
-        n_q = per_score.count()
-        t_parts = max(1, math.ceil(n_q / block_rows))
-        c_parts = max(1, math.ceil(n_items_rows / block_rows))
-        q = per_score.select(
-            F.col(user_col).cast("long").alias("_u"), "score", "_uv",
-            F.pmod(F.xxhash64(user_col, "score"), F.lit(t_parts)).alias("_tb"),
-            F.explode(F.sequence(F.lit(0), F.lit(c_parts - 1))).alias("_cb"),
-        )
-        it = item_vecs.select(F.col(item_col).cast("long").alias("_i"), F.col("vec").alias("_v")).select(
-            "*", F.pmod(F.xxhash64("_i"), F.lit(c_parts)).alias("_cb"),
-            F.explode(F.sequence(F.lit(0), F.lit(t_parts - 1))).alias("_tb"),
-        )
-
-        def count_block(qdf: pd.DataFrame, idf: pd.DataFrame) -> pd.DataFrame:
-            if qdf.empty:
-                return pd.DataFrame({"_u": [], "score": [], "_below": [], "_eq": []})
-            if idf.empty:
-                return pd.DataFrame({"_u": qdf["_u"], "score": qdf["score"], "_below": 0, "_eq": 0})
-            m = np.vstack(idf["_v"].to_numpy()).astype(np.float64)
-            u = np.vstack(qdf["_uv"].to_numpy()).astype(np.float64)
-            # one block of scores per query row: at most block_rows x block_rows values
-            blk = np.sort(np.round(u @ m.T, RANK_DIGITS), axis=1)
-            sv = qdf["score"].to_numpy()
-            below = np.array([np.searchsorted(blk[r], sv[r], side="left") for r in range(len(sv))])
-            upto = np.array([np.searchsorted(blk[r], sv[r], side="right") for r in range(len(sv))])
-            return pd.DataFrame({"_u": qdf["_u"], "score": sv, "_below": below, "_eq": upto - below})
-
-        counts_q = (
-            q.groupBy("_tb", "_cb").cogroup(it.groupBy("_tb", "_cb"))
-            .applyInPandas(count_block, "_u long, score double, _below long, _eq long")
-            .groupBy("_u", "score").agg(F.sum("_below").alias("_below"), F.sum("_eq").alias("_eq"))
-            .withColumnRenamed("_u", user_col)
-        )
-        per_score = per_score.drop("_uv").join(counts_q, [user_col, "score"])
-
-    cum = running_totals(per_score, ["score"], ["_te", "_pe"], group_cols=[user_col]).select(
-        user_col, "score", "_te", "_pe", "_below", "_eq",
+    marked = train_pairs.select(user_col, item_col).distinct().withColumn("_t", F.lit(1)).unionByName(pos.withColumn("_t", F.lit(0)))
+    # one row per user; its lists are no longer than the catalogue
+    lists = marked.groupBy(user_col).agg(F.collect_list(F.struct(F.col(item_col).cast("long").alias("i"), "_t")).alias("_m"))
+    vecs = user_vecs.select(F.col(user_col).cast("long").alias("u"), F.col("vec").cast("array<double>").alias("vec"))
+    users = vecs.join(lists.select(F.col(user_col).cast("long").alias("u"), F.col("_m.i").alias("items"), F.col("_m._t").alias("t")), "u")
+    sent = [spark.sparkContext.broadcast(c) for c in candidate_slices(item_vecs, item_col, "vec", slice_bytes)]
+
+    def over_slices(rows: DataFrame, step, schema: str) -> DataFrame:
+        found = spark.createDataFrame([], schema)
+        for i, candidates in enumerate(sent):
+            part = rows.mapInArrow(step(candidates), schema)
+            found = part if i == 0 else found.unionAll(part)
+        return found
+
+    per_score = materialize(
+        over_slices(users, _marked_scores, "u long, score double, t long, p long")
+        .groupBy("u", "score").agg(F.sum("t").alias("_te"), F.sum("p").alias("_pe")),
+        "user-scores",
+    )
+    asked = vecs.join(per_score.groupBy("u").agg(F.collect_list("score").alias("scores")), "u")
+    counts = materialize(
+        over_slices(asked, _counts_below, "u long, score double, below long, equal long")
+        .groupBy("u", "score").agg(F.sum("below").alias("_below"), F.sum("equal").alias("_eq")),
+        "user-counts",
+    )
+    for candidates in sent:
+        candidates.destroy()
+    n_items = item_vecs.count()
+    joined = per_score.join(counts, ["u", "score"])
+    cum = running_totals(joined, ["score"], ["_te", "_pe"], group_cols=["u"]).select(
+        "u", "_te", "_pe", "_below", "_eq",
         (F.col("_te_cum") - F.col("_te")).alias("_tb"), (F.col("_pe_cum") - F.col("_pe")).alias("_pb"),
     )
-    counts = per_score.groupBy(user_col).agg(F.sum("_te").alias("_nt"), F.sum("_pe").alias("_np"))
+    totals = per_score.groupBy("u").agg(F.sum("_te").alias("_nt"), F.sum("_pe").alias("_np"))
     per_pos = cum.where(F.col("_pe") > 0).select(
-        user_col,
+        "u",
         (F.col("_pe") * ((F.col("_below") - F.col("_tb") - F.col("_pb"))
                          + 0.5 * (F.col("_eq") - F.col("_te") - F.col("_pe")))).alias("_num"),
     )
-    agg = per_pos.groupBy(user_col).agg(F.sum("_num").alias("_num")).join(counts, user_col)
-    neg = F.lit(n_items_rows) - F.col("_nt") - F.col("_np")
+    agg = per_pos.groupBy("u").agg(F.sum("_num").alias("_num")).join(totals, "u")
+    neg = F.lit(n_items) - F.col("_nt") - F.col("_np")
     return agg.where((F.col("_np") > 0) & (neg > 0)).select(
-        F.col(user_col).cast("int").alias(user_col), (F.col("_num") / (F.col("_np") * neg)).alias("auc")
+        F.col("u").cast("int").alias(user_col), (F.col("_num") / (F.col("_np") * neg)).alias("auc")
     )

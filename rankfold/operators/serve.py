@@ -104,19 +104,14 @@ def similar_items(
     n: int,
     item_col: str = "item_idx",
     vec_col: str = "vec",
-    block_rows: int = 4096,
 ) -> DataFrame:
     """Top-``n`` cosine neighbours of every item (self excluded), score = sigmoid(cosine).
 
     Zero-norm candidates use norm 1, a zero-norm target gets no list (reference rules).
-    Blocked: candidate blocks of ``block_rows`` normalised vectors are joined to the
-    targets by block id (targets replicated once per block, no item-pair shuffle); each
-    (target batch, block) does one matrix product in ``mapInPandas`` and keeps a partial
-    top-n; a final ``row_number`` merges the partial lists.
     """
     from rankfold.operators.vectors import blocked_topk  # noqa: PLC0415
 
-    cos = blocked_topk(vectors, n, item_col, vec_col, block_rows)
+    cos = blocked_topk(vectors, n, item_col, vec_col)
     return cos.select(
         item_col,
         "neighbor",
@@ -124,4 +119,3 @@ def similar_items(
         sigmoid_score("cosine").alias("score"),
         "rank",
     )
-

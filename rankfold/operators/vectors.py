@@ -1,31 +1,36 @@
-"""Blocked all-pairs scoring with a partial top-k per row.
-
-Exact top-k over every (left, right) pair needs every score, but never all at once:
-left rows are hashed into T batches and right rows into C blocks; the pair
-(batch, block) is one cogroup holding at most ~2 * block_rows vectors.  Inside it a
-single matrix product scores the batch against the block and only a partial top-k
-per left row leaves the task (k may differ per row, e.g. n + #seen items).  A final
-``row_number() <= k`` (WindowGroupLimit) merges the C partial lists of each left
-row.  The score matrix is never materialised or shuffled.
-
-When the candidate side is small (rows × dim × 8 bytes under
-``BROADCAST_CANDIDATE_BYTES``, checked before use) it is broadcast once instead and
-each left partition is scored with ``mapInPandas``: no replication and no shuffle.
+"""All-pairs scoring with an exact top-k per row, without an all-pairs table.
+
+The candidate side is cut into slices of at most ``SLICE_BYTES`` (read once, as Arrow); each slice
+is sent to the tasks, which score their rows of the left side against it with one matrix product
+per chunk and keep the best ``k`` unseen candidates of each row.  The left side is never
+replicated or shuffled.  With more than one slice, a final ``row_number`` merges the partial lists
+(at most k rows for each left row and slice).  Seen candidates are masked inside the scorer, so
+exactly k rows per left row leave it.
+
+There is one routine for scores, rounding and selection (:func:`pair_scores`, :func:`best_rows`),
+whatever the number of slices: candidates are ranked by the score rounded to ``RANK_DIGITS``, so
+float summation order cannot swap ties, then by ascending id.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankfold.operators.ordering import positions
+from rankfold.session import materialize
+
 # rounding applied before ranking so that float summation order cannot swap ties
 RANK_DIGITS = 9
-# candidate matrices up to this size are broadcast instead of block-replicated
-BROADCAST_CANDIDATE_BYTES = 128 * 1024 * 1024
+# bytes of candidate vectors that are sent to the tasks at a time
+SLICE_BYTES = 128 * 1024 * 1024
+# scores held per scoring step (rows x candidates), bounding task memory
+SCORE_BLOCK_ELEMENTS = 4_000_000
 
 
 def l2_norm(vec: str | Column) -> Column:
@@ -33,7 +38,112 @@ def l2_norm(vec: str | Column) -> Column:
     return F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
 
 
-def blocked_top_scores(
+@dataclass(frozen=True)
+class Candidates:
+    """A slice of the candidates: ascending ids and their vectors, one row each."""
+
+    ids: np.ndarray
+    matrix: np.ndarray
+    norms: np.ndarray
+
+
+def vectors_of(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Rows of a list column of equal lengths as a matrix of doubles."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    if not len(column):
+        return np.zeros((0, 0))
+    return column.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def candidate_slices(right: DataFrame, key: str, vec: str, slice_bytes: int | None = None) -> Iterator[Candidates]:
+    """The candidates in slices of at most ``slice_bytes``, in id order."""
+    table = right.select(F.col(key).cast("long").alias("_r"), F.col(vec).alias("_rv"))
+    n = table.count()
+    if not n:
+        return
+    dim = max(1, int(table.select(F.size("_rv")).first()[0]))
+    rows = max(1, (SLICE_BYTES if slice_bytes is None else slice_bytes) // (8 * dim))
+    ordered = positions(table, ["_r"], out="_at") if n > rows else table.withColumn("_at", F.lit(0))
+    for first in range(0, n, rows):
+        part = ordered if n <= rows else ordered.where((F.col("_at") >= first) & (F.col("_at") < first + rows))
+        arrow = part.select("_r", "_rv").toArrow()
+        ids, matrix = arrow.column("_r").to_numpy(), vectors_of(arrow.column("_rv"))
+        order = np.argsort(ids, kind="stable")
+        yield Candidates(ids[order], matrix[order], np.linalg.norm(matrix[order], axis=1))
+
+
+def pair_scores(left: np.ndarray, right: Candidates, cosine: bool) -> np.ndarray:
+    """Scores of every left row with every candidate.  Cosine: a zero candidate uses norm 1, and a
+    zero left row has no scores (minus infinity)."""
+    scores = left @ right.matrix.T
+    if cosine:
+        norms = np.linalg.norm(left, axis=1)
+        scores /= np.where(norms > 0, norms, 1.0)[:, None]
+        scores /= np.where(right.norms > 0, right.norms, 1.0)[None, :]
+        scores[norms == 0] = -np.inf
+    return scores
+
+
+def best_rows(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, rank) of each row's ``k`` best columns by (rounded score desc, column asc);
+    minus infinity is never taken."""
+    n_rows, n_columns = scores.shape
+    k = min(k, n_columns)
+    if k <= 0 or not n_rows:
+        none = np.zeros(0, dtype=np.int64)
+        return none, none, none
+    keys = np.round(scores, RANK_DIGITS)
+    cut = np.partition(keys, n_columns - k, axis=1)[:, n_columns - k][:, None]
+    above, equal = keys > cut, keys == cut
+    room = k - above.sum(axis=1)
+    crowded = np.flatnonzero(equal.sum(axis=1) > room)
+    if len(crowded):  # of the candidates that tie at the cut the smallest columns are taken
+        tied = equal[crowded]
+        equal[crowded] = tied & (np.cumsum(tied, axis=1, dtype=np.int32) <= room[crowded][:, None])
+    rows, columns = np.nonzero((above | equal) & np.isfinite(keys))
+    order = np.lexsort((columns, -keys[rows, columns], rows))
+    rows, columns = rows[order], columns[order]
+    first = np.searchsorted(rows, np.arange(n_rows))
+    return rows, columns, np.arange(len(rows)) - first[rows] + 1
+
+
+def _scorer(candidates, cosine: bool, exclude_same_key: bool):
+    """Left rows (_l, _lv, _k, _seen) to their best candidates of one slice."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        right: Candidates = candidates.value
+        step = max(1, SCORE_BLOCK_ELEMENTS // max(len(right.ids), 1))
+        for batch in batches:
+            for first in range(0, batch.num_rows, step):
+                part = batch.slice(first, step)
+                left_ids = part.column("_l").to_numpy()
+                scores = pair_scores(vectors_of(part.column("_lv")), right, cosine)
+                seen = part.column("_seen")
+                counts = np.diff(seen.offsets.to_numpy())
+                pairs = [(np.repeat(np.arange(len(left_ids)), counts), seen.flatten().to_numpy(zero_copy_only=False))]
+                if exclude_same_key:
+                    pairs.append((np.arange(len(left_ids)), left_ids))
+                for rows, ids in pairs:
+                    at = np.minimum(np.searchsorted(right.ids, ids), len(right.ids) - 1)
+                    known = right.ids[at] == ids
+                    scores[rows[known], at[known]] = -np.inf
+                limits = part.column("_k").to_numpy()
+                for k in np.unique(limits):
+                    chosen = np.flatnonzero(limits == k)
+                    rows, columns, ranks = best_rows(scores[chosen], int(k))
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(left_ids[chosen][rows]), pa.array(right.ids[columns]), pa.array(scores[chosen][rows, columns]),
+                            pa.array(ranks, pa.int32()), pa.array(np.full(len(rows), k), pa.int32()),
+                        ],
+                        names=["_l", "_r", "_s", "rank", "_k"],
+                    )
+
+    return run
+
+
+def top_scores(
     left: DataFrame,
     right: DataFrame,
     k: int | str,
@@ -42,172 +152,48 @@ def blocked_top_scores(
     left_vec: str = "vec",
     right_vec: str = "vec",
     cosine: bool = True,
+    seen: DataFrame | None = None,
     exclude_same_key: bool = False,
-    block_rows: int = 4096,
+    slice_bytes: int | None = None,
     out_key: str = "neighbor",
     out_score: str = "score",
 ) -> DataFrame:
-    """(left_key, out_key, out_score, rank): each left row's best ``k`` right rows by
-    (score desc, right key asc).  ``k`` is an int or a column of ``left``.
-
-    ``cosine``: divide by both norms; a zero-norm right vector uses norm 1 and a
-    zero-norm left vector gets no list.  Otherwise the plain dot product.
-    """
-    n_right = right.count()
-    first = right.select(F.size(F.col(right_vec)).alias("d")).first()
-    dim = int(first.d) if first is not None else 0
-    if n_right * max(dim, 1) * 8 <= BROADCAST_CANDIDATE_BYTES:
-        return _broadcast_top_scores(left, right, k, left_key, right_key, left_vec, right_vec, cosine,
-                                     exclude_same_key, block_rows, out_key, out_score)
-    n_left = left.count()
-    t_parts = max(1, math.ceil(n_left / block_rows))
-    c_parts = max(1, math.ceil(n_right / block_rows))
-    keep = F.col(k) if isinstance(k, str) else F.lit(k)
-    lt = left.select(
-        F.col(left_key).cast("long").alias("_l"),
-        F.col(left_vec).alias("_lv"),
-        l2_norm(left_vec).alias("_ln"),
-        keep.cast("int").alias("_k"),
-    )
-    if cosine:
-        lt = lt.where(F.col("_ln") > 0)
-    lt = lt.select(
-        "*",
-        F.pmod(F.xxhash64("_l"), F.lit(t_parts)).alias("_tb"),
-        F.explode(F.sequence(F.lit(0), F.lit(c_parts - 1))).alias("_cb"),
-    )
-    # right-side columns carry their own names: a cogroup of two projections of one
-    # plan must not share attribute names
-    rt = right.select(
-        F.col(right_key).cast("long").alias("_r"), F.col(right_vec).alias("_rv"), l2_norm(right_vec).alias("_rn")
-    ).select(
-        "*",
-        F.pmod(F.xxhash64("_r"), F.lit(c_parts)).alias("_cb"),
-        F.explode(F.sequence(F.lit(0), F.lit(t_parts - 1))).alias("_tb"),
-    )
-
-    def score(ldf: pd.DataFrame, rdf: pd.DataFrame) -> pd.DataFrame:
-        if ldf.empty or rdf.empty:
-            return pd.DataFrame({"_l": [], "_r": [], "_s": []})
-        a = np.vstack(ldf["_lv"].to_numpy()).astype(np.float64)
-        b = np.vstack(rdf["_rv"].to_numpy()).astype(np.float64)
-        sims = a @ b.T
-        if cosine:
-            rn = rdf["_rn"].to_numpy(dtype=np.float64)
-            rn = np.where(rn == 0.0, 1.0, rn)
-            sims = sims / (ldf["_ln"].to_numpy(dtype=np.float64)[:, None] * rn[None, :])
-        l_ids = ldf["_l"].to_numpy()
-        r_ids = rdf["_r"].to_numpy()
-        if exclude_same_key:
-            sims = np.where(l_ids[:, None] == r_ids[None, :], -np.inf, sims)
-        out_l, out_r, out_s, _ = _top_rows(sims, l_ids, r_ids, ldf["_k"].to_numpy())
-        return pd.DataFrame({"_l": out_l, "_r": out_r, "_s": out_s})
-
-    partial = (
-        lt.groupBy("_tb", "_cb")
-        .cogroup(rt.groupBy("_tb", "_cb"))
-        .applyInPandas(score, schema="_l long, _r long, _s double")
-    )
-    limits = left.select(F.col(left_key).cast("long").alias("_l"), keep.cast("int").alias("_k"))
-    w = Window.partitionBy("_l").orderBy(F.round("_s", RANK_DIGITS).desc(), F.col("_r").asc())
-    ranked = partial.withColumn("rank", F.row_number().over(w))
-    if isinstance(k, str):
-        ranked = ranked.join(limits, "_l").where(F.col("rank") <= F.col("_k"))
-    else:
-        ranked = ranked.where(F.col("rank") <= k)
-    return ranked.select(
-        F.col("_l").alias(left_key), F.col("_r").alias(out_key), F.col("_s").alias(out_score), "rank"
-    )
-
-
-def _top_rows(sims: np.ndarray, l_ids, r_ids, ks):
-    """Per row: the ks[i] best candidates by (score rounded to RANK_DIGITS desc, id asc),
-    with ranks.
-
-    Vectorised: every row takes its kmax best raw scores by argpartition and sorts them by
-    (rounded score, id) with one 2-D lexsort; one extra pass counts scores that could round
-    to the kmax-th key, and only rows where such a tie may reach past the cut are redone
-    exactly, one row at a time.
-    """
-    n_rows, n_cand = sims.shape
-    ks = np.minimum(np.asarray(ks, dtype=np.int64), n_cand)
-    kmax = int(ks.max()) if n_rows else 0
-    if kmax <= 0 or n_cand == 0:
-        return [], [], [], []
-    raw = np.where(np.isfinite(sims), sims, -np.inf)
-    top = np.argpartition(-raw, kmax - 1, axis=1)[:, :kmax]
-    tkey = np.round(np.take_along_axis(raw, top, axis=1), RANK_DIGITS)
-    order = np.lexsort((r_ids[top], -tkey), axis=1)
-    top = np.take_along_axis(top, order, axis=1)
-    tkey = np.take_along_axis(tkey, order, axis=1)
-    kth = tkey[:, kmax - 1]
-    # any score within one rounding step of the kth key may tie with it after rounding
-    eps = 10.0 ** -RANK_DIGITS
-    near = (raw >= (kth - eps)[:, None]).sum(axis=1)
-    near_in_top = (tkey >= (kth - eps)[:, None]).sum(axis=1)
-    ties_outside = near > near_in_top
-    take = (np.arange(kmax)[None, :] < ks[:, None]) & np.isfinite(tkey)
-    out_l, out_r, out_s, out_k = [], [], [], []
-    rows, cols = np.nonzero(take & ~ties_outside[:, None])
-    out_l.extend(np.asarray(l_ids)[rows].tolist())
-    out_r.extend(r_ids[top[rows, cols]].tolist())
-    out_s.extend(sims[rows, top[rows, cols]].tolist())
-    out_k.extend((cols + 1).tolist())
-    for i in np.flatnonzero(ties_outside):
-        if ks[i] <= 0:
-            continue
-        key = np.round(raw[i], RANK_DIGITS)
-        cand = np.flatnonzero((key >= kth[i] - eps) & np.isfinite(raw[i]))
-        best = cand[np.lexsort((r_ids[cand], -key[cand]))][: ks[i]]
-        out_l.extend([l_ids[i]] * len(best))
-        out_r.extend(r_ids[best].tolist())
-        out_s.extend(sims[i, best].tolist())
-        out_k.extend(range(1, len(best) + 1))
-    return out_l, out_r, out_s, out_k
-
-
-# scores held per scoring step (rows x candidates), bounding task memory
-SCORE_BLOCK_ELEMENTS = 8_000_000
-
-
-def _broadcast_top_scores(left, right, k, left_key, right_key, left_vec, right_vec, cosine,
-                          exclude_same_key, block_rows, out_key, out_score):
-    """Small candidate side (size checked by the caller): one broadcast matrix, each
-    left partition scored batch by batch with ``mapInPandas`` — no shuffle at all."""
+    """(left_key, out_key, out_score, rank): each left row's best ``k`` right rows by (score desc,
+    right key asc), without those it has in ``seen`` (left_key, right_key).  ``k`` is a number or a
+    column of ``left``.  A left row's seen keys are one list, no longer than the candidates."""
     spark = left.sparkSession
-    rows = right.select(F.col(right_key).cast("long").alias("_r"), F.col(right_vec).alias("_rv")).collect()
-    r_ids = np.array([r._r for r in rows], dtype=np.int64)
-    mat = np.array([r._rv for r in rows], dtype=np.float64) if rows else np.zeros((0, 0))
-    norms = np.linalg.norm(mat, axis=1) if rows else np.zeros(0)
-    bc = spark.sparkContext.broadcast((r_ids, mat, np.where(norms == 0.0, 1.0, norms)))
     keep = F.col(k) if isinstance(k, str) else F.lit(k)
-    lt = left.select(F.col(left_key).cast("long").alias("_l"), F.col(left_vec).alias("_lv"), keep.cast("int").alias("_k"))
-
-    def score(batches):
-        ids, m, rn = bc.value
-        step = max(1, min(block_rows, SCORE_BLOCK_ELEMENTS // max(len(ids), 1)))
-        for pdf in batches:
-            for s0 in range(0, len(pdf), step):
-                part = pdf.iloc[s0:s0 + step]
-                a = np.vstack(part["_lv"].to_numpy()).astype(np.float64) if len(part) else np.zeros((0, m.shape[1]))
-                l_ids = part["_l"].to_numpy()
-                sims = a @ m.T
-                if cosine:
-                    ln = np.linalg.norm(a, axis=1)
-                    valid = ln > 0
-                    sims = sims / (np.where(valid, ln, 1.0)[:, None] * rn[None, :])
-                    sims[~valid, :] = -np.inf
-                if exclude_same_key:
-                    sims = np.where(l_ids[:, None] == ids[None, :], -np.inf, sims)
-                ks = np.minimum(part["_k"].to_numpy(), len(ids))
-                out_l, out_r, out_s, out_k = _top_rows(sims, l_ids, ids, ks)
-                yield pd.DataFrame({"_l": out_l, "_r": out_r, "_s": out_s, "rank": out_k})
-
-    # each left row sees every candidate, so its list and ranks are final: no shuffle
-    scored = lt.mapInPandas(score, "_l long, _r long, _s double, rank int")
-    return scored.select(
-        F.col("_l").alias(left_key), F.col("_r").alias(out_key), F.col("_s").alias(out_score), "rank"
+    rows = left.select(F.col(left_key).cast("long").alias("_l"), F.col(left_vec).cast("array<double>").alias("_lv"), keep.cast("int").alias("_k"))
+    none = F.array().cast("array<bigint>")
+    if seen is not None:
+        lists = seen.select(F.col(left_key).cast("long").alias("_l"), F.col(right_key).cast("long").alias("_r")).distinct().groupBy("_l").agg(
+            F.collect_list("_r").alias("_seen")
+        )
+        rows = rows.join(lists, "_l", "left").withColumn("_seen", F.coalesce("_seen", none))
+    else:
+        rows = rows.withColumn("_seen", none)
+    rows = rows.select("_l", "_lv", "_k", "_seen")
+    schema = "_l long, _r long, _s double, rank int, _k int"
+    sent, parts = [], []
+    for candidates in candidate_slices(right, right_key, right_vec, slice_bytes):
+        sent.append(spark.sparkContext.broadcast(candidates))
+        parts.append(rows.mapInArrow(_scorer(sent[-1], cosine, exclude_same_key), schema))
+    if not parts:
+        found = spark.createDataFrame([], schema)
+    elif len(parts) == 1:
+        found = parts[0]
+    else:
+        found = parts[0]
+        for part in parts[1:]:
+            found = found.unionAll(part)
+        merged = Window.partitionBy("_l").orderBy(F.round("_s", RANK_DIGITS).desc(), F.col("_r").asc())
+        found = found.withColumn("rank", F.row_number().over(merged)).where(F.col("rank") <= F.col("_k"))
+    done = materialize(
+        found.select(F.col("_l").alias(left_key), F.col("_r").alias(out_key), F.col("_s").alias(out_score), F.col("rank").cast("int").alias("rank")), "scores"
     )
+    for candidates in sent:
+        candidates.destroy()
+    return done
 
 
 def blocked_topk(
@@ -215,12 +201,11 @@ def blocked_topk(
     n: int,
     item_col: str = "item_idx",
     vec_col: str = "vec",
-    block_rows: int = 4096,
+    slice_bytes: int | None = None,
     exclude_self: bool = True,
 ) -> DataFrame:
     """(item, neighbor, cosine, rank): top-n cosine neighbours of every item."""
-    res = blocked_top_scores(
+    return top_scores(
         vectors, vectors, n, item_col, item_col, vec_col, vec_col,
-        cosine=True, exclude_same_key=exclude_self, block_rows=block_rows, out_key="neighbor", out_score="cosine",
+        cosine=True, exclude_same_key=exclude_self, slice_bytes=slice_bytes, out_key="neighbor", out_score="cosine",
     )
-    return res

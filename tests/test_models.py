@@ -55,7 +55,7 @@ def test_random_length_unseen_deterministic(inter, users):
 def test_similar_items_excludes_self(spark):
     vecs = spark.createDataFrame([(i, [float(i % 3 == 0), float(i % 3 == 1), 1.0]) for i in range(6)],
                                  "item_idx long, vec array<double>")
-    out = blocked_topk(vecs, 2, block_rows=2).toPandas()
+    out = blocked_topk(vecs, 2, slice_bytes=48).toPandas()
     assert (out.item_idx != out.neighbor).all()
     assert (out.groupby("item_idx").size() == 2).all()
     # items 0 and 3 share a vector: each is the other's best neighbour
@@ -70,25 +70,42 @@ def test_similar_items_zero_target_has_no_list(spark):
     assert set(out[out.item_idx == 1].neighbor) == {0, 2}
 
 
-def test_blocked_equals_single_block_and_broadcast(spark, monkeypatch):
+def test_slices_do_not_change_lists_with_ties_at_the_cut(spark):
     import numpy as np
 
-    from rankfold.operators import vectors
+    from rankfold.operators.models import recommend_scored
+    from rankfold.operators.vectors import top_scores
 
     rng = np.random.default_rng(3)
-    vecs = spark.createDataFrame([(i, rng.normal(size=8).tolist()) for i in range(60)], "item_idx long, vec array<double>")
-    broadcast = blocked_topk(vecs, 5).orderBy("item_idx", "rank").select("item_idx", "neighbor", "rank").collect()
-    monkeypatch.setattr(vectors, "BROADCAST_CANDIDATE_BYTES", 0)
-    a = blocked_topk(vecs, 5, block_rows=7).orderBy("item_idx", "rank").select("item_idx", "neighbor", "rank").collect()
-    b = blocked_topk(vecs, 5, block_rows=1000).orderBy("item_idx", "rank").select("item_idx", "neighbor", "rank").collect()
-    assert a == b == broadcast
+    # few different small vectors: many ties at every cut
+    items = spark.createDataFrame([(i, rng.integers(-1, 2, 3).astype(float).tolist()) for i in range(90)], "movie_idx int, vec array<double>")
+    users = spark.createDataFrame([(u, rng.integers(-1, 2, 3).astype(float).tolist(), int(u % 9)) for u in range(40)], "user_idx int, vec array<double>, k int")
+    seen = spark.createDataFrame([(int(u), int(i)) for u, i in rng.integers(0, 40, (300, 2))], "user_idx int, movie_idx int")
+    lists = [
+        top_scores(users, items, "k", "user_idx", "movie_idx", cosine=c, seen=seen, slice_bytes=b, out_key="movie_idx").orderBy("user_idx", "rank").select("user_idx", "movie_idx", "rank").collect()
+        for c in (True, False) for b in (None, 24 * 7, 24)
+    ]
+    assert lists[0] == lists[1] == lists[2] and lists[3] == lists[4] == lists[5]
+    taken = {(r.user_idx, r.movie_idx) for r in seen.collect()}
+    assert not any((r.user_idx, r.movie_idx) in taken for r in lists[3])
+    vec = {r.movie_idx: np.array(r.vec) for r in items.collect()}
+    for u in users.collect():
+        free = [i for i in vec if (u.user_idx, i) not in taken]
+        expected = sorted(free, key=lambda i: (-round(float(vec[i] @ np.array(u.vec)), 9), i))[: u.k]
+        assert [r.movie_idx for r in lists[3] if r.user_idx == u.user_idx] == expected
+    assert recommend_scored(users, items, seen, 4, cosine=False).count() == 40 * 4
+
+
+def test_no_candidates_no_lists(spark):
+    vecs = spark.createDataFrame([], "item_idx long, vec array<double>")
+    assert blocked_topk(vecs, 3).count() == 0
 
 
 def test_item_feature_rows_sum_to_one(spark):
     from rankfold.operators.features import item_feature_matrix
 
     im = spark.createDataFrame([(10, 0), (11, 1), (12, 2)], "original_id long, encoded_id int")
-    movies = spark.createDataFrame([(10, "a", "Action|Drama"), (11, "b", None), (12, "c", "(no genres listed)")],
+    movies = spark.createDataFrame([(10, "a", "Action|Drama|Action"), (11, "b", None), (12, "c", "(no genres listed)")],
                                    "movieId long, title string, genres string")
     vocab = spark.createDataFrame([("Action", 0), ("Drama", 1)], "genre string, genre_id int")
     m = item_feature_matrix(im, movies, vocab)
@@ -113,8 +130,7 @@ def test_auc_user_scores_matches_brute_force(spark):
     tr = spark.createDataFrame(train, "user_idx int, item_idx int")
     te = spark.createDataFrame(test, "user_idx int, item_idx int")
     got = {r.user_idx: r.auc for r in auc_user_scores(uv, iv, tr, te).collect()}
-    # the blocked path (no broadcast), with tiny blocks
-    blocked = {r.user_idx: r.auc for r in auc_user_scores(uv, iv, tr, te, max_broadcast_bytes=0, block_rows=4).collect()}
+    blocked = {r.user_idx: r.auc for r in auc_user_scores(uv, iv, tr, te, slice_bytes=4 * 24).collect()}
     assert blocked == pytest.approx(got)
     for u in range(n_users):
         trs = {i for uu, i in train if uu == u}
@@ -128,21 +144,18 @@ def test_auc_user_scores_matches_brute_force(spark):
         assert got[u] == pytest.approx(wins / (len(pos) * len(neg)))
 
 
-def test_top_rows_matches_sorting_with_ties():
+def test_best_rows_match_sorting_with_ties():
     import numpy as np
 
-    from rankfold.operators.vectors import _top_rows
+    from rankfold.operators.vectors import best_rows
 
     rng = np.random.default_rng(5)
-    sims = rng.integers(0, 4, (50, 30)).astype(float)  # many ties
-    sims[3, :] = -np.inf
-    l_ids = np.arange(50)
-    r_ids = rng.permutation(30) + 100
-    ks = rng.integers(0, 12, 50)
-    got = {}
-    for l, r, _s, k in zip(*_top_rows(sims, l_ids, r_ids, ks), strict=True):
-        got.setdefault(l, []).append((k, r))
-    for i in range(50):
-        cand = [j for j in range(30) if np.isfinite(sims[i, j])]
-        exp = sorted(cand, key=lambda j: (-sims[i, j], r_ids[j]))[: ks[i]]
-        assert [r for _k, r in sorted(got.get(i, []))] == [int(r_ids[j]) for j in exp]
+    scores = rng.integers(0, 4, (50, 30)).astype(float)  # many ties
+    scores[3, :] = -np.inf
+    scores[4, 5:] = -np.inf
+    for k in (0, 1, 7, 30, 99):
+        rows, columns, ranks = best_rows(scores, k)
+        for i in range(50):
+            free = [j for j in range(30) if np.isfinite(scores[i, j])]
+            expected = sorted(free, key=lambda j: (-scores[i, j], j))[:k]
+            assert columns[rows == i].tolist() == expected and ranks[rows == i].tolist() == list(range(1, len(expected) + 1))
