@@ -128,7 +128,8 @@ def anchor_runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]
         keep = starts + a < ends[doc]
         starts, counts, doc = starts[keep], counts[keep], doc[keep]
         content = X.mix((sums[starts + counts + LENGTH - 1] - sums[starts]) * down[starts] + counts.astype(X.U64) * X.U64(0x9E3779B97F4A7C15))
-        found.append((low[starts], starts + a, counts, content, doc))
+        # minima crowd at the lower end; mixed again they spread evenly over the buckets
+        found.append((X.mix(low[starts]), starts + a, counts, content, doc))
     if not found:
         none = np.zeros(0, np.int64)
         return none.view(X.U64), none, none, none.view(X.U64), none
