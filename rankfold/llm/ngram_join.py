@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankfold.llm import textops as X
@@ -201,6 +201,11 @@ def _verify(similarity: float):
     return run
 
 
+def _row_key() -> Column:
+    """One hash of (doc_id, text): a join key that is never null, so no rows crowd on it."""
+    return F.xxhash64(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
+
+
 def ngram_join(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH, recall: float = RECALL) -> DataFrame:
     """(doc_id, class_id, n_copies, n_links, n_shingles), one row per row of ``docs``.
 
@@ -209,7 +214,7 @@ def ngram_join(docs: DataFrame, similarity: float = SIMILARITY, width: int = WID
     """
     bands, rows = X.band_count(similarity, recall)
     texts = docs.select(
-        F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text").cast("string").alias("text")
+        F.col("doc_id").cast("bigint").alias("doc_id"), _row_key().alias("text_key"), F.col("text").cast("string").alias("text")
     )
     signatures = materialize(
         texts.mapInArrow(
@@ -245,9 +250,10 @@ def ngram_join(docs: DataFrame, similarity: float = SIMILARITY, width: int = WID
         ),
         "blocked",
     )
-    candidates = texts.alias("t").join(
-        members.alias("m"), F.col("t.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("t.text_key") == F.col("m.text_key"))
-    ).select("node", "component", "copies", "n_blocks", "block", "text")
+    # a shuffle at every size: whether the members could be broadcast changes with the input
+    candidates = texts.select("text_key", "text").join(members.hint("merge"), "text_key").select(
+        "node", "component", "copies", "n_blocks", "block", "text"
+    )
     sets = candidates.mapInArrow(
         _shingle_sets(width), "node binary, component binary, copies bigint, n_blocks int, block int, shingles binary"
     )
@@ -292,11 +298,10 @@ def one_of_each_class(docs: DataFrame, similarity: float = SIMILARITY, width: in
     joined = ngram_join(docs, similarity, width, recall)
     best = (
         joined.where("n_shingles > 0").groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")).alias("k"))
-        .select(F.col("k.doc_id").alias("_keep_id"), F.col("k.text_key").alias("_keep_key"))
+        .select(F.col("k.text_key").alias("_keep"))
     )
-    keyed = docs.withColumn("_keep_key_of", F.xxhash64("text"))
-    same = keyed["doc_id"].cast("bigint").eqNullSafe(best["_keep_id"]) & (keyed["_keep_key_of"] == best["_keep_key"])
+    keyed = docs.withColumn("_keep", _row_key())
     empty = ~F.coalesce(F.col("text").cast("string"), F.lit("")).rlike(X.WORD_PATTERN)
-    # of repeated rows one stays; the join has partitioned them by the same keys
-    once = keyed.where(~empty).join(best, same).dropDuplicates(["_keep_id", "_keep_key"]).select(*docs.columns)
+    # of repeated rows one stays; the join has partitioned them by the same key
+    once = keyed.where(~empty).join(best.hint("merge"), "_keep").dropDuplicates(["_keep"]).select(*docs.columns)
     return once.unionByName(docs.where(empty))
