@@ -11,4 +11,6 @@ Subpackages:
 
 from rankfold.session import build_session, checkpoint, ensure_checkpoint_dir
 
+__version__ = "0.2.0"
+
 __all__ = ["build_session", "checkpoint", "ensure_checkpoint_dir"]

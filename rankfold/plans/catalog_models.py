@@ -261,7 +261,9 @@ def _pop_recs_for(users_sql: str, n: int) -> str:
   WHERE rank <= ({n}))"""
 
 
-def _answer_sql(endpoint: str, select_extra: str = "", extra_ctes: tuple = ()) -> list[str]:
+def _answer_sql(endpoint: str, lists: list[str] | None = None) -> list[str]:
+    """CTEs warm and cold; ``lists`` define req_recs (user_idx, movie_idx, score, rank), by default
+    those of the popularity model."""
     reqs = (
         f"reqs AS (SELECT request_id, ts, user_id, coalesce(top_k, {S.TOP_K}) AS top_k "
         f"FROM request_log WHERE endpoint = '{endpoint}' AND status = 'success' "
@@ -286,10 +288,9 @@ def _answer_sql(endpoint: str, select_extra: str = "", extra_ctes: tuple = ()) -
         reqs,
         *_fallback_sql("(SELECT coalesce(max(top_k), 0) FROM reqs)"),
         routed,
-        _pop_recs_for("SELECT DISTINCT user_idx FROM routed WHERE user_idx IS NOT NULL", "SELECT max(top_k) FROM reqs"),
+        *(lists or [_pop_recs_for("SELECT DISTINCT user_idx FROM routed WHERE user_idx IS NOT NULL", "SELECT max(top_k) FROM reqs")]),
         warm,
         cold,
-        *extra_ctes,
     ]
 
 
@@ -309,6 +310,30 @@ def q_recommend_all(spark, sf):
                       F.array_join("genres", "|").alias("genres"), "cold_start")
 
 
+def _content_lists() -> list[str]:
+    from rankfold.plans.catalog_fm import content_sql  # noqa: PLC0415
+
+    return [*content_sql("(SELECT max(top_k) FROM reqs)"), "req_recs AS (SELECT * FROM content_recs)"]
+
+
+@register(
+    "recommend_all_content",
+    S.with_ctes("SELECT * FROM warm UNION ALL SELECT * FROM cold", *_answer_sql("/recommend", _content_lists()), prepared=True),
+)
+def q_recommend_all_content(spark, sf):
+    """Every successful /recommend request answered from the content model's lists; unknown users
+    get the popular fallback."""
+    from rankfold.operators import train as TR  # noqa: PLC0415
+
+    requests = _requests(spark, sf, "/recommend")
+    routed = SV.route_requests(requests, P.encoded(spark, sf).user_map)
+    warm = routed.where(~F.col("cold_start")).select("user_idx").distinct()
+    n = requests.agg(F.max("top_k")).first()[0] or S.TOP_K
+    out = answer(spark, sf, requests, TR.fit(spark, sf, "content").recommend(n, warm))
+    return out.select("request_id", "user_id", "rank", "movie_id", "title", "score",
+                      F.array_join("genres", "|").alias("genres"), "cold_start")
+
+
 @register(
     "cold_start_route",
     S.with_ctes(

@@ -35,6 +35,7 @@ LOCAL_CONF = {"spark.driver.bindAddress": "127.0.0.1", "spark.driver.host": "127
 ARROW_BATCH_BYTES = 8 << 20
 
 _SHIPPED = "_rankfold_shipped"
+_WRITTEN_PATH = "_rankfold_path"
 
 
 def build_session(
@@ -126,15 +127,28 @@ def materialize(df: DataFrame, name: str = "table", compression: str | None = No
     root = ensure_checkpoint_dir(df.sparkSession).rstrip("/")
     path = f"{root}/tables/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path, compression=compression)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    written = df.sparkSession.read.schema(df.schema).parquet(path)
+    setattr(written, _WRITTEN_PATH, path)
+    return written
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete the files of tables that :func:`materialize` returned, once nothing will read them."""
+    for df in tables:
+        path = getattr(df, _WRITTEN_PATH, None)
+        if path:
+            _delete(df.sparkSession, path)
 
 
 def drop_written_tables(spark: SparkSession) -> None:
     """Delete the Parquet step tables this application wrote with :func:`materialize`.
     Call only when no DataFrame of the session will read them again."""
-    root = ensure_checkpoint_dir(spark).rstrip("/")
+    _delete(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables")
+
+
+def _delete(spark: SparkSession, name: str) -> None:
     jvm = spark.sparkContext._jvm  # noqa: SLF001 - Hadoop filesystem call
-    path = jvm.org.apache.hadoop.fs.Path(f"{root}/tables")
+    path = jvm.org.apache.hadoop.fs.Path(name)
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())  # noqa: SLF001
     if fs.exists(path):
         fs.delete(path, True)

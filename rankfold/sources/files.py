@@ -48,7 +48,7 @@ def load_raw_csv(spark: SparkSession, raw_dir: str, filename: str, schema: T.Str
     """Read one raw CSV with a header and a fixed schema; a missing file raises."""
     path = f"{raw_dir.rstrip('/')}/{filename}"
     if not _exists(spark, path):
-        raise PreprocessingError(f"Raw file not found: {path}")
+        raise PreprocessingError(f"no input file at {path}")
     schema = schema or SCHEMAS.get(filename)
     reader = spark.read.option("header", True).option("mode", "PERMISSIVE")
     if schema is not None:
@@ -57,14 +57,13 @@ def load_raw_csv(spark: SparkSession, raw_dir: str, filename: str, schema: T.Str
 
 
 def load_raw_data(spark: SparkSession, raw_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """ratings, movies and tags; an absent tags file gives an empty table with its columns."""
-    ratings = load_raw_csv(spark, raw_dir, "ratings.csv")
-    movies = load_raw_csv(spark, raw_dir, "movies.csv")
-    try:
-        tags = load_raw_csv(spark, raw_dir, "tags.csv")
-    except PreprocessingError:
-        tags = spark.createDataFrame([], TAGS_SCHEMA)
-    return ratings, movies, tags
+    """The ratings, movies and tags tables of a raw folder.  Tags may be absent: the folder is
+    listed for them, and an empty table of their schema takes their place."""
+    required = [load_raw_csv(spark, raw_dir, f"{name}.csv") for name in ("ratings", "movies")]
+    optional = spark.createDataFrame([], TAGS_SCHEMA)
+    if _exists(spark, f"{raw_dir.rstrip('/')}/tags.csv"):
+        optional = load_raw_csv(spark, raw_dir, "tags.csv")
+    return (*required, optional)
 
 
 def save_parquet(df: DataFrame, path: str) -> None:

@@ -26,7 +26,7 @@ def test_query_matches_oracle(spark, con, small_dir, name):
 
 
 ROWS_ONLY = {
-    "recommend_als", "als_evaluation", "recommend_hybrid", "item_representation", "hybrid_evaluation", "als_grid",
+    "recommend_als", "als_evaluation", "recommend_hybrid", "hybrid_evaluation", "als_grid",
     "als_best_test", "model_comparison",
 }
 
