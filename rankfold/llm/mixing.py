@@ -23,7 +23,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankfold.llm.textops import SEPARATOR_PATTERN
+from rankfold.llm import textops as X
 from rankfold.operators.ordering import positions
 from rankfold.session import materialize
 
@@ -36,7 +36,7 @@ WEIGHTS = (1, 2, 3)
 
 def word_count(text: Column) -> Column:
     """Number of words: separators between the first and the last word, plus one."""
-    words = F.split(text, SEPARATOR_PATTERN, -1)
+    words = F.split(text, X.SEPARATOR_PATTERN, -1)
     return F.size(F.filter(words, lambda w: w != "")).cast("bigint")
 
 
@@ -139,12 +139,13 @@ def mix(docs: DataFrame, seed: int = SEED, weights: Sequence[int] = WEIGHTS, max
 
 def mix_documents(docs: DataFrame, seed: int = SEED, weights: Sequence[int] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """The mix itself: each row of ``docs``, with its columns, as often as it is taken."""
+    key, times, epoch = (X.free_name(docs.columns, n) for n in ("_row", "_times", "_epoch"))
     taken = (
         mix(docs, seed, weights, max_epochs).where("times > 0")
-        .groupBy(F.col("row_key").alias("_taken_key")).agg(F.sum("times").cast("int").alias("_times"))
+        .groupBy(F.col("row_key").alias(key)).agg(F.sum("times").cast("int").alias(times))
     )
     names = [F.col(f"`{c}`") for c in docs.columns]
-    keyed = docs.withColumn("_row_key", F.xxhash64(*names))
+    keyed = docs.withColumn(key, F.xxhash64(*names))
     # equal rows are one row here and come back as often as all of them together are taken
-    once = keyed.join(taken, F.col("_row_key") == F.col("_taken_key")).dropDuplicates(["_row_key"])
-    return once.withColumn("_epoch", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*names)
+    once = keyed.join(taken.hint("merge"), key).dropDuplicates([key])
+    return once.withColumn(epoch, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*names)

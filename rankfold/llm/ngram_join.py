@@ -300,8 +300,10 @@ def one_of_each_class(docs: DataFrame, similarity: float = SIMILARITY, width: in
         joined.where("n_shingles > 0").groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")).alias("k"))
         .select(F.col("k.text_key").alias("_keep"))
     )
-    keyed = docs.withColumn("_keep", _row_key())
+    key = X.free_name(docs.columns, "_keep")
+    keyed = docs.withColumn(key, _row_key())
     empty = ~F.coalesce(F.col("text").cast("string"), F.lit("")).rlike(X.WORD_PATTERN)
     # of repeated rows one stays; the join has partitioned them by the same key
-    once = keyed.where(~empty).join(best.hint("merge"), "_keep").dropDuplicates(["_keep"]).select(*docs.columns)
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    once = keyed.where(~empty).join(best.withColumnRenamed("_keep", key).hint("merge"), key).dropDuplicates([key]).select(*names)
     return once.unionByName(docs.where(empty))

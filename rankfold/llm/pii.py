@@ -28,6 +28,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankfold.llm import textops as X
 from rankfold.session import materialize
 
 #: bound of the training sample, in texts
@@ -347,26 +348,25 @@ def digests(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every found span replaced by its kind in brackets; overlapping spans are
     replaced together by the first one's kind.  Other columns are kept."""
-    keyed = materialize(docs.withColumn("_pii_row", F.monotonically_increasing_id()), "documents")
-    rows, spans = find(keyed.select(F.col("_pii_row").alias("doc_id"), "text"))
+    row, cut_row, cuts_of = (X.free_name(docs.columns, n) for n in ("_row", "_cut_row", "_cuts"))
+    keyed = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "documents")
+    rows, spans = find(keyed.select(F.col(row).alias("doc_id"), "text"))
     order = Window.partitionBy("row").orderBy("start", "rank")
     past = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     joined = spans.withColumn("_new", F.coalesce(F.col("start") >= past, F.lit(True)).cast("int")).withColumn("_group", F.sum("_new").over(order))
     merged = joined.groupBy("row", "_group").agg(F.min(F.struct("start", "rank", "kind")).alias("first"), F.max("end").alias("end"))
     cuts = (
-        merged.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("first.start", "end", "first.kind"))).alias("_cuts"))
-        .join(rows, "row").select(F.col("doc_id").alias("_cut_row"), "_cuts")
+        merged.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("first.start", "end", "first.kind"))).alias(cuts_of))
+        .join(rows, "row").select(F.col("doc_id").alias(cut_row), cuts_of)
     )
+    end_of = lambda i: F.coalesce(F.get(F.col(cuts_of), i)["end"], F.lit(0))
     pieces = F.transform(
-        "_cuts",
+        cuts_of,
         lambda c, i: F.concat(
-            F.substring(
-                F.col("text"), (F.coalesce(F.get(F.col("_cuts"), i - 1)["end"], F.lit(0)) + 1).cast("int"),
-                (c["start"] - F.coalesce(F.get(F.col("_cuts"), i - 1)["end"], F.lit(0))).cast("int"),
-            ),
-            F.lit("["), c["kind"], F.lit("]"),
+            F.substring(F.col("text"), (end_of(i - 1) + 1).cast("int"), (c["start"] - end_of(i - 1)).cast("int")), F.lit("["), c["kind"], F.lit("]"),
         ),
     )
-    tail = F.expr("substring(text, CAST(element_at(_cuts, -1).end + 1 AS int))")
-    text = F.when(F.col("_cuts").isNotNull(), F.concat(F.array_join(pieces, ""), tail)).otherwise(F.col("text"))
-    return keyed.join(cuts, F.col("_pii_row") == F.col("_cut_row"), "left").withColumn("text", text).select(*[F.col(f"`{c}`") for c in docs.columns])
+    tail = F.substring(F.col("text"), (F.element_at(cuts_of, -1)["end"] + 1).cast("int"), F.length("text"))
+    text = F.when(F.col(cuts_of).isNotNull(), F.concat(F.array_join(pieces, ""), tail)).otherwise(F.col("text"))
+    joined = keyed.join(cuts, F.col(row) == F.col(cut_row), "left")
+    return joined.withColumn("text", text).select(*[F.col(f"`{c}`") for c in docs.columns])

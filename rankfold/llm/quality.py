@@ -132,7 +132,7 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, prefix: str = "_q_")
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows of ``docs`` that pass every rule, columns as they are."""
     prefix = "_q_"
-    while any(name.startswith(prefix) for name in docs.columns):
+    while any(name.lower().startswith(prefix) for name in docs.columns):
         prefix = "_" + prefix
     kept, _ = compile_rules(rules, prefix)
     # a filter is not pushed below a row id, so the metrics are computed once by name and not

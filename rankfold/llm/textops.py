@@ -22,6 +22,14 @@ _SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 U64 = np.uint64
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """``name`` with as many underscores before it as no column has (names ignore case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def random_words(seed: int, n: int) -> np.ndarray:
     """``n`` fixed 64-bit numbers of ``seed``."""
     return np.random.Generator(np.random.PCG64(seed)).integers(0, 2**64, size=n, dtype=U64)

@@ -6,7 +6,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, node string, size int, row bigint, bucket string"
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, node string, size int, row bigint, bucket string, _keep int, _row int"
 
 
 def words(text):
@@ -26,7 +26,7 @@ def prose(seed, n):
 
 def documents(spark: SparkSession, rows) -> DataFrame:
     """Rows (doc_id, text[, source]) with extra columns whose names operators use inside."""
-    full = [(r[0], r[1], "en", r[2] if len(r) > 2 else "s0", None, "x", 1, 2, None) for r in rows]
+    full = [(r[0], r[1], "en", r[2] if len(r) > 2 else "s0", None, "x", 1, 2, None, 3, 4) for r in rows]
     return spark.createDataFrame(full, SCHEMA)
 
 

@@ -2,11 +2,15 @@
 
 import duckdb
 import pytest
+import test_decontam
+import test_mixing
+import test_ngram_join
+import test_quality
 from cases import documents, prose, shingles
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from rankfold.llm import queries
+from rankfold.llm import quality, queries
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
@@ -52,3 +56,35 @@ def test_empty_documents_pass_through(spark, tmp_path):
     documents(spark, []).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, prose(1, 20))], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def good(text):
+    n_words, word_chars, n_symbols, n_dup_lines, n_repeat = test_quality.brute(text)
+    text = text or ""
+    stop = {w for words in quality.STOP_WORDS.values() for w in words.split()}
+    metrics = {
+        "n_words": n_words, "word_chars": word_chars, "n_symbols": n_symbols, "n_dup_lines": n_dup_lines, "n_repeat_words": n_repeat,
+        "n_marks": text.count("!") + text.count("?"), "n_stop_words": sum(w.lower() in stop for w in test_quality.words(text)),
+        "n_lines": sum(bool(test_quality.words(x)) for x in text.split("\n")),
+    }
+    for r in quality.RULES:
+        top, bottom = 100 * metrics[r.numerator], metrics[r.denominator] if r.denominator else 1
+        if (r.low is not None and top < bottom * r.low) or (r.high is not None and top > bottom * r.high):
+            return False
+    return True
+
+
+def test_run_equals_brute_force_on_the_given_documents(spark, small_dir):
+    rows = [(r.doc_id, r.text, r.source) for r in spark.read.parquet(f"{small_dir}/documents.parquet").collect()]
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{small_dir}/benchmark.parquet").collect()]
+    rows = [r for r in rows if good(r[1])]
+    classes = {doc_id: klass for doc_id, klass, _ in test_ngram_join.brute(rows)}
+    rows = [r for r in rows if classes[str(r[0])] == str(r[0])]
+    leaking = {d for d, *_ in test_decontam.brute(rows, items)}
+    rows = [r for r in rows if str(r[0]) not in leaking]
+    taken, _, _ = test_mixing.brute(rows)
+    expected = sorted((d, 1) for d, n, total in taken if n for _ in range(total // n))
+    got = corpus_pipeline.run(spark, small_dir).collect()
+    assert sorted((str(r.doc_id), 1) for r in got) == expected and expected
+    slots = sorted((r.shard, r.slot) for r in got)
+    assert slots == sorted((p % corpus_pipeline.SHARDS, p // corpus_pipeline.SHARDS) for p in range(len(got)))
