@@ -127,12 +127,13 @@ def auc_global_scores(
     marked = tr.withColumn("_t", F.lit(1)).withColumn("_p", F.lit(0)).unionByName(
         pos.withColumn("_t", F.lit(0)).withColumn("_p", F.lit(1))
     ).join(sc, item_col)
-    per_score = marked.groupBy(user_col, "score").agg(F.sum("_t").alias("_te"), F.sum("_p").alias("_pe"))
+    # written once for its two consumers: the running sums and the totals per user
+    per_score = materialize(marked.groupBy(user_col, "score").agg(F.sum("_t").alias("_te"), F.sum("_p").alias("_pe")), "marked")
     cum = running_totals(per_score, ["score"], ["_te", "_pe"], group_cols=[user_col]).select(
         user_col, "score", "_te", "_pe",
         (F.col("_te_cum") - F.col("_te")).alias("_tb"), (F.col("_pe_cum") - F.col("_pe")).alias("_pb"),
     )
-    counts = marked.groupBy(user_col).agg(F.sum("_t").alias("_nt"), F.sum("_p").alias("_np"))
+    counts = per_score.groupBy(user_col).agg(F.sum("_te").alias("_nt"), F.sum("_pe").alias("_np"))
     per_pos = cum.where(F.col("_pe") > 0).join(glob, "score").select(
         user_col,
         (F.col("_pe") * ((F.col("_below") - F.col("_tb") - F.col("_pb"))
