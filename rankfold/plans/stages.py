@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from rankfold.operators import prep
 from rankfold.plans import sql as S
-from rankfold.session import checkpoint, materialize
+from rankfold.session import checkpoint, materialize, release
 from rankfold.sources import tables
 
 _MEMO: dict[tuple, Any] = {}
@@ -118,13 +118,16 @@ def bundle(spark: SparkSession, sf_dir: str) -> Bundle:
     from rankfold.operators.ordering import dense_index  # noqa: PLC0415
 
     def build() -> Bundle:
-        r = ratings(spark, sf_dir)
+        # read by the id maps, the key counts and both parts of the split: written once
+        r = materialize(ratings(spark, sf_dir), "bundle-ratings")
         user_map = checkpoint(dense_index(r, "userId"))
         item_map = checkpoint(dense_index(movies(spark, sf_dir), "movieId"))
         rows = prep.random_split(r, ("userId", "movieId", "timestamp", "rating"), 0.2, S.SEED)
         um = user_map.select(F.col("original_id").alias("userId"), F.col("encoded_id").alias("user_idx"))
         im = item_map.select(F.col("original_id").alias("movieId"), F.col("encoded_id").alias("item_idx"))
         mapped = rows.join(um, "userId").join(im, "movieId").select("user_idx", "item_idx", "rating", "split")
-        return Bundle(user_map, item_map, checkpoint(mapped))
+        whole = Bundle(user_map, item_map, checkpoint(mapped))
+        release(r)
+        return whole
 
     return _memo(spark, sf_dir, ("bundle",), build)

@@ -44,7 +44,7 @@ def test_entry_smoke(spark):
     assert {"user_idx", "rank", "movie_id", "title", "score", "genres"} <= set(df.columns)
 
 
-PLAN_GUARD = ["recommend_popular", "evaluate_model", "tag_tfidf", "recommend_all", "genre_ratings",
+PLAN_GUARD = ["recommend_popular", "evaluate_model", "metric_pivot", "latency_quantiles", "describe_features", "tag_tfidf", "recommend_all", "genre_ratings",
               "popular_items", "drift_columns", "sustained_alerts"]
 
 
