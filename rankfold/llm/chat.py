@@ -27,7 +27,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankfold.operators.ordering import positions, running_totals
@@ -119,22 +119,6 @@ def _turns(tokenizer_path: str | None):
 _TURNS = "conv_id bigint, depth int, node binary, segment string, loss_start int, loss_end int, length bigint, tokens array<int>, path binary"
 
 
-def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Number of nodes that a path shares with its predecessor."""
-    for batch in batches:
-        shared = []
-        for path, before in zip(batch.column("path").to_pylist(), batch.column("before").to_pylist(), strict=True):
-            low, high = 0, min(len(path), len(before or b"")) // KEY
-            while low < high:  # keys are chained, so equality at a depth means equality up to it
-                middle = (low + high + 1) // 2
-                if path[(middle - 1) * KEY : middle * KEY] == before[(middle - 1) * KEY : middle * KEY]:
-                    low = middle
-                else:
-                    high = middle - 1
-            shared.append(low)
-        yield pa.RecordBatch.from_arrays([batch.column("rank"), batch.column("path"), pa.array(shared, pa.int32())], names=["rank", "path", "shared"])
-
-
 def prefix_tree(turns: DataFrame, tokenizer_path: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(nodes, paths) of conversation rows (conv_id, turn, role, text).
 
@@ -147,12 +131,21 @@ def prefix_tree(turns: DataFrame, tokenizer_path: str | None = None) -> tuple[Da
     )
     formatted = materialize(ordered.mapInArrow(_turns(tokenizer_path), _TURNS), "turns")
     paths = formatted.where("path IS NOT NULL").select("conv_id", "path")
-    lengths = materialize(formatted.groupBy("node").agg(F.max("length").alias("length")), "lengths")
+    texts = materialize(
+        formatted.groupBy("node").agg(*[F.first(c).alias(c) for c in ("segment", "loss_start", "loss_end", "length", "tokens")]), "segments"
+    )
+    lengths = texts.select("node", "length")
 
     ranked = materialize(positions(paths.select("path").distinct(), ["path"], out="rank"), "paths")
     before = ranked.select((F.col("rank") + 1).alias("rank"), F.col("path").alias("before"))
+    # keys are chained, so equality at a depth means equality up to it: the shared prefix is as long
+    # as the number of equal keys
+    both = F.expr(f"cast(least(length(path), coalesce(length(before), 0)) / {KEY} as int)")
+    equal = F.expr(f"size(filter(sequence(0, both - 1), i -> substring(path, {KEY} * i + 1, {KEY}) = substring(before, {KEY} * i + 1, {KEY})))")
     adds = materialize(
-        ranked.join(before, "rank", "left").select("rank", "path", "before").mapInArrow(_common, "rank bigint, path binary, shared int"), "adds"
+        ranked.join(before, "rank", "left").withColumn("both", both)
+        .select("rank", "path", F.when(F.col("both") > 0, equal).otherwise(F.lit(0)).alias("shared")),
+        "adds",
     )
 
     def key(depth: str) -> Column:
@@ -185,7 +178,6 @@ def prefix_tree(turns: DataFrame, tokenizer_path: str | None = None) -> tuple[Da
                concat(acc, array(named_struct('start', x.start, 'end', x.start + x.length)))))""").alias("shared"),
     )
     shared = materialize(shared, "ancestors")
-    first = materialize(placed.groupBy("rank").agg(F.min("start").alias("run")), "runs")
     empty = F.expr(f"cast(array() as {interval})")
     above = F.coalesce("shared", empty)
     merged = F.expr(f"""CASE WHEN start = run THEN coalesce(shared, cast(array() as {interval}))
@@ -193,11 +185,10 @@ def prefix_tree(turns: DataFrame, tokenizer_path: str | None = None) -> tuple[Da
           THEN concat(slice(shared, 1, size(shared) - 1), array(named_struct('start', element_at(shared, -1).start, 'end', start)))
         ELSE concat(coalesce(shared, cast(array() as {interval})), array(named_struct('start', run, 'end', start))) END""")
     tree = (
-        placed.join(first, "rank").join(shared, "rank", "left").withColumn("shared", above)
+        placed.withColumn("run", F.min("start").over(Window.partitionBy("rank"))).join(shared, "rank", "left").withColumn("shared", above)
         .select("node", "parent", "depth", "start", "length", (F.coalesce("above", F.lit(0)) + F.col("start") - F.col("run")).alias("position"), merged.alias("attends"))
     )
-    texts = formatted.groupBy("node").agg(*[F.first(c).alias(c) for c in ("segment", "loss_start", "loss_end", "tokens")])
-    nodes = materialize(tree.join(texts, "node"), "nodes")
+    nodes = materialize(tree.join(texts.drop("length"), "node"), "nodes")
     return nodes.select("node", "parent", "depth", "segment", "loss_start", "loss_end", "length", "tokens", "start", "position", "attends"), paths
 
 
