@@ -89,9 +89,9 @@ def q_metric_pivot(spark, sf):
 def q_batch_validation(spark, sf):
     """Batch requests (one batch per hour of batch-endpoint requests): size and whether it
     passes the 1..100 user-list bound."""
-    from rankfold.plans.catalog_models import _requests  # noqa: PLC0415
+    from rankfold.plans.catalog_models import requests_of  # noqa: PLC0415
 
-    reqs = _requests(spark, sf, "/recommend/batch")
+    reqs = requests_of(spark, sf, "/recommend/batch")
     per = reqs.groupBy(F.date_trunc("hour", "ts").alias("batch_start")).agg(
         F.count(F.lit(1)).cast("bigint").alias("n_users")
     )

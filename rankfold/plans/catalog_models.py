@@ -227,7 +227,7 @@ def q_enrich_recs(spark, sf):
                       F.array_join("genres", "|").alias("genres"))
 
 
-def _requests(spark, sf, endpoint: str):
+def requests_of(spark, sf, endpoint: str):
     """Successful requests of one endpoint whose top_k passes validation (1..500; default 10)."""
     log = tables.request_log(spark, sf)
     k = F.coalesce("top_k", F.lit(S.TOP_K))
@@ -261,7 +261,7 @@ def _pop_recs_for(users_sql: str, n: int) -> str:
   WHERE rank <= ({n}))"""
 
 
-def _answer_sql(endpoint: str, lists: list[str] | None = None) -> list[str]:
+def answer_sql(endpoint: str, lists: list[str] | None = None) -> list[str]:
     """CTEs warm and cold; ``lists`` define req_recs (user_idx, movie_idx, score, rank), by default
     those of the popularity model."""
     reqs = (
@@ -298,38 +298,14 @@ def _answer_sql(endpoint: str, lists: list[str] | None = None) -> list[str]:
     "recommend_all",
     S.with_ctes(
         "SELECT * FROM warm UNION ALL SELECT * FROM cold",
-        *_answer_sql("/recommend"),
+        *answer_sql("/recommend"),
         prepared=True,
     ),
 )
 def q_recommend_all(spark, sf):
     """Every successful /recommend request answered in one job: known users get the
     model list (sigmoid score), unknown users the popular fallback, cut to top_k."""
-    out = answer(spark, sf, _requests(spark, sf, "/recommend"))
-    return out.select("request_id", "user_id", "rank", "movie_id", "title", "score",
-                      F.array_join("genres", "|").alias("genres"), "cold_start")
-
-
-def _content_lists() -> list[str]:
-    from rankfold.plans.catalog_fm import content_sql  # noqa: PLC0415
-
-    return [*content_sql("(SELECT max(top_k) FROM reqs)"), "req_recs AS (SELECT * FROM content_recs)"]
-
-
-@register(
-    "recommend_all_content",
-    S.with_ctes("SELECT * FROM warm UNION ALL SELECT * FROM cold", *_answer_sql("/recommend", _content_lists()), prepared=True),
-)
-def q_recommend_all_content(spark, sf):
-    """Every successful /recommend request answered from the content model's lists; unknown users
-    get the popular fallback."""
-    from rankfold.operators import train as TR  # noqa: PLC0415
-
-    requests = _requests(spark, sf, "/recommend")
-    routed = SV.route_requests(requests, P.encoded(spark, sf).user_map)
-    warm = routed.where(~F.col("cold_start")).select("user_idx").distinct()
-    n = requests.agg(F.max("top_k")).first()[0] or S.TOP_K
-    out = answer(spark, sf, requests, TR.fit(spark, sf, "content").recommend(n, warm))
+    out = answer(spark, sf, requests_of(spark, sf, "/recommend"))
     return out.select("request_id", "user_id", "rank", "movie_id", "title", "score",
                       F.array_join("genres", "|").alias("genres"), "cold_start")
 
@@ -338,13 +314,13 @@ def q_recommend_all_content(spark, sf):
     "cold_start_route",
     S.with_ctes(
         "SELECT request_id, user_id, user_idx IS NULL AS cold_start FROM routed",
-        *_answer_sql("/recommend"),
+        *answer_sql("/recommend"),
         prepared=True,
     ),
 )
 def q_cold_start_route(spark, sf):
     enc = P.encoded(spark, sf)
-    return SV.route_requests(_requests(spark, sf, "/recommend"), enc.user_map).select(
+    return SV.route_requests(requests_of(spark, sf, "/recommend"), enc.user_map).select(
         "request_id", "user_id", "cold_start"
     )
 
@@ -357,7 +333,7 @@ def q_cold_start_route(spark, sf):
         "(SELECT request_id, time_bucket(INTERVAL 1 HOUR, ts) AS batch_start, "
         " CAST(row_number() OVER (PARTITION BY time_bucket(INTERVAL 1 HOUR, ts) ORDER BY ts, request_id) AS BIGINT) AS pos "
         " FROM reqs) b ON b.request_id = a.request_id",
-        *_answer_sql("/recommend/batch"),
+        *answer_sql("/recommend/batch"),
         prepared=True,
     ),
 )
@@ -366,7 +342,7 @@ def q_batch_recommend(spark, sf):
     position is answered with its request's ``top_k`` (duplicates kept, seen items excluded)."""
     from rankfold.operators.ordering import running_totals  # noqa: PLC0415
 
-    reqs = _requests(spark, sf, "/recommend/batch")
+    reqs = requests_of(spark, sf, "/recommend/batch")
     tagged = reqs.select("request_id", "ts", F.date_trunc("hour", "ts").alias("batch_start"), F.lit(1).alias("one"))
     # position inside the batch = running count in (ts, request_id) order; a hot hour is
     # spread over range partitions instead of one window partition
