@@ -16,8 +16,8 @@ banding that share no band and no candidate group are the only ones that can be
 
 Defined results: null and empty texts have no shingles, no links and their own doc_id as class;
 a text shorter than a shingle is one shingle of all its words; rows with a null doc_id are kept
-and have the smallest doc_id of their class (null if none); repeated rows are copies of each
-other and each is returned; an empty table gives an empty result; further columns are ignored.
+and have the smallest doc_id of their class (null if none, so class_id does not tell classes of
+null or repeated doc_ids apart; ``component`` does); repeated rows are copies of each other and each is returned; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -207,10 +207,11 @@ def _row_key() -> Column:
 
 
 def ngram_join(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH, recall: float = RECALL) -> DataFrame:
-    """(doc_id, class_id, n_copies, n_links, n_shingles), one row per row of ``docs``.
+    """(doc_id, class_id, n_copies, n_links, n_shingles, text_key, component), one row per row of ``docs``.
 
     class_id: smallest doc_id of the rows joined by chains of links.  n_copies: rows with the
     same shingle set, itself included.  n_links: other rows at ``similarity`` or more.
+    component: fingerprint of the class (null without words).
     """
     bands, rows = X.band_count(similarity, recall)
     texts = docs.select(
@@ -277,7 +278,7 @@ def ngram_join(docs: DataFrame, similarity: float = SIMILARITY, width: int = WID
     least = materialize(named.groupBy("component").agg(F.min("least_id").alias("class_id")), "classes")
     found = materialize(
         named.join(least, "component").join(links, "node", "left").select(
-            "node", "class_id", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
+            "node", "component", "class_id", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
         ),
         "found",
     )
@@ -286,7 +287,7 @@ def ngram_join(docs: DataFrame, similarity: float = SIMILARITY, width: int = WID
         F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("copies", F.lit(1)).alias("n_copies"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"),
-        "n_shingles", "text_key",
+        "n_shingles", "text_key", "component",
     )
 
 
@@ -297,7 +298,7 @@ def one_of_each_class(docs: DataFrame, similarity: float = SIMILARITY, width: in
     """
     joined = ngram_join(docs, similarity, width, recall)
     best = (
-        joined.where("n_shingles > 0").groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")).alias("k"))
+        joined.where("n_shingles > 0").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")).alias("k"))
         .select(F.col("k.text_key").alias("_keep"))
     )
     key = X.free_name(docs.columns, "_keep")

@@ -66,6 +66,13 @@ def test_one_row_of_each_class_stays(spark):
     assert ids == sorted(["1", "2", "3", "4", "5", "6", "9", "10", "11", "12", "13", "None"])
 
 
+def test_classes_of_null_and_repeated_ids_stay_apart(spark):
+    copied = prose(50, 90)
+    rows = [(None, prose(51, 90)), (None, prose(52, 90)), (None, copied), (None, copied), (7, prose(53, 90)), (7, prose(54, 90)), (8, prose(53, 90))]
+    kept = ngram_join.one_of_each_class(documents(spark, rows)).collect()
+    assert sorted((str(r.doc_id), r.text) for r in kept) == sorted((str(d), t) for d, t in {*rows[:3], *rows[4:6]})
+
+
 def test_banding_reaches_the_recall():
     bands, rows = textops.band_count(0.8, 0.9999)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.9999
