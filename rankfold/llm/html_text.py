@@ -34,9 +34,8 @@ from pyspark.sql import functions as F
 
 from rankfold.session import materialize
 
-#: a subtree is a template of its host from so many different pages, and such a share of them
+#: a subtree is a template of its host from so many different pages on
 MIN_PAGES = 5
-MIN_SHARE = 0.01
 
 # HTML element names by their role.
 RAW = "script style title textarea iframe noembed noframes xmp"
@@ -233,19 +232,17 @@ def _parse_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def templates(parsed: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """(host, subtree): subtrees on at least ``min_pages`` different pages of the host and on
-    ``min_share`` of them.  Equal pages count once, so copies of a page make no template."""
+def templates(parsed: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
+    """(host, subtree): subtrees on at least ``min_pages`` different pages of the host, however many
+    it has.  Equal pages count once, so copies of a page make no template."""
     pages = parsed.select("host", "page_hash", "subtrees")
-    sizes = pages.select("host", "page_hash").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("host_pages"))
-    counts = (
+    return (
         pages.select("host", "page_hash", F.explode("subtrees").alias("subtree")).distinct()
-        .groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
+        .groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages).select("host", "subtree")
     )
-    return counts.join(sizes, "host").where(F.col("n") >= min_share * F.col("host_pages")).select("host", "subtree")
 
 
-def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def main_text(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     """(page_id, url, text, n_chars), one row per row of ``pages``."""
     source = pages.select(
         F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")
@@ -253,7 +250,7 @@ def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = M
     parsed = materialize(
         source.mapInArrow(_parse_pages, _PARSED).withColumn("row", F.monotonically_increasing_id()), "pages", compression="zstd"
     )
-    known = materialize(templates(parsed, min_pages, min_share), "templates")
+    known = materialize(templates(parsed, min_pages), "templates")
     # pages without declared main content: blocks that no template holds
     blocks = parsed.where("text IS NULL").select("row", "host", F.posexplode("blocks").alias("at", "block"))
     held = (

@@ -1,4 +1,5 @@
 import pytest
+from cases import prose
 
 from rankfold.llm import html_text
 
@@ -48,3 +49,9 @@ def test_templates_of_a_host_go(spark):
 
 def test_empty_table(spark):
     assert html_text.main_text(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
+
+
+def test_large_hosts_lose_their_templates(spark):
+    rows = [(i, f"https://a.example/{i}", f"<body>{'<div>Menu of few pages</div>' if i < 6 else ''}<p>{prose(i, 12)}</p></body>") for i in range(700)]
+    got = html_text.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == {i: prose(i, 12) for i in range(700)}
