@@ -1,15 +1,15 @@
 """HTML extraction by removal of site templates.
 
-Every page is parsed once in a task.  Elements outside the declared main content (``article``,
-else ``main``) are hashed as subtrees (tag, class, text, children); Spark counts on how many
-different pages of a host each hash stands and deletes the subtrees that stand on many.  What is
-a menu, header, footer, sidebar, notice, advert, form, script, style or comment section by its
-tag, role, class or id is deleted wherever it stands, so that a host with a single page is clean
-as well.  The main text is the declared main content, or, on pages that declare none, every block
-that no deleted subtree holds.
+Every page is parsed once in a task.  Elements are hashed as subtrees (tag, attributes, text,
+children) outside the declared main content (``article``, else ``main``); Spark counts beside
+how many different main contents of a host each hash stands and deletes the subtrees that stand
+beside many, however many pages the host has.  Copies of an article are one content.
 
-Subtrees inside the declared main content are not candidates for removal: copies of an article
-stand on many pages of a host, and more often than its menus do.
+What is a menu, header, footer, sidebar, notice, advert, form, script, style or comment section by
+its tag or role, or by a class or id of listed names alone, is deleted wherever it stands, so that a
+host with a single page is clean as well; a class or id never deletes headings, the page, the main
+content or what it stands in.  The main text is what stays of the declared main content, or, on
+pages that declare none, of the page.
 
 Blocks end at block elements; character references are decoded; ASCII white space inside a block
 becomes one space; blocks are trimmed, empty ones dropped, and joined in page order by newlines.
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from rankfold.session import materialize
 
-#: a subtree is a template of its host from so many different pages on
+#: a subtree is a template of its host from so many different contents on
 MIN_PAGES = 5
 
 # HTML element names by their role.
@@ -57,6 +57,8 @@ DROPPED_NAMES = (
 
 _VOID, _BLOCK, _DROPPED = set(VOID.split()), set(BLOCK.split()), set(DROPPED.split())
 _ROLES, _NAMES = set(DROPPED_ROLES.split()), set(DROPPED_NAMES.split())
+#: never dropped by a class or id
+_KEPT = {"html", "body", "main", "article", "h1", "h2", "h3", "h4", "h5", "h6"}
 #: start tags that end an open element of the same kind
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 _SCOPE = {"article", "main", "section", "div", "body", "html", "table", "ul", "ol", "dl", "blockquote", "td", "th"}
@@ -69,73 +71,98 @@ _TOKEN = re.compile(
     r"|<[!?][^>]*+(?:>|\Z)",
     re.S | re.I,
 )
-_ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?![\w-])(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>]++))?+""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s/>"'=][^\s/>=]*+)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>]++))?+|["'][^\s>]*+""")
 _NAME_PART = re.compile(r"[a-z0-9]+")
 _SPACE = re.compile(r"[\x20\x09-\x0D]+")
 _HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
 
 
-@dataclass(slots=True)
+@dataclass(slots=True, eq=False)
 class _Node:
     tag: str
-    dropped: bool
+    dropped: bool  # by its tag or role, or in such an element
     main: str  # the tag of the declared main content it is in
+    parent: _Node | None = None
+    named: bool = False  # its class or id names boilerplate
     parts: list = field(default_factory=list)
     digest: int = 0
 
+    def path(self) -> Iterator[_Node]:
+        node = self
+        while node is not None:
+            yield node
+            node = node.parent
 
-def _is_dropped(tag: str, attributes: str) -> tuple[bool, bool]:
-    """(boilerplate by its tag or attributes, declared as the main content by its role)"""
+
+def _names_boilerplate(value: str) -> bool:
+    """One of the classes (or the id) is made of listed names alone; other names are left to the counts."""
+    for word in value.split():
+        parts = [p for p in _NAME_PART.findall(word) if not p.isdigit()]
+        if parts and _NAMES.issuperset(parts):
+            return True
+    return False
+
+
+def _kind(tag: str, attributes: str) -> tuple[bool, bool, bool]:
+    """(boilerplate by its tag, role or being hidden; by its class or id; declared as the main content by its role)"""
     if tag in _DROPPED:
-        return True, False
-    main = False
-    if attributes:
-        for name, value in _ATTRIBUTE.findall(attributes):
-            name, value = name.lower(), value.strip("\"'").lower()
-            if name in ("class", "id"):
-                if not _NAMES.isdisjoint(_NAME_PART.findall(value)):
-                    return True, False
-            elif name == "role":
-                if value in _ROLES:
-                    return True, False
-                main = main or value == "main"
-            elif name == "style":
-                if "display:none" in value.replace(" ", ""):
-                    return True, False
-            elif value != "false":
-                return True, False
-    return False, main
+        return True, False, False
+    main = named = False
+    for name, value in _ATTRIBUTE.findall(attributes) if attributes else ():
+        name = name.lower()
+        if name not in ("class", "id", "role", "hidden", "aria-hidden", "style"):
+            continue
+        value = (value[1:-1] if value[:1] in ("'", '"') and value[-1:] == value[:1] else value).lower()
+        if name in ("class", "id"):
+            named = named or (tag not in _KEPT and _names_boilerplate(value))
+        elif name == "role":
+            if value in _ROLES:
+                return True, False, False
+            main = main or value == "main"
+        elif name == "style":
+            if "display:none" in value.replace(" ", ""):
+                return True, False, False
+        elif value != "false":
+            return True, False, False
+    return False, named, main
+
+
+def _choose_main(declared: list[_Node]) -> tuple[str, set[_Node]]:
+    """The tag of the declared main content, and its elements' ancestors: these stay whatever their class
+    or id.  Content in an element that names boilerplate counts where no other is declared beside it."""
+    in_named = {n: any(a.named for a in n.path()) for n in declared}
+    mains = [n for n in declared if n.main == "main"]
+    free = [n for n in mains if not in_named[n]]
+    articles = [n for n in declared if n.main == "article"]
+    found = [n for n in articles if not in_named[n]]
+    found = found or [n for n in articles if not free or any(a in free for a in n.path())] or free or mains
+    return (found[0].main, {a for n in found for a in n.path()}) if found else ("", set())
 
 
 def parse(page: str) -> tuple[str | None, list[tuple[str, list[int]]], list[int]]:
-    """(text of the declared main content or None, the other blocks with the hashes of the
-    subtrees that hold them, all hashes of subtrees outside the main content)."""
+    """(text of the declared main content or None, the blocks of the main content, or of the page if
+    none is declared, with the hashes of the subtrees that hold them, hashes of all subtrees that hold a block)."""
     root = _Node("", False, "")
     stack = [root]
-    blocks: list[tuple[str, list[_Node]]] = []
-    text: list[str] = []
-    outside: list[_Node] = []
-    declared_kinds: set[str] = set()
+    blocks: list[tuple[list[tuple[str, _Node]], _Node]] = []
+    text: list[tuple[str, _Node]] = []
+    declared: list[_Node] = []
 
     def end_block() -> None:
         if text:
-            joined = _SPACE.sub(" ", html.unescape("".join(text))).strip(" ")
+            blocks.append((text.copy(), stack[-1]))
             text.clear()
-            if joined:
-                blocks.append((joined, list(stack)))
 
     def add(piece: str) -> None:
         top = stack[-1]
-        if not top.main:
-            top.parts.append(piece)
+        top.parts.append(piece)
         if not top.dropped:
-            text.append(piece)
+            text.append((piece, top))
 
     def close() -> None:
         node = stack.pop()
-        if not node.main and node.tag not in ("html", "body", "head"):
+        if node.tag not in ("html", "body", "head"):
             node.digest = xxhash.xxh3_64_intdigest(_SPACE.sub(" ", "".join(node.parts)).strip()) - 2**63
-            outside.append(node)
             stack[-1].parts.append(f"<{node.digest}>")
 
     def close_to(at: int) -> None:
@@ -183,16 +210,17 @@ def parse(page: str) -> tuple[str | None, list[tuple[str, list[int]]], list[int]
             add(" ")
         top = stack[-1]
         attributes = token["attributes"] or token["attributes2"] or ""
-        dropped, declared = (True, False) if top.dropped else _is_dropped(tag, attributes)
+        dropped, named, role = (True, False, False) if top.dropped else _kind(tag, attributes)
         if tag == "header" and not top.main:
             dropped = True
         main = top.main
-        if not dropped and (tag in ("article", "main") or declared) and main != "article":
+        starts_main = not dropped and (tag in ("article", "main") or role) and main != "article"
+        if starts_main:
             main = "article" if tag == "article" else "main"
-            declared_kinds.add(main)
-        node = _Node(tag, dropped, main)
-        if not main:
-            node.parts.append(f"{tag} {attributes} ")
+        node = _Node(tag, dropped, main, top, named)
+        if starts_main:
+            declared.append(node)
+        node.parts.append(f"{tag} {attributes} ")
         stack.append(node)
     if at < len(page):
         add(page[at:])
@@ -200,13 +228,30 @@ def parse(page: str) -> tuple[str | None, list[tuple[str, list[int]]], list[int]
     while len(stack) > 1:
         close()
 
-    for kind in ("article", "main"):
-        if kind in declared_kinds:
-            return "\n".join(joined for joined, nodes in blocks if nodes[-1].main == kind), [], [n.digest for n in outside]
-    return None, [(joined, [n.digest for n in nodes if n.digest]) for joined, nodes in blocks], [n.digest for n in outside]
+    kind, kept = _choose_main(declared)
+    gone: dict[_Node, bool] = {root: False}
 
+    def is_gone(node: _Node) -> bool:
+        if node not in gone:
+            path = [node]
+            while path[-1].parent not in gone:
+                path.append(path[-1].parent)
+            for n in reversed(path):
+                gone[n] = gone[n.parent] or (n.named and n not in kept)
+        return gone[node]
 
-_PARSED = "page_id bigint, url string, host string, page_hash bigint, text string, blocks array<struct<text: string, held_by: array<bigint>>>, subtrees array<bigint>"
+    found, holding = [], set()
+    for pieces, holder in blocks:
+        held_by = [n.digest for n in holder.path() if n.digest and not n.main]
+        joined = _SPACE.sub(" ", html.unescape("".join(p for p, n in pieces if not is_gone(n)))).strip(" ")
+        if joined:
+            holding.update(held_by)
+            if not kind or holder.main == kind:
+                found.append((joined, held_by))
+    return "\n".join(t for t, _ in found) if kind else None, found, list(holding)
+
+
+_PARSED = "page_id bigint, url string, host string, content bigint, blocks array<struct<text: string, held_by: array<bigint>>>, subtrees array<bigint>"
 
 
 def _parse_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,30 +259,29 @@ def _parse_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first in range(0, batch.num_rows, 256):
             part = batch.slice(first, 256)
-            texts, blocks, subtrees, hashes = [], [], [], []
+            blocks, subtrees, contents = [], [], []
             for page in part.column("html").to_pylist():
-                text, rest, digests = parse(page or "")
-                texts.append(text)
-                blocks.append([{"text": t, "held_by": held} for t, held in rest])
-                subtrees.append(sorted(set(digests)))
-                hashes.append(xxhash.xxh3_64_intdigest(page or "") - 2**63)
+                _, found, digests = parse(page or "")
+                blocks.append([{"text": t, "held_by": held} for t, held in found])
+                subtrees.append(sorted(digests))
+                contents.append(xxhash.xxh3_64_intdigest("\n".join(t for t, _ in found)) - 2**63)
             urls = part.column("url").to_pylist()
             hosts = [m[1].lower() if (m := _HOST.match(u or "")) else "" for u in urls]
             yield pa.RecordBatch.from_arrays(
                 [
-                    part.column("page_id"), part.column("url"), pa.array(hosts, pa.string()), pa.array(hashes, pa.int64()),
-                    pa.array(texts, pa.string()), pa.array(blocks, kind), pa.array(subtrees, pa.list_(pa.int64())),
+                    part.column("page_id"), part.column("url"), pa.array(hosts, pa.string()), pa.array(contents, pa.int64()),
+                    pa.array(blocks, kind), pa.array(subtrees, pa.list_(pa.int64())),
                 ],
-                names=["page_id", "url", "host", "page_hash", "text", "blocks", "subtrees"],
+                names=["page_id", "url", "host", "content", "blocks", "subtrees"],
             )
 
 
 def templates(parsed: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(host, subtree): subtrees on at least ``min_pages`` different pages of the host, however many
-    it has.  Equal pages count once, so copies of a page make no template."""
-    pages = parsed.select("host", "page_hash", "subtrees")
+    """(host, subtree): subtrees that stand beside at least ``min_pages`` different contents of the
+    host, outside their main content.  Contents that are copies count once."""
+    pages = parsed.select("host", "content", "subtrees")
     return (
-        pages.select("host", "page_hash", F.explode("subtrees").alias("subtree")).distinct()
+        pages.select("host", "content", F.explode("subtrees").alias("subtree")).distinct()
         .groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages).select("host", "subtree")
     )
 
@@ -251,19 +295,11 @@ def main_text(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
         source.mapInArrow(_parse_pages, _PARSED).withColumn("row", F.monotonically_increasing_id()), "pages", compression="zstd"
     )
     known = materialize(templates(parsed, min_pages), "templates")
-    # pages without declared main content: blocks that no template holds
-    blocks = parsed.where("text IS NULL").select("row", "host", F.posexplode("blocks").alias("at", "block"))
-    held = (
-        blocks.select("row", "at", "host", F.explode("block.held_by").alias("subtree"))
-        .join(known, ["host", "subtree"]).select("row", "at").distinct()
-    )
-    kept = (
-        blocks.select("row", "at", "block.text").join(held, ["row", "at"], "left_anti")
-        .groupBy("row").agg(F.sort_array(F.collect_list(F.struct("at", "text"))).alias("b"))
-        .select("row", F.array_join("b.text", "\n").alias("rest"))
-    )
-    joined = parsed.where("text IS NULL").select("row", "page_id", "url").join(kept, "row", "left").select(
-        "page_id", "url", F.coalesce("rest", F.lit("")).alias("text")
+    # the blocks that a template holds
+    held = parsed.select("row", "host", F.posexplode("blocks.held_by").alias("at", "by")).select(
+        "row", "at", "host", F.explode("by").alias("subtree")
     )
-    whole = parsed.where("text IS NOT NULL").select("page_id", "url", "text").unionByName(joined)
-    return whole.withColumn("n_chars", F.length("text").cast("bigint"))
+    cut = materialize(held.join(known, ["host", "subtree"]).groupBy("row").agg(F.collect_set("at").alias("cut")), "cut")
+    left = F.filter("blocks", lambda b, i: ~F.coalesce(F.array_contains("cut", i), F.lit(False)))
+    text = F.array_join(F.transform(left, lambda b: b["text"]), "\n")
+    return parsed.join(cut, "row", "left").select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("bigint"))

@@ -51,6 +51,21 @@ def test_empty_table(spark):
     assert html_text.main_text(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<article><p><a href="/x?id=ad-12">a</a> b</p><p title="a hidden bay">c</p></article>', "a b\nc"),
+        ('<body class="page no-sidebar"><div class="with-sidebar"><article class="post comments-open"><h1 class="entry-header">a</h1>b</article></div>', "a\nb"),
+        ('<body class="sidebar"><div class="widget"><article class="ad"><h1 class="header">a</h1><p class="ad">no</p></article></div>', "a"),
+        ('<div class="sidebar"><article>teaser</article></div><article>a</article>', "a"),
+        ('<div class="sidebar"><article>teaser</article></div><main>a</main>', "a"),
+        ('<main>x<div class="widget"><article>a</article></div></main>', "a"),
+    ],
+)
+def test_names_delete_only_what_they_name(page, text):
+    assert html_text.parse(page)[0] == text
+
+
 def test_large_hosts_lose_their_templates(spark):
     rows = [(i, f"https://a.example/{i}", f"<body>{'<div>Menu of few pages</div>' if i < 6 else ''}<p>{prose(i, 12)}</p></body>") for i in range(700)]
     got = html_text.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
