@@ -1,9 +1,10 @@
 """HTML extraction by removal of site templates.
 
 Every page is parsed once in a task.  Elements are hashed as subtrees (tag, attributes, text,
-children) outside the declared main content (``article``, else ``main``); Spark counts beside
+children), inside the declared main content (``article``, else ``main``) as well; Spark counts beside
 how many different main contents of a host each hash stands and deletes the subtrees that stand
-beside many, however many pages the host has.  Copies of an article are one content.
+beside many, however many pages the host has.  Copies and near copies of an article (the classes of
+``ngram_join``) are one content, so what they share is not taken for a template.
 
 What is a menu, header, footer, sidebar, notice, advert, form, script, style or comment section by
 its tag or role, or by a class or id of listed names alone, is deleted wherever it stands, so that a
@@ -32,6 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rankfold.llm.ngram_join import ngram_join
 from rankfold.session import materialize
 
 #: a subtree is a template of its host from so many different contents on
@@ -242,7 +244,7 @@ def parse(page: str) -> tuple[str | None, list[tuple[str, list[int]]], list[int]
 
     found, holding = [], set()
     for pieces, holder in blocks:
-        held_by = [n.digest for n in holder.path() if n.digest and not n.main]
+        held_by = [n.digest for n in holder.path() if n.digest]
         joined = _SPACE.sub(" ", html.unescape("".join(p for p, n in pieces if not is_gone(n)))).strip(" ")
         if joined:
             holding.update(held_by)
@@ -278,10 +280,12 @@ def _parse_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def templates(parsed: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     """(host, subtree): subtrees that stand beside at least ``min_pages`` different contents of the
-    host, outside their main content.  Contents that are copies count once."""
-    pages = parsed.select("host", "content", "subtrees")
+    host.  Contents that are copies or near copies of each other (the classes of op1) count once."""
+    texts = parsed.select(F.col("content").alias("doc_id"), F.array_join("blocks.text", "\n").alias("text")).dropDuplicates(["doc_id"])
+    classes = materialize(ngram_join(texts).select(F.col("doc_id").alias("content"), F.col("class_id").alias("class")), "contents")
+    pages = parsed.select("host", "content", "subtrees").join(classes, "content")
     return (
-        pages.select("host", "content", F.explode("subtrees").alias("subtree")).distinct()
+        pages.select("host", "class", F.explode("subtrees").alias("subtree")).distinct()
         .groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages).select("host", "subtree")
     )
 

@@ -66,6 +66,19 @@ def test_names_delete_only_what_they_name(page, text):
     assert html_text.parse(page)[0] == text
 
 
+def test_boxes_inside_the_main_content_go_and_copied_articles_stay(spark):
+    box = "<div><p>Buy this now</p><p>At our shop</p></div>"
+    rows = [(i, f"https://a.example/{i}", f"<article><h1>Head {i}</h1>{box}<p>{prose(i, 40)}</p></article>") for i in range(7)]
+    words = prose(60, 120).split(" ")
+    for i in range(8):  # near copies: each has another word changed
+        near = " ".join(f"w{i}" if k == 10 * i else w for k, w in enumerate(words))
+        rows.append((100 + i, f"https://a.example/n{i}", f"<article><h1>Shared head</h1><p>{near}</p><p>Shared end</p></article>"))
+    rows += [(200 + i, "https://a.example/c", "<article><h1>Copied</h1><p>text</p></article>") for i in range(9)]
+    text = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert text[3] == f"Head 3\n{prose(3, 40)}" and text[205] == "Copied\ntext"
+    assert all(text[100 + i].startswith("Shared head\n") and text[100 + i].endswith("\nShared end") for i in range(8))
+
+
 def test_large_hosts_lose_their_templates(spark):
     rows = [(i, f"https://a.example/{i}", f"<body>{'<div>Menu of few pages</div>' if i < 6 else ''}<p>{prose(i, 12)}</p></body>") for i in range(700)]
     got = html_text.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
