@@ -5,8 +5,8 @@ always kept.  Beside them, high-recall generators propose overlapping spans (num
 rules join to a neighbour or do not know, secrets, account and identity numbers, spelled-out
 addresses).  Boosted trees score every proposal by its format and its context; a kind's threshold
 is the smallest score that reaches ``PRECISION`` on examples the trees have not seen.  Proposals
-over their threshold are added unless they overlap a base span; of overlapping ones the best of
-each chain stays.
+over their threshold are added unless they overlap a base span; of overlapping ones the best stays,
+then the best of those that overlap none that stays, and so on.
 
 The trees are fitted on at most ``TRAIN_TEXTS`` texts of the corpus (the smallest by a seeded hash):
 pieces of them carry planted examples of each format of ``FORMATS``, half of them look-alikes.
@@ -59,21 +59,21 @@ class Generator:
 
 
 GENERATORS = (
-    Generator("email_loose", "email", r"(?:\G|(?<![^\s@<>()\"',;:]))[^\s@<>()\"',;:]{1,64}+@[^\s@<>()\"',;:]{3,255}+"),
-    Generator("email_spelled", "email", r"[A-Za-z0-9._-]{1,64}+(?: at | ?\(at\) ?| ?\[at\] ?)[A-Za-z0-9-]{1,63}+(?: dot | ?\(dot\) ?| ?\[dot\] ?)[A-Za-z]{2,10}(?![A-Za-z])"),
+    Generator("email_loose", "email", r"(?:\G|(?<![^\s@<>()\"',;:]))[^\s@<>()\"',;:]++@[^\s@<>()\"',;:]{3,}+"),
+    Generator("email_spelled", "email", r"(?:\G|(?<![A-Za-z0-9._-]))[A-Za-z0-9._-]++(?: at | ?\(at\) ?| ?\[at\] ?)[A-Za-z0-9-]++(?: dot | ?\(dot\) ?| ?\[dot\] ?)[A-Za-z]{2,}+"),
     Generator("card_run", "card", r"(?<![0-9])[0-9]{13,19}+(?![0-9])"),
     Generator("card_groups", "card", r"(?<![0-9])[0-9]{4}(?:[\x20-][0-9]{4}){3}(?![0-9])"),
     Generator("phone_code", "phone", r"\+[0-9]{1,3}[\x20.-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[\x20.-]?[0-9]{2,4}){1,4}(?![0-9])"),
     Generator("phone_ten", "phone", r"\+1[\x20.-]?\(?[0-9]{3}\)?[\x20.-]?[0-9]{3}[\x20.-]?[0-9]{4}(?![0-9])"),
     Generator("phone_local", "phone", r"(?<![0-9+(.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9-])"),
-    Generator("secret_assigned", "secret", r"(?<=(?:password|passwd|pwd|token|secret|api_key|api-key|apikey|access_key|access-key)[\"']?\x20?[=:]\x20?[\"']?)[A-Za-z0-9+/_.-]{8,128}+(?![A-Za-z0-9+/_.-])"),
+    Generator("secret_assigned", "secret", r"(?<=(?:password|passwd|pwd|token|secret|api_key|api-key|apikey|access_key|access-key)[\"']?\x20?[=:]\x20?[\"']?)[A-Za-z0-9+/_.-]{8,}+"),
     Generator("secret_upper", "secret", r"(?<![A-Za-z0-9_])[A-Z]{4}[A-Z0-9]{16}(?![A-Za-z0-9_])"),
-    Generator("secret_hex", "secret", r"(?<![A-Za-z0-9])[0-9a-f]{32,64}+(?![A-Za-z0-9])"),
+    Generator("secret_hex", "secret", r"(?<![A-Za-z0-9])[0-9a-f]{32,}+(?![A-Za-z0-9])"),
     Generator("id_number", "id", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
     Generator("account", "account", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
 )
 #: a text without any of these has neither base spans nor proposals
-TRIGGER = r"[0-9@]|[\x20(\[]dot[\x20)\]]|(?i:password|passwd|pwd|token|secret|key)"
+TRIGGER = r"[0-9@]|[\x20(\[]dot[\x20)\]]|[A-Z]{20}|[a-f]{32}|(?i:password|passwd|pwd|token|secret|key)"
 
 # Planted examples as (kind or None, template) parts.  # digit, ~ hex digit,
 # ^ capital or digit, * lower-case letter, % Luhn check digit of the digits before it, ! a wrong one.
@@ -122,6 +122,11 @@ FORMATS: tuple[tuple[tuple[str | None, str], ...], ...] = (
     ((None, "+1 #"),),
     ((None, "+####"),),
     ((None, "FR20 ABLE BAKE CAKE DARE"),),
+    # long secrets and a long look-alike
+    ((None, "token="), ("secret", ("^*#*" * 9 + ".") * 4 + "^*#*" * 4)),
+    ((None, "token="), ("secret", "ey" + "*^*^*^^*" * 5 + "." + "*^*_*^^*" * 8 + "." + "^*^*-**^" * 6)),
+    ((None, "secret_key: "), ("secret", "~" * 128)),
+    ((None, "sha512 " + "~" * 128),),
 )
 
 _FEATURES = (
@@ -289,6 +294,21 @@ def fit(texts: DataFrame, seed: int = SEED, rounds: int = 12, depth: int = 4):
     return trees, {r["kind"]: max(float(r["p"]), 0.5) for r in found}
 
 
+def best_apart(spans: DataFrame) -> DataFrame:
+    """Spans (row, kind, start, end, p) that overlap no better one that stays, best first in each chain
+    of overlapping spans."""
+    order = Window.partitionBy("row").orderBy("start", "end", "kind")
+    past = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    chained = spans.withColumn("_new", F.coalesce(F.col("start") >= past, F.lit(True)).cast("int")).withColumn("_chain", F.sum("_new").over(order))
+    each = F.struct((-F.col("p")).alias("worse"), (F.col("start") - F.col("end")).alias("shorter"), "start", "kind", "end", "p")
+    chains = chained.groupBy("row", "_chain").agg(F.sort_array(F.collect_list(each)).alias("_c"))
+    taken = F.aggregate(
+        "_c", F.filter("_c", lambda s: F.lit(False)),
+        lambda a, s: F.when(F.exists(a, lambda t: (t["start"] < s["end"]) & (s["start"] < t["end"])), a).otherwise(F.concat(a, F.array(s))),
+    )
+    return chains.select("row", F.explode(taken).alias("s")).select("row", "s.kind", "s.start", "s.end", "s.p")
+
+
 def find(docs: DataFrame, model=None, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """(rows, spans): rows has (row, doc_id) for each row of ``docs``; spans has (row, kind, rank,
     start, end, base) in code points, end exclusive.  Without ``model`` the trees are fitted here."""
@@ -319,12 +339,8 @@ def find(docs: DataFrame, model=None, seed: int = SEED) -> tuple[DataFrame, Data
         free = spans.withColumn("_reach", reach).withColumn("_begins", begins).where(
             (F.col("p") == 2.0) | ((F.coalesce("_reach", F.lit(0)) <= F.col("start")) & F.coalesce(F.col("_begins") >= F.col("end"), F.lit(True)))
         ).drop("_reach", "_begins")
-        # chains of overlapping additions; base spans of different kinds may overlap and stay
-        order = Window.partitionBy("row", F.col("p") == 2.0).orderBy("start", "end", "kind")
-        past = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-        chained = free.withColumn("_new", F.coalesce(F.col("start") >= past, F.lit(True)).cast("int")).withColumn("_chain", F.sum("_new").over(order))
-        best = Window.partitionBy("row", F.col("p") == 2.0, "_chain").orderBy(F.desc("p"), F.desc(F.col("end") - F.col("start")), "start", "kind")
-        spans = chained.withColumn("_at", F.row_number().over(best)).where("p = 2.0 OR _at = 1").drop("_new", "_chain", "_at")
+        # base spans of different kinds may overlap and stay
+        spans = base.unionByName(best_apart(free.where("p < 2.0")))
     rank = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind")).cast("int")
     return rows.select("row", "doc_id"), materialize(spans.select("row", "kind", rank.alias("rank"), "start", "end", (F.col("p") == 2.0).alias("base")), "spans")
 

@@ -1,3 +1,4 @@
+import base64
 import hashlib
 import re
 
@@ -69,6 +70,31 @@ def test_trees_add_planted_spans_and_leave_look_alikes(spark, trained):
     assert not any(i >= 50 for i in found)
 
 
+def test_long_secrets_are_found_whole(spark, trained):
+    lead = prose(3, 12) + " "
+    parts = [base64.urlsafe_b64encode(b"".join(hashlib.sha256(f"{i}{k}".encode()).digest() for k in range(3))).decode() for i in range(3)]
+    token, key = ".".join(parts), hashlib.sha512(b"x").hexdigest()  # 386 and 128 characters
+    docs = documents(spark, [(1, lead + "token=" + token + " " + lead), (2, lead + "secret_key: " + key + " " + lead)])
+    rows, spans = pii.find(docs, trained)
+    ids = {r.row: r.doc_id for r in rows.collect()}
+    at = len(lead)
+    assert {(ids[s.row], s.kind, s.start, s.end) for s in spans.collect()} == {(1, "secret", at + 6, at + 6 + len(token)), (2, "secret", at + 12, at + 12 + len(key))}
+
+
+def test_every_generator_has_its_trigger():
+    for text in ("ABCDEFGHIJKLMNOPQRST", "abcdef" * 6, "jo at mail dot com", "jo(at)mail(dot)com", "access-key=abcdefgh"):
+        assert re.search(pii.TRIGGER, text)
+    assert not re.search(pii.TRIGGER, "plain words in a row")
+
+
+def test_spans_apart_from_the_best_of_a_chain_stay(spark):
+    spans = [(1, "account", 0, 20, 0.9), (1, "card", 15, 40, 0.8), (1, "card", 35, 50, 0.7), (1, "id", 48, 60, 0.95), (1, "id", 70, 80, 0.6), (2, "id", 0, 5, 0.6)]
+    got = pii.best_apart(spark.createDataFrame(spans, "row bigint, kind string, start bigint, end bigint, p double")).collect()
+    assert sorted(tuple(r) for r in got) == [spans[0], spans[3], spans[4], spans[5]]
+    got = pii.best_apart(spark.createDataFrame([(1, "a", 0, 10, 0.9), (1, "b", 8, 20, 0.8), (1, "c", 18, 30, 0.7)], "row bigint, kind string, start bigint, end bigint, p double")).collect()
+    assert sorted(r.kind for r in got) == ["a", "c"]
+
+
 def test_held_out_accuracy(spark, trained):
     from pyspark.ml.feature import VectorAssembler
 
