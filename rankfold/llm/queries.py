@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankfold.llm import chat, decontam, html_text, katz, mixing, ngram_join, pii, quality, repeats, sharding
+from rankfold.llm import chat, decontam, html_text, katz, lexical, mixing, ngram_join, pii, quality, repeats, sharding
 
 SHARDS = 8
 
@@ -77,6 +77,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_quality_rules": op2_quality_rules,
@@ -88,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_katz_backoff": op8_katz_backoff,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_decontamination": op10_decontamination,
+    "op11_lexical_search": op11_lexical_search,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -163,4 +169,24 @@ SELECT doc_id, size, source_size, target,
 FROM b
 """
 
-ORACLES: dict[str, str] = {"op2_quality_rules": OP2_SQL, "op5_source_mixing": OP5_SQL}
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP11_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all({_LOWER.format("text")}, '{_TERM}') AS t FROM documents),
+s AS (SELECT count(*)::BIGINT AS n_docs, sum(len(t))::BIGINT AS n_terms FROM d WHERE len(t) > 0),
+q AS (SELECT item, item_id, t, count(*)::BIGINT AS times FROM (
+        SELECT row_number() OVER () AS item, item_id, unnest(regexp_extract_all({_LOWER.format("text")}, '{_TERM}')) AS t FROM benchmark)
+      GROUP BY item, item_id, t),
+p AS (SELECT row, doc_id, n, t, count(*)::BIGINT AS tf FROM (SELECT row, doc_id, len(t)::BIGINT AS n, unnest(t) AS t FROM d)
+      WHERE t IN (SELECT t FROM q) GROUP BY row, doc_id, n, t),
+w AS (SELECT t, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM p, s GROUP BY t, n_docs),
+r AS (SELECT item, item_id, row, doc_id,
+        sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + ((75 * n * n_docs) // n_terms)))))::BIGINT AS score
+      FROM p JOIN w USING (t) JOIN q USING (t), s GROUP BY item, item_id, row, doc_id)
+SELECT item_id, rank::INT AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM r WHERE score > 0)
+WHERE rank <= 10
+"""
+
+ORACLES: dict[str, str] = {"op2_quality_rules": OP2_SQL, "op5_source_mixing": OP5_SQL, "op11_lexical_search": OP11_SQL}
