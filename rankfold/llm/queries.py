@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankfold.llm import chat, decontam, html_text, katz, lexical, mixing, ngram_join, packing, pii, quality, repeats, sharding
+from rankfold.llm import chat, decontam, dialogue_repair, html_text, katz, lexical, mixing, ngram_join, packing, pii, quality, repeats, sharding
 
 SHARDS = 8
 
@@ -83,6 +83,12 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every conversation after the contract's damage."""
+    rows = _table(spark, sf_dir, "conversations")
+    return dialogue_repair.report(dialogue_repair.damage(rows), rows)
+
+
 def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents, packed into sequences of 2048 tokens."""
     cut = packing.pieces(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), keep_ids=False)
@@ -101,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_chat_formatting": op9_chat_formatting,
     "op10_decontamination": op10_decontamination,
     "op11_lexical_search": op11_lexical_search,
+    "op12_structure_repair": op12_structure_repair,
     "op13_best_fit_packing": op13_best_fit_packing,
     "pipeline": corpus_pipeline.run,
 }
