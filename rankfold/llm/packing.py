@@ -17,8 +17,9 @@ pieces are shuffled; tokens are not, except by :func:`sequences`.
 Exchanges are found through the roomiest bin that holds a document (or two documents) of a given
 size: an array over sizes, so a group's memory is that of its pieces.
 
-Texts beyond ``X.PIECE`` characters are encoded in parts, cut between a letter and a blank, where
-the tokenizer always splits.  Strings that look like special tokens are ordinary text.
+Texts are cut where the word pattern of byte-level tokenizers always splits, so each different word
+of a task is encoded once; other tokenizers encode whole texts.
+Strings that look like special tokens are ordinary text.
 
 Defined results: null and empty texts are one token, the end; null ids stay and repeated rows are
 documents of their own; an empty table gives an empty result; further columns are ignored.
@@ -27,6 +28,8 @@ documents of their own; an empty table gives an empty result; further columns ar
 from __future__ import annotations
 
 import heapq
+import itertools
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -44,20 +47,106 @@ END_ID = 0
 GROUP = 1 << 16
 ROUNDS = 4
 PASSES = 8
+#: words that a task remembers
+CACHE = 1 << 19
 
 _PIECE = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
-def _parts(text: str) -> list[str]:
-    """A text in parts of about ``X.PIECE`` characters that can be encoded one by one."""
-    parts, at = [], 0
-    while len(text) - at > X.PIECE:
-        cut = at + X.PIECE
-        while cut < len(text) and not (text[cut] == " " and text[cut - 1].isalpha()):
-            cut += 1
-        parts.append(text[at:cut])
-        at = cut
-    return [*parts, text[at:]]
+def splits_words(tokenizer_json: str) -> bool:
+    """Whether a tokenizer file splits texts by the usual word pattern of byte-level tokenizers."""
+    rules = json.loads(tokenizer_json)
+    words = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+    return rules.get("normalizer") is None and words.items() <= (rules.get("pre_tokenizer") or {}).items() and all(t["special"] for t in rules["added_tokens"])
+
+
+_SPACE, _VISIBLE, _ALNUM, _MARK = (np.zeros(256, dtype=bool) for _ in range(4))
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_VISIBLE[0x21:0x7F] = True
+_ALNUM[0x30:0x3A] = _ALNUM[0x41:0x5B] = _ALNUM[0x61:0x7B] = True
+_MARK[0x21:0x7F] = True
+_MARK[_ALNUM] = _MARK[0x27] = False  # an apostrophe can begin the end of a word
+
+
+def _word_starts(data: np.ndarray) -> np.ndarray:
+    """Places where the usual word pattern always splits: white space behind a visible character, a
+    mark behind a letter or digit, and a letter or digit behind a single newline."""
+    if len(data) < 3:
+        return np.zeros(0, dtype=np.int64)
+    last, own = data[1:-1], data[2:]
+    lead = data[:-2]
+    latin = (lead == 0xC3) & (last >= 0x80) & (last < 0xC0) & (last != 0x97) & (last != 0xB7)
+    word = _ALNUM[last] | latin
+    found = (_SPACE[own] & (word | _VISIBLE[last])) | (_MARK[own] & word) | ((last == 0x0A) & _VISIBLE[lead] & _ALNUM[own])
+    return np.flatnonzero(found) + 2
+
+
+class Encoder:
+    """Token ids of many texts.  Texts are cut into words where the tokenizer always splits; each
+    different word is encoded once and remembered, up to ``CACHE`` words."""
+
+    def __init__(self, tokenizer_path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(tokenizer_path)
+        self.tokenizer.encode_special_tokens = True
+        self.in_words = splits_words(self.tokenizer.to_str())
+        self.known: dict[bytes, list[int]] = {}
+
+    def _encode(self, words: list[bytes]) -> list[list[int]]:
+        if len(self.known) > CACHE:
+            self.known.clear()
+        fresh = [w for w in words if w not in self.known]
+        for word, found in zip(fresh, self.tokenizer.encode_batch_fast([w.decode() for w in fresh], add_special_tokens=False), strict=True):
+            self.known[word] = found.ids
+        return [self.known[w] for w in words]
+
+    def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts back to back, and the offsets of the texts in them."""
+        if not len(data):
+            return np.zeros(0, dtype="<u4"), np.zeros_like(offsets)
+        starts_here = np.zeros(len(data), dtype=bool)
+        starts_here[offsets[:-1][np.diff(offsets) > 0]] = True
+        if self.in_words:
+            starts_here[_word_starts(data)] = True
+        starts = np.flatnonzero(starts_here)
+        bounds = np.append(starts, len(data))
+        words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))])
+        encoded = words.dictionary_encode()
+        ids = self._encode(encoded.dictionary.to_pylist())
+        of = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+        flat = np.fromiter(itertools.chain.from_iterable(ids), dtype="<u4", count=int(of.sum()))
+        first = np.cumsum(of) - of
+        at = encoded.indices.to_numpy()
+        n = of[at]
+        before = np.concatenate([[0], np.cumsum(n)])
+        out = flat[np.arange(before[-1]) + np.repeat(first[at] - before[:-1], n)]
+        return out, before[np.searchsorted(starts, offsets)]
+
+
+def _parts(data: np.ndarray, offsets: np.ndarray, in_words: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets with texts beyond ``X.PIECE`` bytes cut where the tokenizer splits, and each part's text."""
+    sizes = np.diff(offsets)
+    if not in_words or not len(sizes) or sizes.max() <= X.PIECE:
+        return offsets, np.arange(len(sizes))
+    cuts, owners = [0], []
+    for i in range(len(sizes)):
+        at, end = int(offsets[i]), int(offsets[i + 1])
+        while end - at > X.PIECE:
+            ahead, width = at + X.PIECE, X.PIECE
+            found = _word_starts(data[ahead : ahead + width])
+            while not len(found) and ahead + width < end:
+                width *= 2
+                found = _word_starts(data[ahead : ahead + width])
+            if not len(found) or ahead + int(found[0]) >= end:
+                break
+            at = ahead + int(found[0])
+            cuts.append(at)
+            owners.append(i)
+        cuts.append(end)
+        owners.append(i)
+    return np.array(cuts), np.array(owners)
 
 
 def _cut(tokenizer_path: str, length: int, end_id: int, keep_ids: bool):
@@ -65,23 +154,19 @@ def _cut(tokenizer_path: str, length: int, end_id: int, keep_ids: bool):
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(tokenizer_path)
-        tokenizer.encode_special_tokens = True
+        encode = Encoder(tokenizer_path)
         for batch in batches:
-            texts, ids = batch.column("text"), batch.column("doc_id")
-            _, offsets = X.text_bytes(texts)
-            for first, last in X.slices(offsets, X.PIECE // 4):
-                parts, owners = [], []
-                for i, text in enumerate(texts.slice(first, last - first).to_pylist()):
-                    for part in _parts(text or ""):
-                        parts.append(part)
-                        owners.append(i)
+            ids = batch.column("doc_id")
+            data, offsets = X.text_bytes(batch.column("text"))
+            for first, last in X.slices(offsets):
+                own = offsets[first : last + 1]
+                parts, owners = _parts(data[own[0] : own[-1]], own - own[0], encode.in_words)
                 encoded: list[list[np.ndarray]] = [[] for _ in range(last - first)]
-                for i, found in zip(owners, tokenizer.encode_batch_fast(parts, add_special_tokens=False), strict=True):
-                    encoded[i].append(np.array(found.ids, dtype="<u4"))
+                for a, b in X.slices(parts):
+                    part = parts[a : b + 1]
+                    tokens, at = encode(data[own[0] + part[0] : own[0] + part[-1]], part - part[0])
+                    for i, owner in enumerate(owners[a:b].tolist()):
+                        encoded[owner].append(tokens[at[i] : at[i + 1]])
                 out: list[list] = [[] for _ in names]
                 for i, found in enumerate(encoded):
                     tokens = np.concatenate([*found, np.array([end_id], dtype="<u4")])
@@ -89,9 +174,9 @@ def _cut(tokenizer_path: str, length: int, end_id: int, keep_ids: bool):
                     stop = len(tokens) - (n - 1) * length
                     start = 0
                     for piece in range(n):
-                        own = tokens[start:stop]
-                        row = [ids[first + i].as_py(), piece, start, len(own), zlib.crc32(own.tobytes())]
-                        for column, value in zip(out, [*row, own.astype(np.int64)], strict=False):
+                        piece_ids = tokens[start:stop]
+                        row = [ids[first + i].as_py(), piece, start, len(piece_ids), zlib.crc32(piece_ids.tobytes())]
+                        for column, value in zip(out, [*row, piece_ids.astype(np.int64)], strict=False):
                             column.append(value)
                         start, stop = stop, stop + length
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=False)], names=names)

@@ -1,8 +1,10 @@
+import functools
 import random
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from cases import awkward, documents, prose
 from hypothesis import given, settings
@@ -141,13 +143,61 @@ def test_sequences_hold_the_tokens(spark):
     assert sum(len(r.ids) for r in every.values()) == sum(r.length for r in packed.collect())
 
 
+ODD = (
+    "\n\n  two   blanks  \n" + "x" * 300 + " énorme « texte »  1234 56 7.8 it's we'll 're x\u00a0 y\u2003 z\u3000 \u00a0 \x1c a\x1f b \x85 c"
+    "\u0085 d 日本 語 \U0001f600 \U0001f600 ñ à é\u0301 e <|endoftext|> Ж ж.  \t tab\t tab \r\n"
+)
+
+
+@functools.cache
+def plain(path):
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True
+    return tokenizer
+
+
+def whole(text):
+    return plain(PATH).encode(text, add_special_tokens=False).ids
+
+
+def encoded(encoder, texts):
+    ids, at = encoder(*packing.X.text_bytes(pa.array(texts)))
+    return [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)]
+
+
+def test_words_encode_like_whole_texts():
+    encoder = packing.Encoder(PATH)
+    texts = [ODD, "", prose(3, 300), " ", "a", " a", ODD + prose(4, 50) + ODD, None]
+    assert encoder.in_words
+    assert encoded(encoder, texts) == [whole(t or "") for t in texts]
+    assert encoded(encoder, [None, ""]) == [[], []]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet=" \t\n\u00a0\u2003\x1caB1'.é日s<|", max_size=30), max_size=5))
+def test_random_texts_encode_like_whole_texts(texts):
+    assert encoded(ENCODER, [*texts, "x"]) == [whole(t) for t in [*texts, "x"]]
+
+
+ENCODER = packing.Encoder(PATH)
+
+
+def test_other_tokenizers_encode_whole_texts():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoder = packing.Encoder(path)
+    assert not encoder.in_words
+    assert encoded(encoder, ["A b  c", "d"]) == [plain(path).encode(t, add_special_tokens=False).ids for t in ("A b  c", "d")]
+
+
 def test_long_text_in_parts(monkeypatch):
     monkeypatch.setattr(packing.X, "PIECE", 50)
-    text = prose(3, 300) + "\n\n  two   blanks  \n" + "x" * 300 + " énorme « texte »  1234 56 7.8 it's we'll " + prose(4, 50)
-    parts = packing._parts(text)
-    tokenizer = Tokenizer.from_file(PATH)
-    assert "".join(parts) == text and len(parts) > 10
-    assert [i for p in parts for i in tokenizer.encode(p, add_special_tokens=False).ids] == tokenizer.encode(text, add_special_tokens=False).ids
+    texts = ["short", prose(3, 300) + ODD + prose(4, 50), "", "y" * 400]
+    data, offsets = packing.X.text_bytes(pa.array(texts))
+    parts, owners = packing._parts(data, offsets, True)
+    assert len(parts) > 20 and set(owners.tolist()) == {0, 1, 2, 3}
+    ids, at = ENCODER(data, parts)
+    for i, text in enumerate(texts):
+        assert [t for p in np.flatnonzero(owners == i) for t in ids[at[p] : at[p + 1]].tolist()] == whole(text)
 
 
 def test_empty_table(spark):
