@@ -1,3 +1,6 @@
+import random
+import time
+
 import pytest
 from cases import prose
 
@@ -10,8 +13,12 @@ PAGE = (
 )
 
 
+def text_of(page):
+    return "\n".join(html_text.parse(page)[1])
+
+
 def test_article_without_boilerplate():
-    assert html_text.parse(PAGE)[0] == "Head & more\nOne two\nThree <3 é"
+    assert text_of(PAGE) == "Head & more\nOne two\nThree <3 é"
 
 
 @pytest.mark.parametrize(
@@ -23,13 +30,13 @@ def test_article_without_boilerplate():
     ],
 )
 def test_pages_without_declared_content(page, blocks):
-    text, found, _ = html_text.parse(page)
-    assert text is None and [b for b, _ in found] == blocks
+    declared, found, _ = html_text.parse(page)
+    assert not declared and found == blocks
 
 
 def test_declared_but_empty_content_is_empty():
-    assert html_text.parse("<p>x</p><article></article>")[0] == ""
-    assert html_text.parse("<p>x</p><div role=main><p>y</div>")[0] == "y"
+    assert text_of("<p>x</p><article></article>") == ""
+    assert text_of("<p>x</p><div role=main><p>y</div>") == "y"
 
 
 def test_templates_of_a_host_go(spark):
@@ -63,7 +70,7 @@ def test_empty_table(spark):
     ],
 )
 def test_names_delete_only_what_they_name(page, text):
-    assert html_text.parse(page)[0] == text
+    assert text_of(page) == text
 
 
 def test_boxes_inside_the_main_content_go_and_copied_articles_stay(spark):
@@ -83,3 +90,98 @@ def test_large_hosts_lose_their_templates(spark):
     rows = [(i, f"https://a.example/{i}", f"<body>{'<div>Menu of few pages</div>' if i < 6 else ''}<p>{prose(i, 12)}</p></body>") for i in range(700)]
     got = html_text.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
     assert {r.page_id: r.text for r in got} == {i: prose(i, 12) for i in range(700)}
+
+
+def extracted(spark, rows):
+    return {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+
+
+def test_dominating_menus_go(spark):
+    menu = "<div>" + "".join(f"<span>{w}</span> " for w in prose(70, 300).split(" ")) + "</div>"
+    box = f"<div><p>{prose(71, 200)}</p><p>{prose(72, 200)}</p></div>"
+    long_box = f"<section>{prose(73, 400)}</section>"
+    foot = f"<div><p>{prose(74, 100)}</p></div>"
+    rows = [(i, "https://menu.example/", f"<body>{menu}<p>{prose(i, 25)}</p>{foot}</body>") for i in range(30)]
+    rows += [(100 + i, "https://box.example/", f"<article><h1>Head {i}</h1>{box}<p>{prose(100 + i, 25)}</p>{long_box}</article>") for i in range(30)]
+    text = extracted(spark, rows)
+    assert all(text[i] == prose(i, 25) for i in range(30))
+    assert all(text[100 + i] == f"Head {i}\n{prose(100 + i, 25)}" for i in range(30))
+
+
+def test_sentences_that_articles_share_stay(spark):
+    rows = [
+        (i, "https://a.example/", f"<article><h1>Head {i}</h1><h2>Method</h2><p>{prose(i, 60)}</p><div>Shared note</div><ul><li>{prose(50 + i, 9)}<li>Yes</ul>"
+         "<p>We thank the reviewers.</p></article>")
+        for i in range(6)
+    ]
+    text = extracted(spark, rows)
+    assert all(text[i] == f"Head {i}\nMethod\n{prose(i, 60)}\nShared note\n{prose(50 + i, 9)}\nYes\nWe thank the reviewers." for i in range(6))
+
+
+def test_sections_of_near_copies_stay(spark):
+    """Sixty copies of an article, each with other words changed in one of its paragraphs."""
+    section = f"<section><h2>Shared</h2><p>{prose(80, 30)}</p><p>{prose(81, 30)}</p></section>"
+    paragraphs = [prose(90 + k, 50).split(" ") for k in range(6)]
+    rows, expected = [], {}
+    for i in range(60):
+        own = [" ".join(f"changed{i}" if k == i % 6 and j == i % 50 else w for j, w in enumerate(p)) for k, p in enumerate(paragraphs)]
+        rows.append((i, "https://a.example/", f"<article><h1>Shared head</h1>{section}{''.join(f'<p>{p}</p>' for p in own)}</article>"))
+        expected[i] = "\n".join(["Shared head", "Shared", prose(80, 30), prose(81, 30), *own])
+    rows += [(100 + i, "https://a.example/", f"<article><p>{prose(200 + i, 60)}</p></article>") for i in range(20)]
+    text = extracted(spark, rows)
+    assert {i: text[i] for i in expected} == expected
+
+
+def test_random_hosts_match_brute_force(spark):
+    """Pages of random parts: a container of two blocks goes where five different pages of its host
+    hold it, a paragraph on pages that declare no main content, nothing else."""
+    r = random.Random(4)
+    boxes = [[prose(300 + i, 4), prose(320 + i, 5)] for i in range(8)]
+    lines = [prose(340 + i, 6) for i in range(8)]
+    pages = []
+    for i in range(150):
+        parts = [("own", [prose(1000 + i, 30)])]
+        parts += [("box", boxes[b]) for b in r.sample(range(8), r.randrange(3))] + [("line", [lines[b]]) for b in r.sample(range(8), r.randrange(3))]
+        r.shuffle(parts)
+        pages.append((i, r.choice(["a", "b", "c", "d"]), r.random() < 0.5, parts))
+    pages += [(500 + i, *pages[i][1:]) for i in range(40)]  # copies
+
+    def html(declared, parts):
+        body = "".join(f"<div><p>{p[0]}</p><p>{p[1]}</p></div>" if kind == "box" else f"<p>{p[0]}</p>" for kind, p in parts)
+        return f"<article>{body}</article>" if declared else f"<body>{body}</body>"
+
+    holders = {}
+    for _, host, declared, parts in pages:
+        for kind, p in parts:
+            if kind == "box" or not declared:
+                holders.setdefault((host, kind, tuple(p)), set()).add(str(parts))
+            if kind == "box" and not declared:
+                for line in p:
+                    holders.setdefault((host, "line", (line,)), set()).add(str(parts))
+    gone = {k for k, v in holders.items() if len(v) >= 5}
+    expected = {}
+    for i, host, declared, parts in pages:
+        left = []
+        for kind, p in parts:
+            if (host, kind, tuple(p)) in gone and (kind == "box" or not declared):
+                continue
+            left += [line for line in p if declared or (host, "line", (line,)) not in gone]
+        expected[i] = "\n".join(left)
+    text = extracted(spark, [(i, f"https://{host}.example/{i}", html(declared, parts)) for i, host, declared, parts in pages])
+    assert text == expected and any(k[1] == "line" for k in gone) and any(k[1] == "box" for k in gone) and len(gone) < len(holders)
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<div>" * 40_000 + "x", "<b>" * 40_000 + "x<p>y" * 2000, "<p>" * 40_000, "<main>" * 20_000 + "x", "<ul><li>" * 20_000 + "x", "x<div>" * 20_000, "<td><b>" * 20_000 + "</p>" * 20_000],
+)
+def test_deep_pages_take_seconds(page):
+    start = time.time()
+    declared, blocks, subtrees = html_text.parse(page)
+    assert time.time() - start < 8 and len(subtrees) <= 60_000
+
+
+def test_deep_and_long_pages(spark):
+    rows = [(i, "https://a.example/", "<div>" * 3000 + f"<p>deep {i}" * 300) for i in range(6)] + [(10, "https://a.example/", f"<p>{prose(7, 60_000)}</p>")]
+    text = extracted(spark, rows)
+    assert text[10] == prose(7, 60_000) and text[3] == "\n".join(["deep 3"] * 300)
