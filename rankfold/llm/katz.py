@@ -5,8 +5,8 @@
                                       class of unknown words that has the remaining mass
 
 Discounts d(1)..d(5) are Good-Turing ratios from the counts of counts (where these give none
-between 0 and 1, (r - 1/2) / r); larger counts are kept.  A context without any count up to five
-has one more in its denominator, so that it too can back off.  alpha(h) is the discounted mass
+between 0 and 1, (r - 1/2) / r); larger counts are kept.  A context, or the word level, without any
+count up to five has one more in its denominator, so that it too leaves something to back off to.  alpha(h) is the discounted mass
 over the unigram mass of the words not seen after h, both summed over all of h's followers, so
 the probabilities after every context sum to one.
 
@@ -60,6 +60,20 @@ class Level:
     different: int
     seen: tuple[int, ...]
 
+    @property
+    def size(self) -> int:
+        """The denominator of the level: one more where no count is discounted, so that unknown items
+        have some probability as well."""
+        return self.tokens + (not any(self.seen[:DISCOUNTED]))
+
+    @property
+    def rest(self) -> float:
+        """The probability left for items that were not seen."""
+        d = self.discounts()
+        low = [r * self.seen[r - 1] for r in range(1, DISCOUNTED + 1)]
+        kept = sum(d[r] * n for r, n in enumerate(low, start=1)) + self.tokens - sum(low)
+        return 1.0 - kept / self.size
+
     def discounts(self) -> np.ndarray:
         """d(0)..d(5); d(0) is not used."""
         out = np.ones(DISCOUNTED + 1)
@@ -292,7 +306,7 @@ def _sum_pairs(unigram: Level):
             for r in range(1, DISCOUNTED + 1):
                 sums[:, r - 1] = np.bincount(c[r_ == r], minlength=len(known))
             sums[:, DISCOUNTED] = np.bincount(c, weights=np.where(r_ > DISCOUNTED, r_, 0), minlength=len(known))
-            mass = np.bincount(c, weights=discounted(word_total, d)[w] / max(unigram.tokens, 1), minlength=len(known))
+            mass = np.bincount(c, weights=discounted(word_total, d)[w] / unigram.size, minlength=len(known))
             low = sums[:, :DISCOUNTED].any(axis=1)
             stats = np.bincount(r_[r_ <= DISCOUNTED + 1], minlength=DISCOUNTED + 2)[1:]
             bucket = group[0]["bucket"]
@@ -336,12 +350,7 @@ def _score(buckets: int, share: int, unigram: Level, bigram: Level):
                 np.add.at(sums, asked, np.concatenate([unpack(p["sums"]).reshape(DISCOUNTED + 1, -1).T for p in parts]))
                 np.add.at(mass, asked, np.concatenate([np.frombuffer(p["mass"]) for p in parts]))
             # word level
-            n = max(unigram.tokens, 1)
-            p1 = discounted(w.total, d1) / n
-            unknown = 1.0 - sum(d1[r] * r * unigram.seen[r - 1] for r in range(1, DISCOUNTED + 1)) / n - (
-                unigram.tokens - sum(r * unigram.seen[r - 1] for r in range(1, DISCOUNTED + 1))
-            ) / n if unigram.tokens else 1.0
-            p1 = np.where(w.total > 0, p1, unknown)
+            p1 = np.where(w.total > 0, discounted(w.total, d1) / unigram.size, unigram.rest)
             # pair level
             size = (w.total + ~low).astype(np.float64)  # a context without low counts has one more
             kept = (sums[:, :DISCOUNTED] * (d2[1:] * np.arange(1, DISCOUNTED + 1))).sum(axis=1) + sums[:, DISCOUNTED]

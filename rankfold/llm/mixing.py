@@ -12,7 +12,7 @@ bins stays small; a bin of a large source grows and is then sorted with spilling
 
 Defined results: null and empty texts have size 0, weight 1 and nothing taken; a null source is
 a source of its own, last in order; a null doc_id is drawn like any other; repeated rows are
-drawn one by one; an empty table gives an empty result; further columns are kept by
+drawn one by one, and rows that differ in any column, nulls included, are never mistaken for each other; an empty table gives an empty result; further columns are kept by
 :func:`mix_documents` and ignored by :func:`mix`.
 """
 
@@ -76,16 +76,18 @@ def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, max_epochs: int
         table = materialize(table.withColumn("target", F.when(above, cap).otherwise(F.col("target"))), "sources")
 
 
-def mix(docs: DataFrame, seed: int = SEED, weights: Sequence[int] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """(doc_id, source, size, level, source_size, target, times, row_key), one row per row of ``docs``:
-    the row appears ``times`` times in the mix."""
+def mix(docs: DataFrame, seed: int = SEED, weights: Sequence[int] = WEIGHTS, max_epochs: int = MAX_EPOCHS, row: str | None = None) -> DataFrame:
+    """(doc_id, source, size, level, source_size, target, times, row), one row per row of ``docs``:
+    the row appears ``times`` times in the mix.  ``row`` names a column that numbers the rows; the
+    result carries it (null without one)."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     size = word_count(text)
     draw = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(text.cast("binary"))).cast("binary")), 1, 13), 16, 10).cast("double")
     rows = materialize(
         docs.select(
             F.col("doc_id"), F.col("source"), size.alias("size"), text.alias("_text"), draw.alias("_draw"),
-            F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("row_key"),
+            F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns if c != row]).alias("_tie"),
+            (F.col(row) if row else F.lit(None).cast("bigint")).alias("row"),
         )
         .withColumn("level", quality_level(F.col("_text"), F.col("size"))).drop("_text")
         .withColumn("_key", -F.log((F.col("_draw") + 0.5) / F.lit(float(2**52))) / (F.col("level") / 10.0)).drop("_draw"),
@@ -124,7 +126,7 @@ def mix(docs: DataFrame, seed: int = SEED, weights: Sequence[int] = WEIGHTS, max
         bins.select(F.col("source").alias("_source"), F.col("bin").alias("_bin"), F.coalesce(F.sum("bin_size").over(order), F.lit(0)).alias("bin_start")),
         "bins",
     )
-    within = Window.partitionBy("source", "bin").orderBy("_key", "doc_id", "size", "row_key").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source", "bin").orderBy("_key", "doc_id", "size", "_tie", "row").rowsBetween(Window.unboundedPreceding, -1)
     before = F.col("bin_start") + F.coalesce(F.sum("size").over(within), F.lit(0))
     return (
         keyed.join(starts, F.col("source").eqNullSafe(F.col("_source")) & (F.col("bin") == F.col("_bin")))
@@ -132,20 +134,17 @@ def mix(docs: DataFrame, seed: int = SEED, weights: Sequence[int] = WEIGHTS, max
         .select(
             "doc_id", "source", "size", "level", "source_size", "target",
             (F.col("epochs") + F.when((F.col("size") > 0) & (2 * F.col("_before") + F.col("size") <= 2 * F.col("rest")), 1).otherwise(0)).alias("times"),
-            "row_key",
+            "row",
         )
     )
 
 
 def mix_documents(docs: DataFrame, seed: int = SEED, weights: Sequence[int] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """The mix itself: each row of ``docs``, with its columns, as often as it is taken."""
-    key, times, epoch = (X.free_name(docs.columns, n) for n in ("_row", "_times", "_epoch"))
-    taken = (
-        mix(docs, seed, weights, max_epochs).where("times > 0")
-        .groupBy(F.col("row_key").alias(key)).agg(F.sum("times").cast("int").alias(times))
-    )
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    keyed = docs.withColumn(key, F.xxhash64(*names))
-    # equal rows are one row here and come back as often as all of them together are taken
-    once = keyed.join(taken.hint("merge"), key).dropDuplicates([key])
-    return once.withColumn(epoch, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*names)
+    """The mix itself: each row of ``docs``, with its columns, as often as it is taken.
+
+    Rows are numbered once, in a written table, and told apart by that number alone."""
+    row, times, epoch = (X.free_name(docs.columns, n) for n in ("_row", "_times", "_epoch"))
+    numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    taken = mix(numbered, seed, weights, max_epochs, row).where("times > 0").select(F.col("row").alias(row), F.col("times").alias(times))
+    drawn = numbered.join(taken.hint("merge"), row)
+    return drawn.withColumn(epoch, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -202,8 +202,11 @@ def _verify(similarity: float):
 
 
 def _row_key() -> Column:
-    """One hash of (doc_id, text): a join key that is never null, so no rows crowd on it."""
-    return F.xxhash64(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
+    """128 bits of (doc_id, text): a join key that is never null, so no rows crowd on it, and that no two
+    rows share (64 bits would be shared by a few among 10^10)."""
+    doc_id, text = F.col("doc_id").cast("bigint"), F.col("text").cast("string")
+    halves = [F.lpad(F.hex(F.xxhash64(F.lit(seed), doc_id.isNull(), doc_id, text.isNull(), text)), 16, "0") for seed in (1, 2)]
+    return F.unhex(F.concat(*halves))
 
 
 def ngram_join(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH, recall: float = RECALL) -> DataFrame:
@@ -219,7 +222,7 @@ def ngram_join(docs: DataFrame, similarity: float = SIMILARITY, width: int = WID
     )
     signatures = materialize(
         texts.mapInArrow(
-            _signatures(width, bands, rows), "doc_id bigint, text_key bigint, node binary, n_shingles bigint, bands array<bigint>"
+            _signatures(width, bands, rows), "doc_id bigint, text_key binary, node binary, n_shingles bigint, bands array<bigint>"
         ),
         "signatures",
     )

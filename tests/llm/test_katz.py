@@ -24,7 +24,7 @@ def model(texts):
             out[r] = d if 0 < d < 1 else (r - 0.5) / r
         return out
 
-    d1, d2, total = discounts(one), discounts(two), max(sum(one.values()), 1)
+    d1, d2, total = discounts(one), discounts(two), sum(one.values()) + (not one or min(one.values()) > 5)
     p1 = {w: d1.get(c, 1) * c / total for w, c in one.items()}
     followers = defaultdict(dict)
     for (h, w), c in two.items():
@@ -66,6 +66,18 @@ def test_scores_match_brute_force(spark, monkeypatch, small):
         assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], abs=2e-4)
 
 
+def test_repeated_texts_leave_something_for_unknown_words(spark):
+    rows = [(i, "one text again") for i in range(60)] + [(1000 + i, f"unknown word{i} here") for i in range(60)]
+    held = lambda d: zlib.crc32(str(d).encode()) % 10 == 0
+    rows = [(d, t) for d, t in rows if d < 1000 or held(d)]
+    texts = [(d, [*words(t), "\n"]) for d, t in rows]
+    one, p, _, unknown = model([w for d, w in texts if not held(d)])
+    assert min(one.values()) > 5 and unknown > 0
+    got = {r.doc_id: r.score for r in katz.score_texts(documents(spark, rows)).collect()}
+    for d, w in texts:
+        assert got[d] == pytest.approx(sum(math.log10(p(h, x)) for h, x in zip(["<s>", *w], w, strict=False)), abs=1e-6)
+
+
 def test_empty_table_and_no_training_texts(spark):
     assert katz.score_texts(documents(spark, [])).count() == 0
     only_held_out = [(None, "a b"), (None, None)]

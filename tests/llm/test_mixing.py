@@ -81,3 +81,13 @@ def test_the_mix_repeats_rows(spark):
 def test_empty_and_wordless_tables(spark):
     assert mixing.mix(documents(spark, [])).count() == 0
     assert [r.times for r in mixing.mix(documents(spark, [(1, None), (2, " ")])).collect()] == [0, 0]
+
+
+def test_rows_with_nulls_in_other_columns_stay_apart(spark):
+    text = "one two three"
+    rows = [(1, text, None, "a"), (1, text, "a", None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    mixed = [(r.lang, r.source) for r in mixing.mix_documents(docs).collect()]
+    assert set(mixed) == {(None, "a"), ("a", None)}
+    times = {r.source: r.times for r in mixing.mix(docs).collect()}
+    assert mixed.count((None, "a")) == times["a"] and mixed.count(("a", None)) == times[None]
