@@ -18,7 +18,7 @@ Exchanges are found through the roomiest bin that holds a document (or two docum
 size: an array over sizes, so a group's memory is that of its pieces.
 
 Texts are cut where the word pattern of byte-level tokenizers always splits, so each different word
-of a task is encoded once; other tokenizers encode whole texts.
+of a worker is encoded once; other tokenizers encode whole texts.
 Strings that look like special tokens are ordinary text.
 
 Defined results: null and empty texts are one token, the end; null ids stay and repeated rows are
@@ -27,8 +27,9 @@ documents of their own; an empty table gives an empty result; further columns ar
 
 from __future__ import annotations
 
+import array
+import functools
 import heapq
-import itertools
 import json
 import os
 import zlib
@@ -47,7 +48,7 @@ END_ID = 0
 GROUP = 1 << 16
 ROUNDS = 4
 PASSES = 8
-#: words that a task remembers
+#: words that a worker remembers
 CACHE = 1 << 19
 
 _PIECE = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
@@ -92,15 +93,16 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.tokenizer.encode_special_tokens = True
         self.in_words = splits_words(self.tokenizer.to_str())
-        self.known: dict[bytes, list[int]] = {}
+        self.known: dict[str, bytes] = {}
 
-    def _encode(self, words: list[bytes]) -> list[list[int]]:
-        if len(self.known) > CACHE:
-            self.known.clear()
-        fresh = [w for w in words if w not in self.known]
-        for word, found in zip(fresh, self.tokenizer.encode_batch_fast([w.decode() for w in fresh], add_special_tokens=False), strict=True):
-            self.known[word] = found.ids
-        return [self.known[w] for w in words]
+    def _encode(self, words: list[str]) -> list[bytes]:
+        known = self.known
+        if len(known) > CACHE:
+            known.clear()
+        fresh = [w for w in words if w not in known]
+        for word, found in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
+            known[word] = array.array("I", found.ids).tobytes()
+        return [known[w] for w in words]
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts back to back, and the offsets of the texts in them."""
@@ -112,11 +114,11 @@ class Encoder:
             starts_here[_word_starts(data)] = True
         starts = np.flatnonzero(starts_here)
         bounds = np.append(starts, len(data))
-        words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))])
+        words = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))])
         encoded = words.dictionary_encode()
         ids = self._encode(encoded.dictionary.to_pylist())
-        of = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-        flat = np.fromiter(itertools.chain.from_iterable(ids), dtype="<u4", count=int(of.sum()))
+        of = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+        flat = np.frombuffer(b"".join(ids), dtype=np.uint32).astype("<u4", copy=False)
         first = np.cumsum(of) - of
         at = encoded.indices.to_numpy()
         n = of[at]
@@ -125,6 +127,12 @@ class Encoder:
         return out, before[np.searchsorted(starts, offsets)]
 
 
+@functools.lru_cache(maxsize=2)
+def worker_encoder(tokenizer_path: str) -> Encoder:
+    """One encoder for all tasks of a Python worker, so that they share its known words."""
+    return Encoder(tokenizer_path)
+
+
 def _parts(data: np.ndarray, offsets: np.ndarray, in_words: bool) -> tuple[np.ndarray, np.ndarray]:
     """Offsets with texts beyond ``X.PIECE`` bytes cut where the tokenizer splits, and each part's text."""
     sizes = np.diff(offsets)
@@ -154,7 +162,7 @@ def _cut(tokenizer_path: str, length: int, end_id: int, keep_ids: bool):
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(tokenizer_path)
+        encode = worker_encoder(tokenizer_path)
         for batch in batches:
             ids = batch.column("doc_id")
             data, offsets = X.text_bytes(batch.column("text"))
