@@ -1,7 +1,7 @@
 """Model-based recommenders: content-based (genre profiles) and implicit ALS.
 
-Both score users against the catalogue with the sliced scorer (``rankfold.operators.vectors``),
-which masks each user's seen items and keeps its best ``n``: exact, with no user × catalogue table.
+Both score users against the catalogue with the block index (``rankfold.operators.vectors``), which
+masks each user's seen items and keeps its best ``n``: exact, with no user × catalogue table.
 """
 
 from __future__ import annotations
@@ -13,8 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankfold.operators.vectors import RANK_DIGITS, candidate_slices, top_scores, vectors_of
-from rankfold.session import materialize
+from rankfold.operators.vectors import RANK_DIGITS, SCORE_BLOCK_ELEMENTS, Block, Chunk, build_index, pack_chunks, paired, rows_of, top_scores
+from rankfold.session import materialize, release
 
 
 def dense_from_long(long_df: DataFrame, key: str, idx: str, val: str, dim: int, out: str = "vec") -> DataFrame:
@@ -170,53 +170,65 @@ def lightfm_style_precision_recall(
     )
 
 
-def score_row(matrix: np.ndarray, vec: np.ndarray) -> np.ndarray:
-    """A user's rounded scores.  One user at a time, so that a score is the same number whenever
-    it is computed again against the same slice."""
-    return np.round(matrix @ vec, RANK_DIGITS)
-
-
-def _marked_scores(candidates):
-    """(user, vec, items, t) to a row (user, score, t, p) for each of the user's items of the slice."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        right = candidates.value
-        for batch in batches:
-            out: list[tuple] = []
-            for user, vec, items, flags in zip(batch.column("u").to_pylist(), vectors_of(batch.column("vec")), batch.column("items").to_pylist(), batch.column("t").to_pylist(), strict=True):
-                items = np.asarray(items, dtype=np.int64)
-                at = np.minimum(np.searchsorted(right.ids, items), len(right.ids) - 1)
-                known = right.ids[at] == items
-                if known.any():
-                    scores = score_row(right.matrix, vec)[at[known]]
-                    out.append((np.full(len(scores), user), scores, np.asarray(flags)[known]))
-            users, scores, flags = (np.concatenate([o[i] for o in out]) if out else np.zeros(0) for i in range(3))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(users.astype(np.int64)), pa.array(scores.astype(float)), pa.array(flags.astype(np.int64)), pa.array(1 - flags.astype(np.int64))],
-                names=["u", "score", "t", "p"],
-            )
-
-    return run
-
-
-def _counts_below(candidates):
-    """(user, vec, scores) to the number of the slice's items below and at each of the scores."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        right = candidates.value
-        for batch in batches:
-            out: list[tuple] = []
-            for user, vec, scores in zip(batch.column("u").to_pylist(), vectors_of(batch.column("vec")), batch.column("scores").to_pylist(), strict=True):
-                row, scores = np.sort(score_row(right.matrix, vec)), np.asarray(scores)
-                below = np.searchsorted(row, scores, side="left")
-                out.append((np.full(len(scores), user), scores, below, np.searchsorted(row, scores, side="right") - below))
-            users, scores, below, equal = (np.concatenate([o[i] for o in out]) if out else np.zeros(0) for i in range(4))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(users.astype(np.int64)), pa.array(scores.astype(float)), pa.array(below.astype(np.int64)), pa.array(equal.astype(np.int64))],
-                names=["u", "score", "below", "equal"],
-            )
-
-    return run
+def _own_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of a chunk of users and a block of items to (chunk, user, score, t, p) for the users' own
+    items of the block; a chunk's items are in ``seen`` and their flags in ``flags``."""
+    for row in rows_of(batches):
+        chunk, block = Chunk.of(row), Block.of(row)
+        flags = np.frombuffer(row["flags"], dtype=np.int64)
+        order = np.argsort(block.ids, kind="stable")
+        ids = block.ids[order]
+        at = np.minimum(np.searchsorted(ids, chunk.seen), len(ids) - 1)
+        known = np.flatnonzero(ids[at] == chunk.seen)
+        user = np.repeat(np.arange(len(chunk.keys)), np.diff(chunk.seen_at))[known]
+        vector = np.searchsorted(block.starts, order[at[known]], side="right") - 1
+        scores = np.zeros(len(known))
+        for first, last, part in _scored(chunk, block):
+            mine = np.flatnonzero((user >= first) & (user < last))
+            scores[mine] = part[user[mine] - first, vector[mine]]
+        t = flags[known]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(known), row["chunk"])), pa.array(chunk.keys[user]), pa.array(scores), pa.array(t), pa.array(1 - t)], names=["chunk", "u", "score", "t", "p"]
+        )
+
+
+def _scored(chunk: Chunk, block: Block) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Rounded scores of the chunk's users by parts (first, last, scores).  A pair of chunk and block
+    is always scored by the same products, so a score is the same number whenever it is computed."""
+    step = max(1, SCORE_BLOCK_ELEMENTS // max(len(block.matrix), 1))
+    for first in range(0, len(chunk.keys), step):
+        last = min(first + step, len(chunk.keys))
+        yield first, last, np.round(chunk.queries[first:last] @ block.matrix.T, RANK_DIGITS)
+
+
+def _counts_below(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The number of a block's items below and at each of the users' own scores."""
+    for row in rows_of(batches):
+        chunk, block = Chunk.of(row), Block.of(row)
+        own = {r["u"]: r["scores"] for r in row["own"] or []}
+        counts = block.counts
+        out: list[tuple] = []
+        for first, _, part in _scored(chunk, block):
+            order = np.argsort(part, axis=1)
+            for i, scores in enumerate(part):
+                mine = np.array(own.get(int(chunk.keys[first + i]), []))
+                if len(mine):
+                    ranked = scores[order[i]]
+                    before = np.concatenate([[0], np.cumsum(counts[order[i]])])
+                    below = before[np.searchsorted(ranked, mine, side="left")]
+                    out.append((np.full(len(mine), chunk.keys[first + i]), mine, below, before[np.searchsorted(ranked, mine, side="right")] - below))
+        users, scores, below, equal = (np.concatenate([o[i] for o in out]) if out else np.zeros(0) for i in range(4))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(users.astype(np.int64)), pa.array(scores.astype(float)), pa.array(below.astype(np.int64)), pa.array(equal.astype(np.int64))],
+            names=["u", "score", "below", "equal"],
+        )
+
+
+def _every_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        chunks, blocks = batch.column("chunk").to_numpy(), batch.column("blocks")
+        counts = np.diff(blocks.offsets.to_numpy())
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(chunks, counts)), blocks.flatten()], names=["chunk", "block"])
 
 
 def auc_user_scores(
@@ -226,52 +238,41 @@ def auc_user_scores(
     test_pairs: DataFrame,
     user_col: str = "user_idx",
     item_col: str = "item_idx",
-    slice_bytes: int | None = None,
+    block_vectors: int | None = None,
 ) -> DataFrame:
     """Per-user AUC for user-specific dot-product scores (hybrid / ALS models).
 
     Candidates of a user = all items minus its train items; positives = its test items
     not in train; scores are compared after rounding to 9 places and ties count one half.
-    The items are sent to the tasks in slices (see ``vectors``); the first pass scores each
-    user's train and positive items, the second counts how many items of each slice lie below
-    and at those scores.  The user's own items below each score come from distributed running
-    sums.  No (user, item) pair outside train and positives is ever formed.
+    Chunks of users meet blocks of items (see ``vectors``); the first pass scores each user's train
+    and positive items, the second counts how many items of each block lie below and at those
+    scores.  The user's own items below each score come from distributed running sums.  No (user,
+    item) pair outside train and positives is ever formed.
     """
     from rankfold.operators.ordering import running_totals  # noqa: PLC0415
 
-    spark = user_vecs.sparkSession
     pos = test_pairs.select(user_col, item_col).distinct().join(
         train_pairs.select(user_col, item_col), [user_col, item_col], "left_anti"
     )
     marked = train_pairs.select(user_col, item_col).distinct().withColumn("_t", F.lit(1)).unionByName(pos.withColumn("_t", F.lit(0)))
-    # one row per user; its lists are no longer than the catalogue
-    lists = marked.groupBy(user_col).agg(F.collect_list(F.struct(F.col(item_col).cast("long").alias("i"), "_t")).alias("_m"))
-    vecs = user_vecs.select(F.col(user_col).cast("long").alias("u"), F.col("vec").cast("array<double>").alias("vec"))
-    users = vecs.join(lists.select(F.col(user_col).cast("long").alias("u"), F.col("_m.i").alias("items"), F.col("_m._t").alias("t")), "u")
-    sent = [spark.sparkContext.broadcast(c) for c in candidate_slices(item_vecs, item_col, "vec", slice_bytes)]
-
-    def over_slices(rows: DataFrame, step, schema: str) -> DataFrame:
-        found = spark.createDataFrame([], schema)
-        for i, candidates in enumerate(sent):
-            part = rows.mapInArrow(step(candidates), schema)
-            found = part if i == 0 else found.unionAll(part)
-        return found
-
-    per_score = materialize(
-        over_slices(users, _marked_scores, "u long, score double, t long, p long")
-        .groupBy("u", "score").agg(F.sum("t").alias("_te"), F.sum("p").alias("_pe")),
-        "user-scores",
-    )
-    asked = vecs.join(per_score.groupBy("u").agg(F.collect_list("score").alias("scores")), "u")
-    counts = materialize(
-        over_slices(asked, _counts_below, "u long, score double, below long, equal long")
-        .groupBy("u", "score").agg(F.sum("below").alias("_below"), F.sum("equal").alias("_eq")),
-        "user-counts",
-    )
-    for candidates in sent:
-        candidates.destroy()
+    # one row per user; its lists are no longer than the catalogue; the flag is the lowest bit
+    both = (F.col(item_col).cast("long") * 2 + F.col("_t")).alias("_b")
+    lists = marked.select(F.col(user_col).cast("long").alias("_l"), both).groupBy("_l").agg(F.collect_list("_b").alias("_seen"))
+    vecs = user_vecs.select(F.col(user_col).cast("long").alias("_l"), F.lit(0).alias("_k"), F.col("vec").cast("array<double>").alias("_rv"))
+    packed = pack_chunks(vecs.join(lists, "_l").select("_l", "_k", "_seen", "_rv"), cosine=False)
+    chunks = packed.mapInArrow(_with_flags, packed.schema.simpleString()[7:-1].replace(":", " ") + ", flags binary")
+    index = build_index(item_vecs, item_col, "vec", False, block_vectors)
+    numbers = index.select(F.pmod(F.xxhash64("block"), F.lit(64)).alias("slice"), "block").groupBy("slice").agg(F.collect_list("block").alias("blocks"))
+    pairs = packed.select("chunk", F.explode(F.sequence(F.lit(0), F.lit(63)).cast("array<bigint>")).alias("slice")).join(numbers, "slice").select("chunk", "blocks")
+    pairs = materialize(pairs.mapInArrow(_every_block, "chunk long, block long"), "pairs")
+    scored = paired(pairs, chunks, index).mapInArrow(_own_scores, "chunk long, u long, score double, t long, p long")
+    per_score = materialize(scored.groupBy("chunk", "u", "score").agg(F.sum("t").alias("_te"), F.sum("p").alias("_pe")), "user-scores")
+    own = per_score.groupBy("chunk", "u").agg(F.collect_list("score").alias("scores")).groupBy("chunk").agg(F.collect_list(F.struct("u", "scores")).alias("own"))
+    counted = paired(pairs.join(own, "chunk"), packed, index).mapInArrow(_counts_below, "u long, score double, below long, equal long")
+    counts = materialize(counted.groupBy("u", "score").agg(F.sum("below").alias("_below"), F.sum("equal").alias("_eq")), "user-counts")
+    release(packed, index, pairs)
     n_items = item_vecs.count()
-    joined = per_score.join(counts, ["u", "score"])
+    joined = per_score.drop("chunk").join(counts, ["u", "score"])
     cum = running_totals(joined, ["score"], ["_te", "_pe"], group_cols=["u"]).select(
         "u", "_te", "_pe", "_below", "_eq",
         (F.col("_te_cum") - F.col("_te")).alias("_tb"), (F.col("_pe_cum") - F.col("_pe")).alias("_pb"),
@@ -287,3 +288,13 @@ def auc_user_scores(
     return agg.where((F.col("_np") > 0) & (neg > 0)).select(
         F.col("u").cast("int").alias(user_col), (F.col("_num") / (F.col("_np") * neg)).alias("auc")
     )
+
+
+def _with_flags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunks whose seen ids carry a flag in the lowest bit, with ids and flags apart."""
+    for batch in batches:
+        both = [np.frombuffer(b, dtype=np.int64) for b in batch.column("seen").to_pylist()]
+        columns = {name: batch.column(name) for name in batch.schema.names}
+        columns["seen"] = pa.array([(b >> 1).tobytes() for b in both], pa.binary())
+        columns["flags"] = pa.array([(b & 1).tobytes() for b in both], pa.binary())
+        yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))

@@ -1,15 +1,22 @@
-"""All-pairs scoring with an exact top-k per row, without an all-pairs table.
-
-The candidate side is cut into slices of at most ``SLICE_BYTES`` (read once, as Arrow); each slice
-is sent to the tasks, which score their rows of the left side against it with one matrix product
-per chunk and keep the best ``k`` unseen candidates of each row.  The left side is never
-replicated or shuffled.  With more than one slice, a final ``row_number`` merges the partial lists
-(at most k rows for each left row and slice).  Seen candidates are masked inside the scorer, so
-exactly k rows per left row leave it.
-
-There is one routine for scores, rounding and selection (:func:`pair_scores`, :func:`best_rows`),
-whatever the number of slices: candidates are ranked by the score rounded to ``RANK_DIGITS``, so
-float summation order cannot swap ties, then by ascending id.
+"""Exact top-k vector search through an index of blocks with score bounds.
+
+The candidates become a written table of blocks.  Vectors are ordered by the signs of random
+projections, each stretch of this order is halved by two means until its parts fit a block, so that
+a block holds neighbours, and equal vectors are stored once with the list of their ids.  A block keeps its centre, the largest distance of a member from it and the largest
+norm, hence for a query q every member x has ``q·x <= min(q·centre + |q| radius, |q| norm)``.  For
+cosines all vectors are divided by their norms first.
+
+Queries are packed into chunks.  A chunk first scores the few blocks whose centres suit it best;
+the k-th score found so far is what a query's other blocks have to reach, and only the pairs of
+query and block whose bound does are scored.  Blocks, chunks and bounds meet in Spark joins: the
+summaries of the blocks in slices of ``SLICE_BLOCKS``, the blocks themselves by their number, so
+neither the candidates nor their summaries pass through the driver; whether a side is small enough
+to be broadcast is decided by its measured size.  An index of up to ``PROBES`` blocks has nothing to
+skip and is scored at once.
+
+Candidates are ranked by the score rounded to ``RANK_DIGITS``, so float summation order cannot swap
+ties, then by ascending id; bounds have ``SLACK`` to spare for rounding.  Seen candidates are masked
+in the tasks.  There is one row for each key on the left side.
 """
 
 from __future__ import annotations
@@ -19,34 +26,40 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankfold.operators.ordering import positions
-from rankfold.session import materialize
+from rankfold.session import materialize, release
 
 # rounding applied before ranking so that float summation order cannot swap ties
 RANK_DIGITS = 9
-# bytes of candidate vectors that are sent to the tasks at a time
-SLICE_BYTES = 128 * 1024 * 1024
+SLACK = 4e-9
+# different vectors and ids of a block
+BLOCK_VECTORS = 4096
+BLOCK_IDS = 1 << 20
+# vectors, in blocks, among which a task looks for neighbours
+BUFFER_BLOCKS = 32
+# queries of a chunk, and the seen ids after which a chunk ends
+CHUNK_ROWS = 2048
+CHUNK_SEEN = 1 << 20
+# blocks that a chunk scores before any bound is known
+PROBES = 4
+SLICE_BLOCKS = 4096
+PROJECTIONS = 24
 # scores held per scoring step (rows x candidates), bounding task memory
 SCORE_BLOCK_ELEMENTS = 4_000_000
 
+_BLOCK = "block long, n int, ids binary, starts binary, matrix binary, centre binary, radius double, norm double"
+_CHUNK = "chunk long, keys binary, limits binary, queries binary, seen_at binary, seen binary"
+_FOUND = "_l long, _r long, _s double, _k int, chunk long, block long"
+
 
 def l2_norm(vec: str | Column) -> Column:
     v = F.col(vec) if isinstance(vec, str) else vec
     return F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
 
 
-@dataclass(frozen=True)
-class Candidates:
-    """A slice of the candidates: ascending ids and their vectors, one row each."""
-
-    ids: np.ndarray
-    matrix: np.ndarray
-    norms: np.ndarray
-
-
 def vectors_of(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     """Rows of a list column of equal lengths as a matrix of doubles."""
     if isinstance(column, pa.ChunkedArray):
@@ -56,33 +69,192 @@ def vectors_of(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return column.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def candidate_slices(right: DataFrame, key: str, vec: str, slice_bytes: int | None = None) -> Iterator[Candidates]:
-    """The candidates in slices of at most ``slice_bytes``, in id order."""
-    table = right.select(F.col(key).cast("long").alias("_r"), F.col(vec).alias("_rv"))
-    n = table.count()
-    if not n:
-        return
-    dim = max(1, int(table.select(F.size("_rv")).first()[0]))
-    rows = max(1, (SLICE_BYTES if slice_bytes is None else slice_bytes) // (8 * dim))
-    ordered = positions(table, ["_r"], out="_at") if n > rows else table.withColumn("_at", F.lit(0))
-    for first in range(0, n, rows):
-        part = ordered if n <= rows else ordered.where((F.col("_at") >= first) & (F.col("_at") < first + rows))
-        arrow = part.select("_r", "_rv").toArrow()
-        ids, matrix = arrow.column("_r").to_numpy(), vectors_of(arrow.column("_rv"))
-        order = np.argsort(ids, kind="stable")
-        yield Candidates(ids[order], matrix[order], np.linalg.norm(matrix[order], axis=1))
-
-
-def pair_scores(left: np.ndarray, right: Candidates, cosine: bool) -> np.ndarray:
-    """Scores of every left row with every candidate.  Cosine: a zero candidate uses norm 1, and a
-    zero left row has no scores (minus infinity)."""
-    scores = left @ right.matrix.T
-    if cosine:
-        norms = np.linalg.norm(left, axis=1)
-        scores /= np.where(norms > 0, norms, 1.0)[:, None]
-        scores /= np.where(right.norms > 0, right.norms, 1.0)[None, :]
-        scores[norms == 0] = -np.inf
-    return scores
+def unit_rows(matrix: np.ndarray) -> np.ndarray:
+    """Rows divided by their norms; zero rows stay zero."""
+    norms = np.linalg.norm(matrix, axis=1, keepdims=True)
+    return matrix / np.where(norms > 0, norms, 1.0)
+
+
+def _place(cosine: bool):
+    """(_r, _rv) with the vector as it is scored, the cell of its projections and a hash of it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vectors = vectors_of(batch.column("_rv")) + 0.0  # no negative zeros
+            vectors = unit_rows(vectors) if cosine else vectors
+            rng = np.random.default_rng([7, vectors.shape[1]])
+            signs = vectors @ rng.standard_normal((vectors.shape[1], PROJECTIONS)) > 0
+            cell = signs @ (1 << np.arange(PROJECTIONS)[::-1])
+            odd = rng.integers(0, 2**63, vectors.shape[1], dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+            h = (np.ascontiguousarray(vectors).view(np.uint64) * odd).sum(axis=1, dtype=np.uint64).view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(vectors) + 1) * vectors.shape[1], pa.int32()), pa.array(vectors.reshape(-1)))
+            others = [batch.column(c) for c in batch.schema.names if c != "_rv"]
+            names = [c for c in batch.schema.names if c != "_rv"]
+            yield pa.RecordBatch.from_arrays([*others, lists, pa.array(cell.astype(np.int64)), pa.array(h)], names=[*names, "_rv", "cell", "h"])
+
+    return run
+
+
+def _halves(vectors: np.ndarray) -> np.ndarray:
+    """Which vectors go to the second half: two means from two far vectors, or the median along them
+    where one half would hold less than an eighth."""
+    far = vectors[np.argmax(np.linalg.norm(vectors - vectors.mean(axis=0), axis=1))]
+    ends = np.stack([far, vectors[np.argmax(np.linalg.norm(vectors - far, axis=1))]])
+    for _ in range(4):
+        along = vectors @ (ends[1] - ends[0])
+        second = along > (ends.sum(axis=0) / 2) @ (ends[1] - ends[0])
+        if not 0 < second.sum() < len(vectors):
+            break
+        ends = np.stack([vectors[~second].mean(axis=0), vectors[second].mean(axis=0)])
+    if min(second.sum(), len(second) - second.sum()) * 8 < len(second):
+        second = np.zeros(len(vectors), dtype=bool)
+        second[np.argsort(along, kind="stable")[len(vectors) // 2 :]] = True
+    return second
+
+
+def _groups(vectors: np.ndarray, counts: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """Rows of ``vectors`` in groups of neighbours, of at most ``most`` vectors and ``BLOCK_IDS`` ids
+    (a vector with more ids stays alone)."""
+    todo = [np.arange(len(vectors))]
+    while todo:
+        rows = todo.pop()
+        if len(rows) <= most and (counts[rows].sum() <= BLOCK_IDS or len(rows) == 1):
+            yield rows
+        else:
+            second = _halves(vectors[rows])
+            todo += [rows[~second], rows[second]]
+
+
+def _pack_blocks(block_vectors: int):
+    def block(number: int, ids: np.ndarray, counts: np.ndarray, vectors: np.ndarray) -> pa.RecordBatch:
+        starts = np.cumsum(counts) - counts
+        if len(starts) == len(ids):  # no repeated vector: in id order
+            order = np.argsort(ids, kind="stable")
+            ids, vectors = ids[order], vectors[order]
+        centre = vectors.mean(axis=0)
+        row = (
+            (TaskContext.get().partitionId() << 32) | number, len(ids), ids.tobytes(), starts.astype(np.int64).tobytes(), np.ascontiguousarray(vectors).tobytes(),
+            centre.tobytes(), float(np.linalg.norm(vectors - centre, axis=1).max()), float(np.linalg.norm(vectors, axis=1).max()),
+        )
+        kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.float64()]
+        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=[c.split()[0] for c in _BLOCK.split(", ")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = 0
+
+        def blocks(ids: np.ndarray, matrix: np.ndarray) -> Iterator[pa.RecordBatch]:
+            nonlocal number
+            starts = np.flatnonzero(np.append(True, (matrix[1:] != matrix[:-1]).any(axis=1)))
+            # a vector with very many ids is cut into parts
+            starts = np.unique(np.concatenate([starts, np.arange(0, len(ids), BLOCK_IDS)]))
+            counts, vectors = np.diff(np.append(starts, len(ids))), matrix[starts]
+            for rows in _groups(vectors, counts, block_vectors):
+                n = counts[rows]
+                at = np.arange(n.sum()) + np.repeat(starts[rows] - (np.cumsum(n) - n), n)
+                yield block(number, ids[at], n, vectors[rows])
+                number += 1
+
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for batch in batches:
+            if batch.num_rows:
+                held.append((batch.column("_r").to_numpy(), vectors_of(batch.column("_rv"))))
+            if sum(len(ids) for ids, _ in held) >= BUFFER_BLOCKS * block_vectors:
+                yield from blocks(*map(np.concatenate, zip(*held, strict=True)))
+                held = []
+        if held:
+            yield from blocks(*map(np.concatenate, zip(*held, strict=True)))
+
+    return run
+
+
+def build_index(right: DataFrame, key: str, vec: str, cosine: bool, block_vectors: int | None = None) -> DataFrame:
+    """The blocks of a table of vectors, one row each, written under the checkpoint folder."""
+    table = right.select(F.col(key).cast("long").alias("_r"), F.col(vec).cast("array<double>").alias("_rv"))
+    order = ["cell", "h", "_r"]
+    placed = table.mapInArrow(_place(cosine), "_r long, _rv array<double>, cell long, h long")
+    ordered = placed.repartitionByRange(*order).sortWithinPartitions(*order).select("_r", "_rv")
+    return materialize(ordered.mapInArrow(_pack_blocks(block_vectors or BLOCK_VECTORS), _BLOCK), "index", compression="uncompressed")
+
+
+def _pack_chunks(exclude_same_key: bool):
+    names = [c.split()[0] for c in _CHUNK.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = 0
+        for batch in batches:
+            seen = batch.column("_seen")
+            keys, limits = batch.column("_l").to_numpy(), batch.column("_k").to_numpy().astype(np.int32)
+            queries = vectors_of(batch.column("_rv"))
+            at = seen.offsets.to_numpy().astype(np.int64)
+            flat = seen.values.to_numpy(zero_copy_only=False)
+            first = 0
+            while first < len(keys):
+                last = min(first + CHUNK_ROWS, len(keys), max(first + 1, int(np.searchsorted(at, at[first] + CHUNK_SEEN))))
+                counts = np.diff(at[first : last + 1])
+                own = flat[at[first] : at[last]]
+                if exclude_same_key:
+                    own = np.insert(own, np.cumsum(counts), keys[first:last])
+                    counts = counts + 1
+                row = (
+                    (TaskContext.get().partitionId() << 32) | number, keys[first:last].tobytes(), limits[first:last].tobytes(), queries[first:last].tobytes(),
+                    np.concatenate([[0], np.cumsum(counts)]).astype(np.int64).tobytes(), own.astype(np.int64).tobytes(),
+                )
+                yield pa.RecordBatch.from_arrays([pa.array([v], pa.int64() if i == 0 else pa.binary()) for i, v in enumerate(row)], names=names)
+                number, first = number + 1, last
+
+    return run
+
+
+def pack_chunks(rows: DataFrame, cosine: bool, exclude_same_key: bool = False) -> DataFrame:
+    """Chunks of queries (_l, _rv, _k, _seen), neighbours together."""
+    placed = rows.mapInArrow(_place(cosine), "_l long, _k int, _seen array<long>, _rv array<double>, cell long, h long")
+    ordered = placed.repartitionByRange("cell", "_l").sortWithinPartitions("cell", "_l").select("_l", "_rv", "_k", "_seen")
+    return materialize(ordered.mapInArrow(_pack_chunks(exclude_same_key), _CHUNK), "chunks", compression="uncompressed")
+
+
+@dataclass
+class Chunk:
+    keys: np.ndarray
+    limits: np.ndarray
+    queries: np.ndarray
+    seen_at: np.ndarray
+    seen: np.ndarray
+
+    @classmethod
+    def of(cls, row: dict) -> Chunk:
+        keys = np.frombuffer(row["keys"], dtype=np.int64)
+        return cls(
+            keys, np.frombuffer(row["limits"], dtype=np.int32), np.frombuffer(row["queries"]).reshape(len(keys), -1),
+            np.frombuffer(row["seen_at"], dtype=np.int64), np.frombuffer(row["seen"], dtype=np.int64),
+        )
+
+    def pick(self, rows: np.ndarray) -> Chunk:
+        counts = np.diff(self.seen_at)[rows]
+        at = np.concatenate([[0], np.cumsum(counts)])
+        inside = np.arange(at[-1]) + np.repeat(self.seen_at[rows] - at[:-1], counts)
+        return Chunk(self.keys[rows], self.limits[rows], self.queries[rows], at, self.seen[inside])
+
+
+@dataclass
+class Block:
+    ids: np.ndarray
+    starts: np.ndarray
+    matrix: np.ndarray
+
+    @classmethod
+    def of(cls, row: dict) -> Block:
+        starts = np.frombuffer(row["starts"], dtype=np.int64)
+        return cls(np.frombuffer(row["ids"], dtype=np.int64), starts, np.frombuffer(row["matrix"]).reshape(len(starts), -1))
+
+    @property
+    def counts(self) -> np.ndarray:
+        return np.diff(np.append(self.starts, len(self.ids)))
+
+
+def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield {name: batch.column(j)[i].as_py() for j, name in enumerate(batch.schema.names)}
 
 
 def best_rows(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -108,41 +280,158 @@ def best_rows(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return rows, columns, np.arange(len(rows)) - first[rows] + 1
 
 
-def _scorer(candidates, cosine: bool, exclude_same_key: bool):
-    """Left rows (_l, _lv, _k, _seen) to their best candidates of one slice."""
+def _best_of_different(chunk: Chunk, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, id, score) of each query's best ids where every id has its own vector."""
+    scores = chunk.queries @ block.matrix.T
+    rows = np.repeat(np.arange(len(chunk.keys)), np.diff(chunk.seen_at))
+    at = np.minimum(np.searchsorted(block.ids, chunk.seen), len(block.ids) - 1)
+    known = block.ids[at] == chunk.seen
+    scores[rows[known], at[known]] = -np.inf
+    found = []
+    for k in np.unique(chunk.limits):
+        chosen = np.flatnonzero(chunk.limits == k)
+        row, column, _ = best_rows(scores[chosen], int(k))
+        found.append((chosen[row], block.ids[column], scores[chosen][row, column]))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
+def _best_of_repeated(chunk: Chunk, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same where vectors have lists of ids: the best vectors are expanded until there are enough
+    unseen ids, and no vector gives more ids than a query can need."""
+    scores = chunk.queries @ block.matrix.T
+    keys = np.round(scores, RANK_DIGITS)
+    order = np.argsort(-keys, axis=1, kind="stable")
+    counts = block.counts
+    need = chunk.limits + np.diff(chunk.seen_at)
+    enough = np.cumsum(np.minimum(counts[order], need[:, None]), axis=1)
+    out = []
+    for row in range(len(chunk.keys)):
+        k = int(chunk.limits[row])
+        if k <= 0:
+            continue
+        key = keys[row]
+        last = min(int(np.searchsorted(enough[row], need[row])), len(counts) - 1)
+        vectors = np.flatnonzero(key >= key[order[row, last]])
+        n = np.minimum(counts[vectors], need[row])
+        at = np.arange(n.sum()) + np.repeat(block.starts[vectors] - (np.cumsum(n) - n), n)
+        ids, own = block.ids[at], np.repeat(vectors, n)
+        seen = chunk.seen[chunk.seen_at[row] : chunk.seen_at[row + 1]]
+        if len(seen):
+            free = ~np.isin(ids, seen)
+            ids, own = ids[free], own[free]
+        best = np.lexsort((ids, -key[own]))[:k]
+        out.append((np.full(len(best), row), ids[best], scores[row, own[best]]))
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
+def _evaluate(cosine: bool):
+    """Pairs of a chunk (of its queries in ``picked``, all without it) and a block to the best ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        right: Candidates = candidates.value
-        step = max(1, SCORE_BLOCK_ELEMENTS // max(len(right.ids), 1))
-        for batch in batches:
-            for first in range(0, batch.num_rows, step):
-                part = batch.slice(first, step)
-                left_ids = part.column("_l").to_numpy()
-                scores = pair_scores(vectors_of(part.column("_lv")), right, cosine)
-                seen = part.column("_seen")
-                counts = np.diff(seen.offsets.to_numpy())
-                pairs = [(np.repeat(np.arange(len(left_ids)), counts), seen.flatten().to_numpy(zero_copy_only=False))]
-                if exclude_same_key:
-                    pairs.append((np.arange(len(left_ids)), left_ids))
-                for rows, ids in pairs:
-                    at = np.minimum(np.searchsorted(right.ids, ids), len(right.ids) - 1)
-                    known = right.ids[at] == ids
-                    scores[rows[known], at[known]] = -np.inf
-                limits = part.column("_k").to_numpy()
-                for k in np.unique(limits):
-                    chosen = np.flatnonzero(limits == k)
-                    rows, columns, ranks = best_rows(scores[chosen], int(k))
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(left_ids[chosen][rows]), pa.array(right.ids[columns]), pa.array(scores[chosen][rows, columns]),
-                            pa.array(ranks, pa.int32()), pa.array(np.full(len(rows), k), pa.int32()),
-                        ],
-                        names=["_l", "_r", "_s", "rank", "_k"],
-                    )
+        for row in rows_of(batches):
+            chunk, block = Chunk.of(row), Block.of(row)
+            rows = np.frombuffer(row["picked"], dtype=np.int64) if row.get("picked") is not None else np.arange(len(chunk.keys))
+            if cosine:  # a query without direction has no scores
+                rows = rows[np.abs(chunk.queries[rows]).max(axis=1, initial=0.0) > 0]
+            step = max(1, SCORE_BLOCK_ELEMENTS // max(len(block.matrix), 1))
+            best = _best_of_different if len(block.ids) == len(block.matrix) else _best_of_repeated
+            for first in range(0, len(rows), step):
+                part = chunk.pick(rows[first : first + step])
+                r, ids, scores = best(part, block)
+                n = len(r)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(part.keys[r]), pa.array(ids), pa.array(scores), pa.array(part.limits[r]), pa.array(np.full(n, row["chunk"])), pa.array(np.full(n, row["block"]))],
+                    names=["_l", "_r", "_s", "_k", "chunk", "block"],
+                )
 
     return run
 
 
+class _Summaries:
+    """The summaries of a slice of blocks."""
+
+    def __init__(self, summaries: list[dict]):
+        self.blocks = np.array([s["block"] for s in summaries])
+        self.centres = np.stack([np.frombuffer(s["centre"]) for s in summaries])
+        self.radius = np.array([s["radius"] for s in summaries])
+        self.norm = np.array([s["norm"] for s in summaries])
+
+    def bounds(self, queries: np.ndarray) -> np.ndarray:
+        size = np.linalg.norm(queries, axis=1)[:, None]
+        return np.minimum(queries @ self.centres.T + size * self.radius, size * self.norm) * (1 + 1e-12) + SLACK
+
+
+def _first_routes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each chunk the blocks that most of its queries would try first."""
+    for row in rows_of(batches):
+        chunk, known = Chunk.of(row), _Summaries(row["summaries"])
+        first = np.argmax(chunk.queries @ known.centres.T, axis=1)
+        votes = np.bincount(first, minlength=len(known.blocks))
+        best = np.argsort(-votes, kind="stable")[:PROBES]
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), row["chunk"])), pa.array(known.blocks[best])], names=["chunk", "block"])
+
+
+def _other_routes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks with the queries of a chunk whose bound reaches what they have found."""
+    for row in rows_of(batches):
+        chunk, known = Chunk.of(row), _Summaries(row["summaries"])
+        least = {r["_l"]: r["least"] for r in row["reached"] or [] if r["least"] is not None}
+        reached = np.array([least.get(k, -np.inf) for k in chunk.keys.tolist()])
+        able = (known.bounds(chunk.queries) >= reached[:, None]) & (chunk.limits > 0)[:, None]
+        open_ = ~np.isin(known.blocks, row["tried"] or [])
+        out = [(int(known.blocks[b]), np.flatnonzero(able[:, b])) for b in np.flatnonzero(able.any(axis=0) & open_)]
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([row["chunk"]] * len(out), pa.int64()), pa.array([b for b, _ in out], pa.int64()),
+                pa.array([q.astype(np.int64).tobytes() for _, q in out], pa.binary()), pa.array([len(q) for _, q in out], pa.int64()),
+            ],
+            names=["chunk", "block", "picked", "n_picked"],
+        )
+
+
+def on_slices(chunks: DataFrame, index: DataFrame, n_blocks: int) -> DataFrame:
+    """Each chunk beside every slice of block summaries."""
+    slices = -(-n_blocks // SLICE_BLOCKS)
+    summaries = index.select(F.pmod(F.xxhash64("block"), F.lit(slices)).cast("int").alias("slice"), F.struct("block", "centre", "radius", "norm").alias("s"))
+    packed = summaries.groupBy("slice").agg(F.collect_list("s").alias("summaries"))
+    return chunks.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))).join(packed, "slice").drop("slice")
+
+
+def paired(routes: DataFrame, chunks: DataFrame, index: DataFrame) -> DataFrame:
+    return routes.join(chunks, "chunk").join(index.select("block", "ids", "starts", "matrix"), "block")
+
+
+def search(chunks: DataFrame, index: DataFrame, cosine: bool, report: dict | None = None) -> DataFrame:
+    """Partial lists (_l, _r, _s, _k, chunk, block) that hold every query's best ids.  ``report`` takes
+    the pairs of query and block in all and those that were scored."""
+    evaluate = _evaluate(cosine)
+    n_blocks = index.count()
+    if not n_blocks:
+        return index.sparkSession.createDataFrame([], _FOUND)
+    if n_blocks <= PROBES:
+        numbers = [r["block"] for r in index.select("block").collect()]
+        found = chunks.withColumn("block", F.explode(F.array(*[F.lit(b) for b in numbers]))).join(index.select("block", "ids", "starts", "matrix"), "block")
+        if report is not None:
+            n = chunks.agg(F.sum(F.length("keys") / 8)).first()[0] or 0
+            report.update(blocks=n_blocks, pairs=int(n) * n_blocks, scored=int(n) * n_blocks)
+        return found.mapInArrow(evaluate, _FOUND)
+    first = materialize(on_slices(chunks, index, n_blocks).mapInArrow(_first_routes, "chunk long, block long"), "routes")
+    found = materialize(paired(first, chunks, index).mapInArrow(evaluate, _FOUND), "probed")
+    kth = F.get(F.sort_array(F.collect_list(F.round("_s", RANK_DIGITS)), asc=False), F.first("_k") - 1)
+    reached = found.groupBy("chunk", "_l").agg(kth.alias("least")).groupBy("chunk").agg(F.collect_list(F.struct("_l", "least")).alias("reached"))
+    tried = first.groupBy("chunk").agg(F.collect_list("block").alias("tried"))
+    ready = on_slices(chunks, index, n_blocks).join(reached, "chunk", "left").join(tried, "chunk", "left")
+    others = materialize(ready.mapInArrow(_other_routes, "chunk long, block long, picked binary, n_picked long"), "routes")
+    more = paired(others.drop("n_picked"), chunks, index).mapInArrow(evaluate, _FOUND)
+    if report is not None:
+        sizes = chunks.select("chunk", (F.length("keys") / 8).cast("long").alias("n"))
+        all_, probed = sizes.agg(F.sum("n")).first()[0] or 0, first.join(sizes, "chunk").agg(F.sum("n")).first()[0] or 0
+        report.update(blocks=n_blocks, pairs=all_ * n_blocks, scored=probed + (others.agg(F.sum("n_picked")).first()[0] or 0))
+    return found.unionByName(more)
+
+
 def top_scores(
     left: DataFrame,
     right: DataFrame,
@@ -154,16 +443,17 @@ def top_scores(
     cosine: bool = True,
     seen: DataFrame | None = None,
     exclude_same_key: bool = False,
-    slice_bytes: int | None = None,
+    block_vectors: int | None = None,
     out_key: str = "neighbor",
     out_score: str = "score",
+    report: dict | None = None,
 ) -> DataFrame:
     """(left_key, out_key, out_score, rank): each left row's best ``k`` right rows by (score desc,
     right key asc), without those it has in ``seen`` (left_key, right_key).  ``k`` is a number or a
-    column of ``left``.  A left row's seen keys are one list, no longer than the candidates."""
-    spark = left.sparkSession
+    column of ``left``.  Cosine: a zero candidate scores 0, a zero left row has no list.  A left row's
+    seen keys are one list, no longer than the candidates."""
     keep = F.col(k) if isinstance(k, str) else F.lit(k)
-    rows = left.select(F.col(left_key).cast("long").alias("_l"), F.col(left_vec).cast("array<double>").alias("_lv"), keep.cast("int").alias("_k"))
+    rows = left.select(F.col(left_key).cast("long").alias("_l"), F.col(left_vec).cast("array<double>").alias("_rv"), keep.cast("int").alias("_k"))
     none = F.array().cast("array<bigint>")
     if seen is not None:
         lists = seen.select(F.col(left_key).cast("long").alias("_l"), F.col(right_key).cast("long").alias("_r")).distinct().groupBy("_l").agg(
@@ -172,27 +462,15 @@ def top_scores(
         rows = rows.join(lists, "_l", "left").withColumn("_seen", F.coalesce("_seen", none))
     else:
         rows = rows.withColumn("_seen", none)
-    rows = rows.select("_l", "_lv", "_k", "_seen")
-    schema = "_l long, _r long, _s double, rank int, _k int"
-    sent, parts = [], []
-    for candidates in candidate_slices(right, right_key, right_vec, slice_bytes):
-        sent.append(spark.sparkContext.broadcast(candidates))
-        parts.append(rows.mapInArrow(_scorer(sent[-1], cosine, exclude_same_key), schema))
-    if not parts:
-        found = spark.createDataFrame([], schema)
-    elif len(parts) == 1:
-        found = parts[0]
-    else:
-        found = parts[0]
-        for part in parts[1:]:
-            found = found.unionAll(part)
-        merged = Window.partitionBy("_l").orderBy(F.round("_s", RANK_DIGITS).desc(), F.col("_r").asc())
-        found = found.withColumn("rank", F.row_number().over(merged)).where(F.col("rank") <= F.col("_k"))
+    index = build_index(right, right_key, right_vec, cosine, block_vectors)
+    chunks = pack_chunks(rows.select("_l", "_k", "_seen", "_rv"), cosine, exclude_same_key)
+    found = search(chunks, index, cosine, report)
+    merged = Window.partitionBy("_l").orderBy(F.round("_s", RANK_DIGITS).desc(), F.col("_r").asc())
+    best = found.withColumn("rank", F.row_number().over(merged)).where(F.col("rank") <= F.col("_k"))
     done = materialize(
-        found.select(F.col("_l").alias(left_key), F.col("_r").alias(out_key), F.col("_s").alias(out_score), F.col("rank").cast("int").alias("rank")), "scores"
+        best.select(F.col("_l").alias(left_key), F.col("_r").alias(out_key), F.col("_s").alias(out_score), F.col("rank").cast("int").alias("rank")), "scores"
     )
-    for candidates in sent:
-        candidates.destroy()
+    release(index, chunks)
     return done
 
 
@@ -201,11 +479,12 @@ def blocked_topk(
     n: int,
     item_col: str = "item_idx",
     vec_col: str = "vec",
-    slice_bytes: int | None = None,
+    block_vectors: int | None = None,
     exclude_self: bool = True,
+    report: dict | None = None,
 ) -> DataFrame:
     """(item, neighbor, cosine, rank): top-n cosine neighbours of every item."""
     return top_scores(
-        vectors, vectors, n, item_col, item_col, vec_col, vec_col,
-        cosine=True, exclude_same_key=exclude_self, slice_bytes=slice_bytes, out_key="neighbor", out_score="cosine",
+        vectors, vectors, n, item_col, item_col, vec_col, vec_col, cosine=True, exclude_same_key=exclude_self, block_vectors=block_vectors,
+        out_key="neighbor", out_score="cosine", report=report,
     )

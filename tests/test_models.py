@@ -55,7 +55,7 @@ def test_random_length_unseen_deterministic(inter, users):
 def test_similar_items_excludes_self(spark):
     vecs = spark.createDataFrame([(i, [float(i % 3 == 0), float(i % 3 == 1), 1.0]) for i in range(6)],
                                  "item_idx long, vec array<double>")
-    out = blocked_topk(vecs, 2, slice_bytes=48).toPandas()
+    out = blocked_topk(vecs, 2, block_vectors=1).toPandas()
     assert (out.item_idx != out.neighbor).all()
     assert (out.groupby("item_idx").size() == 2).all()
     # items 0 and 3 share a vector: each is the other's best neighbour
@@ -70,7 +70,7 @@ def test_similar_items_zero_target_has_no_list(spark):
     assert set(out[out.item_idx == 1].neighbor) == {0, 2}
 
 
-def test_slices_do_not_change_lists_with_ties_at_the_cut(spark):
+def test_blocks_do_not_change_lists_with_ties_at_the_cut(spark):
     import numpy as np
 
     from rankfold.operators.models import recommend_scored
@@ -82,8 +82,8 @@ def test_slices_do_not_change_lists_with_ties_at_the_cut(spark):
     users = spark.createDataFrame([(u, rng.integers(-1, 2, 3).astype(float).tolist(), int(u % 9)) for u in range(40)], "user_idx int, vec array<double>, k int")
     seen = spark.createDataFrame([(int(u), int(i)) for u, i in rng.integers(0, 40, (300, 2))], "user_idx int, movie_idx int")
     lists = [
-        top_scores(users, items, "k", "user_idx", "movie_idx", cosine=c, seen=seen, slice_bytes=b, out_key="movie_idx").orderBy("user_idx", "rank").select("user_idx", "movie_idx", "rank").collect()
-        for c in (True, False) for b in (None, 24 * 7, 24)
+        top_scores(users, items, "k", "user_idx", "movie_idx", cosine=c, seen=seen, block_vectors=b, out_key="movie_idx").orderBy("user_idx", "rank").select("user_idx", "movie_idx", "rank").collect()
+        for c in (True, False) for b in (None, 2, 1)
     ]
     assert lists[0] == lists[1] == lists[2] and lists[3] == lists[4] == lists[5]
     taken = {(r.user_idx, r.movie_idx) for r in seen.collect()}
@@ -96,6 +96,30 @@ def test_slices_do_not_change_lists_with_ties_at_the_cut(spark):
     assert recommend_scored(users, items, seen, 4, cosine=False).count() == 40 * 4
 
 
+@pytest.mark.parametrize("cosine", [True, False])
+def test_bounds_skip_blocks_and_lose_nothing(spark, cosine):
+    import numpy as np
+
+    from rankfold.operators.vectors import top_scores
+
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(30, 8)) * 5
+    data = np.concatenate([c + rng.normal(size=(40, 8)) * 0.2 for c in centres]) * rng.uniform(0.5, 2, (1200, 1))
+    data[::50] = data[3]  # repeated vectors
+    data[7] = 0
+    items = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "item_idx long, vec array<double>")
+    queries = data[::9] + rng.normal(size=(len(data[::9]), 8)) * 0.1
+    left = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(queries)], "q long, vec array<double>")
+    report = {}
+    got = top_scores(left, items, 6, "q", "item_idx", cosine=cosine, block_vectors=20, report=report).orderBy("q", "rank").collect()
+    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+    scores = unit(queries) @ unit(data).T if cosine else queries @ data.T
+    for q in range(len(queries)):
+        expected = sorted(range(len(data)), key=lambda i: (-round(float(scores[q, i]), 9), i))[:6]
+        assert [r.neighbor for r in got if r.q == q] == expected
+    assert report["blocks"] > 40 and report["pairs"] == len(queries) * report["blocks"] and report["scored"] < 0.6 * report["pairs"]
+
+
 def test_no_candidates_no_lists(spark):
     vecs = spark.createDataFrame([], "item_idx long, vec array<double>")
     assert blocked_topk(vecs, 3).count() == 0
@@ -130,7 +154,7 @@ def test_auc_user_scores_matches_brute_force(spark):
     tr = spark.createDataFrame(train, "user_idx int, item_idx int")
     te = spark.createDataFrame(test, "user_idx int, item_idx int")
     got = {r.user_idx: r.auc for r in auc_user_scores(uv, iv, tr, te).collect()}
-    blocked = {r.user_idx: r.auc for r in auc_user_scores(uv, iv, tr, te, slice_bytes=4 * 24).collect()}
+    blocked = {r.user_idx: r.auc for r in auc_user_scores(uv, iv, tr, te, block_vectors=4).collect()}
     assert blocked == pytest.approx(got)
     for u in range(n_users):
         trs = {i for uu, i in train if uu == u}
