@@ -113,15 +113,16 @@ def configure_session(spark: SparkSession) -> None:
     ship_package(spark)
 
 
-def materialize(df: DataFrame, name: str = "table", compression: str | None = None) -> DataFrame:
-    """Write ``df`` as Parquet under the checkpoint folder and read it back.
+def materialize(df: DataFrame, name: str = "table", compression: str | None = None, partition_by: str | None = None) -> DataFrame:
+    """Write ``df`` as Parquet under the checkpoint folder and read it back; with ``partition_by``, a
+    folder for each value of that column.
 
     For iterative jobs: the result is a plain file scan with no retained origin plan,
     so a loop whose step reads the previous step twice does not grow its plan.
     """
     root = ensure_checkpoint_dir(df.sparkSession).rstrip("/")
     path = f"{root}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path, compression=compression)
+    df.write.mode("overwrite").parquet(path, compression=compression, partitionBy=partition_by)
     written = df.sparkSession.read.schema(df.schema).parquet(path)
     setattr(written, _WRITTEN_PATH, path)
     return written
