@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 from rankfold.operators.vectors import RANK_DIGITS, SCORE_BLOCK_ELEMENTS, Block, Chunk, build_index, pack_chunks, paired, rows_of, top_scores
 from rankfold.session import materialize, release
 
+# interactions of an ALS block
+ROWS_PER_BLOCK = 1 << 18
+
 
 def dense_from_long(long_df: DataFrame, key: str, idx: str, val: str, dim: int, out: str = "vec") -> DataFrame:
     """(key, idx, val) rows → (key, ARRAY<DOUBLE> of length dim); at most ``dim`` entries per key."""
@@ -72,11 +75,14 @@ def als_factors(
 ) -> tuple[DataFrame, DataFrame]:
     """Implicit-feedback ALS (Spark ML) on a confidence table → (user, vec), (item, vec).
 
-    Spark's ALS partitions users and items into blocks and shuffles only factor
-    blocks; ``checkpointInterval`` cuts the lineage into the session checkpoint dir.
+    Spark's ALS partitions users and items into blocks and shuffles only factor blocks; their number
+    follows the rows (``ROWS_PER_BLOCK``).  ``checkpointInterval`` cuts the lineage into the session
+    checkpoint dir.
     """
     from pyspark.ml.recommendation import ALS  # noqa: PLC0415
 
+    blocks = max(2, -(-confidence.count() // ROWS_PER_BLOCK))
+
     als = ALS(
         rank=rank,
         maxIter=iterations,
@@ -90,6 +96,8 @@ def als_factors(
         nonnegative=False,
         coldStartStrategy="drop",
         checkpointInterval=checkpoint_interval,
+        numUserBlocks=blocks,
+        numItemBlocks=blocks,
     )
     model = als.fit(confidence)
     users = model.userFactors.select(F.col("id").alias(user_col), F.col("features").alias("vec"))

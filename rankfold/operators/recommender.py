@@ -133,21 +133,33 @@ def _content(data: Prepared, params: dict):
     return "vectors", {"users": data.users, "user_vectors": users, "item_vectors": items, "seen": seen}
 
 
-def _als(data: Prepared, params: dict):
-    weights = FE.bm25_weight(data.seen, data.user_map.count(), 100.0, 0.8).select(
-        "user_idx", "movie_idx", (F.col("bm25") * float(params["alpha"])).alias("confidence")
-    )
+def bm25_pairs(data: Prepared) -> DataFrame:
+    """(user_idx, movie_idx, weight): BM25 weights of the seen pairs."""
+    return FE.bm25_weight(data.seen, data.user_map.count(), 100.0, 0.8).select("user_idx", "movie_idx", F.col("bm25").alias("weight"))
+
+
+def als_tables(data: Prepared, weights: DataFrame, params: dict) -> dict[str, DataFrame]:
+    """Implicit ALS on a table of weights; a pair's confidence is 1 + alpha * weight."""
     users, items = MD.als_factors(
-        weights, rank=int(params["factors"]), reg=float(params["regularization"]), iterations=int(params["iterations"]), alpha=1.0, seed=int(params["seed"])
+        weights, rank=int(params["factors"]), reg=float(params["regularization"]), iterations=int(params["iterations"]), alpha=float(params["alpha"]),
+        seed=int(params["seed"]), value_col="weight",
     )
     # users and items without interactions score zero, as in the dense factor matrices
     zero = F.array_repeat(F.lit(0.0), int(params["factors"]))
     whole = lambda ids, vecs, key: ids.join(vecs, key, "left").select(key, F.coalesce(F.col("vec").cast("array<double>"), zero).alias("vec"))
-    return "vectors", {
+    return {
         "users": data.users, "user_vectors": whole(data.users, users, "user_idx"), "item_vectors": whole(data.items, items, "movie_idx"), "seen": data.seen,
     }
 
 
+def als_fitted(data: Prepared, weights: DataFrame, params: dict) -> Fitted:
+    return Fitted("als", "vectors", als_tables(data, weights, params), params)
+
+
+def _als(data: Prepared, params: dict):
+    return "vectors", als_tables(data, bm25_pairs(data), params)
+
+
 def hybrid_params(params: dict) -> H.HybridParams:
     return replace(H.HybridParams(), **{k: type(getattr(H.HybridParams(), k))(v) for k, v in params.items()})
 
