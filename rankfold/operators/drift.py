@@ -15,9 +15,9 @@ values count as continuous.  Pass ``tests`` to fix the test of a column whatever
 the table.  String and boolean columns are categories.  The dataset drifts when the share of
 drifted columns reaches ``drift_share`` (0.5).
 
-Everything is computed from one merged histogram ``(column, value, c_ref, c_cur)``:
-running sums over values (distributed, see ``ordering.running_totals``) give both
-CDFs; the next distinct value comes from an equi-join on the value's index.
+Everything is computed from histograms (:func:`histogram`), which can be kept per hour and merged: the
+work is linear in the histogram of the reference and those of the reports, however many there are.
+``z`` is for columns of at most two reference values and null for others.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankfold.operators.ordering import running_totals
+from rankfold.session import materialize
 
 # fixed values of the preset
 BIG_REFERENCE_ROWS = 1000
@@ -47,87 +48,134 @@ def _is_category(df: DataFrame, column: str) -> bool:
     return dict(df.dtypes)[column] in ("string", "boolean")
 
 
-def merged_histogram(reference: DataFrame, current: DataFrame, columns: list[str],
-                     group: str | None = None) -> DataFrame:
-    """(feature, value, category, c_ref, c_cur) over the union of both tables' values (nulls
-    dropped); numbers are in ``value``, strings and booleans in ``category``.
-
-    With ``group``: ``current`` carries a report key, and the reference histogram (not its rows)
-    is joined to the (report key, feature) pairs that have values.
-    """
-    category = {c: _is_category(reference, c) for c in columns}
-
-    def counts(df: DataFrame, side: str, keep: list[str]) -> DataFrame:
-        stacked = ", ".join(
-            f"'{c}', CAST(NULL AS DOUBLE), CAST(`{c}` AS STRING)" if category[c] else f"'{c}', CAST(`{c}` AS DOUBLE), CAST(NULL AS STRING)"
-            for c in columns
-        )
-        long = df.selectExpr(*keep, f"stack({len(columns)}, {stacked}) AS (feature, value, category)").where(
-            F.col("value").isNotNull() | F.col("category").isNotNull()
-        )
-        return long.groupBy(*keep, "feature", "value", "category").agg(F.count(F.lit(1)).alias("_n")).withColumn("side", F.lit(side))
-
-    keep = [group] if group else []
-    ref, cur = counts(reference, "ref", []), counts(current, "cur", keep)
-    if group:
-        ref = ref.join(cur.select(group, "feature").distinct(), "feature")
-    return ref.unionByName(cur).groupBy(*keep, "feature", "value", "category").agg(
-        F.sum(F.when(F.col("side") == "ref", F.col("_n")).otherwise(0)).alias("c_ref"),
-        F.sum(F.when(F.col("side") == "cur", F.col("_n")).otherwise(0)).alias("c_cur"),
+def histogram(df: DataFrame, columns: list[str], keep: list[str] | None = None) -> DataFrame:
+    """(keep..., feature, value, category, n): counts of every value of every column (nulls dropped);
+    numbers are in ``value``, strings and booleans in ``category``."""
+    keep = keep or []
+    stacked = ", ".join(
+        f"'{c}', CAST(NULL AS DOUBLE), CAST(`{c}` AS STRING)" if _is_category(df, c) else f"'{c}', CAST(`{c}` AS DOUBLE), CAST(NULL AS STRING)"
+        for c in columns
+    )
+    long = df.selectExpr(*keep, f"stack({len(columns)}, {stacked}) AS (feature, value, category)").where(
+        F.col("value").isNotNull() | F.col("category").isNotNull()
     )
+    return long.groupBy(*keep, "feature", "value", "category").agg(F.count(F.lit(1)).alias("n"))
+
+
+def merge_histograms(histograms: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """Histograms of parts (hours, folders, runs) as the histogram of the whole, for each ``keep``."""
+    return histograms.groupBy(*(keep or []), "feature", "value", "category").agg(F.sum("n").alias("n"))
 
 
-def column_statistics(reference: DataFrame, current: DataFrame, columns: list[str],
-                      group: str | None = None) -> DataFrame:
-    """Per column (and report key): n_ref, n_cur, n_unique_ref, std_ref, wasserstein, ks, js, chi2, z, dof."""
+def histogram_statistics(reference: DataFrame, current: DataFrame, group: str | None = None) -> DataFrame:
+    """Per column (and report key): n_ref, n_cur, n_unique_ref, std_ref, wasserstein_raw, ks, js, chi2, z, dof
+    from a histogram of the reference and one of the current data, the latter for each report.
+
+    The reference is not copied for the reports: it is merged once with the values of all reports, in
+    value order, which gives its share F and the integral of F up to each of them.  Between two
+    neighbouring values of a report its own share c is constant, and F crosses c at most once; where,
+    comes from a second merge in the order of shares.  Values that only the reference has enter the
+    sums as a whole: what they would add depends on their total share alone."""
     g = [group] if group else []
-    h = merged_histogram(reference, current, columns, group).withColumn("one", F.lit(1))
-    totals = h.groupBy(*g, "feature").agg(
-        F.sum("c_ref").alias("n_ref"),
-        F.sum("c_cur").alias("n_cur"),
-        F.sum(F.when(F.col("c_ref") > 0, 1).otherwise(0)).alias("n_unique_ref"),
-        F.sum(F.col("c_ref") * F.col("value")).alias("_s1"),
-        F.sum(F.col("c_ref") * F.col("value") * F.col("value")).alias("_s2"),
+    value = ["feature", "value", "category"]
+    ref_totals = reference.groupBy("feature").agg(
+        F.sum("n").alias("n_ref"), F.count(F.lit(1)).alias("n_unique_ref"), F.sum(F.col("n") * F.col("value")).alias("_s1"),
+        F.sum(F.col("n") * F.col("value") * F.col("value")).alias("_s2"), F.min("value").alias("_lo"), F.max("value").alias("_hi"),
+    )
+    cur_totals = current.groupBy(*g, "feature").agg(F.sum("n").alias("n_cur"), F.count(F.lit(1)).alias("_values"))
+    # reference counts at all values of either side
+    both = reference.select(*value, F.col("n").alias("c_ref")).unionByName(current.select(*value, F.lit(0).cast("bigint").alias("c_ref")))
+    counted = both.groupBy(*value).agg(F.sum("c_ref").alias("c_ref")).join(ref_totals.select("feature", "n_ref", "_lo"), "feature")
+    counted = counted.withColumn("_w", F.coalesce(F.col("c_ref") * (F.col("value") - F.col("_lo")), F.lit(0.0)))
+    merged = running_totals(counted, ["value", "category"], ["c_ref", "_w"], group_cols=["feature"])
+    points = materialize(
+        merged.select(
+            *value, "c_ref", (F.col("c_ref") / F.col("n_ref")).alias("p"), (F.col("c_ref_cum") / F.col("n_ref")).alias("f"),
+            ((F.col("value") - F.col("_lo")) * F.col("c_ref_cum") / F.col("n_ref") - F.col("_w_cum") / F.col("n_ref")).alias("area"),
+        ),
+        "drift-points",
     )
-    rt = running_totals(h, ["value", "category"], ["c_ref", "c_cur", "one"], group_cols=[*g, "feature"])
-    nxt = rt.select(*g, "feature", (F.col("one_cum") - 1).alias("one_cum"), F.col("value").alias("next_value"))
-    pts = rt.join(nxt, [*g, "feature", "one_cum"], "left").join(totals, [*g, "feature"])
-    f_ref = F.col("c_ref_cum") / F.col("n_ref")
-    f_cur = F.col("c_cur_cum") / F.col("n_cur")
-    p = F.col("c_ref") / F.col("n_ref")
-    q = F.col("c_cur") / F.col("n_cur")
+    shared = current.join(cur_totals, [*g, "feature"]).withColumn("one", F.lit(1))
+    placed = running_totals(shared, ["value", "category"], ["n", "one"], group_cols=[*g, "feature"])
+    known = points.select(F.col("feature").alias("_f"), F.col("value").alias("_v"), F.col("category").alias("_c"), "c_ref", "p", "f", "area")
+    own = materialize(
+        placed.join(known, (F.col("feature") == F.col("_f")) & F.col("value").eqNullSafe(F.col("_v")) & F.col("category").eqNullSafe(F.col("_c"))).select(
+            *g, *value, "n", "n_cur", "_values", F.col("one_cum").cast("bigint").alias("at"), (F.col("n_cum") / F.col("n_cur")).alias("c"), "c_ref", "p", "f", "area"
+        ),
+        "drift-own",
+    )
+    after = own.select(*g, "feature", (F.col("at") - 1).alias("at"), F.col("value").alias("next"), F.col("area").alias("next_area"), (F.col("f") - F.col("p")).alias("next_f"))
+    # the first reference value at which its share reaches c
+    levels = points.where("value IS NOT NULL AND c_ref > 0").select("feature", F.col("f").alias("level"), F.lit(1).alias("_ref"), F.lit(1).alias("one"), "value", "area", *[F.lit(None).cast(own.schema[k].dataType).alias(k) for k in g], F.lit(None).cast("bigint").alias("at"))
+    asked = own.where("value IS NOT NULL").select("feature", F.col("c").alias("level"), F.lit(0).alias("_ref"), F.lit(0).alias("one"), F.lit(None).cast("double").alias("value"), F.lit(None).cast("double").alias("area"), *g, "at")
+    ordered = materialize(running_totals(levels.unionByName(asked), ["level", "_ref"], ["one"], group_cols=["feature"]), "drift-levels")
+    reached = ordered.where("_ref = 1").select("feature", F.col("one_cum").cast("bigint").alias("_k"), F.col("value").alias("cross"), F.col("area").alias("cross_area"))
+    crossing = ordered.where("_ref = 0").select("feature", (F.col("one_cum") + 1).cast("bigint").alias("_k"), *g, "at").join(reached, ["feature", "_k"])
+    rows = own.join(after, [*g, "feature", "at"], "left").join(crossing.drop("_k"), [*g, "feature", "at"], "left").join(ref_totals, "feature")
+
+    a, b, c, p = F.col("value"), F.col("next"), F.col("c"), F.col("p")
+    q = F.col("n") / F.col("n_cur")
     m = (p + q) / 2.0
-    kl = lambda a: F.when(a > 0, a * F.log(a / m)).otherwise(0.0)
-    # chi-square of current counts against reference shares (categories seen in the reference)
+    kl = lambda share: F.when(share > 0, share * F.log(share / m)).otherwise(0.0)
+    x = F.least(F.greatest(F.coalesce("cross", b), a), b)
+    area_x = F.when(x <= a, F.col("area")).when(x >= b, F.col("next_area")).otherwise(F.col("cross_area"))
+    between = c * (x - a) - (area_x - F.col("area")) + (F.col("next_area") - area_x) - c * (b - x)
+    whole_area = F.col("_hi") - F.col("_lo") - (F.col("_s1") / F.col("n_ref") - F.col("_lo"))
+    beyond = F.when(F.col("_hi") > a, F.col("_hi") - a - (whole_area - F.col("area"))).otherwise(0.0)
+    last = F.col("at") == F.col("_values")
     expected = p * F.col("n_cur")
-    # two proportions with the pooled share; both values of a two-valued column give the same
-    pooled = (F.col("c_ref") + F.col("c_cur")) / (F.col("n_ref") + F.col("n_cur"))
+    pooled = (F.col("c_ref") + F.col("n")) / (F.col("n_ref") + F.col("n_cur"))
     spread = F.sqrt(pooled * (1 - pooled) * (1 / F.col("n_ref") + 1 / F.col("n_cur")))
-    stats = pts.groupBy(*g, "feature").agg(
-        F.sum(F.abs(f_ref - f_cur) * F.coalesce(F.col("next_value") - F.col("value"), F.lit(0.0))).alias("wasserstein_raw"),
-        F.max(F.abs(f_ref - f_cur)).alias("ks"),
-        F.sum(0.5 * kl(p) + 0.5 * kl(q)).alias("_jsd"),
-        F.sum(F.when(expected > 0, (F.col("c_cur") - expected) ** 2 / expected).otherwise(0.0)).alias("chi2"),
-        F.max(F.when(spread > 0, F.abs(p - q) / spread).otherwise(0.0)).alias("z"),
-        F.sum(F.when(F.col("c_ref") > 0, 1).otherwise(0)).alias("_k"),
+    sums = rows.groupBy(*g, "feature").agg(
+        F.sum(F.when(last, beyond).otherwise(between) + F.when(F.col("at") == 1, F.col("area")).otherwise(0.0)).alias("wasserstein_raw"),
+        F.max(F.greatest(F.abs(F.col("f") - c), F.abs(F.col("next_f") - c), F.when(F.col("at") == 1, F.col("f") - p))).alias("ks"),
+        (F.sum(0.5 * kl(p) + 0.5 * kl(q)) + 0.5 * F.log(F.lit(2.0)) * (1 - F.sum(p))).alias("_jsd"),
+        (F.sum(F.when(expected > 0, (F.col("n") - expected) ** 2 / expected - expected).otherwise(0.0)) + F.max("n_cur")).alias("chi2"),
+        F.max(F.when(spread > 0, F.abs(p - q) / spread).otherwise(0.0)).alias("_z"),
+    )
+    # two proportions, for columns of at most two reference values: also those that the report lacks
+    few = reference.join(ref_totals.where("n_unique_ref <= 2").select("feature", "n_ref"), "feature").join(cur_totals, "feature")
+    absent = few.select(*g, "feature", (F.col("n") / F.col("n_ref")).alias("p"), "n", "n_ref", "n_cur").withColumn("pool", F.col("n") / (F.col("n_ref") + F.col("n_cur")))
+    # a value that the report has as well is only nearer to its reference share
+    lacking = few.select(*g, "feature", "value", "category").join(
+        current.select(*[F.col(k).alias(f"_{k}") for k in g], F.col("feature").alias("_f"), F.col("value").alias("_v"), F.col("category").alias("_c")),
+        _all([F.col(k) == F.col(f"_{k}") for k in g] + [F.col("feature") == F.col("_f"), F.col("value").eqNullSafe(F.col("_v")), F.col("category").eqNullSafe(F.col("_c"))]), "left_anti",
+    ).select(*g, "feature").distinct()
+    missed = absent.join(lacking, [*g, "feature"], "left_semi").groupBy(*g, "feature").agg(
+        F.max(F.when(F.col("pool") < 1, F.col("p") / F.sqrt(F.col("pool") * (1 - F.col("pool")) * (1 / F.col("n_ref") + 1 / F.col("n_cur"))))).alias("_missed")
     )
+    start = cur_totals.drop("_values") if g else ref_totals.select("feature").join(cur_totals.drop("_values"), "feature", "left")
     var = F.col("_s2") / F.col("n_ref") - (F.col("_s1") / F.col("n_ref")) ** 2
-    return stats.join(totals, [*g, "feature"]).select(
+    return start.join(ref_totals, "feature").join(sums, [*g, "feature"], "left").join(missed, [*g, "feature"], "left").select(
         *g,
         "feature",
         F.col("n_ref").cast("bigint").alias("n_ref"),
-        F.col("n_cur").cast("bigint").alias("n_cur"),
+        F.coalesce("n_cur", F.lit(0)).cast("bigint").alias("n_cur"),
         F.col("n_unique_ref").cast("bigint").alias("n_unique_ref"),
         F.sqrt(F.greatest(var, F.lit(0.0))).alias("std_ref"),
-        "wasserstein_raw",
+        F.greatest("wasserstein_raw", F.lit(0.0)).alias("wasserstein_raw"),
         "ks",
         F.sqrt(F.greatest(F.col("_jsd"), F.lit(0.0))).alias("js"),
         "chi2",
-        "z",
-        (F.col("_k") - 1).cast("bigint").alias("dof"),
+        F.when(F.col("n_unique_ref") <= 2, F.greatest("_z", "_missed")).alias("z"),
+        (F.col("n_unique_ref") - 1).cast("bigint").alias("dof"),
     )
 
 
+def column_statistics(reference: DataFrame, current: DataFrame, columns: list[str], group: str | None = None) -> DataFrame:
+    """:func:`histogram_statistics` of two tables; ``current`` carries the report key."""
+    return histogram_statistics(
+        materialize(histogram(reference, columns), "drift-ref"), materialize(histogram(current, columns, [group] if group else []), "drift-cur"), group
+    )
+
+
+def _all(conditions):
+    out = conditions[0]
+    for c in conditions[1:]:
+        out = out & c
+    return out
+
+
 def _ks_p_value(d: float, n: int, m: int) -> float:
     """Asymptotic two-sample Kolmogorov–Smirnov p-value."""
     if n == 0 or m == 0:
@@ -182,10 +230,17 @@ def drift_columns(reference: DataFrame, current: DataFrame, columns: list[str],
             raise ValueError(f"unknown drift test {test!r} of column {column!r}")
         if column in columns and test in CONTINUOUS_TESTS and _is_category(reference, column):
             raise ValueError(f"column {column!r} is a category; {test!r} needs numbers")
-    st = column_statistics(reference, current, columns, group)
+    return tested(column_statistics(reference, current, columns, group), [c for c in columns if _is_category(reference, c)], threshold, group, tests)
+
+
+def tested(
+    st: DataFrame, categories: list[str], threshold: float = DISTANCE_THRESHOLD, group: str | None = None, tests: dict[str, str] | None = None
+) -> DataFrame:
+    """Each column's test on the statistics of :func:`histogram_statistics`."""
+    tests = tests or {}
     wass = F.col("wasserstein_raw") / F.greatest(F.col("std_ref"), F.lit(STD_FLOOR))
     big = F.col("n_ref") > BIG_REFERENCE_ROWS
-    continuous = ~F.col("feature").isin([c for c in columns if _is_category(reference, c)]) & (F.col("n_unique_ref") > FEW_UNIQUE)
+    continuous = ~F.col("feature").isin(categories) & (F.col("n_unique_ref") > FEW_UNIQUE)
     test = (
         F.when(big & continuous, F.lit("wasserstein")).when(big, F.lit("jensenshannon")).when(continuous, F.lit("ks"))
         .when(F.col("n_unique_ref") > 2, F.lit("chisquare")).otherwise(F.lit("z"))

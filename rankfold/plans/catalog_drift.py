@@ -6,6 +6,7 @@ from rankfold.operators import drift as D
 from rankfold.plans import stages as P
 from rankfold.plans import sql as S
 from rankfold.plans.catalog import register
+from rankfold.session import materialize
 
 DRIFT_COLUMNS = ["rating", "timestamp", "user_idx", "movie_idx"]
 # one test per column, whatever the size of the tables
@@ -87,12 +88,18 @@ def drift_reports(spark, sf):
     the train split: per-report column tests, then the dataset summary."""
     from pyspark.sql import functions as F  # noqa: PLC0415
 
-    ref, _, cols = reference_and_current(spark, sf)
-    held = P.split(spark, sf).where(F.col("split").isin("val", "test"))
-    month = F.date_format(F.to_date(F.timestamp_seconds("timestamp")), "yyyy-MM-01")
-    cur = held.withColumn("report_month", month)
-    per_col = D.finalize_small_tests(D.drift_columns(ref, cur, cols, group="report_month", tests=DRIFT_TESTS))
-    return D.drift_summary(per_col, group="report_month")
+    def build():
+        ref, _, cols = reference_and_current(spark, sf)
+        held = P.split(spark, sf).where(F.col("split").isin("val", "test"))
+        # histograms are kept per day and merged to months
+        daily = materialize(D.histogram(held.withColumn("day", F.to_date(F.timestamp_seconds("timestamp"))), cols, ["day"]), "daily-histograms")
+        monthly = materialize(D.merge_histograms(daily.withColumn("report_month", F.date_format("day", "yyyy-MM-01")), ["report_month"]), "monthly-histograms")
+        reference = materialize(D.histogram(ref, cols), "reference-histogram")
+        stats = D.histogram_statistics(reference, monthly, "report_month")
+        per_col = D.finalize_small_tests(D.tested(stats, [], group="report_month", tests=DRIFT_TESTS))
+        return materialize(D.drift_summary(per_col, group="report_month"), "drift-reports")
+
+    return P._memo(spark, sf, ("drift_reports",), build)
 
 
 _LONG_CUR = " UNION ALL ".join(
@@ -165,6 +172,27 @@ def q_drift_latest(spark, sf):
     )
 
 
+@register(
+    "drift_reports_per_hour",
+    S.with_ctes(
+        "SELECT hour, CAST(count(*) AS BIGINT) AS reports, CAST(sum(CAST(d AS INTEGER)) AS BIGINT) AS with_drift, "
+        "round(max(score), 6) AS max_score FROM (SELECT CAST(grp AS TIMESTAMP) AS hour, n_drifted / n_columns::DOUBLE AS score, "
+        "n_drifted / n_columns::DOUBLE >= 0.5 AS d FROM rep) GROUP BY hour",
+        *REPORT_SQL,
+        prepared=True,
+    ),
+)
+def q_drift_reports_per_hour(spark, sf):
+    """Drift reports generated per hour, those that flagged drift, and the highest score."""
+    from pyspark.sql import functions as F  # noqa: PLC0415
+
+    hour = F.date_trunc("hour", F.col("report_month").cast("timestamp_ntz")).cast("timestamp_ntz")
+    return drift_reports(spark, sf).groupBy(hour.alias("hour")).agg(
+        F.count(F.lit(1)).cast("bigint").alias("reports"), F.sum(F.col("drift_detected").cast("int")).cast("bigint").alias("with_drift"),
+        F.round(F.max("drift_score"), 6).alias("max_score"),
+    )
+
+
 @register(
     "drift_events",
     S.with_ctes(

@@ -79,3 +79,52 @@ def test_a_number_test_on_strings_is_refused(spark):
         D.drift_columns(t, t, ["s"], tests={"s": "ks"})
     with pytest.raises(ValueError):
         D.drift_columns(t, t, ["s"], tests={"s": "nope"})
+
+
+def _direct(ref, cur):
+    """Wasserstein distance, KS, Jensen-Shannon and chi-square over all values of both sides."""
+    values = np.unique(np.concatenate([ref, cur]))
+    p = np.array([(ref == v).mean() for v in values])
+    q = np.array([(cur == v).mean() for v in values])
+    f, c = np.cumsum(p), np.cumsum(q)
+    m = (p + q) / 2
+    kl = lambda x: np.sum(np.where(x > 0, x * np.log(np.where(x > 0, x, 1) / m), 0))
+    e = p * len(cur)
+    n = q * len(cur)
+    return (
+        np.sum(np.abs(f - c)[:-1] * np.diff(values)), np.max(np.abs(f - c)), np.sqrt(max(0.5 * kl(p) + 0.5 * kl(q), 0)),
+        np.sum(((n - e) ** 2 / np.where(e > 0, e, 1))[e > 0]),
+    )
+
+
+def test_statistics_match_direct_computation_for_many_reports(spark):
+    """Ties, values on one side only, reports left, right and inside of the reference's range."""
+    rng = np.random.default_rng(9)
+    ref = np.round(rng.normal(size=300) * 4)
+    reports = {f"r{i}": np.round(rng.normal(size=int(n)) * w + s, d) for i, (n, w, s, d) in enumerate(
+        [(50, 4, 0, 0), (1, 0, 3, 0), (30, 1, 50, 0), (30, 1, -50, 1), (200, 9, 2, 2), (7, 0, 0, 0), (2, 30, 0, 0)])}
+    current = spark.createDataFrame([(g, float(x)) for g, xs in reports.items() for x in xs] + [("r0", None)], "g string, x double")
+    got = {r.g: r for r in D.column_statistics(spark.createDataFrame([(float(x),) for x in ref] + [(None,)], "x double"), current, ["x"], "g").collect()}
+    assert set(got) == set(reports)
+    for g, xs in reports.items():
+        w, ks, js, chi2 = _direct(ref, xs)
+        r = got[g]
+        assert np.allclose([r.wasserstein_raw, r.ks, r.js, r.chi2], [w, ks, js, chi2], atol=1e-9), g
+        assert r.n_ref == 300 and r.n_cur == len(xs) and abs(r.std_ref - ref.std()) < 1e-9
+
+
+def test_hourly_histograms_merge_to_the_whole(spark):
+    rng = np.random.default_rng(3)
+    rows = [(int(h), float(x), str(s)) for h, x, s in zip(rng.integers(0, 5, 400), rng.integers(0, 9, 400), rng.choice(["a", "b"], 400), strict=True)]
+    df = spark.createDataFrame(rows, "hour int, x double, s string")
+    merged = D.merge_histograms(D.histogram(df, ["x", "s"], ["hour"]))
+    assert sorted(map(tuple, merged.collect()), key=str) == sorted(map(tuple, D.histogram(df, ["x", "s"]).collect()), key=str)
+
+
+def test_a_flag_value_that_a_report_lacks_counts(spark):
+    ref = spark.createDataFrame([(i % 4 == 0,) for i in range(400)], "f boolean")
+    cur = spark.createDataFrame([(False,)] * 100, "f boolean")
+    r = D.column_statistics(ref, cur, ["f"]).first()
+    pool = 400 * 0.75 + 100
+    pool = pool / 500
+    assert abs(r.z - 0.25 / np.sqrt(pool * (1 - pool) * (1 / 400 + 1 / 100))) < 1e-9
