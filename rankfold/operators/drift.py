@@ -23,9 +23,10 @@ work is linear in the histogram of the reference and those of the reports, howev
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankfold.operators.ordering import running_totals
@@ -135,15 +136,11 @@ def histogram_statistics(reference: DataFrame, current: DataFrame, group: str |
     )
     # two proportions, for columns of at most two reference values: also those that the report lacks
     few = reference.join(ref_totals.where("n_unique_ref <= 2").select("feature", "n_ref"), "feature").join(cur_totals, "feature")
-    absent = few.select(*g, "feature", (F.col("n") / F.col("n_ref")).alias("p"), "n", "n_ref", "n_cur").withColumn("pool", F.col("n") / (F.col("n_ref") + F.col("n_cur")))
-    # a value that the report has as well is only nearer to its reference share
-    lacking = few.select(*g, "feature", "value", "category").join(
-        current.select(*[F.col(k).alias(f"_{k}") for k in g], F.col("feature").alias("_f"), F.col("value").alias("_v"), F.col("category").alias("_c")),
-        _all([F.col(k) == F.col(f"_{k}") for k in g] + [F.col("feature") == F.col("_f"), F.col("value").eqNullSafe(F.col("_v")), F.col("category").eqNullSafe(F.col("_c"))]), "left_anti",
-    ).select(*g, "feature").distinct()
-    missed = absent.join(lacking, [*g, "feature"], "left_semi").groupBy(*g, "feature").agg(
-        F.max(F.when(F.col("pool") < 1, F.col("p") / F.sqrt(F.col("pool") * (1 - F.col("pool")) * (1 / F.col("n_ref") + 1 / F.col("n_cur"))))).alias("_missed")
-    )
+    theirs = current.select(*[F.col(k).alias(f"_{k}") for k in g], F.col("feature").alias("_f"), F.col("value").alias("_v"), F.col("category").alias("_c"))
+    same = [F.col(k) == F.col(f"_{k}") for k in g] + [F.col("feature") == F.col("_f"), F.col("value").eqNullSafe(F.col("_v")), F.col("category").eqNullSafe(F.col("_c"))]
+    lacking = few.join(theirs, reduce(Column.__and__, same), "left_anti").withColumn("pool", F.col("n") / (F.col("n_ref") + F.col("n_cur")))
+    alone = F.sqrt(F.col("pool") * (1 - F.col("pool")) * (1 / F.col("n_ref") + 1 / F.col("n_cur")))
+    missed = lacking.groupBy(*g, "feature").agg(F.max(F.when(F.col("pool") < 1, F.col("n") / F.col("n_ref") / alone)).alias("_missed"))
     start = cur_totals.drop("_values") if g else ref_totals.select("feature").join(cur_totals.drop("_values"), "feature", "left")
     var = F.col("_s2") / F.col("n_ref") - (F.col("_s1") / F.col("n_ref")) ** 2
     return start.join(ref_totals, "feature").join(sums, [*g, "feature"], "left").join(missed, [*g, "feature"], "left").select(
@@ -169,13 +166,6 @@ def column_statistics(reference: DataFrame, current: DataFrame, columns: list[st
     )
 
 
-def _all(conditions):
-    out = conditions[0]
-    for c in conditions[1:]:
-        out = out & c
-    return out
-
-
 def _ks_p_value(d: float, n: int, m: int) -> float:
     """Asymptotic two-sample Kolmogorov–Smirnov p-value."""
     if n == 0 or m == 0:
