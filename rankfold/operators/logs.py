@@ -61,7 +61,11 @@ def request_rate(log: DataFrame) -> DataFrame:
 
 def error_rate(log: DataFrame) -> DataFrame:
     """Error ratio per sliding window with the 1 % and 5 % levels (null ratio without traffic)."""
-    w = windowed_counts(log)
+    return error_ratios(windowed_counts(log))
+
+
+def error_ratios(w: DataFrame) -> DataFrame:
+    """:func:`error_rate` from window counts (batch or streaming)."""
     ratio = F.when(F.col("requests") > 0, F.col("errors") / F.col("requests"))
     return w.select(
         "window_start", "window_end", "requests", "errors",
@@ -73,7 +77,11 @@ def error_rate(log: DataFrame) -> DataFrame:
 
 def cold_start_spike(log: DataFrame, threshold: int = COLD_START_SPIKE) -> DataFrame:
     """Cold-start fallbacks per sliding window and the spike flag (> threshold)."""
-    w = windowed_counts(log)
+    return spikes(windowed_counts(log), threshold)
+
+
+def spikes(w: DataFrame, threshold: int = COLD_START_SPIKE) -> DataFrame:
+    """:func:`cold_start_spike` from window counts (batch or streaming)."""
     return w.select("window_start", "window_end", "cold_starts", (F.col("cold_starts") > threshold).alias("spike"))
 
 
@@ -86,24 +94,31 @@ def latency_quantiles(log: DataFrame, qs: tuple[float, ...] = (0.5, 0.95, 0.99))
     )
 
 
-def latency_histogram(log: DataFrame) -> DataFrame:
-    """Cumulative histogram per endpoint: (endpoint, le, count) like ``*_bucket`` series."""
+def bucket_counts(log: DataFrame) -> DataFrame:
+    """(endpoint, le, n): requests in each latency bucket.  Counts of parts of a log add up to those of
+    the whole, so a stream keeps them as its state."""
     seconds = F.col("latency_ms") / 1000.0
     bucket = F.lit(None).cast("double")
     for b in reversed(LATENCY_BUCKETS):
         bucket = F.when(seconds <= b, F.lit(b)).otherwise(bucket)
-    per = log.groupBy("endpoint", F.coalesce(bucket, F.lit(float("inf"))).alias("le")).agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    return running_totals(per, ["le"], ["n"], group_cols=["endpoint"])
+    return log.groupBy("endpoint", F.coalesce(bucket, F.lit(float("inf"))).alias("le")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def latency_histogram(log: DataFrame) -> DataFrame:
+    """Cumulative histogram per endpoint: (endpoint, le, count) like ``*_bucket`` series."""
+    return running_totals(bucket_counts(log), ["le"], ["n"], group_cols=["endpoint"])
 
 
 def latency_histogram_quantiles(log: DataFrame, qs: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
+    return histogram_quantiles(bucket_counts(log), qs)
+
+
+def histogram_quantiles(buckets: DataFrame, qs: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
     """Quantiles estimated from bucket counts with linear interpolation inside the bucket
     (``histogram_quantile``): rank = q * total; the first bucket whose cumulative count
     reaches the rank; lower edge = previous bound (0 for the first); the +Inf bucket
     returns the largest finite bound.  Result in milliseconds."""
-    h = latency_histogram(log).select("endpoint", "le", F.col("n").alias("cnt"), F.col("n_cum").alias("cum"))
+    h = running_totals(buckets, ["le"], ["n"], group_cols=["endpoint"]).select("endpoint", "le", F.col("n").alias("cnt"), F.col("n_cum").alias("cum"))
     tot = h.groupBy("endpoint").agg(F.max("cum").alias("total"))
     # lower edge = the preceding fixed bound (0 for the first bucket, the largest finite
     # bound for +Inf); cumulative count below it = the previous non-empty bucket's count
@@ -301,10 +316,17 @@ def saved_search(log: DataFrame, name: str) -> DataFrame:
 
 def decode_props(log: DataFrame) -> DataFrame:
     """Parse the JSON payload into top-level fields; unparsable text stays in ``_corrupt``."""
+    return decoded(log).select("request_id", "k", "corrupt")
+
+
+def decoded(log: DataFrame) -> DataFrame:
+    """The log with the payload's top-level field ``k`` and ``corrupt``, true for unparsable text."""
     parsed = F.from_json(F.col("props"), LOG_JSON_SCHEMA, {"columnNameOfCorruptRecord": "_corrupt_record"})
-    return log.select("request_id", parsed.alias("j")).select(
-        "request_id", F.col("j.k").alias("k"), F.col("j._corrupt_record").isNotNull().alias("corrupt")
-    )
+    return log.withColumn("_j", parsed).withColumns({"k": F.col("_j.k"), "corrupt": F.col("_j._corrupt_record").isNotNull()}).drop("_j")
+
+
+# fixed value: the marker that the log shipper adds to lines it cannot decode
+DECODE_ERROR = "parsing input as JSON"
 
 
 # fixed values: the log shipper's services and renamed fields
@@ -312,14 +334,15 @@ SHIPPED_SERVICES = ("api", "mlflow", "airflow", "evidently")
 RENAMED_FIELDS = {"event": "log_event", "service": "service_name", "user_agent": "http_user_agent"}
 
 
-def shape_for_sink(log: DataFrame, ts_col: str = "ts") -> DataFrame:
-    """Rows of the shipped services, without the decoded ``timestamp``, with the fields renamed
+def shape_for_sink(log: DataFrame, ts_col: str = "ts", services_only: bool = True) -> DataFrame:
+    """Rows of the shipped services (of all containers without ``services_only``), without the decoded ``timestamp``, with the fields renamed
     that the index reserves (absent fields are left out), and the daily partition column ``dt``."""
     shipped = F.lit(False)
     for service in SHIPPED_SERVICES:
         shipped |= F.col("container_name").contains(service)
+    kept = log.where(shipped) if services_only else log
     return (
-        log.where(shipped).drop("timestamp").withColumnsRenamed(RENAMED_FIELDS).withColumn("dt", F.to_date(ts_col))
+        kept.drop("timestamp").withColumnsRenamed(RENAMED_FIELDS).withColumn("dt", F.to_date(ts_col))
     )
 
 

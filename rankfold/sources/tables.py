@@ -100,13 +100,17 @@ def request_log(spark: SparkSession, sf_dir: str, events: DataFrame | None = Non
 def container_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The request log as containers write it: container and service names, a null ``timestamp``
     from the decoded message, and the client's user agent."""
-    log = request_log(spark, sf_dir)
+    return shape_container_log(request_log(spark, sf_dir))
+
+
+def shape_container_log(log: DataFrame) -> DataFrame:
+    """:func:`container_log` of a request log (batch or streaming)."""
     et = F.col("event_type")
     name = F.when(et == "purchase", F.lit("recsys-mlflow-1")).when(et == "view", F.lit("recsys-redis-1")).otherwise(F.lit("recsys-api-1"))
     return log.select(
         name.alias("container_name"), et.alias("event"), F.split_part(name, F.lit("-"), F.lit(2)).alias("service"),
         F.concat(F.lit("client/"), (F.col("user_id") % 7).cast("string")).alias("user_agent"), F.lit(None).cast("string").alias("timestamp"),
-        "request_id", "ts", "user_id", "endpoint", "status", "latency_ms",
+        "request_id", "ts", "user_id", "endpoint", "status", "latency_ms", *[c for c in ("props", "k", "corrupt") if c in log.columns and "corrupt" in log.columns],
     )
 
 

@@ -14,8 +14,9 @@ from __future__ import annotations
 import datetime as dt
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from rankfold.operators import logs as L
 from rankfold.session import ensure_checkpoint_dir
@@ -102,20 +103,48 @@ def flushed_windows(finalized: DataFrame, spark: SparkSession, sf_dir: str, wate
     return finalized.unionByName(whole.join(finalized.select("window_start"), "window_start", "left_anti").select(*finalized.columns))
 
 
+def all_windows_stream(
+    spark: SparkSession, sf_dir: str, name: str, max_files_per_trigger: int | None = None, watermark: str = "10 minutes", folder: str | None = None
+) -> DataFrame:
+    """Window counts in append mode: the watermark bounds the state; windows still open at the end are
+    flushed."""
+    closed = run_to_table(windowed_counts_stream(event_stream(spark, sf_dir, max_files_per_trigger), watermark), name, "append", folder)
+    return flushed_windows(closed, spark, sf_dir, watermark)
+
+
 def request_rate_stream(
     spark: SparkSession, sf_dir: str, max_files_per_trigger: int | None = None, watermark: str = "10 minutes", folder: str | None = None
 ) -> DataFrame:
-    """Append mode: the watermark bounds the state; windows still open at the end are flushed."""
-    counts = flushed_windows(
-        run_to_table(windowed_counts_stream(event_stream(spark, sf_dir, max_files_per_trigger), watermark), "request-rate", "append", folder),
-        spark, sf_dir, watermark,
-    )
+    counts = all_windows_stream(spark, sf_dir, "request-rate", max_files_per_trigger, watermark, folder)
     return counts.select(
         "window_start", "window_end", "requests",
         F.round(F.col("requests") / F.lit(float(L.RULE_WINDOW_SECONDS)), 6).alias("rate_per_s"),
     )
 
 
+def error_rate_stream(
+    spark: SparkSession, sf_dir: str, max_files_per_trigger: int | None = None, watermark: str = "10 minutes", folder: str | None = None
+) -> DataFrame:
+    """Error ratio of every sliding window, from streamed counts."""
+    return L.error_ratios(all_windows_stream(spark, sf_dir, "error-rate", max_files_per_trigger, watermark, folder))
+
+
+def cold_start_spike_stream(
+    spark: SparkSession, sf_dir: str, max_files_per_trigger: int | None = None, watermark: str = "10 minutes", folder: str | None = None
+) -> DataFrame:
+    """Cold starts of every sliding window with the spike flag, from streamed counts."""
+    return L.spikes(all_windows_stream(spark, sf_dir, "cold-starts", max_files_per_trigger, watermark, folder))
+
+
+def latency_histogram_quantiles_stream(
+    spark: SparkSession, sf_dir: str, max_files_per_trigger: int | None = None, folder: str | None = None
+) -> DataFrame:
+    """Latency quantiles per endpoint.  The state is the bucket counts, a few rows per endpoint
+    however long the log; the quantiles are read from the latest counts."""
+    counts = run_to_table(L.bucket_counts(event_stream(spark, sf_dir, max_files_per_trigger)), "latency-buckets", "complete", folder)
+    return L.histogram_quantiles(counts)
+
+
 def requests_by_endpoint_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_to_table(L.requests_by_endpoint(event_stream(spark, sf_dir)), "requests-by-endpoint", "complete")
 
@@ -231,3 +260,124 @@ def request_records_stream(spark: SparkSession, sf_dir: str, watermark: str = "1
         "status_code", "total_latency_ms", "user_id", "top_k", "cold_start", "result_count",
     )
     return run_to_table(out, "request-records", "append")
+
+
+# ---------------------------------------------------------------- decoding and shipping of logs
+
+
+def ship_logs_stream(
+    spark: SparkSession, sf_dir: str, max_files_per_trigger: int | None = None, folder: str | None = None, services_only: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """(shipped, errors): container records, decoded and routed as they arrive.
+
+    Records whose message decodes go to the daily sink, shaped as in ``logs.shape_for_sink``; those that
+    do not go to a second sink with the text and the shipper's error marker.  A micro-batch writes
+    one folder in each sink and overwrites both when it is replayed, so every record is in
+    exactly one sink, once.  ``services_only`` drops other containers' records first."""
+    base = (folder or _scratch(spark, "ship-logs")).rstrip("/")
+    sinks = {name: f"{base}/{name}" for name in ("shipped", "errors")}
+    records = tables.shape_container_log(L.decoded(event_stream(spark, sf_dir, max_files_per_trigger)))
+    shaped = L.shape_for_sink(records, services_only=services_only)
+    good = ~F.col("corrupt")
+
+    def split(batch: DataFrame) -> dict[str, DataFrame]:
+        return {
+            "shipped": batch.where(good).drop("props", "corrupt"),
+            "errors": batch.where(~good).drop("corrupt", "k").withColumnRenamed("props", "message").withColumn("error", F.lit(L.DECODE_ERROR)),
+        }
+
+    def sink(batch: DataFrame, epoch_id: int) -> None:
+        for name, part in split(batch).items():
+            part.write.mode("overwrite").partitionBy("dt").parquet(f"{sinks[name]}/epoch={epoch_id}")
+
+    q = shaped.writeStream.option("checkpointLocation", f"{base}/checkpoint").foreachBatch(sink).trigger(availableNow=True).start()
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise q.exception()
+    schemas = {name: part.schema for name, part in split(shaped).items()}
+
+    def written(name: str) -> DataFrame:
+        epochs = [f for f in _folders(spark, sinks[name]) if f.startswith("epoch=")]
+        columns = schemas[name].names
+        if not epochs:
+            return spark.createDataFrame([], schemas[name])
+        return spark.read.schema(schemas[name]).option("basePath", sinks[name]).parquet(*[f"{sinks[name]}/{e}" for e in epochs]).select(*columns)
+
+    return written("shipped"), written("errors")
+
+
+# ---------------------------------------------------------------- the drift rule
+
+
+class HeldStatus(StatefulProcessor):
+    """The alert of one status that keeps its value until the next report.
+
+    State: when the status turned true and when it was last known to be.  A timer is set for the moment
+    at which the status has held long enough, so the alert fires then even if no report comes.
+    Rows (pending_since, last_true) are sent while the alert fires; the latest of them counts."""
+
+    def __init__(self, hold_seconds: int):
+        self.hold = hold_seconds * 1_000_000  # times are microseconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.since = handle.getValueState("since", "at long")
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802 - interface
+        since = self.since.get()[0] if self.since.exists() else None
+        for row in sorted(rows, key=lambda r: r["at"]):
+            if since is not None and row["at"] >= since + self.hold:
+                yield Row(alert=key[0], pending_since=since, last_true=row["at"])
+            if not row["status"]:
+                since = None
+            elif since is None:
+                since = row["at"]
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if since is None:
+            self.since.clear()
+        else:
+            self.since.update((since,))
+            self.handle.registerTimer((since + self.hold) // 1000)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802 - interface
+        if self.since.exists():
+            since = self.since.get()[0]
+            yield Row(alert=key[0], pending_since=since, last_true=since + self.hold)
+
+    def close(self) -> None:
+        pass
+
+
+def status_rows(reports: DataFrame, alert: str, hold_seconds: int, time_mode: str = "EventTime") -> DataFrame:
+    """Streaming rows (alert, pending_since, last_true) of a stream of reports (ts, status) while the alert
+    fires.  With ``time_mode`` "EventTime" the clock is that of the reports; with "ProcessingTime" an
+    alert fires at its time on the wall clock without further input."""
+    spark = reports.sparkSession
+    # the state store that value state and timers need
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    keyed = reports.select(F.lit(alert).alias("alert"), F.col("ts").cast("timestamp").alias("ts"), F.col("status").cast("boolean").alias("status"))
+    keyed = keyed.withColumn("at", F.unix_micros("ts"))
+    rows = keyed.withWatermark("ts", "0 seconds").groupBy("alert").transformWithState(
+        statefulProcessor=HeldStatus(hold_seconds), outputStructType="alert string, pending_since long, last_true long", outputMode="Append",
+        timeMode=time_mode,
+    )
+    return rows.select("alert", F.timestamp_micros("pending_since").alias("pending_since"), F.timestamp_micros("last_true").alias("last_true"))
+
+
+def status_alerts_stream(reports: DataFrame, alert: str, hold_seconds: int, folder: str | None = None) -> DataFrame:
+    """The alerts of all reports available now, as ``logs.status_alerts`` finds them."""
+    sent = run_to_table(status_rows(reports, alert, hold_seconds), "status-alerts", "append", folder)
+    hold = F.make_dt_interval(secs=F.lit(hold_seconds))
+    return sent.groupBy("alert", "pending_since").agg(F.max("last_true").alias("last_true")).select(
+        "alert", F.col("pending_since").cast("timestamp_ntz").alias("pending_since"), (F.col("pending_since") + hold).cast("timestamp_ntz").alias("firing_since"),
+        F.col("last_true").cast("timestamp_ntz").alias("last_true"),
+    )
+
+
+def report_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
+    """The reports (ts, status) written below a folder, as a stream."""
+    reader = spark.readStream.schema("ts timestamp_ntz, status boolean")
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    return reader.parquet(path)

@@ -3,6 +3,7 @@
 import datetime as dt
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from rankfold.operators import logs as L
@@ -104,3 +105,104 @@ def test_multi_batch_stream_equals_batch(spark, small_dir):
     batch = L.request_rate(tables.request_log(spark, small_dir)).orderBy("window_start").collect()
     stream = SL.request_rate_stream(spark, scratch, max_files_per_trigger=1).orderBy("window_start").collect()
     assert batch == stream
+
+
+def _split_events(spark, small_dir, n, mapped=None):
+    """Events in time order over ``n`` files, which streams read by age."""
+    import tempfile
+
+    scratch = tempfile.mkdtemp(prefix="rankfold-stream-")
+    events = spark.read.parquet(f"{small_dir}/events.parquet")
+    events = mapped(events) if mapped else events
+    events.repartitionByRange(n, "ts").write.parquet(f"{scratch}/all")
+    names = sorted(f for f in os.listdir(f"{scratch}/all") if f.endswith(".parquet"))
+    for i, name in enumerate(names):
+        os.utime(f"{scratch}/all/{name}", (1_700_000_000 + i, 1_700_000_000 + i))
+    os.makedirs(f"{scratch}/events.parquet")
+    return scratch, names
+
+
+def _arrive(scratch, names):
+    import shutil
+
+    for name in names:
+        shutil.copy2(f"{scratch}/all/{name}", f"{scratch}/events.parquet/{name}")
+
+
+def _rows(df):
+    return sorted(map(tuple, df.collect()), key=str)
+
+
+@pytest.mark.parametrize("kind", ["latency_histogram_quantiles", "error_rate", "cold_start_spike"])
+def test_streams_equal_batch_file_by_file_and_after_a_restart(spark, small_dir, kind):
+    scratch, names = _split_events(spark, small_dir, 4)
+    stream = getattr(SL, f"{kind}_stream")
+    batch = _rows(getattr(L, kind)(tables.request_log(spark, small_dir)))
+    for step in (names[:2], names[2:], []):  # stopped and started again, at last without new files
+        _arrive(scratch, step)
+        got = stream(spark, scratch, max_files_per_trigger=1, folder=f"{scratch}/run")
+        if step == names[:2]:
+            part = getattr(L, kind)(tables.request_log(spark, scratch))
+            assert kind != "latency_histogram_quantiles" or _rows(got) == _rows(part)
+    assert _rows(got) == batch
+
+
+def test_logs_are_routed_once_and_restart_without_duplicates(spark, small_dir):
+    broken = lambda ev: ev.withColumn("props", F.when(F.col("event_id") % 7 == 0, F.concat(F.lit("plain "), "props")).otherwise(F.col("props")))
+    scratch, names = _split_events(spark, small_dir, 4, broken)
+    for step in (names[:1], names[1:], []):
+        _arrive(scratch, step)
+        shipped, errors = SL.ship_logs_stream(spark, scratch, 1, f"{scratch}/run")
+    batch = L.decode_props(tables.request_log(spark, scratch))
+    assert errors.count() == batch.where("corrupt").count() > 0
+    assert _rows(shipped.select("request_id", "k")) == _rows(batch.where("NOT corrupt").select("request_id", "k"))
+    assert errors.where(~F.col("message").startswith("plain ") | (F.col("error") != L.DECODE_ERROR)).isEmpty()
+    assert shipped.where("dt <> to_date(ts)").isEmpty() and "timestamp" not in shipped.columns
+    # a replayed micro-batch overwrites its own folders
+    again, _ = SL.ship_logs_stream(spark, scratch, 1, f"{scratch}/run")
+    assert again.count() == shipped.count()
+
+
+def _report_files(spark, reports):
+    import tempfile
+
+    folder = tempfile.mkdtemp(prefix="rankfold-reports-")
+    os.makedirs(f"{folder}/in")
+    for i, report in enumerate(reports):
+        spark.createDataFrame(report, "ts timestamp_ntz, status boolean").coalesce(1).write.parquet(f"{folder}/w{i}")
+    return folder
+
+
+def test_status_alerts_stream_equals_batch_report_by_report(spark):
+    import glob
+    import shutil
+
+    t = lambda m: dt.datetime(2024, 1, 1, m // 60, m % 60)
+    flags = [(0, False), (5, True), (9, True), (20, False), (30, True), (35, False), (50, True), (61, True), (64, True)]
+    folder = _report_files(spark, [[(t(m), d)] for m, d in flags])
+    batch = L.status_alerts(spark.createDataFrame([(t(m), d) for m, d in flags], "ts timestamp_ntz, d boolean"), "ts", "d", "A", 600)
+    for i in range(len(flags)):  # one report at a time, with a restart before each
+        (part,) = glob.glob(f"{folder}/w{i}/part-*.parquet")
+        shutil.copy(part, f"{folder}/in/{i:03d}.parquet")
+        got = SL.status_alerts_stream(SL.report_stream(spark, f"{folder}/in", 1), "A", 600, f"{folder}/run")
+    assert _rows(got) == _rows(batch) and got.count() == 2
+
+
+def test_an_alert_fires_without_new_reports(spark):
+    import glob
+    import shutil
+    import time
+
+    now = dt.datetime.now(dt.UTC).replace(tzinfo=None)
+    folder = _report_files(spark, [[(now, True)]])
+    shutil.copy(glob.glob(f"{folder}/w0/part-*.parquet")[0], f"{folder}/in/0.parquet")
+    rows = SL.status_rows(SL.report_stream(spark, f"{folder}/in"), "A", 5, "ProcessingTime")
+    seen = []
+    query = rows.writeStream.option("checkpointLocation", f"{folder}/run").foreachBatch(lambda batch, _: seen.extend(batch.collect())).trigger(processingTime="1 second").start()
+    try:
+        until = time.time() + 60
+        while not seen and time.time() < until:
+            time.sleep(0.5)
+    finally:
+        query.stop()
+    assert [r.alert for r in seen] == ["A"] and seen[0].last_true - seen[0].pending_since == dt.timedelta(seconds=5)
