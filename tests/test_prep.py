@@ -43,6 +43,30 @@ def test_kcore_fixed_point_matches_pandas(sample_ratings):
     assert got == len(cur) and got > 0
 
 
+def test_a_pass_looks_only_at_edges_of_removed_nodes(spark):
+    """A chain that unravels from its end: every pass removes one node and one edge of a large table."""
+    core = [(u, 1000 + i) for u in range(20) for i in range(20)]
+    chain = [(100 + k // 2, 2000 + (k + 1) // 2) for k in range(12)]
+    pdf = spark.createDataFrame([(u, i, 1) for u, i in core + chain], "userId long, movieId long, _rows long")
+    res = prep.kcore_edges(pdf, 2, 2)
+    assert sorted((r.userId, r.movieId) for r in res.edges.collect()) == sorted(core)
+    assert sum(res.removed) <= 2 * len(chain) and res.passes == len(res.removed) > 5
+
+
+def test_cuts_match_sorting(spark):
+    """Cut keys from bucket counts: ties at cuts, negative and very large keys, nulls, cuts at the ends."""
+    rng = np.random.default_rng(4)
+    for keys in (rng.integers(-(2**62), 2**62, 300), rng.integers(0, 4, 300), np.full(50, 7), rng.integers(0, 10**9, 200)):
+        rows = [(int(k), i) for i, k in enumerate(keys)] + [(None, 900), (None, 901)]
+        df = spark.createDataFrame(rows, "k long, i long")
+        n = len(rows)
+        cuts = [0, n // 3, n // 2, n - 1, n]
+        out = prep.label_by_position(df, F.col("k"), ["i"], lambda _: cuts, list("abcdef")).collect()
+        order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+        expected = {r[1]: "abcdef"[sum(pos >= c for c in cuts)] for pos, r in enumerate(order)}
+        assert {r.i: r.split for r in out} == expected
+
+
 def test_kcore_collapses_to_empty(sample_ratings):
     assert prep.kcore(sample_ratings, 1000, 1).ratings.count() == 0
 
