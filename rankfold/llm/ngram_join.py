@@ -6,12 +6,15 @@
    shuffled on (band, band hash) and each node of a bucket is linked to the bucket's smallest.
    The components of these links are the candidate groups: nodes that share a band share a group.
 3. Each candidate group is cut into blocks of bounded size; every pair of blocks is one unit of
-   work that counts exact intersections of full shingle sets with matrix products.  It returns
+   work that leaves out the nodes without a common band across the two and counts exact
+   intersections of the others' full shingle sets with matrix products.  It returns
    one row per node (number of linked rows) and a spanning forest of the links, not the pairs.
 4. The components of the verified links are the classes.
 
-The number of unit tasks of a candidate group grows with the square of its *different* sets over
-the square of the block size; the rows emitted grow linearly.  Pairs below the recall of the
+Bands have so many rows that texts which only share a template (``NOISE`` of the similarity) hardly
+ever share one (``NOISE_SHARE``), so a family of different texts under one template does not become a
+group.  The number of unit tasks of a candidate group grows with the square of its *different* sets
+over the square of the block size; the rows emitted grow linearly.  Pairs below the recall of the
 banding that share no band and no candidate group are the only ones that can be missed.
 
 Defined results: null and empty texts have no shingles, no links and their own doc_id as class;
@@ -36,6 +39,8 @@ from rankfold.session import materialize
 SIMILARITY = 0.8
 WIDTH = 5
 RECALL = 0.9999
+#: pairs of this part of the similarity share a band with at most this probability
+NOISE, NOISE_SHARE = 0.35, 0.001
 BLOCK_NODES = 128
 BLOCK_SHINGLES = 1_000_000
 #: columns of the dense product at a time
@@ -85,14 +90,19 @@ def _shingle_sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = X.text_bytes(batch.column("text"))
-            rest = [name for name in batch.schema.names if name != "text"]
+            rest = [name for name in batch.schema.names if name not in ("text", "bands")]
+            lists = batch.column("bands")
+            bands = lists.flatten().to_numpy().reshape(batch.num_rows, -1)
             for first, last in X.slices(offsets, X.PIECE):
                 part = offsets[first : last + 1]
                 words, word_offsets = X.word_hashes(data[part[0] : part[-1]], part - part[0])
                 sets, at = X.distinct_in_documents(*X.shingles(words, word_offsets, width))
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(name).slice(first, last - first) for name in rest), pa.array([sets[at[i] : at[i + 1]].tobytes() for i in range(last - first)], pa.binary())],
-                    names=[*rest, "shingles"],
+                    [
+                        *(batch.column(name).slice(first, last - first) for name in rest), pa.array([b.tobytes() for b in bands[first:last]], pa.binary()),
+                        pa.array([sets[at[i] : at[i + 1]].tobytes() for i in range(last - first)], pa.binary()),
+                    ],
+                    names=[*rest, "bands", "shingles"],
                 )
 
     return run
@@ -128,6 +138,16 @@ def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
     return out
 
 
+def candidates(left: np.ndarray, right: np.ndarray, same: bool) -> np.ndarray:
+    """Which rows of ``left`` share a band with which of ``right``; not with themselves."""
+    near = np.zeros((len(left), len(right)), dtype=bool)
+    for band in range(left.shape[1]):
+        near |= left[:, band][:, None] == right[:, band][None, :]
+    if same:
+        np.fill_diagonal(near, False)
+    return near
+
+
 def _roots(linked: np.ndarray) -> np.ndarray:
     """Smallest index of the component of each node of a symmetric link matrix."""
     n = len(linked)
@@ -143,17 +163,19 @@ def _roots(linked: np.ndarray) -> np.ndarray:
 def _verify(similarity: float):
     """Units of work arrive sorted by (group, first block, second block, side, node)."""
 
-    def unit(nodes: list[bytes], sides: np.ndarray, copies: np.ndarray, sets: list[np.ndarray]):
+    def unit(nodes: list[bytes], sides: np.ndarray, copies: np.ndarray, bands: np.ndarray, sets: list[np.ndarray]):
         left = np.flatnonzero(sides == 0)
         right = np.flatnonzero(sides == 1)
         same = not len(right)
         right = left if same else right
-        if same and len(left) < 2:
+        near = candidates(bands[left], bands[right], same)
+        left, right = left[near.any(axis=1)], right[near.any(axis=0)]
+        if not len(left):
             return
         sizes = np.array([len(s) for s in sets])
         shared = intersections([sets[i] for i in left], [sets[i] for i in right])
         linked = shared >= similarity * (sizes[left][:, None] + sizes[right][None, :] - shared) - 1e-9
-        if same:
+        if same:  # sharing a band is mutual, so both sides are the same nodes
             np.fill_diagonal(linked, False)
         links = np.zeros(len(nodes), dtype=np.int64)
         links[left] = linked @ copies[right].astype(np.float64)
@@ -169,7 +191,7 @@ def _verify(similarity: float):
             yield nodes[i], nodes[roots[i]], 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, nodes, sides, copies, sets = None, [], [], [], []
+        key, nodes, sides, copies, bands, sets = None, [], [], [], [], []
         out: list[tuple] = []
 
         def flush() -> pa.RecordBatch:
@@ -180,22 +202,23 @@ def _verify(similarity: float):
             )
 
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("grp", "first", "second", "node", "side", "copies", "shingles")]
-            for g, first, second, node, side, n, raw in zip(*columns, strict=True):
+            columns = [batch.column(c).to_pylist() for c in ("grp", "first", "second", "node", "side", "copies", "bands", "shingles")]
+            for g, first, second, node, side, n, own, raw in zip(*columns, strict=True):
                 if (g, first, second) == key and (node, side) == (nodes[-1], sides[-1]):
                     continue  # a repeated row of the input
                 if (g, first, second) != key:
                     if nodes:
-                        out.extend(unit(nodes, np.array(sides), np.array(copies), sets))
-                    key, nodes, sides, copies, sets = (g, first, second), [], [], [], []
+                        out.extend(unit(nodes, np.array(sides), np.array(copies), np.stack(bands), sets))
+                    key, nodes, sides, copies, bands, sets = (g, first, second), [], [], [], [], []
                     if len(out) > 10_000:
                         yield flush()
                 nodes.append(node)
                 sides.append(side)
                 copies.append(n)
+                bands.append(np.frombuffer(own, dtype=np.int64))
                 sets.append(np.frombuffer(raw, dtype=X.U64))
         if nodes:
-            out.extend(unit(nodes, np.array(sides), np.array(copies), sets))
+            out.extend(unit(nodes, np.array(sides), np.array(copies), np.stack(bands), sets))
         yield flush()
 
     return run
@@ -216,7 +239,7 @@ def ngram_join(docs: DataFrame, similarity: float = SIMILARITY, width: int = WID
     same shingle set, itself included.  n_links: other rows at ``similarity`` or more.
     component: fingerprint of the class (null without words).
     """
-    bands, rows = X.band_count(similarity, recall)
+    bands, rows = X.band_count(similarity, recall, NOISE * similarity, NOISE_SHARE)
     texts = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"), _row_key().alias("text_key"), F.col("text").cast("string").alias("text")
     )
@@ -239,7 +262,7 @@ def ngram_join(docs: DataFrame, similarity: float = SIMILARITY, width: int = WID
         banded.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "hubs"
     )
     stars = banded.join(hubs, "key").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
-    sized = materialize(connected_components(stars).join(nodes.drop("bands", "least_id"), "node"), "members")
+    sized = materialize(connected_components(stars).join(nodes.drop("least_id"), "node"), "members")
     blocks = materialize(
         sized.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s")).select(
             "component",
@@ -249,24 +272,24 @@ def ngram_join(docs: DataFrame, similarity: float = SIMILARITY, width: int = WID
     )
     members = materialize(
         sized.join(blocks, "component").select(
-            "node", "component", "copies", "n_blocks", "chosen.doc_id", "chosen.text_key",
+            "node", "component", "copies", "n_blocks", "chosen.doc_id", "chosen.text_key", "bands",
             F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int").alias("block"),
         ),
         "blocked",
     )
     # a shuffle at every size: whether the members could be broadcast changes with the input
-    candidates = texts.select("text_key", "text").join(members.hint("merge"), "text_key").select(
-        "node", "component", "copies", "n_blocks", "block", "text"
+    grouped = texts.select("text_key", "text").join(members.hint("merge"), "text_key").select(
+        "node", "component", "copies", "n_blocks", "block", "bands", "text"
     )
-    sets = candidates.mapInArrow(
-        _shingle_sets(width), "node binary, component binary, copies bigint, n_blocks int, block int, shingles binary"
+    sets = grouped.mapInArrow(
+        _shingle_sets(width), "node binary, component binary, copies bigint, n_blocks int, block int, bands binary, shingles binary"
     )
     unit = ["grp", "first", "second"]
     units = (
         sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
         .select(
             F.col("component").alias("grp"), F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"),
-            F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"), "node", "copies", "shingles",
+            F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"), "node", "copies", "bands", "shingles",
         )
         .repartition(*unit).sortWithinPartitions(*unit, "side", "node")
     )

@@ -52,6 +52,22 @@ def test_large_group_spans_several_blocks(spark):
     check(spark, rows + [(5000 + i, prose(100 + i, 60)) for i in range(20)])
 
 
+def test_texts_under_one_template_are_no_group():
+    """4,000 different texts of 100 words over a common footer of 80: few pairs share a band."""
+    import numpy as np
+    import pyarrow as pa
+
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(7))
+    footer = " ".join(word() for _ in range(80))
+    texts = [" ".join(word() for _ in range(100)) + " " + footer for _ in range(4000)]
+    bands, rows = textops.band_count(0.8, ngram_join.RECALL, ngram_join.NOISE * 0.8, ngram_join.NOISE_SHARE)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4000)), pa.array(range(4000)), pa.array(texts)], names=["doc_id", "text_key", "text"])
+    keys = np.concatenate([np.array(b.column("bands").to_pylist()) for b in ngram_join._signatures(5, bands, rows)(iter([batch]))])
+    shared = sum(ngram_join.candidates(keys[i : i + 500], keys[j : j + 500], i == j).sum() // (2 if i == j else 1) for i in range(0, 4000, 500) for j in range(i, 4000, 500))
+    assert shared < 20_000 and 1 - (1 - 0.8**rows) ** bands >= 0.9999
+
+
 def test_empty_table(spark):
     assert ngram_join.ngram_join(documents(spark, [])).count() == 0
     assert ngram_join.one_of_each_class(documents(spark, [])).count() == 0
