@@ -17,7 +17,8 @@ from rankfold.llm import quality, queries
 def test_query_equals_sql(spark, small_dir, name):
     got = queries.QUERIES[name](spark, small_dir).toPandas()
     db = duckdb.connect()
-    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{small_dir}/documents.parquet'")
+    for table in ("documents", "benchmark"):
+        db.execute(f"CREATE VIEW {table} AS SELECT * FROM '{small_dir}/{table}.parquet'")
     expected = db.execute(queries.ORACLES[name]).df()
     assert sorted(got.columns) == sorted(expected.columns)
     a = sorted(got[sorted(got.columns)].round(6).itertuples(index=False, name=None))
