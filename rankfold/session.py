@@ -133,16 +133,17 @@ def release(*tables: DataFrame) -> None:
     for df in tables:
         path = getattr(df, _WRITTEN_PATH, None)
         if path:
-            _delete(df.sparkSession, path)
+            delete_files(df.sparkSession, path)
 
 
 def drop_written_tables(spark: SparkSession) -> None:
     """Delete the Parquet step tables this application wrote with :func:`materialize`.
     Call only when no DataFrame of the session will read them again."""
-    _delete(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables")
+    delete_files(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables")
 
 
-def _delete(spark: SparkSession, name: str) -> None:
+def delete_files(spark: SparkSession, name: str) -> None:
+    """Delete a file or folder of any Hadoop filesystem, if it exists."""
     jvm = spark.sparkContext._jvm  # noqa: SLF001 - Hadoop filesystem call
     path = jvm.org.apache.hadoop.fs.Path(name)
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())  # noqa: SLF001
