@@ -1,22 +1,27 @@
-"""Katz backoff: a bigram model with Good-Turing discounts and exact backoff weights.
-
-    p(w | h) = d(r) r / c(h)          if the pair stands r > 0 times in the training texts
-             = alpha(h) p(w)          otherwise; p(w) itself is a discounted unigram with one
-                                      class of unknown words that has the remaining mass
-
-Discounts d(1)..d(5) are Good-Turing ratios from the counts of counts (where these give none
-between 0 and 1, (r - 1/2) / r); larger counts are kept.  A context, or the word level, without any
-count up to five has one more in its denominator, so that it too leaves something to back off to.  alpha(h) is the discounted mass
-over the unigram mass of the words not seen after h, both summed over all of h's followers, so
-the probabilities after every context sum to one.
-
-Texts become batches of word numbers once.  Each level is one exchange: a batch sends its
-different words (then pairs) with their training counts to the buckets of a partitioned table,
-every bucket sums them, and sends back what the batch needs to score its own texts: total counts,
-and for contexts its sums over all followers.  A word or pair is sent once for each batch, not
-for each use, and the followers of a frequent context are spread over buckets by the second word,
-so neither a frequent word nor a large source meets in one task.  Statistics that reach the
-driver are the counts of counts, the number of tokens and the number of words.
+"""Katz backoff: a trigram model with Good-Turing discounts and exact backoff weights.
+
+    p(w | g h) = d(r) r / c(g h)        if the triple stands r > 0 times in the training texts
+               = alpha(g h) p(w | h)    otherwise, with p(w | h) = d(r) r / c(h) for seen pairs and
+                                        alpha(h) p(w) for others; p(w) itself is a discounted
+                                        unigram with one class of unknown words for what is left
+
+A context that was never seen passes its word on to the shorter one; the first token of a text has
+the start alone as its context.  ``order`` 2 stops at pairs.
+
+Discounts d(1)..d(5) of each level are Good-Turing ratios from its counts of counts (where these give
+none between 0 and 1, (r - 1/2) / r); larger counts are kept.  A context, or the word level, without any
+count up to five has one more in its denominator, so that it too leaves something to back off to.  alpha
+is the discounted mass of a context over what the shorter context leaves to the words not seen after
+it, both summed over all of its followers, so the probabilities after every context sum to one.
+
+Texts become batches of word numbers once.  Each level is one exchange: a batch sends its different
+words (pairs, triples) with their training counts to the buckets of a partitioned table, every bucket
+sums them, and sends back what the batch needs to score its own texts: total counts, and for the
+contexts of held-out tokens their sums over all followers.  An item is sent once for each batch, not
+for each use; items after a context that no other batch has are counted where they are; and the
+followers of a frequent context are spread over buckets by their number, so neither a frequent word nor
+a large source meets in one task.  Statistics that reach the driver are the counts of counts, the
+number of tokens and the number of words.
 
 Defined results: null and empty texts are the end alone; a null doc_id counts as held out; repeated
 rows are scored and counted one by one; without training texts every token is unknown, with
@@ -29,7 +34,7 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -38,12 +43,14 @@ from pyspark.sql import functions as F
 
 from rankfold.llm import textops as X
 from rankfold.llm.batches import groups_of, pack, range_slices, record, rows_of, unpack
-from rankfold.session import ensure_checkpoint_dir, materialize
+from rankfold.session import delete_files, ensure_checkpoint_dir, materialize, release
 
 BATCH_BYTES = 8 << 20
 BATCH_DOCS = 200_000
 #: text bytes for each bucket of an exchange
 BUCKET_BYTES = 8 << 20
+#: text bytes for each task
+TASK_BYTES = 64 << 20
 DISCOUNTED = 5
 #: numbers of the sentence marks among the word hashes
 START, END = (int(x) for x in X.random_words(41, 2))
@@ -186,7 +193,7 @@ def _send_words(buckets: int):
 
 def _sum_words(buckets: int):
     """Numbers and totals of every word, to each batch that has it; the bucket's statistics."""
-    schema = {"batch": pa.int64(), "bucket": pa.int32(), "numbers": pa.binary(), "totals": pa.binary(), "stats": pa.list_(pa.int64())}
+    schema = {"batch": pa.int64(), "bucket": pa.int32(), "numbers": pa.binary(), "totals": pa.binary(), "alone": pa.binary(), "stats": pa.list_(pa.int64())}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in groups_of(batches, "bucket"):
@@ -197,12 +204,13 @@ def _sum_words(buckets: int):
             own = totals[(totals > 0) & (different != X.U64(START))]
             seen = np.bincount(own[own <= DISCOUNTED + 1], minlength=DISCOUNTED + 2)[1:]
             bucket = group[0]["bucket"]
-            rows = [(None, bucket, None, None, [int(own.sum()), len(own), *map(int, seen)])]
+            alone = np.bincount(at, minlength=len(different)) == 1
+            rows = [(None, bucket, None, None, None, [int(own.sum()), len(own), *map(int, seen)])]
             first = 0
             for r, w in zip(group, words, strict=True):
                 mine = at[first : first + len(w)]
                 first += len(w)
-                rows.append((r["batch"], bucket, pack(mine * buckets + bucket), pack(totals[mine]), None))
+                rows.append((r["batch"], bucket, pack(mine * buckets + bucket), pack(totals[mine]), pack(alone[mine]), None))
             yield record(schema, rows)
 
     return run
@@ -217,107 +225,252 @@ class _Words:
         self.total = np.empty(len(b.words), dtype=np.int64)
         self.number[b.by_hash] = np.concatenate([unpack(p["numbers"]) for p in parts])
         self.total[b.by_hash] = np.concatenate([unpack(p["totals"]) for p in parts])
-
-
-class _Exchange:
-    """Pairs of a batch in the order they are sent: contexts by bucket, followers by context.
-
-    A context seen more than ``share`` times is cut into parts by the second word's number, and
-    every part of each of the batch's contexts is asked for its sums."""
-
-    def __init__(self, b: _Batch, w: _Words, buckets: int, share: int):
-        self.context, self.word, self.learned, self.pair = b.pairs()
-        present = np.zeros(len(b.words), dtype=bool)
-        present[self.context] = True
-        contexts = np.flatnonzero(present & (w.total > 0))
-        parts = 1 + w.total[contexts] // share
-        first = np.full(len(b.words), -1, dtype=np.int64)
+        self.alone = np.empty(len(b.words), dtype=bool)
+        self.alone[b.by_hash] = np.concatenate([unpack(p["alone"]) for p in parts]).astype(bool)
+
+
+def _sums(contexts: int, context: np.ndarray, counts: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per context: items seen 1..5 times and the sum of larger counts; the lower-order mass of the items."""
+    sums = np.zeros((contexts, DISCOUNTED + 1), dtype=np.int64)
+    for r in range(1, DISCOUNTED + 1):
+        sums[:, r - 1] = np.bincount(context[counts == r], minlength=contexts)
+    sums[:, DISCOUNTED] = np.bincount(context, weights=np.where(counts > DISCOUNTED, counts, 0), minlength=contexts)
+    # of no items bincount gives whole numbers
+    return sums, np.bincount(context, weights=np.where(counts > 0, lower, 0.0), minlength=contexts).astype(np.float64)
+
+
+def _seen(counts: np.ndarray) -> np.ndarray:
+    """How many items were seen 1..6 times."""
+    return np.bincount(counts[counts <= DISCOUNTED + 1], minlength=DISCOUNTED + 2)[1:]
+
+
+class _Items:
+    """The different items (context, follower) of a batch at one level, and how they are sent.
+
+    ``names`` identify a context in every batch, ``totals`` are its training counts, ``local`` tells
+    that no other batch has it.  ``lower`` is the count of each item one level below, ``lower_size`` the
+    denominator there.  A context seen more than ``share`` times is cut into parts by the follower's
+    number, and every part of an asked context is asked for its sums."""
+
+    def __init__(
+        self, names: list[np.ndarray], totals: np.ndarray, local: np.ndarray, asked: np.ndarray, context: np.ndarray, follower: np.ndarray,
+        learned: np.ndarray, lower: np.ndarray, lower_size: np.ndarray, buckets: int, share: int,
+    ):
+        self.context, self.learned, self.lower, self.lower_size, self.n = context, learned, lower, lower_size, len(totals)
+        possible = (totals[context] > 0) & (lower > 0)
+        self.here = np.flatnonzero(possible & local[context])
+        self.sent = np.flatnonzero(possible & ~local[context])
+        wanted = asked & (totals > 0) & ~local
+        wanted[context[self.sent]] = True
+        contexts = np.flatnonzero(wanted)
+        parts = 1 + totals[contexts] // share
+        first = np.full(self.n, -1, dtype=np.int64)
         first[contexts] = np.cumsum(parts) - parts
-        n_parts = np.ones(len(b.words), dtype=np.int64)
+        n_parts = np.ones(self.n, dtype=np.int64)
         n_parts[contexts] = parts
         part_of = np.repeat(contexts, parts)
         salt = np.arange(len(part_of)) - first[part_of]
-        key = X.mix(w.number[part_of].astype(X.U64) * X.U64(0x9E3779B97F4A7C15) + salt.astype(X.U64) + X.U64(1))
+        key = salt.astype(X.U64) + X.U64(1)
+        for name in names:
+            key = X.mix(key + name[part_of].astype(X.U64) * X.U64(0x9E3779B97F4A7C15))
         bucket = (key % X.U64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         self.contexts = part_of[order]  # of each sent part
         # parts of one context can share a bucket and are told apart by the bits above the number
-        self.parts = w.number[self.contexts] | (salt[order] << 40)
+        self.names = [names[0][self.contexts] | (salt[order] << 40), names[-1][self.contexts]]
+        self.asked = asked[self.contexts]
         place = np.empty(len(order), dtype=np.int64)
         place[order] = np.arange(len(order))
-        self.sent = np.flatnonzero((w.total[self.context] > 0) & (w.total[self.word] > 0))
-        c, x = self.context[self.sent], self.word[self.sent]
-        at = place[first[c] + w.number[x] % n_parts[c]]
+        at = place[first[context[self.sent]] + follower[self.sent] % n_parts[context[self.sent]]]
         by_part = np.argsort(at, kind="stable")
         self.sent, at = self.sent[by_part], at[by_part]
+        self.followers = follower[self.sent]
         self.n_followers = np.bincount(at, minlength=len(order))
         self.edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
         self.follower_edges = np.concatenate([[0], np.cumsum(self.n_followers)])[self.edges]
-        asked = np.zeros(len(b.words), dtype=bool)
+
+    def records(self, schema: dict, batch: int) -> Iterator[pa.RecordBatch]:
+        """One row for each bucket that gets something, and one for what is counted here."""
+        own = self.learned[self.here]
+        own = own[own > 0]
+        yield record(schema, [(-1, batch, *[None] * 8, [int(own.sum()), len(own), *map(int, _seen(own))])])
+        for k in np.flatnonzero(np.diff(self.edges)).tolist():
+            i, j = self.edges[k], self.edges[k + 1]
+            p, q = self.follower_edges[k], self.follower_edges[k + 1]
+            sent = self.sent[p:q]
+            yield record(schema, [(
+                k, batch, pack(self.names[0][i:j]), pack(self.names[1][i:j]), pack(self.asked[i:j]), pack(self.lower_size[self.contexts[i:j]]),
+                pack(self.n_followers[i:j]), pack(self.followers[p:q]), pack(self.learned[sent]), pack(self.lower[sent]), None,
+            )])
+
+    def counted(self, parts: list[dict], d_lower: np.ndarray) -> _Counted:
+        """The whole counts, from what the buckets sent back and from what is counted here."""
+        parts = sorted(parts, key=lambda p: p["bucket"])
+        count = np.zeros(len(self.context), dtype=np.int64)
+        count[self.here] = self.learned[self.here]
+        alone = np.zeros(len(self.context), dtype=bool)
+        alone[self.here] = True
+        context = self.context[self.here]
+        sums, mass = _sums(self.n, context, self.learned[self.here], discounted(self.lower[self.here], d_lower) / self.lower_size[context])
+        low = sums[:, :DISCOUNTED].any(axis=1)
+        if parts:
+            count[self.sent] = np.concatenate([unpack(p["totals"]) for p in parts])
+            alone[self.sent] = np.concatenate([unpack(p["alone"]) for p in parts]).astype(bool)
+            low[self.contexts[np.concatenate([unpack(p["low"]) for p in parts]).astype(bool)]] = True
+            asked = self.contexts[self.asked]
+            np.add.at(sums, asked, np.concatenate([unpack(p["sums"]).reshape(DISCOUNTED + 1, -1).T for p in parts]))
+            np.add.at(mass, asked, np.concatenate([np.frombuffer(p["mass"]) for p in parts]))
+        return _Counted(count, alone, low, sums, mass)
+
+
+@dataclass
+class _Counted:
+    """Per item: its training count and whether no other batch has it.  Per context: whether it has low
+    counts, and for asked ones the sums over followers."""
+
+    count: np.ndarray
+    alone: np.ndarray
+    low: np.ndarray
+    sums: np.ndarray
+    mass: np.ndarray
+
+    def weights(self, totals: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(denominator, alpha) of each context; alpha is one for contexts never seen."""
+        size = (totals + ~self.low).astype(np.float64)  # a context without low counts has one more
+        kept = (self.sums[:, :DISCOUNTED] * (d[1:] * np.arange(1, DISCOUNTED + 1))).sum(axis=1) + self.sums[:, DISCOUNTED]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return size, np.where(totals > 0, (1.0 - kept / size) / (1.0 - self.mass), 1.0)
+
+
+@dataclass(frozen=True)
+class _Plan:
+    """What all tasks know: the exchange's layout and the statistics of the levels counted so far."""
+
+    buckets: int
+    share: int
+    unigram: Level
+    bigram: Level | None = None
+
+
+class _Scorer:
+    """One batch with what the levels below have sent back to it."""
+
+    def __init__(self, row: dict, plan: _Plan):
+        self.plan, self.b = plan, _Batch(row)
+        self.w = _Words(self.b, row)
+        b = self.b
         before = np.empty_like(b.tokens)
         before[1:] = b.tokens[:-1]
         before[b.starts] = b.start
+        self.pair_context, self.pair_word, self.pair_learned, self.pair = b.pairs()
+        asked = np.zeros(len(b.words), dtype=bool)
         asked[before[~b.learned]] = True
-        self.asked = asked[self.contexts]
+        w, unigram = self.w, plan.unigram
+        self.pairs = _Items(
+            [w.number], w.total, w.alone, asked, self.pair_context, w.number[self.pair_word], self.pair_learned, w.total[self.pair_word],
+            np.full(len(b.words), unigram.size), plan.buckets, plan.share,
+        )
+
+    def count_pairs(self, row: dict) -> None:
+        self.two = self.pairs.counted(row["pairs_back"] or [], self.plan.unigram.discounts())
+        self.size_of_word = self.w.total + ~self.two.low
+        # triples: tokens with at least one token of the text before them, after the pair of that one
+        inner = np.ones(len(self.b.tokens), dtype=bool)
+        inner[self.b.starts] = False
+        self.inner = np.flatnonzero(inner)
+        after, own = self.pair[self.inner - 1], self.pair[self.inner]
+        n = len(self.b.words)
+        keys, self.triple = np.unique(after * n + self.b.tokens[self.inner], return_inverse=True)
+        first = np.zeros(len(keys), dtype=np.int64)
+        first[self.triple] = own
+        learned = np.bincount(self.triple, weights=self.b.learned[self.inner], minlength=len(keys)).astype(np.int64)
+        asked = np.zeros(len(self.pair_context), dtype=bool)
+        asked[after[~self.b.learned[self.inner]]] = True
+        number = self.w.number
+        self.triple_context, self.triple_pair = keys // n, first
+        self.triples = _Items(
+            [number[self.pair_context], number[self.pair_word]], self.two.count, self.two.alone, asked, self.triple_context, number[keys % n], learned,
+            self.two.count[first], self.size_of_word[self.pair_word], self.plan.buckets, self.plan.share,
+        )
+
+    def probabilities(self, row: dict, trigram: Level | None) -> np.ndarray:
+        """The model's probability of every token."""
+        w, unigram, bigram = self.w, self.plan.unigram, self.plan.bigram
+        d2 = bigram.discounts()
+        p1 = np.where(w.total > 0, discounted(w.total, unigram.discounts()) / unigram.size, unigram.rest)
+        size, alpha = self.two.weights(w.total, d2)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            p2 = np.where(self.two.count > 0, discounted(self.two.count, d2) / size[self.pair_context], alpha[self.pair_context] * p1[self.pair_word])
+            out = p2[self.pair]
+            if trigram is not None:
+                d3 = trigram.discounts()
+                three = self.triples.counted(row["triples_back"] or [], d2)
+                size, alpha = three.weights(self.two.count, d3)
+                p3 = np.where(three.count > 0, discounted(three.count, d3) / size[self.triple_context], alpha[self.triple_context] * p2[self.triple_pair])
+                out[self.inner] = p3[self.triple]
+        return out
 
 
-def _send_pairs(buckets: int, share: int):
-    names = ("contexts", "asked", "n_followers", "followers", "counts", "totals")
-    schema = {"bucket": pa.int32(), "batch": pa.int64(), **{n: pa.binary() for n in names}}
+_SENT = "bucket int, batch bigint, a binary, b binary, asked binary, sizes binary, n_followers binary, followers binary, counts binary, lower binary, stats array<bigint>"
+_SENT_ARROW = {
+    c.split()[0]: {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64())}[c.split()[1]] for c in _SENT.split(", ")
+}
+
+
+def _send(plan: _Plan, order: int):
+    """Pairs (order 2) or triples (order 3) of the batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
-            b = _Batch(row)
-            w = _Words(b, row)
-            e = _Exchange(b, w, buckets, share)
-            followers = e.word[e.sent]
-            for k in range(buckets):
-                i, j = e.edges[k], e.edges[k + 1]
-                if i == j:
-                    continue
-                p, q = e.follower_edges[k], e.follower_edges[k + 1]
-                yield record(schema, [(
-                    k, row["batch"], pack(e.parts[i:j]), pack(e.asked[i:j]), pack(e.n_followers[i:j]),
-                    pack(w.number[followers[p:q]]), pack(e.learned[e.sent[p:q]]), pack(w.total[followers[p:q]]),
-                )])
+            scorer = _Scorer(row, plan)
+            if order == 3:
+                scorer.count_pairs(row)
+            yield from (scorer.pairs if order == 2 else scorer.triples).records(_SENT_ARROW, row["batch"])
 
     return run
 
 
-def _sum_pairs(unigram: Level):
-    """Totals of every pair, to each batch that has it, and the sums of each context part."""
-    schema = {"batch": pa.int64(), "bucket": pa.int32(), "totals": pa.binary(), "low": pa.binary(), "sums": pa.binary(), "mass": pa.binary(), "stats": pa.list_(pa.int64())}
-    d = unigram.discounts()
+_BACK = "batch bigint, bucket int, totals binary, alone binary, low binary, sums binary, mass binary, stats array<bigint>"
+
+
+def _sum_items(d_lower: np.ndarray):
+    """Totals of every item, to each batch that has it, and the sums of each context part."""
+    schema = {
+        "batch": pa.int64(), "bucket": pa.int32(), "totals": pa.binary(), "alone": pa.binary(), "low": pa.binary(), "sums": pa.binary(), "mass": pa.binary(),
+        "stats": pa.list_(pa.int64()),
+    }
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in groups_of(batches, "bucket"):
-            context = [unpack(r["contexts"]) for r in group]
+            if group[0]["bucket"] < 0:  # what the batches counted themselves
+                yield record(schema, [(None, -1, *[None] * 5, [sum(s) for s in zip(*(r["stats"] for r in group), strict=True)])])
+                continue
+            context = [unpack(r["a"]) for r in group]
             n_followers = [unpack(r["n_followers"]) for r in group]
-            known, context_at = np.unique(np.concatenate(context), return_inverse=True)
+            a, at_a = np.unique(np.concatenate(context), return_inverse=True)
+            b, at_b = np.unique(np.concatenate([unpack(r["b"]) for r in group]), return_inverse=True)
+            known, first, context_at = np.unique(at_a * len(b) + at_b, return_index=True, return_inverse=True)
+            sizes = np.concatenate([unpack(r["sizes"]) for r in group])[first]
             of_follower = np.repeat(context_at, np.concatenate(n_followers))
-            words, word_at = np.unique(np.concatenate([unpack(r["followers"]) for r in group]), return_inverse=True)
-            word_total = np.zeros(len(words), dtype=np.int64)
-            word_total[word_at] = np.concatenate([unpack(r["totals"]) for r in group])
-            pairs, at = np.unique(of_follower * max(len(words), 1) + word_at, return_inverse=True)
-            counts = np.bincount(at, weights=np.concatenate([unpack(r["counts"]) for r in group]), minlength=len(pairs)).astype(np.int64)
-            seen = counts > 0
-            c, r_, w = (pairs // max(len(words), 1))[seen], counts[seen], (pairs % max(len(words), 1))[seen]
-            sums = np.zeros((len(known), DISCOUNTED + 1), dtype=np.int64)  # pairs seen 1..5 times, then the sum of larger counts
-            for r in range(1, DISCOUNTED + 1):
-                sums[:, r - 1] = np.bincount(c[r_ == r], minlength=len(known))
-            sums[:, DISCOUNTED] = np.bincount(c, weights=np.where(r_ > DISCOUNTED, r_, 0), minlength=len(known))
-            mass = np.bincount(c, weights=discounted(word_total, d)[w] / unigram.size, minlength=len(known))
+            followers, follower_at = np.unique(np.concatenate([unpack(r["followers"]) for r in group]), return_inverse=True)
+            lower = np.concatenate([unpack(r["lower"]) for r in group])
+            items, first, at = np.unique(of_follower * max(len(followers), 1) + follower_at, return_index=True, return_inverse=True)
+            counts = np.bincount(at, weights=np.concatenate([unpack(r["counts"]) for r in group]), minlength=len(items)).astype(np.int64)
+            alone = np.bincount(at, minlength=len(items)) == 1
+            owner = of_follower[first]
+            sums, mass = _sums(len(known), owner, counts, discounted(lower[first], d_lower) / sizes[owner])
             low = sums[:, :DISCOUNTED].any(axis=1)
-            stats = np.bincount(r_[r_ <= DISCOUNTED + 1], minlength=DISCOUNTED + 2)[1:]
+            seen = counts[counts > 0]
             bucket = group[0]["bucket"]
-            rows = [(None, bucket, None, None, None, None, [int(r_.sum()), len(r_), *map(int, stats)])]
+            rows = [(None, bucket, *[None] * 5, [int(seen.sum()), len(seen), *map(int, _seen(seen))])]
             f = g = 0
             for r, own, n in zip(group, context, n_followers, strict=True):
                 mine = context_at[f : f + len(own)]
                 total = int(n.sum())
+                here = at[g : g + total]
                 asked = mine[unpack(r["asked"]).astype(bool)]
                 rows.append((
-                    r["batch"], bucket, pack(counts[at[g : g + total]]), pack(low[mine]), pack(sums[asked].T.reshape(-1)), mass[asked].tobytes(), None,
+                    r["batch"], bucket, pack(counts[here]), pack(alone[here]), pack(low[mine]), pack(sums[asked].T.reshape(-1)), mass[asked].tobytes(), None,
                 ))
                 f += len(own)
                 g += total
@@ -326,40 +479,21 @@ def _sum_pairs(unigram: Level):
     return run
 
 
-def _score(buckets: int, share: int, unigram: Level, bigram: Level):
+def _score(plan: _Plan, trigram: Level | None):
     schema = {
         "doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "train_tokens": pa.int64(),
         "base_score": pa.float64(), "score": pa.float64(),
     }
-    d1, d2 = unigram.discounts(), bigram.discounts()
+    unigram = plan.unigram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
-            b = _Batch(row)
-            w = _Words(b, row)
-            e = _Exchange(b, w, buckets, share)
-            parts = sorted(row["pairs_back"] or [], key=lambda p: p["bucket"])
-            count = np.zeros(len(e.context), dtype=np.int64)
-            low = np.zeros(len(b.words), dtype=bool)
-            sums = np.zeros((len(b.words), DISCOUNTED + 1), dtype=np.int64)
-            mass = np.zeros(len(b.words))
-            if parts:
-                count[e.sent] = np.concatenate([unpack(p["totals"]) for p in parts])
-                low[e.contexts[np.concatenate([unpack(p["low"]) for p in parts]).astype(bool)]] = True
-                asked = e.contexts[e.asked]
-                np.add.at(sums, asked, np.concatenate([unpack(p["sums"]).reshape(DISCOUNTED + 1, -1).T for p in parts]))
-                np.add.at(mass, asked, np.concatenate([np.frombuffer(p["mass"]) for p in parts]))
-            # word level
-            p1 = np.where(w.total > 0, discounted(w.total, d1) / unigram.size, unigram.rest)
-            # pair level
-            size = (w.total + ~low).astype(np.float64)  # a context without low counts has one more
-            kept = (sums[:, :DISCOUNTED] * (d2[1:] * np.arange(1, DISCOUNTED + 1))).sum(axis=1) + sums[:, DISCOUNTED]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                alpha = np.where(w.total > 0, (1.0 - kept / size) / (1.0 - mass), 1.0)
-                p = np.where(count > 0, discounted(count, d2) / size[e.context], alpha[e.context] * p1[e.word])
-                logs = np.log10(p)[e.pair]
-            base = np.log10((w.total + 0.1) / (unigram.tokens + 0.1 * (unigram.different + 1)))[b.tokens]
-            known = (w.total > 0)[b.tokens]
+            scorer = _Scorer(row, plan)
+            scorer.count_pairs(row)
+            b, total = scorer.b, scorer.w.total
+            logs = np.log10(scorer.probabilities(row, trigram))
+            base = np.log10((total + 0.1) / (unigram.tokens + 0.1 * (unigram.different + 1)))[b.tokens]
+            known = (total > 0)[b.tokens]
             yield record(schema, list(zip(
                 [None if x else int(i) for i, x in zip(b.ids, b.nulls, strict=True)], b.held_out.tolist(), b.lengths.tolist(),
                 np.add.reduceat(known.astype(np.int64), b.starts).tolist(), [unigram.tokens] * len(b.ids),
@@ -376,55 +510,58 @@ def _level(back: DataFrame) -> Level:
     return Level(tokens, different, tuple(seen))
 
 
-def score_texts(docs: DataFrame) -> DataFrame:
+def score_texts(docs: DataFrame, order: int = 3) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one row per row of
-    ``docs``; the model learns from the rows that are not held out."""
+    ``docs``; the model of ``order`` 2 or 3 learns from the rows that are not held out."""
+    if order not in (2, 3):
+        raise ValueError(f"order is 2 or 3, not {order}")
     spark = docs.sparkSession
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_BYTES))
+    buckets = max(partitions, -(-total // BUCKET_BYTES))
     table = f"rankfold_numbers_{uuid.uuid4().hex}"
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{table}"
     (
-        docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        .mapInArrow(_number, "ids binary, nulls binary, held_out binary, lengths binary, tokens binary, words binary, n_bytes bigint")
+        texts.mapInArrow(_number, "ids binary, nulls binary, held_out binary, lengths binary, tokens binary, words binary, n_bytes bigint")
         .withColumn("batch", F.monotonically_increasing_id())
         .write.format("parquet").option("path", path).bucketBy(partitions, "batch").saveAsTable(table)
     )
+
+    def exchange(sent: DataFrame, sums, schema: str, name: str) -> tuple[Level, DataFrame]:
+        """What the buckets sum: the level's statistics, and the parts that go back to each batch."""
+        parts = materialize(sent.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(sums, schema), name)
+        fields = [c.split()[0] for c in schema.split(", ") if c.split()[0] not in ("batch", "stats")]
+        back = materialize(
+            parts.where("batch IS NOT NULL").repartition(partitions, "batch").groupBy("batch").agg(F.collect_list(F.struct(*fields)).alias(f"{name}_back")), f"{name}-back"
+        )
+        level = _level(parts)
+        release(parts)
+        return level, back
+
     try:
         batches = spark.table(table)
-        total = batches.agg(F.sum("n_bytes")).first()[0] or 0
-        buckets = max(partitions, -(-total // BUCKET_BYTES))
-        words = materialize(
-            batches.mapInArrow(_send_words(buckets), "bucket int, batch bigint, words binary, counts binary")
-            .repartition("bucket").sortWithinPartitions("bucket")
-            .mapInArrow(_sum_words(buckets), "batch bigint, bucket int, numbers binary, totals binary, stats array<bigint>"),
-            "words",
-        )
-        unigram = _level(words)
-        words_back = materialize(
-            words.where("batch IS NOT NULL").groupBy("batch").agg(F.collect_list(F.struct("bucket", "numbers", "totals")).alias("words_back")),
-            "words_back",
-        )
-        share = 1 + unigram.tokens // (4 * buckets)
-        pairs = materialize(
-            batches.join(words_back.hint("merge"), "batch").mapInArrow(
-                _send_pairs(buckets, share),
-                "bucket int, batch bigint, contexts binary, asked binary, n_followers binary, followers binary, counts binary, totals binary",
-            )
-            .repartition("bucket").sortWithinPartitions("bucket")
-            .mapInArrow(_sum_pairs(unigram), "batch bigint, bucket int, totals binary, low binary, sums binary, mass binary, stats array<bigint>"),
-            "pairs",
-        )
-        bigram = _level(pairs)
-        pairs_back = pairs.where("batch IS NOT NULL").groupBy("batch").agg(
-            F.collect_list(F.struct("bucket", "totals", "low", "sums", "mass")).alias("pairs_back")
+        unigram, words = exchange(
+            batches.mapInArrow(_send_words(buckets), "bucket int, batch bigint, words binary, counts binary"), _sum_words(buckets),
+            "batch bigint, bucket int, numbers binary, totals binary, alone binary, stats array<bigint>", "words",
         )
-        back = words_back.join(pairs_back.hint("merge"), "batch", "left")
-        return materialize(
-            batches.join(back.hint("merge"), "batch").mapInArrow(
-                _score(buckets, share, unigram, bigram),
-                "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double",
+        plan = _Plan(buckets, 1 + unigram.tokens // (4 * buckets), unigram)
+        known = batches.join(words.hint("merge"), "batch")
+        bigram, pairs = exchange(known.mapInArrow(_send(plan, 2), _SENT), _sum_items(unigram.discounts()), _BACK, "pairs")
+        plan = replace(plan, bigram=bigram)
+        known = known.join(pairs.hint("merge"), "batch", "left")
+        trigram = None
+        if order == 3:
+            trigram, triples = exchange(known.mapInArrow(_send(plan, 3), _SENT), _sum_items(bigram.discounts()), _BACK, "triples")
+            known = known.join(triples.hint("merge"), "batch", "left")
+        scores = materialize(
+            known.mapInArrow(
+                _score(plan, trigram), "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
             ),
             "scores",
         )
+        release(words, pairs, *([triples] if order == 3 else []))
+        return scores
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {table}")
+        delete_files(spark, path)
