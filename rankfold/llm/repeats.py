@@ -1,21 +1,22 @@
-"""Repeated passages: depth-limited radix order of suffixes, by digits of half the threshold.
+"""Repeated passages: equal windows of ``LENGTH`` bytes, found by sampled digits and a window hash.
 
-Two suffixes belong together if their first ``LENGTH`` bytes are equal; nothing beyond that depth
-is looked at.  The passes go from the most significant digit on and drop what is alone:
+The radix passes over all suffixes are replaced (README: a digit for every position would by itself
+exceed the disk budget).  What is left of them is their order, from the coarse to the fine, and that
+each pass drops what is alone and only divides what is large:
 
 1. The first digit of a window is its *anchor*: the smallest hash among its substrings of
    ``DIGIT`` bytes.  Equal windows have equal anchors, wherever they stand, and consecutive
    windows mostly share theirs, so only one value for about thirteen windows is shuffled.  Anchors
    that stand in one document only are dropped; the others go back to their batches.
 2. Runs of windows with a surviving anchor are shuffled by it, each different run once for each
-   batch and with its smallest document.  Inside an anchor's group windows are ordered by a hash
-   of all ``LENGTH`` bytes, and equal neighbours are compared byte by byte.  Each group of equal
-   windows gets its smallest document; runs that have a smaller one elsewhere go back.
+   batch and with its smallest document.  An anchor with more than ``HOT_RUNS`` runs (a line between ever
+   different neighbours) is divided again: its windows go by a hash of their own ``LENGTH`` bytes.  In a
+   bucket windows are ordered by that hash, and equal neighbours are compared byte by byte.  Each group
+   of equal windows gets its smallest document; runs that have a smaller one elsewhere go back.
 
 Documents travel as batches of a few MB (compressed, in a table bucketed by batch, so the later
-passes join without moving texts).  A passage that very many documents share counts once for
-each batch in both shuffles.  Batches, groups and buckets are of bounded size, whatever the
-length of a document, except that a document is never divided between batches.
+passes join without moving texts; the buckets follow the bytes).  A passage that very many documents
+share counts once for each batch in both shuffles.  A document is never divided between batches.
 
 A byte is removed if a string of ``LENGTH`` bytes that covers it also starts in a document with a
 smaller doc_id, judged on the input.
@@ -38,8 +39,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankfold.llm import textops as X
-from rankfold.llm.batches import groups_of, range_slices, record, rows_of
-from rankfold.session import ensure_checkpoint_dir, materialize
+from rankfold.llm.batches import groups_of, pack, range_slices, record, rows_of, unpack
+from rankfold.session import delete_files, ensure_checkpoint_dir, materialize, release
 
 LENGTH = 50
 DIGIT = 25
@@ -49,6 +50,10 @@ BATCH_DOCS = 60_000
 BUCKET_BYTES = 8 << 20
 RUN_BUCKET_BYTES = 2 << 20
 PIECE = 1 << 18
+#: text bytes for each task
+TASK_BYTES = 64 << 20
+#: runs from which the windows of an anchor are dealt one by one
+HOT_RUNS = 4096
 NULL_ID = np.iinfo(np.int64).max
 
 _U48 = X.U64(16)
@@ -154,59 +159,88 @@ def _from_six(raw: bytes) -> np.ndarray:
 
 
 def _anchors(buckets: int):
-    schema = {"bucket": pa.int32(), "batch": pa.int64(), "once": pa.binary(), "often": pa.binary()}
+    """The different anchors of each batch, those of one and those of several of its documents apart, with
+    the number of different runs of each."""
+    schema = {"bucket": pa.int32(), "batch": pa.int64(), "once": pa.binary(), "often": pa.binary(), "once_runs": pa.binary(), "often_runs": pa.binary()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
             _, offsets, data = _unpack(row)
-            anchor, _, _, _, doc = anchor_runs(data, offsets)
-            pairs = np.unique((anchor >> _U48 << _U48) | doc.astype(X.U64))
-            values = pairs >> _U48
-            if not len(values):
+            anchor, _, _, content, doc = anchor_runs(data, offsets)
+            if not len(anchor):
                 continue
-            at = np.flatnonzero(np.append(True, values[1:] != values[:-1]))
-            often = np.diff(np.append(at, len(values))) > 1
-            values = values[at]
+            anchor = anchor >> _U48
+            order = np.lexsort((content, anchor))
+            sorted_anchor, content = anchor[order], content[order]
+            fresh = np.append(True, sorted_anchor[1:] != sorted_anchor[:-1])
+            at = np.flatnonzero(fresh)
+            runs = np.add.reduceat(fresh | np.append(True, content[1:] != content[:-1]), at, dtype=np.int64)
+            first, last = (f.reduceat(doc[order], at) for f in (np.minimum, np.maximum))
+            often, values = first < last, sorted_anchor[at]
             yield record(schema, [
-                (bucket, row["batch"], _six_bytes(values[i:j][~often[i:j]]), _six_bytes(values[i:j][often[i:j]]))
+                (
+                    bucket, row["batch"], *[_six_bytes(values[i:j][of]) for of in (~often[i:j], often[i:j])], *[pack(runs[i:j][of]) for of in (~often[i:j], often[i:j])],
+                )
                 for bucket, i, j in range_slices(values, buckets, 48)
             ])
 
     return run
 
 
-def _shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per bucket: the anchors of each batch that stand in a second document anywhere."""
-    schema = {"batch": pa.int64(), "anchors": pa.binary()}
-    for group in groups_of(batches, "bucket"):
-        once = [_from_six(r["once"]) for r in group]
-        often = [_from_six(r["often"]) for r in group]
-        every = np.sort(np.concatenate(once))
-        shared = np.unique(np.concatenate([every[1:][every[1:] == every[:-1]], *often]))
-        del every
-        if not len(shared):
-            continue
-        out = []
-        for row, a, b in zip(group, once, often, strict=True):
-            at = np.minimum(np.searchsorted(shared, a), len(shared) - 1)
-            hits = np.concatenate([a[shared[at] == a], b])
-            if len(hits):
-                out.append((row["batch"], _six_bytes(hits)))
-        if out:
-            yield record(schema, out)
+def _shared_anchors(hot_runs: int):
+    """Per bucket: the anchors of each batch that stand in a second document anywhere, those with very
+    many runs apart."""
+    schema = {"batch": pa.int64(), "anchors": pa.binary(), "hot": pa.binary()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in groups_of(batches, "bucket"):
+            once = [_from_six(r["once"]) for r in group]
+            often = [_from_six(r["often"]) for r in group]
+            every = np.sort(np.concatenate(once))
+            shared = np.unique(np.concatenate([every[1:][every[1:] == every[:-1]], *often]))
+            del every
+            if not len(shared):
+                continue
+            hits, runs = [], np.zeros(len(shared), dtype=np.int64)
+            for r, a, b in zip(group, once, often, strict=True):
+                at = np.minimum(np.searchsorted(shared, a), len(shared) - 1)
+                known = shared[at] == a
+                at = np.concatenate([at[known], np.searchsorted(shared, b)])
+                runs += np.bincount(at, weights=np.concatenate([unpack(r["once_runs"])[known], unpack(r["often_runs"])]), minlength=len(shared)).astype(np.int64)
+                hits.append(at)
+            hot = runs > hot_runs
+            out = [(r["batch"], _six_bytes(shared[at[~hot[at]]]), _six_bytes(shared[at[hot[at]]])) for r, at in zip(group, hits, strict=True) if len(at)]
+            if out:
+                yield record(schema, out)
+
+    return run
+
+
+def _windows_apart(data: np.ndarray, start: np.ndarray, count: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Runs as runs of one window each, with a hash of its bytes: (hash, start, count, document)."""
+    before = np.cumsum(count) - count
+    starts = np.repeat(start - before, count) + np.arange(count.sum())
+    order = np.argsort(starts, kind="stable")
+    keys = np.empty(len(starts), dtype=X.U64)
+    keys[order] = window_hashes(data, starts[order])
+    return keys, starts, np.ones(len(starts), dtype=np.int64), np.repeat(doc, count)
 
 
 def _surviving(row: dict, data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray] | None:
     """Runs with a shared anchor, and the number of each run's content in the batch."""
-    hits = np.sort(np.concatenate([_from_six(x) for x in row["anchors"] or []] or [np.zeros(0, X.U64)]))
-    if not len(hits):
+    normal, hot = (np.sort(np.concatenate([_from_six(x) for x in row[c] or []] or [np.zeros(0, X.U64)])) for c in ("anchors", "hot"))
+    if not len(normal) + len(hot):
         return None
     anchor, start, count, content, doc = anchor_runs(data, offsets)
     anchor = anchor >> _U48
-    keep = hits[np.minimum(np.searchsorted(hits, anchor), len(hits) - 1)] == anchor
-    if not keep.any():
+    own, apart = (among[np.minimum(np.searchsorted(among, anchor), len(among) - 1)] == anchor if len(among) else np.zeros(len(anchor), dtype=bool) for among in (normal, hot))
+    parts = [tuple(x[own] for x in (anchor, start, count, content, doc))]
+    if apart.any():
+        keys, starts, ones, docs = _windows_apart(data, start[apart], count[apart], doc[apart])
+        parts.append((keys >> _U48, starts, ones, keys, docs))
+    anchor, start, count, content, doc = (np.concatenate(x) for x in zip(*parts, strict=True))
+    if not len(anchor):
         return None
-    anchor, start, count, content, doc = anchor[keep], start[keep], count[keep], content[keep], doc[keep]
     # numbered in the order of (anchor, content), so that a bucket's runs are neighbours
     order = np.lexsort((content, anchor))
     new = np.append(True, (content[order][1:] != content[order][:-1]) | (anchor[order][1:] != anchor[order][:-1]))
@@ -244,15 +278,24 @@ def _unaligned_words(data: np.ndarray) -> np.ndarray:
     return np.ndarray(shape=(max(len(data) - 7, 0),), dtype="<u8", buffer=data, strides=(1,))
 
 
-def group_windows(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order, first of each group) of the windows at ``starts``, equal windows side by side."""
+def window_hashes(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """A hash of the window at each of the ascending ``starts``."""
     keys = np.empty(len(starts), dtype=X.U64)
-    for a in range(0, len(starts), PIECE):
-        part = starts[a : a + PIECE]
-        base = int(part[0])
+    first = 0
+    while first < len(starts):  # stretches of at most PIECE bytes
+        base = int(starts[first])
+        last = int(np.searchsorted(starts, base + PIECE))
+        part = starts[first:last]
         sums, down = X.prefix_hash(data[base : int(part[-1]) + LENGTH])
         at = part - base
-        keys[a : a + PIECE] = X.mix((sums[at + LENGTH] - sums[at]) * down[at])
+        keys[first:last] = X.mix((sums[at + LENGTH] - sums[at]) * down[at])
+        first = last
+    return keys
+
+
+def group_windows(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, first of each group) of the windows at ``starts``, equal windows side by side."""
+    keys = window_hashes(data, starts)
     order = np.argsort(keys, kind="stable")
     keys = keys[order]
     same = keys[1:] == keys[:-1]
@@ -372,10 +415,10 @@ def remove_repeats(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     """(doc_id, n_bytes, n_removed, spans, kept_sha256, kept): the maximal removed byte spans of each
     row of ``docs`` and, if asked for, the remaining bytes (null else)."""
     spark = docs.sparkSession
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    packed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        _pack, "ids binary, nulls binary, lengths binary, n_bytes bigint, data binary"
-    )
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_BYTES))
+    packed = texts.mapInArrow(_pack, "ids binary, nulls binary, lengths binary, n_bytes bigint, data binary")
     # bucketed by batch: the two joins below read it in place
     table = f"rankfold_batches_{uuid.uuid4().hex}"
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{table}"
@@ -384,13 +427,12 @@ def remove_repeats(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     ).saveAsTable(table)
     try:
         batches = spark.table(table)
-        total = batches.agg(F.sum("n_bytes")).first()[0] or 0
         buckets = max(partitions, -(-total // BUCKET_BYTES))
-        anchors = batches.mapInArrow(_anchors(buckets), "bucket int, batch bigint, once binary, often binary")
+        anchors = batches.mapInArrow(_anchors(buckets), "bucket int, batch bigint, once binary, often binary, once_runs binary, often_runs binary")
         shared = materialize(
-            anchors.repartition("bucket").sortWithinPartitions("bucket")
-            .mapInArrow(_shared_anchors, "batch bigint, anchors binary")
-            .groupBy("batch").agg(F.collect_list("anchors").alias("anchors")),
+            anchors.repartition(partitions, "bucket").sortWithinPartitions("bucket")
+            .mapInArrow(_shared_anchors(HOT_RUNS), "batch bigint, anchors binary, hot binary")
+            .repartition(partitions, "batch").groupBy("batch").agg(F.collect_list("anchors").alias("anchors"), F.collect_list("hot").alias("hot")),
             "anchors",
         )
         runs = batches.join(shared.hint("merge"), "batch").mapInArrow(
@@ -398,18 +440,21 @@ def remove_repeats(docs: DataFrame, keep_text: bool = True) -> DataFrame:
             "bucket int, batch bigint, first_number bigint, counts binary, least binary, bytes binary, n_bytes bigint",
         )
         smaller = materialize(
-            runs.repartition("bucket").sortWithinPartitions("bucket")
+            runs.repartition(partitions, "bucket").sortWithinPartitions("bucket")
             .mapInArrow(_least_documents, "batch bigint, number binary, at binary, n binary")
-            .groupBy("batch").agg(*[F.collect_list(c).alias(c) for c in ("number", "at", "n")]),
+            .repartition(partitions, "batch").groupBy("batch").agg(*[F.collect_list(c).alias(c) for c in ("number", "at", "n")]),
             "smaller",
         )
         back = shared.join(smaller.hint("merge"), "batch", "left")
-        return materialize(
+        found = materialize(
             batches.join(back.hint("merge"), "batch", "left").mapInArrow(
                 _results(keep_text),
                 "doc_id bigint, n_bytes bigint, n_removed bigint, spans array<struct<start: bigint, end: bigint>>, kept_sha256 string, kept binary",
             ),
             "repeats",
         )
+        release(shared, smaller)
+        return found
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {table}")
+        delete_files(spark, path)
