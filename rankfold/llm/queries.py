@@ -24,7 +24,8 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality.judge(_table(spark, sf_dir, "documents"))
+    # only these columns, so that no further one can clash with the measures
+    judged = quality.judge(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     base_failed = (F.col("_q_n_words") < 50) | (100 * F.col("_q_n_repeat_words") > 50 * F.col("_q_n_words"))
     return judged.select(
         "doc_id", *[F.col(f"_q_{m}").alias(m) for m in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
