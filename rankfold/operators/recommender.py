@@ -19,6 +19,7 @@ from rankfold.operators import features as FE
 from rankfold.operators import hybrid as H
 from rankfold.operators import models as MD
 from rankfold.operators import recommend as R
+from rankfold.session import materialize, release
 
 
 @dataclass(frozen=True)
@@ -157,7 +158,10 @@ def als_fitted(data: Prepared, weights: DataFrame, params: dict) -> Fitted:
 
 
 def _als(data: Prepared, params: dict):
-    return "vectors", als_tables(data, bm25_pairs(data), params)
+    weights = materialize(bm25_pairs(data), "als-weights")  # counted and fitted
+    tables = als_tables(data, weights, params)
+    release(weights)
+    return "vectors", tables
 
 
 def hybrid_params(params: dict) -> H.HybridParams:
