@@ -18,7 +18,9 @@ Texts become batches of word numbers once.  Each level is one exchange: a batch
 words (pairs, triples) with their training counts to the buckets of a partitioned table, every bucket
 sums them, and sends back what the batch needs to score its own texts: total counts, and for the
 contexts of held-out tokens their sums over all followers.  An item is sent once for each batch, not
-for each use; items after a context that no other batch has are counted where they are; and the
+for each use.  What a batch knows by itself is not sent: items after a context that no other batch
+has; items whose shorter form was seen once in training, here, and is in no held-out text (they are
+seen once, and enter the sums of their context as a number); contexts that no held-out text has.  The
 followers of a frequent context are spread over buckets by their number, so neither a frequent word nor
 a large source meets in one task.  Statistics that reach the driver are the counts of counts, the
 number of tokens and the number of words.
@@ -45,13 +47,15 @@ from rankfold.llm import textops as X
 from rankfold.llm.batches import groups_of, pack, range_slices, record, rows_of, unpack
 from rankfold.session import delete_files, ensure_checkpoint_dir, materialize, release
 
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 6 << 20
 BATCH_DOCS = 200_000
 #: text bytes for each bucket of an exchange
 BUCKET_BYTES = 8 << 20
 #: text bytes for each task
 TASK_BYTES = 64 << 20
 DISCOUNTED = 5
+#: the batch of the buckets' statistics, of which there is one row each
+STATISTICS = -1
 #: numbers of the sentence marks among the word hashes
 START, END = (int(x) for x in X.random_words(41, 2))
 
@@ -169,6 +173,13 @@ class _Batch:
         out[self.start] = int((~self.held_out).sum())
         return out
 
+    def held_words(self) -> np.ndarray:
+        """Which words stand in held-out texts; the start if there is any."""
+        out = np.zeros(len(self.words), dtype=bool)
+        out[self.tokens[~self.learned]] = True
+        out[self.start] = self.held_out.any()
+        return out
+
     def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Different (context, word) pairs, their training counts, and the pair of each token."""
         before = np.empty_like(self.tokens)
@@ -180,20 +191,20 @@ class _Batch:
 
 
 def _send_words(buckets: int):
-    schema = {"bucket": pa.int32(), "batch": pa.int64(), "words": pa.binary(), "counts": pa.binary()}
+    schema = {"bucket": pa.int32(), "batch": pa.int64(), "words": pa.binary(), "counts": pa.binary(), "held": pa.binary()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
             b = _Batch(row)
-            words, counts = b.words[b.by_hash], b.counts()[b.by_hash]
-            yield record(schema, [(k, row["batch"], words[i:j].tobytes(), pack(counts[i:j])) for k, i, j in range_slices(words, buckets, 64)])
+            words, counts, held = (x[b.by_hash] for x in (b.words, b.counts(), b.held_words()))
+            yield record(schema, [(k, row["batch"], words[i:j].tobytes(), pack(counts[i:j]), pack(held[i:j])) for k, i, j in range_slices(words, buckets, 64)])
 
     return run
 
 
 def _sum_words(buckets: int):
     """Numbers and totals of every word, to each batch that has it; the bucket's statistics."""
-    schema = {"batch": pa.int64(), "bucket": pa.int32(), "numbers": pa.binary(), "totals": pa.binary(), "alone": pa.binary(), "stats": pa.list_(pa.int64())}
+    schema = {"batch": pa.int64(), "bucket": pa.int32(), "numbers": pa.binary(), "totals": pa.binary(), "alone": pa.binary(), "held": pa.binary(), "stats": pa.list_(pa.int64())}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in groups_of(batches, "bucket"):
@@ -205,12 +216,13 @@ def _sum_words(buckets: int):
             seen = np.bincount(own[own <= DISCOUNTED + 1], minlength=DISCOUNTED + 2)[1:]
             bucket = group[0]["bucket"]
             alone = np.bincount(at, minlength=len(different)) == 1
-            rows = [(None, bucket, None, None, None, [int(own.sum()), len(own), *map(int, seen)])]
+            held = np.bincount(at, weights=np.concatenate([unpack(r["held"]) for r in group]), minlength=len(different)) > 0
+            rows = [(STATISTICS, bucket, None, None, None, None, [int(own.sum()), len(own), *map(int, seen)])]
             first = 0
             for r, w in zip(group, words, strict=True):
                 mine = at[first : first + len(w)]
                 first += len(w)
-                rows.append((r["batch"], bucket, pack(mine * buckets + bucket), pack(totals[mine]), pack(alone[mine]), None))
+                rows.append((r["batch"], bucket, pack(mine * buckets + bucket), pack(totals[mine]), pack(alone[mine]), pack(held[mine]), None))
             yield record(schema, rows)
 
     return run
@@ -225,8 +237,9 @@ class _Words:
         self.total = np.empty(len(b.words), dtype=np.int64)
         self.number[b.by_hash] = np.concatenate([unpack(p["numbers"]) for p in parts])
         self.total[b.by_hash] = np.concatenate([unpack(p["totals"]) for p in parts])
-        self.alone = np.empty(len(b.words), dtype=bool)
+        self.alone, self.held = (np.empty(len(b.words), dtype=bool) for _ in range(2))
         self.alone[b.by_hash] = np.concatenate([unpack(p["alone"]) for p in parts]).astype(bool)
+        self.held[b.by_hash] = np.concatenate([unpack(p["held"]) for p in parts]).astype(bool)
 
 
 def _sums(contexts: int, context: np.ndarray, counts: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -248,19 +261,25 @@ class _Items:
     """The different items (context, follower) of a batch at one level, and how they are sent.
 
     ``names`` identify a context in every batch, ``totals`` are its training counts, ``local`` tells
-    that no other batch has it.  ``lower`` is the count of each item one level below, ``lower_size`` the
-    denominator there.  A context seen more than ``share`` times is cut into parts by the follower's
+    that no other batch has it, ``held`` that some held-out text has it.  ``lower`` is the count of each
+    item one level below, ``lower_held`` whether that is in a held-out text, ``lower_size`` the denominator
+    there; ``own_held`` tells of the item itself, in this batch.  A context seen more than ``share`` times is cut into parts by the follower's
     number, and every part of an asked context is asked for its sums."""
 
     def __init__(
-        self, names: list[np.ndarray], totals: np.ndarray, local: np.ndarray, asked: np.ndarray, context: np.ndarray, follower: np.ndarray,
-        learned: np.ndarray, lower: np.ndarray, lower_size: np.ndarray, buckets: int, share: int,
+        self, names: list[np.ndarray], totals: np.ndarray, local: np.ndarray, held: np.ndarray, asked: np.ndarray, context: np.ndarray, follower: np.ndarray,
+        learned: np.ndarray, lower: np.ndarray, lower_held: np.ndarray, own_held: np.ndarray, lower_size: np.ndarray, buckets: int, share: int,
     ):
         self.context, self.learned, self.lower, self.lower_size, self.n = context, learned, lower, lower_size, len(totals)
+        self.totals, self.own_held = totals, own_held
         possible = (totals[context] > 0) & (lower > 0)
         self.here = np.flatnonzero(possible & local[context])
-        self.sent = np.flatnonzero(possible & ~local[context])
-        wanted = asked & (totals > 0) & ~local
+        single = possible & ~local[context] & (learned > 0) & (lower == 1) & ~lower_held
+        self.single = np.flatnonzero(single)
+        self.sent = np.flatnonzero(possible & ~local[context] & ~single)
+        singles = np.bincount(context[self.single], minlength=self.n)
+        # contexts of up to five have low counts in any case
+        wanted = ~local & (totals > 0) & (asked | (held & (singles > 0)) | (totals > DISCOUNTED))
         wanted[context[self.sent]] = True
         contexts = np.flatnonzero(wanted)
         parts = 1 + totals[contexts] // share
@@ -274,11 +293,13 @@ class _Items:
         for name in names:
             key = X.mix(key + name[part_of].astype(X.U64) * X.U64(0x9E3779B97F4A7C15))
         bucket = (key % X.U64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        self.contexts = part_of[order]  # of each sent part
         # parts of one context can share a bucket and are told apart by the bits above the number
-        self.names = [names[0][self.contexts] | (salt[order] << 40), names[-1][self.contexts]]
+        first_names = names[0][part_of] | (salt << 40)
+        order = np.lexsort((names[-1][part_of], first_names, bucket))
+        self.contexts = part_of[order]  # of each sent part
+        self.names = [first_names[order], names[-1][self.contexts]]
         self.asked = asked[self.contexts]
+        self.singles = np.where(salt[order] == 0, singles[self.contexts], 0)
         place = np.empty(len(order), dtype=np.int64)
         place[order] = np.arange(len(order))
         at = place[first[context[self.sent]] + follower[self.sent] % n_parts[context[self.sent]]]
@@ -291,16 +312,17 @@ class _Items:
 
     def records(self, schema: dict, batch: int) -> Iterator[pa.RecordBatch]:
         """One row for each bucket that gets something, and one for what is counted here."""
-        own = self.learned[self.here]
+        own = np.concatenate([self.learned[self.here], np.ones(len(self.single), dtype=np.int64)])
         own = own[own > 0]
-        yield record(schema, [(-1, batch, *[None] * 8, [int(own.sum()), len(own), *map(int, _seen(own))])])
+        yield record(schema, [(-1, batch, *[None] * 10, [int(own.sum()), len(own), *map(int, _seen(own))])])
         for k in np.flatnonzero(np.diff(self.edges)).tolist():
             i, j = self.edges[k], self.edges[k + 1]
             p, q = self.follower_edges[k], self.follower_edges[k + 1]
             sent = self.sent[p:q]
             yield record(schema, [(
-                k, batch, pack(self.names[0][i:j]), pack(self.names[1][i:j]), pack(self.asked[i:j]), pack(self.lower_size[self.contexts[i:j]]),
-                pack(self.n_followers[i:j]), pack(self.followers[p:q]), pack(self.learned[sent]), pack(self.lower[sent]), None,
+                k, batch, pack(np.diff(self.names[0][i:j], prepend=0)), pack(self.names[1][i:j]), pack(self.asked[i:j]), pack(self.lower_size[self.contexts[i:j]]),
+                pack(self.singles[i:j]), pack(self.n_followers[i:j]), pack(self.followers[p:q]), pack(self.learned[sent]), pack(self.lower[sent]),
+                pack(self.own_held[sent]), None,
             )])
 
     def counted(self, parts: list[dict], d_lower: np.ndarray) -> _Counted:
@@ -308,28 +330,33 @@ class _Items:
         parts = sorted(parts, key=lambda p: p["bucket"])
         count = np.zeros(len(self.context), dtype=np.int64)
         count[self.here] = self.learned[self.here]
+        count[self.single] = 1
         alone = np.zeros(len(self.context), dtype=bool)
-        alone[self.here] = True
+        alone[self.here] = alone[self.single] = True
+        held = self.own_held.copy()
         context = self.context[self.here]
         sums, mass = _sums(self.n, context, self.learned[self.here], discounted(self.lower[self.here], d_lower) / self.lower_size[context])
-        low = sums[:, :DISCOUNTED].any(axis=1)
+        low = sums[:, :DISCOUNTED].any(axis=1) | ((self.totals > 0) & (self.totals <= DISCOUNTED))
+        low[self.context[self.single]] = True
         if parts:
             count[self.sent] = np.concatenate([unpack(p["totals"]) for p in parts])
             alone[self.sent] = np.concatenate([unpack(p["alone"]) for p in parts]).astype(bool)
+            held[self.sent] = np.concatenate([unpack(p["held"]) for p in parts]).astype(bool)
             low[self.contexts[np.concatenate([unpack(p["low"]) for p in parts]).astype(bool)]] = True
             asked = self.contexts[self.asked]
             np.add.at(sums, asked, np.concatenate([unpack(p["sums"]).reshape(DISCOUNTED + 1, -1).T for p in parts]))
             np.add.at(mass, asked, np.concatenate([np.frombuffer(p["mass"]) for p in parts]))
-        return _Counted(count, alone, low, sums, mass)
+        return _Counted(count, alone, held, low, sums, mass)
 
 
 @dataclass
 class _Counted:
-    """Per item: its training count and whether no other batch has it.  Per context: whether it has low
-    counts, and for asked ones the sums over followers."""
+    """Per item: its training count, whether no other batch has it, and whether a held-out text does.  Per
+    context: whether it has low counts, and for asked ones the sums over followers."""
 
     count: np.ndarray
     alone: np.ndarray
+    held: np.ndarray
     low: np.ndarray
     sums: np.ndarray
     mass: np.ndarray
@@ -366,9 +393,11 @@ class _Scorer:
         asked = np.zeros(len(b.words), dtype=bool)
         asked[before[~b.learned]] = True
         w, unigram = self.w, plan.unigram
+        held = np.zeros(len(self.pair_context), dtype=bool)
+        held[self.pair[~b.learned]] = True
         self.pairs = _Items(
-            [w.number], w.total, w.alone, asked, self.pair_context, w.number[self.pair_word], self.pair_learned, w.total[self.pair_word],
-            np.full(len(b.words), unigram.size), plan.buckets, plan.share,
+            [w.number], w.total, w.alone, w.held, asked, self.pair_context, w.number[self.pair_word], self.pair_learned, w.total[self.pair_word],
+            w.held[self.pair_word], held, np.full(len(b.words), unigram.size), plan.buckets, plan.share,
         )
 
     def count_pairs(self, row: dict) -> None:
@@ -389,8 +418,9 @@ class _Scorer:
         number = self.w.number
         self.triple_context, self.triple_pair = keys // n, first
         self.triples = _Items(
-            [number[self.pair_context], number[self.pair_word]], self.two.count, self.two.alone, asked, self.triple_context, number[keys % n], learned,
-            self.two.count[first], self.size_of_word[self.pair_word], self.plan.buckets, self.plan.share,
+            [number[self.pair_context], number[self.pair_word]], self.two.count, self.two.alone, self.two.held, asked, self.triple_context, number[keys % n],
+            learned, self.two.count[first], self.two.held[first], np.zeros(len(keys), dtype=bool), self.size_of_word[self.pair_word],
+            self.plan.buckets, self.plan.share,
         )
 
     def probabilities(self, row: dict, trigram: Level | None) -> np.ndarray:
@@ -411,7 +441,10 @@ class _Scorer:
         return out
 
 
-_SENT = "bucket int, batch bigint, a binary, b binary, asked binary, sizes binary, n_followers binary, followers binary, counts binary, lower binary, stats array<bigint>"
+_SENT = (
+    "bucket int, batch bigint, a binary, b binary, asked binary, sizes binary, singles binary, n_followers binary, followers binary, counts binary, lower binary, "
+    "held binary, stats array<bigint>"
+)
 _SENT_ARROW = {
     c.split()[0]: {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64())}[c.split()[1]] for c in _SENT.split(", ")
 }
@@ -430,22 +463,22 @@ def _send(plan: _Plan, order: int):
     return run
 
 
-_BACK = "batch bigint, bucket int, totals binary, alone binary, low binary, sums binary, mass binary, stats array<bigint>"
+_BACK = "batch bigint, bucket int, totals binary, alone binary, held binary, low binary, sums binary, mass binary, stats array<bigint>"
 
 
 def _sum_items(d_lower: np.ndarray):
     """Totals of every item, to each batch that has it, and the sums of each context part."""
     schema = {
-        "batch": pa.int64(), "bucket": pa.int32(), "totals": pa.binary(), "alone": pa.binary(), "low": pa.binary(), "sums": pa.binary(), "mass": pa.binary(),
+        "batch": pa.int64(), "bucket": pa.int32(), "totals": pa.binary(), "alone": pa.binary(), "held": pa.binary(), "low": pa.binary(), "sums": pa.binary(), "mass": pa.binary(),
         "stats": pa.list_(pa.int64()),
     }
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in groups_of(batches, "bucket"):
             if group[0]["bucket"] < 0:  # what the batches counted themselves
-                yield record(schema, [(None, -1, *[None] * 5, [sum(s) for s in zip(*(r["stats"] for r in group), strict=True)])])
+                yield record(schema, [(STATISTICS, -1, *[None] * 6, [sum(s) for s in zip(*(r["stats"] for r in group), strict=True)])])
                 continue
-            context = [unpack(r["a"]) for r in group]
+            context = [np.cumsum(unpack(r["a"])) for r in group]
             n_followers = [unpack(r["n_followers"]) for r in group]
             a, at_a = np.unique(np.concatenate(context), return_inverse=True)
             b, at_b = np.unique(np.concatenate([unpack(r["b"]) for r in group]), return_inverse=True)
@@ -458,11 +491,15 @@ def _sum_items(d_lower: np.ndarray):
             counts = np.bincount(at, weights=np.concatenate([unpack(r["counts"]) for r in group]), minlength=len(items)).astype(np.int64)
             alone = np.bincount(at, minlength=len(items)) == 1
             owner = of_follower[first]
+            held = np.bincount(at, weights=np.concatenate([unpack(r["held"]) for r in group]), minlength=len(items)) > 0
             sums, mass = _sums(len(known), owner, counts, discounted(lower[first], d_lower) / sizes[owner])
+            singles = np.bincount(context_at, weights=np.concatenate([unpack(r["singles"]) for r in group]), minlength=len(known)).astype(np.int64)
+            sums[:, 0] += singles
+            mass += singles * d_lower[1] / sizes
             low = sums[:, :DISCOUNTED].any(axis=1)
             seen = counts[counts > 0]
             bucket = group[0]["bucket"]
-            rows = [(None, bucket, *[None] * 5, [int(seen.sum()), len(seen), *map(int, _seen(seen))])]
+            rows = [(STATISTICS, bucket, *[None] * 6, [int(seen.sum()), len(seen), *map(int, _seen(seen))])]
             f = g = 0
             for r, own, n in zip(group, context, n_followers, strict=True):
                 mine = context_at[f : f + len(own)]
@@ -470,7 +507,7 @@ def _sum_items(d_lower: np.ndarray):
                 here = at[g : g + total]
                 asked = mine[unpack(r["asked"]).astype(bool)]
                 rows.append((
-                    r["batch"], bucket, pack(counts[here]), pack(alone[here]), pack(low[mine]), pack(sums[asked].T.reshape(-1)), mass[asked].tobytes(), None,
+                    r["batch"], bucket, pack(counts[here]), pack(alone[here]), pack(held[here]), pack(low[mine]), pack(sums[asked].T.reshape(-1)), mass[asked].tobytes(), None,
                 ))
                 f += len(own)
                 g += total
@@ -505,7 +542,8 @@ def _score(plan: _Plan, trigram: Level | None):
 
 def _level(back: DataFrame) -> Level:
     """The sums of the buckets' statistics (eight numbers)."""
-    sums = back.where("batch IS NULL").agg(*[F.sum(F.col("stats")[i]) for i in range(DISCOUNTED + 3)]).first()
+    rows = back.where(F.col("batch") == STATISTICS).select(F.explode("back.stats").alias("stats"))
+    sums = rows.agg(*[F.sum(F.col("stats")[i]) for i in range(DISCOUNTED + 3)]).first()
     tokens, different, *seen = [int(x or 0) for x in sums]
     return Level(tokens, different, tuple(seen))
 
@@ -530,30 +568,29 @@ def score_texts(docs: DataFrame, order: int = 3) -> DataFrame:
 
     def exchange(sent: DataFrame, sums, schema: str, name: str) -> tuple[Level, DataFrame]:
         """What the buckets sum: the level's statistics, and the parts that go back to each batch."""
-        parts = materialize(sent.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(sums, schema), name)
-        fields = [c.split()[0] for c in schema.split(", ") if c.split()[0] not in ("batch", "stats")]
-        back = materialize(
-            parts.where("batch IS NOT NULL").repartition(partitions, "batch").groupBy("batch").agg(F.collect_list(F.struct(*fields)).alias(f"{name}_back")), f"{name}-back"
-        )
-        level = _level(parts)
-        release(parts)
-        return level, back
+        parts = sent.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(sums, schema)
+        fields = [c.split()[0] for c in schema.split(", ") if c.split()[0] != "batch"]
+        back = materialize(parts.repartition(partitions, "batch").groupBy("batch").agg(F.collect_list(F.struct(*fields)).alias("back")), name)
+        return _level(back), back
+
+    def with_parts(known: DataFrame, back: DataFrame, name: str, how: str = "left") -> DataFrame:
+        return known.join(back.withColumnRenamed("back", name).hint("merge"), "batch", how)
 
     try:
         batches = spark.table(table)
         unigram, words = exchange(
-            batches.mapInArrow(_send_words(buckets), "bucket int, batch bigint, words binary, counts binary"), _sum_words(buckets),
-            "batch bigint, bucket int, numbers binary, totals binary, alone binary, stats array<bigint>", "words",
+            batches.mapInArrow(_send_words(buckets), "bucket int, batch bigint, words binary, counts binary, held binary"), _sum_words(buckets),
+            "batch bigint, bucket int, numbers binary, totals binary, alone binary, held binary, stats array<bigint>", "words",
         )
         plan = _Plan(buckets, 1 + unigram.tokens // (4 * buckets), unigram)
-        known = batches.join(words.hint("merge"), "batch")
+        known = with_parts(batches, words, "words_back", "inner")
         bigram, pairs = exchange(known.mapInArrow(_send(plan, 2), _SENT), _sum_items(unigram.discounts()), _BACK, "pairs")
         plan = replace(plan, bigram=bigram)
-        known = known.join(pairs.hint("merge"), "batch", "left")
+        known = with_parts(known, pairs, "pairs_back")
         trigram = None
         if order == 3:
             trigram, triples = exchange(known.mapInArrow(_send(plan, 3), _SENT), _sum_items(bigram.discounts()), _BACK, "triples")
-            known = known.join(triples.hint("merge"), "batch", "left")
+            known = with_parts(known, triples, "triples_back")
         scores = materialize(
             known.mapInArrow(
                 _score(plan, trigram), "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
