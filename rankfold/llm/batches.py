@@ -43,12 +43,12 @@ def range_slices(values: np.ndarray, buckets: int, bits: int) -> Iterator[tuple[
             yield bucket, int(edges[bucket]), int(edges[bucket + 1])
 
 
-def pack(values: np.ndarray) -> bytes:
+def pack(values: np.ndarray, level: int = 1) -> bytes:
     """Non-negative integers as compressed byte planes, the lowest first."""
     values = np.ascontiguousarray(values.astype("<u8"))
     width = max(1, -(-int(values.max()).bit_length() // 8)) if len(values) else 1
     planes = values.view(np.uint8).reshape(-1, 8)[:, :width].T
-    return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
+    return bytes([width]) + zstandard.ZstdCompressor(level=level).compress(np.ascontiguousarray(planes).tobytes())
 
 
 def unpack(raw: bytes) -> np.ndarray:

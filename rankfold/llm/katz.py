@@ -44,10 +44,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankfold.llm import textops as X
-from rankfold.llm.batches import groups_of, pack, range_slices, record, rows_of, unpack
+from rankfold.llm import batches as B
+from rankfold.llm.batches import groups_of, range_slices, record, rows_of, unpack
 from rankfold.session import delete_files, ensure_checkpoint_dir, materialize, release
 
-BATCH_BYTES = 6 << 20
+BATCH_BYTES = 5 << 20
 BATCH_DOCS = 200_000
 #: text bytes for each bucket of an exchange
 BUCKET_BYTES = 8 << 20
@@ -97,6 +98,11 @@ class Level:
         return out
 
 
+def pack(values: np.ndarray) -> bytes:
+    """Numbers for an exchange; most are small, so the slower compression pays."""
+    return B.pack(values, level=3)
+
+
 def discounted(counts: np.ndarray, d: np.ndarray) -> np.ndarray:
     return np.where(counts <= DISCOUNTED, d[np.minimum(counts, DISCOUNTED)], 1.0) * counts
 
@@ -187,7 +193,7 @@ class _Batch:
         before[self.starts] = self.start
         n = len(self.words)
         keys, pair = np.unique(before * n + self.tokens, return_inverse=True)
-        return keys // n, keys % n, np.bincount(pair, weights=self.learned, minlength=len(keys)).astype(np.int64), pair
+        return keys // n, keys % n, np.bincount(pair, weights=self.learned, minlength=len(keys)).astype(np.int64), pair.astype(np.int32)
 
 
 def _send_words(buckets: int):
@@ -270,7 +276,8 @@ class _Items:
         self, names: list[np.ndarray], totals: np.ndarray, local: np.ndarray, held: np.ndarray, asked: np.ndarray, context: np.ndarray, follower: np.ndarray,
         learned: np.ndarray, lower: np.ndarray, lower_held: np.ndarray, own_held: np.ndarray, lower_size: np.ndarray, buckets: int, share: int,
     ):
-        self.context, self.learned, self.lower, self.lower_size, self.n = context, learned, lower, lower_size, len(totals)
+        self.context, self.n = context.astype(np.int32), len(totals)  # a batch has fewer items than 2**31
+        self.learned, self.lower, self.lower_size = learned.astype(np.int32), lower, lower_size
         self.totals, self.own_held = totals, own_held
         possible = (totals[context] > 0) & (lower > 0)
         self.here = np.flatnonzero(possible & local[context])
@@ -406,17 +413,19 @@ class _Scorer:
         # triples: tokens with at least one token of the text before them, after the pair of that one
         inner = np.ones(len(self.b.tokens), dtype=bool)
         inner[self.b.starts] = False
-        self.inner = np.flatnonzero(inner)
+        self.inner = np.flatnonzero(inner).astype(np.int32)
         after, own = self.pair[self.inner - 1], self.pair[self.inner]
         n = len(self.b.words)
-        keys, self.triple = np.unique(after * n + self.b.tokens[self.inner], return_inverse=True)
+        keys, triple = np.unique(after.astype(np.int64) * n + self.b.tokens[self.inner], return_inverse=True)
+        self.triple = triple.astype(np.int32)
+        del triple
         first = np.zeros(len(keys), dtype=np.int64)
         first[self.triple] = own
         learned = np.bincount(self.triple, weights=self.b.learned[self.inner], minlength=len(keys)).astype(np.int64)
         asked = np.zeros(len(self.pair_context), dtype=bool)
         asked[after[~self.b.learned[self.inner]]] = True
         number = self.w.number
-        self.triple_context, self.triple_pair = keys // n, first
+        self.triple_context, self.triple_pair = (keys // n).astype(np.int32), first.astype(np.int32)
         self.triples = _Items(
             [number[self.pair_context], number[self.pair_word]], self.two.count, self.two.alone, self.two.held, asked, self.triple_context, number[keys % n],
             learned, self.two.count[first], self.two.held[first], np.zeros(len(keys), dtype=bool), self.size_of_word[self.pair_word],
