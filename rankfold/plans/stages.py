@@ -79,14 +79,15 @@ def part(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def implicit_train(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct (user_idx, movie_idx) train pairs with a rating >= the implicit threshold."""
-    return (
-        part(spark, sf_dir, "train")
-        .groupBy("user_idx", "movie_idx")
-        .agg(F.max("rating").alias("_r"))
-        .where(F.col("_r") >= S.IMPLICIT_THRESHOLD)
-        .select("user_idx", "movie_idx")
-    )
+    """Distinct (user_idx, movie_idx) train pairs with a rating >= the implicit threshold, written once:
+    the counts, the lists and the masks of seen items all read them."""
+
+    def build() -> DataFrame:
+        # a pair's best rating reaches the threshold if any of its rows does
+        liked = part(spark, sf_dir, "train").where(F.col("rating") >= S.IMPLICIT_THRESHOLD)
+        return materialize(liked.select("user_idx", "movie_idx").distinct(), "implicit-train")
+
+    return _memo(spark, sf_dir, ("implicit_train",), build)
 
 
 def user_universe(spark: SparkSession, sf_dir: str) -> DataFrame:

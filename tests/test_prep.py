@@ -53,6 +53,31 @@ def test_a_pass_looks_only_at_edges_of_removed_nodes(spark):
     assert sum(res.removed) <= 2 * len(chain) and res.passes == len(res.removed) > 5
 
 
+def test_core_rows_are_scanned_where_few_nodes_go(spark, monkeypatch):
+    """The core without a shuffle of its rows, and the same rows where the removed nodes are too many to broadcast."""
+    from rankfold.plans.explain import summarise
+    from rankfold.session import materialize
+
+    rows = [(u, i, 1.0) for u in range(8) for i in range(8)] * 2 + [(50, 1, 2.0), (1, 60, 2.0), (None, 2, 3.0), (2, None, 3.0), (51, 60, 4.0)]
+    ratings = materialize(spark.createDataFrame(rows, "userId long, movieId long, rating double"), "test-ratings")
+    few = prep.kcore(ratings, 4, 4)
+    assert summarise(few.ratings)["shuffles"] == 0 and summarise(few.ratings)["sort_merge_joins"] == 0
+    monkeypatch.setattr(prep, "BROADCAST_NODES", 0)
+    many = prep.kcore(ratings, 4, 4)
+    assert sorted(map(tuple, few.ratings.collect())) == sorted(map(tuple, many.ratings.collect()))
+    assert few.ratings.columns == many.ratings.columns and few.passes == many.passes and few.ratings.count() == 128
+
+
+def test_implicit_pairs_are_written_once(spark, small_dir):
+    from rankfold.plans import sql as S
+    from rankfold.plans import stages as P
+
+    pairs = P.implicit_train(spark, small_dir)
+    best = P.part(spark, small_dir, "train").groupBy("user_idx", "movie_idx").agg(F.max("rating").alias("r")).where(F.col("r") >= S.IMPLICIT_THRESHOLD)
+    assert sorted(map(tuple, pairs.collect())) == sorted((r.user_idx, r.movie_idx) for r in best.collect())
+    assert P.implicit_train(spark, small_dir) is pairs
+
+
 def test_cuts_match_sorting(spark):
     """Cut keys from bucket counts: ties at cuts, negative and very large keys, nulls, cuts at the ends."""
     rng = np.random.default_rng(4)
