@@ -11,6 +11,7 @@ from rankfold.operators import stats as ST
 from rankfold.plans import stages as P
 from rankfold.plans import sql as S
 from rankfold.plans.catalog import r6, register
+from rankfold.session import materialize
 from rankfold.sources import tables
 
 GL = (
@@ -551,8 +552,10 @@ def q_bm25_weight(spark, sf):
     ),
 )
 def q_random_split(spark, sf):
+    # read by the key counts and by both parts of the split: joined and written once
+    rows = materialize(P.ratings(spark, sf), "split-ratings")
     return prep.random_split(
-        P.ratings(spark, sf), ("userId", "movieId", "timestamp", "rating"), 0.2, S.SEED
+        rows, ("userId", "movieId", "timestamp", "rating"), 0.2, S.SEED
     ).select("userId", "movieId", "rating", "timestamp", "split")
 
 

@@ -78,6 +78,15 @@ def test_implicit_pairs_are_written_once(spark, small_dir):
     assert P.implicit_train(spark, small_dir) is pairs
 
 
+def test_the_random_split_joins_its_ratings_once(spark, small_dir):
+    from rankfold.plans import catalog
+    from rankfold.plans import stages as P
+
+    out = catalog.QUERIES["random_split"](spark, small_dir)
+    assert "lineitem" not in " ".join(out.inputFiles())
+    assert sorted(map(tuple, out.drop("split").collect())) == sorted(map(tuple, P.ratings(spark, small_dir).collect()))
+
+
 def test_cuts_match_sorting(spark):
     """Cut keys from bucket counts: ties at cuts, negative and very large keys, nulls, cuts at the ends."""
     rng = np.random.default_rng(4)
