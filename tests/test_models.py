@@ -183,3 +183,46 @@ def test_best_rows_match_sorting_with_ties():
             free = [j for j in range(30) if np.isfinite(scores[i, j])]
             expected = sorted(free, key=lambda j: (-scores[i, j], j))[:k]
             assert columns[rows == i].tolist() == expected and ranks[rows == i].tolist() == list(range(1, len(expected) + 1))
+
+
+def test_a_query_leaves_each_tile_with_one_list(spark, monkeypatch):
+    """Blocks that cannot be skipped meet the chunks in tiles, not pair by pair."""
+    import numpy as np
+
+    from rankfold.operators import vectors as V
+
+    rng = np.random.default_rng(5)
+    data = rng.normal(size=(900, 6))
+    items = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "item_idx long, vec array<double>")
+    index = V.build_index(items, "item_idx", "vec", False, 10)
+    rows = items.where("item_idx % 9 = 0").selectExpr("item_idx AS _l", "5 AS _k", "array(item_idx) AS _seen", "transform(vec, x -> x / 100) AS _rv")
+    chunks = V.pack_chunks(rows, False)
+    monkeypatch.setattr(V, "TILES_PER_CORE", 1)
+    assert index.count() > 60
+    per_query = {r["_l"]: r["count"] for r in V.search(chunks, index, False).groupBy("_l").count().collect()}
+    assert len(per_query) == 100 and max(per_query.values()) <= 5 * (V.PROBES + 12)
+    scores = data[::9] @ data.T / 100
+    got = V.top_scores(rows.selectExpr("_l AS q", "_rv AS vec"), items, 5, "q", "item_idx", cosine=False, seen=rows.selectExpr("_l AS q", "_l AS item_idx"), block_vectors=10).collect()
+    for q in range(100):
+        expected = sorted((i for i in range(900) if i != 9 * q), key=lambda i: (-round(float(scores[q, i]), 9), i))[:5]
+        assert [r.neighbor for r in sorted(got, key=lambda r: r["rank"]) if r.q == 9 * q] == expected
+
+
+def test_tiles_hold_every_pair_and_send_a_block_once_for_many_chunks(spark):
+    import pyarrow as pa
+
+    from rankfold.operators.vectors import tiled
+
+    chunks = spark.range(12, numPartitions=3).selectExpr("id AS chunk", "cast('k' AS binary) AS keys", "cast('12345678' AS binary) AS queries", "cast('s' AS binary) AS seen")
+    index = spark.range(20, numPartitions=4).selectExpr("id AS block", "cast('k' AS binary) AS ids", "cast('s' AS binary) AS starts", "cast('12345678' AS binary) AS matrix")
+
+    def work(left: pa.Table, right: pa.Table) -> pa.Table:
+        pairs = [(c, b) for c in left["chunk"].to_pylist() for b in right["block"].to_pylist()]
+        return pa.table({"chunk": [c for c, _ in pairs], "block": [b for _, b in pairs], "blocks": [right.num_rows] * len(pairs), "chunks": [left.num_rows] * len(pairs)})
+
+    got = tiled(chunks, None, index, work, "chunk long, block long, blocks long, chunks long", tile_bytes=40).collect()
+    assert sorted((r.chunk, r.block) for r in got) == [(c, b) for c in range(12) for b in range(20)]
+    assert {(r.chunks, r.blocks) for r in got} == {(4, 4)}
+    routes = spark.createDataFrame([(0, 1), (1, 1), (11, 19)], "chunk long, block long")
+    routed = tiled(chunks, chunks.selectExpr("chunk", "1 AS one"), index, work, "chunk long, block long, blocks long, chunks long", routes, 40).collect()
+    assert sorted((r.chunk, r.block, r.chunks, r.blocks) for r in routed) == [(0, 1, 2, 1), (1, 1, 2, 1), (11, 19, 1, 1)]
