@@ -89,12 +89,9 @@ def histogram_statistics(reference: DataFrame, current: DataFrame, group: str |
     counted = both.groupBy(*value).agg(F.sum("c_ref").alias("c_ref")).join(ref_totals.select("feature", "n_ref", "_lo"), "feature")
     counted = counted.withColumn("_w", F.coalesce(F.col("c_ref") * (F.col("value") - F.col("_lo")), F.lit(0.0)))
     merged = running_totals(counted, ["value", "category"], ["c_ref", "_w"], group_cols=["feature"])
-    points = materialize(
-        merged.select(
-            *value, "c_ref", (F.col("c_ref") / F.col("n_ref")).alias("p"), (F.col("c_ref_cum") / F.col("n_ref")).alias("f"),
-            ((F.col("value") - F.col("_lo")) * F.col("c_ref_cum") / F.col("n_ref") - F.col("_w_cum") / F.col("n_ref")).alias("area"),
-        ),
-        "drift-points",
+    points = merged.select(
+        *value, "c_ref", (F.col("c_ref") / F.col("n_ref")).alias("p"), (F.col("c_ref_cum") / F.col("n_ref")).alias("f"),
+        ((F.col("value") - F.col("_lo")) * F.col("c_ref_cum") / F.col("n_ref") - F.col("_w_cum") / F.col("n_ref")).alias("area"),
     )
     shared = current.join(cur_totals, [*g, "feature"]).withColumn("one", F.lit(1))
     placed = running_totals(shared, ["value", "category"], ["n", "one"], group_cols=[*g, "feature"])
@@ -109,7 +106,7 @@ def histogram_statistics(reference: DataFrame, current: DataFrame, group: str |
     # the first reference value at which its share reaches c
     levels = points.where("value IS NOT NULL AND c_ref > 0").select("feature", F.col("f").alias("level"), F.lit(1).alias("_ref"), F.lit(1).alias("one"), "value", "area", *[F.lit(None).cast(own.schema[k].dataType).alias(k) for k in g], F.lit(None).cast("bigint").alias("at"))
     asked = own.where("value IS NOT NULL").select("feature", F.col("c").alias("level"), F.lit(0).alias("_ref"), F.lit(0).alias("one"), F.lit(None).cast("double").alias("value"), F.lit(None).cast("double").alias("area"), *g, "at")
-    ordered = materialize(running_totals(levels.unionByName(asked), ["level", "_ref"], ["one"], group_cols=["feature"]), "drift-levels")
+    ordered = running_totals(levels.unionByName(asked), ["level", "_ref"], ["one"], group_cols=["feature"])
     reached = ordered.where("_ref = 1").select("feature", F.col("one_cum").cast("bigint").alias("_k"), F.col("value").alias("cross"), F.col("area").alias("cross_area"))
     crossing = ordered.where("_ref = 0").select("feature", (F.col("one_cum") + 1).cast("bigint").alias("_k"), *g, "at").join(reached, ["feature", "_k"])
     rows = own.join(after, [*g, "feature", "at"], "left").join(crossing.drop("_k"), [*g, "feature", "at"], "left").join(ref_totals, "feature")
