@@ -50,15 +50,15 @@ def positions(
     of the tied rows gets which is immaterial because they are equal on ``order``.
     """
     at = F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("bigint"), 33)
-    ranged = materialize(_ranged(df, order, num_partitions).withColumn("_at", at), "positions")
+    ranged = materialize(_ranged(df, order, num_partitions).withColumn("_mid", at), "positions")
     sizes = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     # one row per partition: a global window here is over at most num_partitions rows
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     return (
         ranged.join(F.broadcast(offsets), "_pid")
-        .withColumn(out, (F.col("_off") + F.col("_at")).cast("bigint"))
-        .drop("_pid", "_at", "_off")
+        .withColumn(out, (F.col("_off") + F.col("_mid")).cast("bigint"))
+        .drop("_pid", "_mid", "_off")
     )
 
 
