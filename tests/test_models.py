@@ -226,3 +226,45 @@ def test_tiles_hold_every_pair_and_send_a_block_once_for_many_chunks(spark):
     routes = spark.createDataFrame([(0, 1), (1, 1), (11, 19)], "chunk long, block long")
     routed = tiled(chunks, chunks.selectExpr("chunk", "1 AS one"), index, work, "chunk long, block long, blocks long, chunks long", routes, 40).collect()
     assert sorted((r.chunk, r.block, r.chunks, r.blocks) for r in routed) == [(0, 1, 2, 1), (1, 1, 2, 1), (11, 19, 1, 1)]
+
+
+@pytest.mark.parametrize("rank", [2, 9])
+def test_als_rows_solve_their_normal_equations(rank):
+    """Rows with fewer interactions than the rank and with more, weights of zero and below included."""
+    import numpy as np
+
+    from rankfold.operators import models as MD
+
+    rng = np.random.default_rng(3)
+    vectors = rng.standard_normal((30, rank)).astype(np.float32)
+    starts, at = np.array([0, 1, 5, 9]), rng.integers(0, 30, 24)
+    weight = rng.uniform(0.1, 2, 24)
+    weight[[2, 11]] = 0.0, -0.7
+    gram = vectors.astype(float).T @ vectors.astype(float)
+    values, basis = np.linalg.eigh(gram)
+    got = MD.solve_rows(vectors, starts, at, weight, values, basis, 0.01, 40.0)
+    for row, (first, last) in enumerate(zip(starts, [*starts[1:], 24], strict=True)):
+        y, w = vectors[at[first:last]].astype(float), weight[first:last]
+        left = gram + (y * (40.0 * np.abs(w))[:, None]).T @ y + 0.01 * (w > 0).sum() * np.eye(rank)
+        want = np.linalg.solve(left, np.where(w > 0, 1 + 40.0 * w, 0.0) @ y)
+        np.testing.assert_allclose(got[row], want, rtol=1e-5, atol=1e-6)
+
+
+def test_als_equals_sparks(spark):
+    """Same factors as Spark's ALS, whose solver worked one user at a time."""
+    import numpy as np
+    from pyspark.ml.recommendation import ALS
+
+    from rankfold.operators import models as MD
+
+    rng = np.random.default_rng(4)
+    rows = [(u, int(i), float(rng.uniform(0.1, 3))) for u in range(40) for i in rng.choice(25, 1 + u % 9, replace=False)]
+    df = spark.createDataFrame(rows, "user_idx int, movie_idx int, confidence double")
+    users, items = MD.als_factors(df, rank=5, reg=0.01, iterations=2, alpha=40.0)
+    model = ALS(
+        rank=5, maxIter=2, regParam=0.01, implicitPrefs=True, alpha=40.0, userCol="user_idx", itemCol="movie_idx", ratingCol="confidence", seed=42, numUserBlocks=2, numItemBlocks=2
+    ).fit(df)
+    for mine, other, key in ((users, model.userFactors, "user_idx"), (items, model.itemFactors, "movie_idx")):
+        got, want = {r[key]: r.vec for r in mine.collect()}, {r.id: r.features for r in other.collect()}
+        assert set(got) == set(want)
+        np.testing.assert_allclose([got[k] for k in sorted(got)], [want[k] for k in sorted(want)], atol=1e-5)
