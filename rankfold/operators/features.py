@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankfold.functions import movie_year, parse_genres, popularity_score
 from rankfold.operators.ordering import dense_index
+from rankfold.session import materialize
 
 
 def item_genres(movies: DataFrame, movie_map: DataFrame) -> DataFrame:
@@ -83,6 +86,39 @@ def item_features(train: DataFrame, items: DataFrame, movies: DataFrame, movie_m
     )
 
 
+# bytes of texts whose words a task counts
+TEXT_BYTES = 32 << 20
+#: most frequent terms whose document frequencies are broadcast
+BROADCAST_TERMS = 1 << 17
+
+
+def term_counts(texts: DataFrame, words_of: Callable[[DataFrame], DataFrame], item_col: str = "movieId", term_col: str = "tag") -> DataFrame:
+    """(item, term, tf), written: the words of each item's ``text`` rows.
+
+    The texts, much smaller than their words one by one, are shuffled by item and counted there.  An
+    item with more text than ``TEXT_BYTES`` is dealt to several tasks, whose counts are summed afterwards.
+    """
+    sizes = materialize(texts.groupBy(item_col).agg(F.sum(F.length("text").cast("long") * 2).alias("_bytes")), "text-sizes")
+    total = sizes.agg(F.sum("_bytes")).first()[0] or 0
+    shares = sizes.where(F.col("_bytes") > TEXT_BYTES).select(item_col, F.ceil(F.col("_bytes") / TEXT_BYTES).cast("int").alias("_parts"))
+    # at most one such item for each TEXT_BYTES of texts
+    dealt = texts.join(F.broadcast(shares), item_col, "left").withColumn("_part", F.pmod(F.xxhash64("text"), F.coalesce("_parts", F.lit(1))))
+    parts = max(texts.sparkSession.sparkContext.defaultParallelism, -(-total // TEXT_BYTES))
+    dealt = dealt.select(item_col, "_part", F.col("_parts").isNotNull().alias("_long"), "text").repartition(parts, item_col, "_part")
+    words = words_of(dealt).groupBy(item_col, "_part", "_long", term_col).agg(F.count(F.lit(1)).alias("tf"))
+    counted = materialize(words.sortWithinPartitions(item_col, term_col), "tfidf-counts")
+    whole = counted.where(~F.col("_long")).select(item_col, term_col, "tf")
+    if not shares.isEmpty():
+        long = counted.where("_long").groupBy(item_col, term_col).agg(F.sum("tf").alias("tf"))
+        whole = whole.unionByName(materialize(long, "tfidf-long"))
+    return whole
+
+
+def text_tfidf(texts: DataFrame, words_of: Callable[[DataFrame], DataFrame], item_col: str = "movieId", term_col: str = "tag") -> DataFrame:
+    """:func:`tag_tfidf` of the words of (item, text)."""
+    return weigh_terms(term_counts(texts, words_of, item_col, term_col), item_col, term_col)
+
+
 def tag_tfidf(tags: DataFrame, item_col: str = "movieId", term_col: str = "tag", count_col: str | None = None) -> DataFrame:
     """(item, term, tfidf): raw counts × smooth idf ln((1+N)/(1+df)) + 1, rows L2-normalised.
 
@@ -90,21 +126,31 @@ def tag_tfidf(tags: DataFrame, item_col: str = "movieId", term_col: str = "tag",
     present in every item (or one item holding a third of all tags) stays a partial sum.
     ``count_col``: the input is already pre-aggregated with this multiplicity column.
     """
-    from rankfold.session import materialize  # noqa: PLC0415
-
-    # term counts feed three consumers (N, document frequency, weights): written once as a
-    # table so the tokenisation upstream runs once
     n = F.sum(count_col) if count_col else F.count(F.lit(1))
-    tf = materialize(tags.groupBy(item_col, term_col).agg(n.alias("tf")), "tfidf-tf")
+    return weigh_terms(materialize(tags.groupBy(item_col, term_col).agg(n.alias("tf")), "tfidf-tf"), item_col, term_col)
+
+
+def weigh_terms(tf: DataFrame, item_col: str, term_col: str) -> DataFrame:
+    """:func:`tag_tfidf` of written counts (item, term, tf).
+
+    The frequencies of the most frequent terms are broadcast: only the rows of the other, rare terms are
+    shuffled by term, and all rows once by item.
+    """
     n_docs = tf.select(item_col).distinct().count()  # scalar read from the written table
-    df = tf.groupBy(term_col).agg(F.count(F.lit(1)).alias("df"))
-    w = tf.join(df, term_col).select(
-        item_col,
-        term_col,
-        (F.col("tf") * (F.log((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0)).alias("_w"),
-    )
-    norms = w.groupBy(item_col).agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_norm"))
-    return w.join(norms, item_col).select(item_col, term_col, (F.col("_w") / F.col("_norm")).alias("tfidf"))
+    df = materialize(tf.groupBy(term_col).agg(F.count(F.lit(1)).alias("df")), "tfidf-df")
+    # the least frequency at which no more than BROADCAST_TERMS terms are as frequent or more
+    per_df = df.groupBy("df").count()
+    at_least = per_df.select("df", F.sum("count").over(Window.orderBy(F.col("df").desc())).alias("n"))  # one row for each frequency
+    cut = at_least.where(F.col("n") <= BROADCAST_TERMS).agg(F.min("df")).first()[0]
+    rare = df if cut is None else df.where(F.col("df") < cut)
+    parts = [tf.join(rare, term_col)] if cut is None or not rare.isEmpty() else []
+    if cut is not None:
+        parts.append(tf.join(F.broadcast(df.where(F.col("df") >= cut)), term_col))
+    weight = F.col("tf") * (F.log((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0)
+    w = reduce(DataFrame.unionByName, [p.select(item_col, term_col, "tf", "df") for p in parts])
+    norms = w.groupBy(item_col).agg(F.sqrt(F.sum(weight * weight)).alias("_norm"))
+    # counts are sent, which compress better than their weights
+    return w.join(norms, item_col).select(item_col, term_col, (weight / F.col("_norm")).alias("tfidf"))
 
 
 def bm25_weight(

@@ -147,13 +147,24 @@ def q_surviving_movies(spark, sf):
     ),
 )
 def q_surviving_tags(spark, sf):
+    return tables.words_of(surviving_texts(spark, sf)).select("userId", "movieId", "tag", "timestamp")
+
+
+def surviving_texts(spark, sf):
+    """The texts of movies and users that are left: their few (user, movie) pairs meet the id maps and then
+    the texts, which are cut into words last."""
     enc = P.encoded(spark, sf)
-    return (
-        tables.tags(spark, sf)
+    texts = tables.tag_texts(spark, sf)
+    pairs = (
+        texts.select("userId", "movieId").distinct()
         .join(enc.movie_map.select(F.col("original_id").alias("movieId")), "movieId", "left_semi")
         .join(enc.user_map.select(F.col("original_id").alias("userId")), "userId", "left_semi")
-        .select("userId", "movieId", "tag", "timestamp")
     )
+    pairs = materialize(pairs, "tagged-pairs")
+    n_pairs = pairs.count()
+    # the texts stream past a hash table of the pairs: neither sorted nor held
+    kept = F.broadcast(pairs) if n_pairs <= prep.BROADCAST_NODES else pairs.hint("shuffle_hash")
+    return texts.join(kept, ["userId", "movieId"], "left_semi")
 
 
 # ------------------------------------------------------------ aggregates (A-series)
@@ -512,14 +523,8 @@ TFIDF_SQL = [
     ),
 )
 def q_tag_tfidf(spark, sf):
-    enc = P.encoded(spark, sf)
-    # token rows collapse map-side to (user, movie, tag) counts before the survival joins
-    counted = tables.tags(spark, sf).groupBy("userId", "movieId", "tag").agg(F.count(F.lit(1)).alias("n"))
-    stags = (
-        counted.join(enc.movie_map.select(F.col("original_id").alias("movieId")), "movieId", "left_semi")
-        .join(enc.user_map.select(F.col("original_id").alias("userId")), "userId", "left_semi")
-    )
-    return FE.tag_tfidf(stags, count_col="n").select("movieId", "tag", r6("tfidf").alias("tfidf"))
+    texts = surviving_texts(spark, sf).select("movieId", "text")
+    return FE.text_tfidf(texts, tables.words_of).select("movieId", "tag", r6("tfidf").alias("tfidf"))
 
 
 @register(

@@ -67,22 +67,30 @@ def movies(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+def tag_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(userId, movieId, text, timestamp): the documents whose words are the tags."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     # scalar table sizes (one number each)
     n_cust = table(spark, sf_dir, "customer").count()
     n_part = table(spark, sf_dir, "part").count()
-    words = docs.select(
-        "doc_id", F.explode(F.split(F.lower(F.col("text")), TAG_TOKEN_SPLIT)).alias("tag")
-    ).filter(F.col("tag") != "")
-    return words.select(
+    return docs.select(
         (F.col("doc_id") % F.lit(n_cust)).cast("bigint").alias("userId"),
         (F.col("doc_id") % F.lit(n_part)).cast("bigint").alias("movieId"),
-        F.col("tag"),
+        "text",
         F.col("doc_id").cast("bigint").alias("timestamp"),
     )
 
 
+def words_of(texts: DataFrame) -> DataFrame:
+    """One row ``tag`` per word of the lower-cased ``text``, in its place."""
+    columns = [F.explode(F.split(F.lower("text"), TAG_TOKEN_SPLIT)).alias("tag") if c == "text" else F.col(c) for c in texts.columns]
+    return texts.select(*columns).where(F.col("tag") != "")
+
+
+def tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return words_of(tag_texts(spark, sf_dir))
+
+
 def item_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").cast("bigint").alias("item_idx"),
