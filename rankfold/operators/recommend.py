@@ -2,21 +2,25 @@
 
 Common output: ``(user_idx, movie_idx, score, rank)`` with rank 1..n.
 
-Seen-item exclusion never builds a user × catalogue product.  A user with ``s``
-seen items needs at most the first ``n + s`` entries of a global ranking, so each
-user expands to ``n + s`` ranking positions (linear in the interaction count), those
-are equi-joined to the ranking, seen pairs are removed with an anti-join on the
-(user, item) pair — a key without skew even when one user is hot — and a
-``row_number() <= n`` keeps the list (planned as a WindowGroupLimit, which trims
-before and after the shuffle).
+Seen-item exclusion never builds a user × catalogue product.  The first ``n`` unseen entries of a
+global ranking lie among its first ``n + s`` for a user with ``s`` seen items, so only seen items in that
+head of the ranking matter: what is counted of them for each user is how many lie between two unseen
+entries, which gives the positions of the list (:func:`recommend_from_ranking`).  The random
+baseline walks a permutation of its own for each user and skips what the user has seen.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rankfold.operators.ordering import positions
+from rankfold.operators.prep import few
 
 
 def top_k_per_user(
@@ -50,27 +54,18 @@ def popularity_ranking(interactions: DataFrame, items: DataFrame, item_col: str
     return ranked.select(item_col, "pop", (F.col("pop") / F.lit(denom)).alias("score"), "prank")
 
 
-# positions per expansion chunk: a hot user's range is spread over many tasks
-EXPANSION_CHUNK = 65_536
-
+def _skipped(seen: DataFrame, head: DataFrame, n: int, user_col: str, item_col: str) -> DataFrame:
+    """(user, gaps): for each number ``d`` < n of unseen entries, how many seen ones follow directly
+    after the ``d``-th unseen entry of the ranking's head.
 
-def _expand_positions(users: DataFrame, seen: DataFrame, n: int, width: int, user_col: str) -> DataFrame:
-    """(user, t) for t in [0, n + s + width) where s = #seen items of the user.
-
-    Two-level expansion: first one row per (user, chunk of EXPANSION_CHUNK positions),
-    hash-distributed on (user, chunk), then the positions inside each chunk — so a user
-    with a third of all interactions is expanded by many tasks, not one.
+    Only a user's seen entries before its n-th unseen one are kept, and of these one count for each d.
     """
-    s = seen.groupBy(user_col).agg(F.count(F.lit(1)).alias("_s"))
-    sized = users.join(s, user_col, "left").select(
-        user_col, (F.lit(n + width) + F.coalesce(F.col("_s"), F.lit(0))).alias("_len")
-    )
-    chunks = sized.select(
-        user_col, "_len", F.explode(F.sequence(F.lit(0), F.floor((F.col("_len") - 1) / EXPANSION_CHUNK))).alias("_c")
-    ).repartition(user_col, "_c")
-    start = F.col("_c") * EXPANSION_CHUNK
-    end = F.least(F.col("_len"), start + EXPANSION_CHUNK) - 1
-    return chunks.where(F.col("_len") > 0).select(user_col, F.explode(F.sequence(start, end)).alias("_t"))
+    met = seen.select(user_col, item_col).join(head.select(item_col, "prank"), item_col).select(user_col, "prank")
+    w = Window.partitionBy(user_col).orderBy("prank")
+    ahead = met.withColumn("_d", F.col("prank") - F.dense_rank().over(w) + 1).where(F.col("_d") < n)
+    # entries with the same d are neighbours; repeated pairs count once
+    runs = ahead.groupBy(user_col, "_d").agg((F.max("prank") - F.min("prank") + 1).alias("_c"))
+    return runs.groupBy(user_col).agg(F.collect_list(F.struct(F.col("_d").alias("d"), F.col("_c").alias("c"))).alias("_gaps"))
 
 
 def recommend_from_ranking(
@@ -85,22 +80,21 @@ def recommend_from_ranking(
 ) -> DataFrame:
     """First ``n`` entries of one global ranking per user, skipping the user's seen items."""
     ranking = ranking.select(item_col, "score", "prank")
-    if not exclude_seen:
-        seen = seen.limit(0)
-    max_seen = seen.groupBy(user_col).count().agg(F.max("count")).first()[0] or 0
-    head_rows = min(n_items, n + max_seen)
-    cand = _expand_positions(users, seen, n, 0, user_col).where(F.col("_t") < n_items)
-    head = ranking.where(F.col("prank") < head_rows).withColumnRenamed("prank", "_t")
-    joined = cand.join(head, "_t")
+    n = max(n, 0)
+    lists = users.select(user_col)
+    head_rows = min(n_items, n)
+    position = F.col("_j").cast("bigint")
     if exclude_seen:
-        # a shuffle at every size: a table of pairs read from Parquet has a small file for its rows
-        joined = joined.join(seen.select(user_col, item_col).hint("merge"), [user_col, item_col], "left_anti")
-    w = Window.partitionBy(user_col).orderBy("_t")
-    return (
-        joined.withColumn("rank", F.row_number().over(w))
-        .where(F.col("rank") <= n)
-        .select(user_col, item_col, "score", "rank")
-    )
+        max_seen = seen.groupBy(user_col).count().agg(F.max("count")).first()[0] or 0
+        head_rows = min(n_items, n + max_seen)
+        gaps = _skipped(seen, few(ranking.where(F.col("prank") < head_rows), head_rows), n, user_col, item_col)
+        lists = lists.join(gaps, user_col, "left")
+        before = F.filter("_gaps", lambda g: g["d"] <= F.col("_j"))
+        position = position + F.coalesce(F.aggregate(before, F.lit(0).cast("bigint"), lambda acc, g: acc + g["c"]), F.lit(0))
+    ranks = F.sequence(F.lit(0), F.lit(n - 1)) if n else F.array().cast("array<int>")
+    wanted = lists.withColumn("_j", F.explode(ranks)).select(user_col, (F.col("_j") + 1).alias("rank"), position.alias("prank"))
+    head = few(ranking.where(F.col("prank") < head_rows), head_rows)
+    return wanted.where(F.col("prank") < n_items).join(head, "prank").select(user_col, item_col, "score", "rank")
 
 
 def recommend_popular(
@@ -116,6 +110,48 @@ def recommend_popular(
     return recommend_from_ranking(users, ranking, interactions, n, n_items, exclude_seen)
 
 
+# steps of walks held at a time
+WALK_ELEMENTS = 1 << 20
+
+
+def _walk(user_col: str, item_col: str, n: int, n_items: int, prime: int):
+    """The first ``n`` unseen items of each user's walk.  Some steps beyond ``n`` are tried first, and twice
+    as many again for the users who have not found ``n`` items by then."""
+
+    def found(a: np.ndarray, b: np.ndarray, steps: int, seen_at: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        items = (a[:, None] * np.arange(steps) + b[:, None]) % prime
+        keys = np.arange(len(a))[:, None] * prime + items
+        known = np.repeat(np.arange(len(a)), np.diff(seen_at)) * prime + seen
+        free = (items < n_items) & ~np.isin(keys, known)
+        rank = np.cumsum(free, axis=1)
+        return items, np.where(free & (rank <= n), rank, 0), rank[:, -1] >= n
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            users, lists = batch.column(user_col), batch.column("_seen")
+            a, b = batch.column("_a").to_numpy(), batch.column("_b").to_numpy()
+            at, flat = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy()
+            todo, steps = np.arange(len(a)), min(n + 8, prime)
+            while len(todo) and n > 0:
+                late = []
+                size = max(1, WALK_ELEMENTS // steps)
+                for first in range(0, len(todo), size):
+                    rows = todo[first : first + size]
+                    counts = at[rows + 1] - at[rows]
+                    seen_at = np.concatenate([[0], np.cumsum(counts)])
+                    own = flat[np.arange(seen_at[-1]) + np.repeat(at[rows] - seen_at[:-1], counts)]
+                    items, ranks, full = found(a[rows], b[rows], steps, seen_at, own)
+                    done = full | (steps >= prime)
+                    late.append(rows[~done])
+                    r, c = np.nonzero((ranks > 0) & done[:, None])
+                    yield pa.RecordBatch.from_arrays(
+                        [users.take(pa.array(rows[r])), pa.array(items[r, c].astype(np.int32)), pa.array(ranks[r, c].astype(np.int32))], names=[user_col, item_col, "rank"]
+                    )
+                todo, steps = np.concatenate(late), min(2 * steps, prime)
+
+    return run
+
+
 def next_prime(n: int) -> int:
     def is_prime(p: int) -> bool:
         if p < 2:
@@ -147,8 +183,8 @@ def recommend_random(
 
     Each user walks its own permutation ``t -> (a_u*t + b_u) mod P`` of [0, P) with P the
     smallest prime >= n_items and (a_u, b_u) from md5(seed, user).  Values >= n_items are
-    skipped, so the first ``n + s + (P - n_items)`` steps always hold ``n + s`` items —
-    no user × catalogue product is formed.
+    skipped, so the first ``n + s + (P - n_items)`` steps always hold ``n + s`` items; a walk ends with
+    its ``n``-th unseen item — no user × catalogue product is formed.
     """
     if n_items <= 0:
         return users.select(user_col).withColumn(item_col, F.lit(None).cast("int")).limit(0)
@@ -158,19 +194,15 @@ def recommend_random(
         text = F.concat_ws("|", F.lit(str(seed)), F.lit(tag), F.col(user_col).cast("string"))
         return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
 
-    seen = interactions if exclude_seen else interactions.limit(0)
-    steps = _expand_positions(users, seen, n, P - n_items, user_col).where(F.col("_t") < P)
-    walked = steps.select(
-        user_col,
-        "_t",
-        F.pmod((F.lit(1) + F.pmod(h("a"), F.lit(P - 1))) * F.col("_t") + F.pmod(h("b"), F.lit(P)), F.lit(P))
-        .cast("int").alias(item_col),
-    ).where(F.col(item_col) < n_items)
-    if exclude_seen:
-        walked = walked.join(interactions.select(user_col, item_col).hint("merge"), [user_col, item_col], "left_anti")
-    w = Window.partitionBy(user_col).orderBy("_t")
-    return (
-        walked.withColumn("rank", F.row_number().over(w))
-        .where(F.col("rank") <= n)
-        .select(user_col, item_col, F.lit(1.0 / n).alias("score"), "rank")
+    walks = users.select(
+        F.col(user_col), (F.lit(1) + F.pmod(h("a"), F.lit(P - 1))).alias("_a"), F.pmod(h("b"), F.lit(P)).alias("_b")
     )
+    none = F.array().cast("array<bigint>")
+    if exclude_seen:  # one list for each user, no longer than the catalogue where pairs do not repeat
+        lists = interactions.where(F.col(item_col).between(0, n_items - 1)).groupBy(user_col).agg(F.collect_list(F.col(item_col).cast("bigint")).alias("_seen"))
+        walks = walks.join(lists.hint("merge"), user_col, "left").withColumn("_seen", F.coalesce("_seen", none))
+    else:
+        walks = walks.withColumn("_seen", none)
+    user = T.StructField(user_col, users.schema[user_col].dataType)
+    schema = T.StructType([user, T.StructField(item_col, T.IntegerType()), T.StructField("rank", T.IntegerType())])
+    return walks.mapInArrow(_walk(user_col, item_col, n, n_items, P), schema).select(user_col, item_col, F.lit(1.0 / n if n else 0.0).alias("score"), "rank")

@@ -268,3 +268,56 @@ def test_als_equals_sparks(spark):
         got, want = {r[key]: r.vec for r in mine.collect()}, {r.id: r.features for r in other.collect()}
         assert set(got) == set(want)
         np.testing.assert_allclose([got[k] for k in sorted(got)], [want[k] for k in sorted(want)], atol=1e-5)
+
+
+def _ranked_by_force(users, ranking, seen, n):
+    return {(u, i, r) for u in users for r, i in enumerate([i for i in ranking if (u, i) not in seen][:n], 1)}
+
+
+def test_ranked_lists_skip_only_what_lies_before_them(spark):
+    """Lists equal brute force: heads seen whole, gaps, repeated pairs, unknown items and users, short catalogues."""
+    ranking = [4, 0, 7, 2, 9, 1, 3, 8, 5, 6]
+    pairs = [(0, i) for i in (4, 0, 7)] + [(1, i) for i in (0, 2, 1, 6)] + [(2, i) for i in ranking[:8]] + [(3, 99), (3, 6), (3, 6), (3, 4), (3, 4), (77, 4)]
+    pairs += [(4, i) for i in ranking]
+    seen = spark.createDataFrame(pairs, "user_idx int, movie_idx int")
+    users = spark.createDataFrame([(u,) for u in range(6)], "user_idx int")
+    ranked = spark.createDataFrame([(i, 1.0 / (p + 1), p) for p, i in enumerate(ranking)], "movie_idx int, score double, prank long")
+    for n in (0, 1, 3, 12):
+        got = R.recommend_from_ranking(users, ranked, seen, n, 10).collect()
+        assert {(r.user_idx, r.movie_idx, r["rank"]) for r in got} == _ranked_by_force(range(6), ranking, set(pairs), n)
+        assert all(r.score == 1.0 / (ranking.index(r.movie_idx) + 1) for r in got)
+        free = R.recommend_from_ranking(users, ranked, seen, n, 10, exclude_seen=False).collect()
+        assert {(r.user_idx, r.movie_idx, r["rank"]) for r in free} == _ranked_by_force(range(6), ranking, set(), n)
+
+
+def test_ranked_lists_send_no_seen_pairs(spark):
+    """Seen pairs meet the head of the ranking where they are: none of the shuffles before the lists takes all of them."""
+    from rankfold.plans.explain import summarise
+    from rankfold.session import materialize
+
+    seen = materialize(spark.range(3000).selectExpr("cast(id % 300 as int) user_idx", "cast(id % 911 as int) movie_idx"), "test-seen")
+    users = materialize(spark.range(300).selectExpr("cast(id as int) user_idx"), "test-users")
+    ranked = materialize(spark.range(911).selectExpr("cast(id as int) movie_idx", "1D / (1 + id) score", "id prank"), "test-ranked")
+    plan = R.recommend_from_ranking(users, ranked, seen, 10, 911)
+    assert "LeftAnti" not in plan._jdf.queryExecution().executedPlan().toString()
+    assert summarise(plan)["nested_loop_joins"] == 0
+
+
+@pytest.mark.parametrize("n_items", [1, 2, 6, 24])
+def test_walks_skip_seen_items_and_end_with_the_catalogue(spark, monkeypatch, n_items):
+    import hashlib
+
+    monkeypatch.setattr(R, "WALK_ELEMENTS", 32)
+    pairs = [(0, i) for i in range(n_items - 1)] + [(1, 0), (1, 0), (1, n_items + 3), (2, n_items // 2), (9, 1)]
+    seen = spark.createDataFrame([*pairs, (2, None)], "user_idx int, movie_idx int")
+    users = spark.createDataFrame([(u,) for u in range(4)], "user_idx int")
+    prime = R.next_prime(n_items)
+    for n in (1, 4, 30):
+        expected = set()
+        for u in range(4):
+            h = {t: int(hashlib.md5(f"42|{t}|{u}".encode()).hexdigest()[:8], 16) for t in "ab"}
+            walk = [((1 + h["a"] % (prime - 1)) * t + h["b"] % prime) % prime for t in range(prime)]
+            free = [i for i in walk if i < n_items and (u, i) not in pairs]
+            expected |= {(u, i, r) for r, i in enumerate(free[:n], 1)}
+        got = R.recommend_random(users, seen, n, n_items)
+        assert {(r.user_idx, r.movie_idx, r["rank"]) for r in got.collect()} == expected
