@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankfold.functions import parse_genres, sigmoid_score
+from rankfold.operators.prep import BROADCAST_NODES, few
+from rankfold.session import materialize
 
 FALLBACK_SIZE = 100  # fixed value: length of the list of popular items
 
@@ -20,18 +22,35 @@ def enrich(
     movie_map: DataFrame,
     movies: DataFrame,
     item_col: str = "movie_idx",
+    items: DataFrame | None = None,
 ) -> DataFrame:
-    """Attach original movie id, title (default "Movie <id>") and parsed genres (default [])."""
-    ids = movie_map.select(F.col("encoded_id").alias(item_col), F.col("original_id").alias("_orig"))
-    meta = movies.select(F.col("movieId").alias("movie_id"), "title", "genres")
-    with_id = recs.join(ids, item_col, "left").withColumn(
-        "movie_id", F.coalesce(F.col("_orig"), F.col(item_col).cast("bigint"))
-    ).drop("_orig")
-    return with_id.join(meta, "movie_id", "left").select(
+    """Attach original movie id, title (default "Movie <id>") and parsed genres (default []).
+
+    Ids, titles and genres are joined and parsed once for each item, so the lists meet one table.
+    ``items``: the different items of ``recs`` where a written table has them; if these are few, what
+    belongs to them is broadcast and the lists are not shuffled.
+    """
+    ids = movie_map.select(F.col("encoded_id").cast("bigint").alias("_item"), F.col("original_id").alias("_id"))
+    meta = movies.select(F.col("movieId").alias("_id"), F.col("title").alias("_title"), parse_genres(F.col("genres")).alias("_genres"))
+    if items is not None:
+        wanted = materialize(items.select(F.col(item_col).cast("bigint").alias("_item")).where("_item IS NOT NULL").distinct(), "listed-items")
+        n_wanted = wanted.count()
+        wanted = few(wanted, n_wanted)
+        ids = ids.join(wanted, "_item", "left_semi")
+    # an item outside the map is its own movie
+    other = meta.withColumn("_item", F.col("_id").cast("bigint")).join(ids.select("_item"), "_item", "left_anti")
+    if items is not None:
+        other = other.join(wanted, "_item", "left_semi")
+    known = ids.join(meta, "_id", "left").select("_item", "_id", "_title", "_genres").unionByName(other)
+    if items is not None and n_wanted <= BROADCAST_NODES:
+        written = materialize(known, "listed-movies")  # movies can repeat: counted before they are broadcast
+        known = few(written, written.count())
+    movie_id = F.coalesce(F.col("_id"), F.col(item_col).cast("bigint"))
+    return recs.join(known, F.col(item_col).cast("bigint") == F.col("_item"), "left").select(
         *[c for c in recs.columns if c != item_col],
-        "movie_id",
-        F.coalesce(F.col("title"), F.concat(F.lit("Movie "), F.col("movie_id").cast("string"))).alias("title"),
-        parse_genres(F.col("genres")).alias("genres"),
+        movie_id.alias("movie_id"),
+        F.coalesce(F.col("_title"), F.concat(F.lit("Movie "), movie_id.cast("string"))).alias("title"),
+        F.coalesce(F.col("_genres"), F.array().cast("array<string>")).alias("genres"),
     )
 
 

@@ -12,6 +12,7 @@ from rankfold.plans import stages as P
 from rankfold.plans import sql as S
 from rankfold.plans.catalog import POP_CTES, popular_recs, r6, register
 from rankfold.plans.catalog_eda import GL
+from rankfold.session import materialize
 from rankfold.sources import tables
 
 SIMILAR_N = 10
@@ -220,9 +221,10 @@ ENRICH_SQL = (
 def q_enrich_recs(spark, sf):
     """Top-10 popular unseen items per user with original id, title, genres and the
     service's sigmoid score format."""
-    recs = popular_recs(spark, sf).withColumn("score", sigmoid_score("score"))
+    # written once: read for the listed items and for the lists
+    recs = materialize(popular_recs(spark, sf), "popular-lists")
     enc = P.encoded(spark, sf)
-    out = SV.enrich(recs, enc.movie_map, P.movies(spark, sf))
+    out = SV.enrich(recs.withColumn("score", sigmoid_score("score")), enc.movie_map, P.movies(spark, sf), items=recs)
     return out.select("user_idx", F.col("rank").cast("int").alias("rank"), "movie_id", "title", "score",
                       F.array_join("genres", "|").alias("genres"))
 
