@@ -146,3 +146,18 @@ def test_sparsity_edges(spark):
     assert sparsity(empty).first().sparsity == 1.0
     one = spark.createDataFrame([(1, 1, 1.0)], "userId long, movieId long, rating double")
     assert sparsity(one).first().sparsity == 0.0
+
+
+def test_the_hash_of_the_bundles_split_is_written_once(spark, small_dir, monkeypatch):
+    from rankfold.plans import stages as P
+
+    monkeypatch.setattr(P, "_MEMO", {})
+    seen = []
+    real = prep.split_keyed
+    monkeypatch.setattr(prep, "split_keyed", lambda keyed, *rest: (seen.append(keyed), real(keyed, *rest))[1])
+    rows = P.bundle(spark, small_dir).split_rows
+    plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "md5" not in plan and prep.SPLIT_KEY in plan
+    expected = prep.random_split(P.ratings(spark, small_dir), ("userId", "movieId", "timestamp", "rating"), 0.2, 42)
+    count = lambda df: {r.split: r["count"] for r in df.groupBy("split").count().collect()}
+    assert count(rows) == count(expected)
