@@ -1,5 +1,6 @@
 """Recommenders on the reference's 4x6 interaction fixture."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -321,3 +322,70 @@ def test_walks_skip_seen_items_and_end_with_the_catalogue(spark, monkeypatch, n_
             expected |= {(u, i, r) for r, i in enumerate(free[:n], 1)}
         got = R.recommend_random(users, seen, n, n_items)
         assert {(r.user_idx, r.movie_idx, r["rank"]) for r in got.collect()} == expected
+
+
+def _vector_case(scale: float, n_users: int = 70, n_items: int = 500, dim: int = 9, seed: int = 3):
+    from rankfold.operators.vectors import Block, Chunk, pair_scores
+
+    rng = np.random.default_rng(seed)
+    items, users = rng.standard_normal((n_items, dim)) * scale, rng.standard_normal((n_users, dim))
+    items[7], users[5] = 0.0, 0.0
+    items[20:30] = items[20] * (1 + 1e-9 * np.arange(10)[:, None])  # nearer than single precision tells apart
+    seen = [np.sort(rng.choice(n_items, 25, replace=False)) for _ in range(n_users)]
+    chunk = Chunk(np.arange(n_users), np.full(n_users, 6, np.int32), users, np.arange(n_users + 1) * 25, np.concatenate(seen))
+    blocks = [Block(np.arange(i, i + 100), np.arange(100), items[i : i + 100]) for i in range(0, n_items, 100)]
+    scores = np.round(pair_scores(users, np.repeat(np.arange(n_users), n_items), items, np.tile(np.arange(n_items), n_users)).reshape(n_users, n_items), 9)
+    return chunk, blocks, scores, seen
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-7, 1e5, 1e25, 1e32])
+def test_lists_filtered_in_single_precision_are_exact(scale):
+    from rankfold.operators.vectors import _Lists, _score_into
+
+    chunk, blocks, scores, seen = _vector_case(scale)
+    lists = _Lists(chunk, np.full(len(chunk.keys), -np.inf))
+    for block in blocks:
+        _score_into(lists, np.arange(len(chunk.keys)), block)
+    lists.settle()
+    for u, own in enumerate(seen):
+        left = scores[u].copy()
+        left[own] = -np.inf
+        expected = np.lexsort((np.arange(len(left)), -left))[:6]
+        assert lists.ids[lists.rows == u].tolist() == expected.tolist()
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-7, 1e25, 1e32])
+def test_counts_below_own_scores_are_exact(scale):
+    from rankfold.operators.models import _rank_in_block
+    from rankfold.operators.vectors import Block
+
+    chunk, blocks, scores, seen = _vector_case(scale)
+    blocks[1] = Block(np.arange(100, 300), np.arange(0, 200, 2), blocks[1].matrix)  # two ids for each vector
+    weight = np.ones(500, dtype=int)
+    weight[100:200] = 2
+    own = np.sort(np.stack([scores[u, seen[u][:5]] for u in range(len(seen))]), axis=1).T
+    below, equal = np.zeros(own.shape, np.int64), np.zeros(own.shape, np.int64)
+    for block in blocks:
+        _rank_in_block(chunk.queries, np.ascontiguousarray(own), np.full(own.shape[1], 5), block, below, equal)
+    for j, row in enumerate(own):
+        assert below[j].tolist() == ((scores < row[:, None]) * weight).sum(axis=1).tolist()
+        assert equal[j].tolist() == ((scores == row[:, None]) * weight).sum(axis=1).tolist()
+
+
+def test_each_tile_has_a_task_of_its_own(spark):
+    from pyspark import TaskContext
+
+    from rankfold.operators.vectors import tiled
+
+    chunks = spark.range(12).selectExpr("id AS chunk", "CAST('12345678' AS BINARY) AS keys", "CAST('' AS BINARY) AS queries", "CAST('' AS BINARY) AS seen")
+    index = spark.range(9).selectExpr("id AS block", "CAST('12345678' AS BINARY) AS ids", "CAST('' AS BINARY) AS starts", "CAST('' AS BINARY) AS matrix")
+
+    def work(left, right):
+        import pyarrow as pa
+
+        return pa.table({"task": pa.array([TaskContext.get().partitionId()], pa.int64()), "pairs": pa.array([left.num_rows * right.num_rows], pa.int64())})
+
+    rows = tiled(chunks, None, index, work, "task long, pairs long", tile_bytes=24).collect()
+    assert sum(r["pairs"] for r in rows) == 12 * 9
+    assert len(rows) == 4 * 3
+    assert len({r["task"] for r in rows}) == len(rows)
