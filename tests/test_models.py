@@ -389,3 +389,25 @@ def test_each_tile_has_a_task_of_its_own(spark):
     assert sum(r["pairs"] for r in rows) == 12 * 9
     assert len(rows) == 4 * 3
     assert len({r["task"] for r in rows}) == len(rows)
+
+
+def test_als_in_one_task_equals_als_in_blocks(spark, monkeypatch):
+    from rankfold.operators import models as MD
+
+    rng = np.random.default_rng(8)
+    rows = [(int(u), int(i), float(w)) for u, i, w in zip(rng.integers(0, 60, 900), rng.integers(0, 40, 900), 1 + rng.random(900), strict=True)]
+    df = spark.createDataFrame([*{(u, i): (u, i, w) for u, i, w in rows}.values()], "user_idx int, movie_idx int, confidence double").cache()
+    monkeypatch.setattr(MD, "LEAST_BLOCK_ROWS", 200)  # several blocks
+    fits = [MD.AlsFit(6, 0.05, 4, 10.0, 42), MD.AlsFit(6, 0.05, 4, 30.0, 42), MD.AlsFit(45, 0.05, 3, 10.0, 42)]
+    jobs = []
+    monkeypatch.setattr(MD, "_fit_in_blocks", lambda data, fit, run=MD._fit_in_blocks: jobs.append(fit) or run(data, fit))
+    in_tasks = MD.als_fits(df, fits)
+    assert not jobs
+    monkeypatch.setattr(MD, "MANY_ROWS", 0)
+    in_blocks = MD.als_fits(df, fits[1:])
+    assert jobs == fits[1:]
+    for one, other in zip(in_tasks[1:], in_blocks, strict=True):
+        for a, b, key in zip(one, other, ("user_idx", "movie_idx"), strict=True):
+            a, b = ({r[key]: r["vec"] for r in x.collect()} for x in (a, b))
+            assert a.keys() == b.keys()
+            assert max(np.abs(np.subtract(a[k], b[k])).max() for k in a) < 1e-4
